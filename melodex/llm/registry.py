@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import language_id
+from . import decontaminate, language_id
 
-MODULES = (language_id,)
+MODULES = (decontaminate, language_id)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
