@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, token_counts
+from . import decontaminate, language_id, simhash, token_counts
 
-MODULES = (decontaminate, language_id, token_counts)
+MODULES = (decontaminate, language_id, simhash, token_counts)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
