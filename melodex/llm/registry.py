@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, simhash, token_counts
+from . import decontaminate, embedding_dedup, language_id, mixing, simhash, token_counts, url_filter
 
-MODULES = (decontaminate, language_id, simhash, token_counts)
+MODULES = (decontaminate, embedding_dedup, language_id, mixing, simhash, token_counts, url_filter)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
