@@ -97,7 +97,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, place, h, first): of each line the hash without the word at each place. In a run of equal words, its first place."""
+    """(key, place, h, first): of each line the hash without the word at each place."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -107,10 +107,9 @@ def _variants(lines: DataFrame) -> DataFrame:
                 start = 0
                 for k, w in enumerate(words):
                     end = start + len(w)
-                    if k == 0 or words[k - 1] != w:
-                        at.append(i)
-                        places.append(k)
-                        keys.append(_signed(_hash(joined[end + 1 :] if k == 0 else joined[: start - 1] + joined[end:])))
+                    at.append(i)
+                    places.append(k)
+                    keys.append(_signed(_hash(joined[end + 1 :] if k == 0 else joined[: start - 1] + joined[end:])))
                     start = end + 1
             yield pd.DataFrame({"key": keys, "place": places, "h": batch["h"].to_numpy()[at]})
 
