@@ -229,6 +229,26 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     return picked.mapInPandas(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose predicted language is not ``und`` and has a score of at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        made = Features(model.bits if model else 16)
+        for batch in batches:
+            texts, keep = [x if isinstance(x, str) else "" for x in batch[text]], []
+            for part in _chunks(texts):
+                if model is None:
+                    keep += [False] * len(texts[part])
+                    continue
+                z, has = model.logits(texts[part], made)
+                keep += (has & (_softmax(z.astype(np.float64) / model.temperature).max(axis=1) >= least)).tolist()
+            yield batch[np.array(keep, bool)]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
 def identify(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every document.
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, language_id, line_dedup, mixing, simhash, token_counts, url_filter, warc
+from . import decontaminate, embedding_dedup, language_id, line_dedup, lm_score, mixing, simhash, token_counts, url_filter, warc
 
-MODULES = (decontaminate, embedding_dedup, language_id, line_dedup, mixing, simhash, token_counts, url_filter, warc)
+MODULES = (decontaminate, embedding_dedup, language_id, line_dedup, lm_score, mixing, simhash, token_counts, url_filter, warc)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -26,6 +26,8 @@ SAMPLE = 2000
 #: An emitted key costs as much as so many candidates.
 KEY_COST = 0.5
 MOST_THRESHOLD = 2
+#: A set of up to so many ids is broadcast; beyond, documents meet it in a shuffle.
+BROADCAST_IDS = 300_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -162,6 +164,17 @@ def group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     return made.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns: of each group the document of the least id (all with a null id if there are only
+    such). Of rows that share an id and a text one stays."""
+    found = written(group(docs, key, text), "groups")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    repeated = not found.groupBy("doc_id", "fp").count().where("count > 1").isEmpty()
+    gone = written(gone, "gone")
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return out.dropDuplicates([key, text]) if repeated else out
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = group(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
