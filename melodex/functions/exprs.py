@@ -124,7 +124,7 @@ def stem(path: ColumnOrName) -> Column:
 def name_list(raw: ColumnOrName) -> Column:
     """A comma list, perhaps in brackets and quotes; null is one unknown name."""
     x = F.translate(col(raw), "[]'\"", "")
-    return F.when(col(raw).isNull(), F.array(F.lit("Unknown"))).otherwise(F.filter(F.transform(F.split(x, ","), F.trim), lambda y: y != ""))
+    return F.when(col(raw).isNull(), F.array(F.lit("Unknown"))).otherwise(F.filter(F.transform(F.split(x, ","), lambda y: F.trim(y)), lambda y: y != ""))
 
 
 def truth(x: ColumnOrName) -> Column:

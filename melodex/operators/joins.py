@@ -65,3 +65,13 @@ def pairs(rows: DataFrame, group: str, correct: str, features: list[str], order:
     good = first_wins(rows.where(correct), group, order).select(group, *(F.col(f).alias(f"_{f}") for f in features))
     bad = rows.where(~F.col(correct))
     return bad.join(good, group).select(group, *order, *((F.col(f"_{f}") - F.col(f)).alias(f"d_{f}") for f in features))
+
+
+def spelled_alike(wanted: DataFrame, known: DataFrame, name: str = "name", found: str = "found") -> DataFrame:
+    """Each name with the known one that is equal (stage 1), equal but for case (2) or but for ee written as i (3); stage 9 if
+    none is. One equi-join on the loosest form, then the best stage."""
+    form = lambda c: F.replace(F.lower(c), F.lit("ee"), F.lit("i"))
+    met = wanted.withColumn("_f", form(name)).join(known.withColumn("_f", form(found)), "_f")
+    stage = F.when(F.col(name) == F.col(found), 1).when(F.lower(name) == F.lower(found), 2).otherwise(3)
+    best = met.withColumn("stage", stage).groupBy(name).agg(F.min(F.struct("stage", found)).alias("b"))
+    return wanted.join(best, name, "left").select(name, F.col(f"b.{found}").alias(found), F.coalesce("b.stage", F.lit(9)).alias("stage"))

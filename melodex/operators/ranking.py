@@ -44,3 +44,17 @@ def pairwise_weights(pairs: DataFrame, features: list[str], l2: float = 1e-4) ->
     data = VectorAssembler(inputCols=features, outputCol="x").transform(pair_matrix(pairs, features))
     model = LogisticRegression(featuresCol="x", fitIntercept=False, standardization=False, regParam=2 * l2, maxIter=50).fit(data)
     return [float(x) for x in model.coefficients]
+
+
+def learned_ranking(rows: DataFrame, group: str, features: list[str], held_out: int = 5) -> DataFrame:
+    """Metrics of a scaled multilayer perceptron on the groups kept out (one in ``held_out`` by hash); rows have a label of 0 or 1."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    out = F.pmod(F.xxhash64(F.lit("fold"), group), F.lit(held_out)) == 0
+    steps = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), MultilayerPerceptronClassifier(featuresCol="x", layers=[len(features), 16, 8, 2], maxIter=15, seed=1)]
+    model = Pipeline(stages=steps).fit(rows.where(~out))
+    judged = model.transform(rows.where(out)).withColumn("score", vector_to_array("probability")[1]).withColumn("ok", F.col("label") == 1)
+    return rank_metrics(correct_ranks(judged, group, "score", "ok"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, language, scalar, scoring, sequences, stream
+from . import catalog, language, reports, scalar, scoring, sequences, stream
 
-MODULES = (scalar, scoring, sequences, language, catalog, stream)
+MODULES = (scalar, scoring, sequences, language, catalog, reports, stream)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 FLAGSHIP = "score_candidates"
