@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 WORD = re.compile(r"[^\W_]+")
 #: Items are broadcast in blocks of about so many characters; every block is compared with all documents.
@@ -41,7 +41,7 @@ class Settings:
 class Words(dict):
     """64-bit hashes of words, kept for those that come again."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 120_000):
         super().__init__()
         self.most = most
 
@@ -211,7 +211,7 @@ def contained(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settin
                 got = [(ids[first + d], i, n, of, n / of) for first, group in _batches(batch["text"].tolist(), s) for d, i, n, of in _search(group, made, shared.value, s)]
                 yield pd.DataFrame(got, columns=["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
-        out = out.unionAll(rows.mapInPandas(run, schema))
+        out = out.unionAll(map_texts(rows, run, schema))
     return out
 
 
@@ -227,7 +227,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
                 bad = {first + d for first, group in _batches(batch[text].tolist(), s) for d, *_ in _search(group, made, shared.value, s)}
                 yield batch.iloc[[i for i in range(len(batch)) if i not in bad]]
 
-        docs = docs.mapInPandas(run, docs.schema)
+        docs = map_texts(docs, run, docs.schema)
     return docs
 
 

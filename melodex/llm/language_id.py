@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, map_texts, table
 
 #: Texts are worked through in pieces of about so many characters at once.
 CHUNK = 1_000_000
@@ -110,7 +110,7 @@ def document_frequency(rows: DataFrame, text: str, bits: int) -> np.ndarray:
         yield pd.DataFrame({"feature": ids, "n": df[ids]})
 
     out = np.zeros(size)
-    for r in rows.select(text).mapInPandas(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in map_texts(rows.select(text), count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r[0]] = r[1]
     return out
 
@@ -194,7 +194,7 @@ def _calibrate(model: Model, rows: DataFrame) -> float:
                 z, _ = model.logits(texts[part], made)
                 yield pd.DataFrame({"z": [x.astype(np.float64).tobytes() for x in z], "y": [at[y] for y in batch["lang"][part]]})
 
-    got = rows.mapInPandas(logits, "z binary, y int").collect()
+    got = map_texts(rows, logits, "z binary, y int").collect()
     if not got:
         return 1.0
     z, y = np.array([np.frombuffer(r[0]) for r in got]), np.array([r[1] for r in got])
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 scores += np.where(has, p[np.arange(len(best)), best], 0.0).tolist()
             yield batch.drop(columns=[text]).assign(lang_pred=names, score=scores)
 
-    return picked.mapInPandas(run, schema)
+    return map_texts(picked, run, schema)
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
@@ -246,7 +246,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "te
                 keep += (has & (_softmax(z.astype(np.float64) / model.temperature).max(axis=1) >= least)).tolist()
             yield batch[np.array(keep, bool)]
 
-    return docs.mapInPandas(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
 
 
 def identify(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import map_texts, table, written
 
 LEAST_WORDS = 5
 #: A set of up to so many line hashes is broadcast; beyond, lines meet it in a shuffle.
@@ -75,7 +75,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                         rows.append((id_, at, _signed(_hash(b" ".join(words))), [_signed(x) for x in halves(words)] if len(words) >= LEAST_WORDS else None))
             yield pd.DataFrame(rows, columns=["doc_id", "line", "h", "halves"])
 
-    return docs.mapInPandas(run, f"doc_id {kind}, line int, h long, halves array<long>")
+    return map_texts(docs, run, f"doc_id {kind}, line int, h long, halves array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def _texts(docs: DataFrame) -> DataFrame:
                         rows.append((id_, at, _signed(_hash(joined)), joined))
             yield pd.DataFrame(rows, columns=["doc_id", "line", "h", "words"])
 
-    return docs.mapInPandas(run, f"doc_id {kind}, line int, h long, words binary")
+    return map_texts(docs, run, f"doc_id {kind}, line int, h long, words binary")
 
 
 def _variants(lines: DataFrame) -> DataFrame:

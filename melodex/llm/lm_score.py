@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, parts, shared_dir, table, written
+from .common import fold, map_texts, parts, shared_dir, table, written
 
 #: A block ends beyond so many tokens; a bucket is meant for so many entries.
-BLOCK_TOKENS, BUCKET_ENTRIES = 4_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_ENTRIES = 2_500_000, 1_500_000
 END, START = 0x5BD1E995_27D4EB2F, 0x165667B1_9E3779F9  # stand for the hashes of the end and of what precedes the first word
 CONTEXTS = 40  # buckets of the predecessor's frequency
 ROUNDS = 20
@@ -110,7 +110,7 @@ def _blocks(docs: DataFrame, key: Column, text: str, held: Column, dev: Column)
         if ids:
             yield block()
 
-    made = rows.mapInPandas(run, f"block long, ids array<{kind}>, held binary, dev binary, lengths binary, tokens binary, words binary")
+    made = map_texts(rows, run, f"block long, ids array<{kind}>, held binary, dev binary, lengths binary, tokens binary, words binary")
     name, n = f"lm_blocks_{uuid.uuid4().hex}", min(50_000, max(8, 2 * rows.rdd.getNumPartitions()))
     made.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "block").saveAsTable(name)
     return spark.table(name)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, table, written
+from .common import components, map_texts, table, written
 
 #: Distinct fingerprints in the sample that correlations and candidate counts are estimated on.
 SAMPLE = 2000
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             made = np.fromiter((fingerprint(x, words) for x in batch["text"]), np.uint64, len(batch))
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "fp": made.view(np.int64)})
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, f"doc_id {kind}, fp long")
+    return map_texts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp long")
 
 
 def _grouped(bits: np.ndarray, n: int) -> list[list[int]]:

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_texts, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokens of the vocabulary's tokenizer.
@@ -107,7 +107,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
             yield pd.DataFrame(rows, columns=["n_pretokens", "n_bytes", "n_tokens", "log_prob"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_pretokens", "n_bytes", "n_tokens", "log_prob"]]
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n_pretokens long, n_bytes long, n_tokens long, log_prob double")
+    return map_texts(rows, run, f"doc_id {kind}, n_pretokens long, n_bytes long, n_tokens long, log_prob double")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
