@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -35,14 +35,18 @@ def vectors(hist: DataFrame) -> DataFrame:
     return hist.groupBy("recording_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "count"))), lambda x: x["count"]).alias("h"))
 
 
+def twelve(rows: DataFrame, pc: Column, name: str) -> DataFrame:
+    """(recording_id, pc, name): the rows of each of the twelve notes, with zeros, in one aggregate. A null note counts nowhere,
+    but its recording is there."""
+    sums = F.array(*[F.count(F.when(pc == i, 1)) for i in range(12)])
+    return rows.groupBy("recording_id").agg(sums.alias("h")).select("recording_id", F.posexplode("h").alias("pc", name))
+
+
 def window_mass(frames: DataFrame, half_width: float = 35.0) -> DataFrame:
     """(recording_id, pc, mass), with zeros: voiced frames whose whole cent is within half_width of a note."""
     cent = F.floor(E.cents(E.hz_to_midi("pitch_hz")))
-    moved = F.pmod(cent + half_width, F.lit(1200.0))
-    rows = voiced(frames).select("recording_id", moved.alias("m")).where(F.col("m") % 100 < 2 * half_width)
-    counts = rows.groupBy("recording_id", F.floor(F.col("m") / 100).cast("int").alias("pc")).agg(F.count("*").alias("mass"))
-    full = dense(voiced(frames).select("recording_id").distinct(), 12, "pc")
-    return full.join(counts, ["recording_id", "pc"], "left").select("recording_id", "pc", F.coalesce("mass", F.lit(0)).alias("mass"))
+    rows = voiced(frames).select("recording_id", F.pmod(cent + half_width, F.lit(1200.0)).alias("m"))
+    return twelve(rows, F.when(F.col("m") % 100 < 2 * half_width, F.floor(F.col("m") / 100)), "mass")
 
 
 def distribution(masses: DataFrame) -> DataFrame:
@@ -53,9 +57,8 @@ def distribution(masses: DataFrame) -> DataFrame:
 
 def pitch_class_counts(frames: DataFrame) -> DataFrame:
     """(recording_id, pc, n), with zeros."""
-    counts = voiced(frames).groupBy("recording_id", E.pitch_class(E.hz_to_midi("pitch_hz")).alias("pc")).agg(F.count("*").alias("n"))
-    full = dense(voiced(frames).select("recording_id").distinct(), 12, "pc")
-    return full.join(counts, ["recording_id", "pc"], "left").select("recording_id", "pc", F.coalesce("n", F.lit(0)).alias("n"))
+    rows = voiced(frames).select("recording_id", E.pitch_class(E.hz_to_midi("pitch_hz")).alias("p"))
+    return twelve(rows, F.col("p"), "n")
 
 
 def salience_survivors(counts: DataFrame) -> DataFrame:
