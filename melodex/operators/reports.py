@@ -21,14 +21,21 @@ def drone_boost(counts: DataFrame, weight: float = 0.2) -> DataFrame:
     return pair.groupBy("recording_id", "tonic").agg((weight * F.sum("s")).alias("boost"))
 
 
-def valleys(smoothed: DataFrame, off: int) -> DataFrame:
+def valleys(voiced: DataFrame, off: int = 15, sigma: float = 5.0) -> DataFrame:
     """(recording_id, valleys, slopes): of the twelve notes, how many lie lower than the smoothed 1-cent histogram ``off`` cents
-    to both sides, or to one."""
-    at = lambda i: F.round(F.element_at("smooth", i + 1), 9)
-    lo, hi = lambda i: at((i * 100 - off) % 1200), lambda i: at(i * 100 + off)
-    both = sum((F.when((at(i * 100) < lo(i)) & (at(i * 100) < hi(i)), 1).otherwise(0) for i in range(12)), F.lit(0))
-    one = sum((F.when((at(i * 100) < lo(i)) | (at(i * 100) < hi(i)), 1).otherwise(0) for i in range(12)), F.lit(0))
-    return smoothed.select("recording_id", both.cast("long").alias("valleys"), one.cast("long").alias("slopes"))
+    to both sides, or to one.
+
+    Only 36 places of the smoothed histogram are asked for, so each cent meets those in reach of the kernel: a table of fixed
+    size (36 times the kernel), broadcast.
+    """
+    kernel = gaussian_kernel(sigma)
+    r = len(kernel) // 2
+    reach = [((pc * 100 + side * off + o) % 1200, pc, side, kernel[o + r]) for pc in range(12) for side in (-1, 0, 1) for o in range(-r, r + 1)]
+    k = voiced.sparkSession.createDataFrame(reach, "bin int, pc int, side int, w double")
+    hist = voiced.groupBy("recording_id", F.floor(E.cents(E.hz_to_midi("pitch_hz"))).cast("int").alias("bin")).agg(F.count("*").alias("c"))
+    at = lambda side: F.round(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("c") * F.col("w"))), F.lit(0.0)), 9)
+    places = hist.join(F.broadcast(k), "bin", "left").groupBy("recording_id", "pc").agg(at(-1).alias("lo"), at(0).alias("mid"), at(1).alias("hi"))
+    return places.groupBy("recording_id").agg(F.count(F.when((F.col("mid") < F.col("lo")) & (F.col("mid") < F.col("hi")), 1)).alias("valleys"), F.count(F.when((F.col("mid") < F.col("lo")) | (F.col("mid") < F.col("hi")), 1)).alias("slopes"))
 
 
 def transition_activity(transitions: DataFrame) -> DataFrame:

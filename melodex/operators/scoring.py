@@ -35,9 +35,11 @@ def hypotheses(dist: DataFrame, steps: DataFrame, tonics: list[int] | None = Non
     """(recording_id, scale_id, tonic) and sums over the scale's notes. dist: (recording_id, pc, p) of all twelve notes.
 
     Each note of a recording meets each step of the scales; the tonic follows from the two. The scale table is small and of
-    fixed size, so it is broadcast, and the sums stay in the recording's partition.
+    fixed size, so it is broadcast, and the sums stay in the recording's partition. The few rows of the distribution become
+    hundreds of times as many here, so they are dealt to all partitions first: by their size alone they would be coalesced.
     """
-    rows = dist.withColumn("most", F.max("p").over(Window.partitionBy("recording_id")))
+    n = int(dist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dist.repartition(n, "recording_id").withColumn("most", F.max("p").over(Window.partitionBy("recording_id")))
     met = rows.join(F.broadcast(steps)).withColumn("tonic", F.pmod(F.col("pc") - F.col("step"), F.lit(12)))
     if tonics is not None:
         met = met.where(F.col("tonic").isin(tonics))

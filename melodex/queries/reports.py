@@ -32,8 +32,7 @@ def drone_boost(spark, d):
         LEFT JOIN sm m ON m.recording_id = r.recording_id AND m.b = pc * 100 LEFT JOIN sm lo ON lo.recording_id = r.recording_id AND lo.b = (pc * 100 + 1185) % 1200 LEFT JOIN sm hi ON hi.recording_id = r.recording_id AND hi.b = pc * 100 + 15)
     SELECT recording_id, count(*) FILTER (mid < lo AND mid < hi) AS valleys, count(*) FILTER (mid < lo OR mid < hi) AS slopes FROM pts GROUP BY 1""")
 def valley_penalty(spark, d):
-    f = O.voiced(S.frames(spark, d)).withColumn("confidence", F.lit(1.0))
-    return T.valleys(H.smoothed(H.folded(f, 1200), 1200, 5.0), 15)
+    return T.valleys(O.voiced(S.frames(spark, d)))
 
 
 @R("bias_median_deviation", f"{FR}, {V}, dv AS (SELECT recording_id, cent - 100 * round_even(cent / 100, 0) AS dev FROM v WHERE confidence > 0.5) SELECT recording_id, CASE WHEN count(*) >= 3 THEN round(median(dev), 5) END AS bias FROM dv GROUP BY 1")
