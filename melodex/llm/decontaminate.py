@@ -236,4 +236,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_decontamination": op9_decontamination}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op9_decontamination": """
+    WITH i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, row_number() OVER () AS item FROM benchmark),
+    items AS (SELECT *, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+    wanted AS (SELECT DISTINCT item, item_id, k, w[n:n + k - 1] AS shingle FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS n FROM items)),
+    sizes AS (SELECT item, count(*)::INT AS item_shingles FROM wanted GROUP BY item),
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, row_number() OVER () AS doc FROM documents),
+    held AS (
+        SELECT DISTINCT doc, doc_id, k, w[n:n + k - 1] AS shingle
+        FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS n FROM d, (SELECT DISTINCT k FROM items))),
+    met AS (SELECT doc, doc_id, item, item_id, count(*)::INT AS shared FROM held JOIN wanted USING (k, shingle) GROUP BY ALL)
+    SELECT doc_id, item_id, shared, item_shingles, shared / item_shingles AS containment
+    FROM met JOIN sizes USING (item) WHERE shared >= 0.8 * item_shingles - 1e-9"""
+}

@@ -158,4 +158,18 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_embedding_dedup": op6_embedding_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op6_embedding_dedup": """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    usable AS (
+        SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+        WHERE len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e) AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+        WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+    reached AS (SELECT a AS vec_id, a AS root FROM links UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.vec_id WHERE r.root < l.b),
+    counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+    least_ AS (SELECT vec_id, min(root) AS component FROM reached GROUP BY vec_id)
+    SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+    FROM v LEFT JOIN counted USING (vec_id) LEFT JOIN least_ USING (vec_id)"""
+}

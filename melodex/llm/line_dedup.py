@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, written
+from .common import UPPER, map_texts, table, written
 
 LEAST_WORDS = 5
 #: A set of up to so many line hashes is broadcast; beyond, lines meet it in a shuffle.
@@ -177,4 +177,25 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_line_dedup": op2_line_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_line_dedup": f"""
+    WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+    raw AS (SELECT doc_id, unnest(parts) AS part, (generate_subscripts(parts, 1) - 1)::INT AS line FROM texts),
+    lines AS (
+        SELECT doc_id, line, regexp_extract_all(translate(part, '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM raw),
+    classes AS (SELECT words, min({{'doc_id': doc_id, 'line': line}}) AS first FROM lines WHERE len(words) > 0 GROUP BY words),
+    variants AS (
+        SELECT words, first, place, list_concat(words[1:place - 1], words[place + 1:]) AS variant
+        FROM (SELECT *, unnest(range(1, len(words) + 1)) AS place FROM classes WHERE len(words) >= 5)),
+    groups AS (SELECT variant, place, min(first) AS first FROM variants GROUP BY ALL HAVING count(*) > 1),
+    near AS (
+        SELECT v.words, g.first FROM variants v JOIN groups g USING (variant, place) WHERE g.first < v.first
+        UNION ALL
+        SELECT CASE WHEN v.first > c.first THEN v.words ELSE c.words END, least(v.first, c.first)
+        FROM variants v JOIN classes c ON v.variant = c.words WHERE len(c.words) >= 5),
+    nearest AS (SELECT words, min(first) AS near FROM near GROUP BY words),
+    decided AS (
+        SELECT l.doc_id, l.line, CASE WHEN c.first <> {{'doc_id': l.doc_id, 'line': l.line}} THEN c.first ELSE n.near END AS of
+        FROM lines l JOIN classes c USING (words) LEFT JOIN nearest n USING (words))
+    SELECT doc_id, line, of.doc_id AS of_doc_id, of.line AS of_line FROM decided WHERE of IS NOT NULL"""
+}

@@ -150,4 +150,48 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_mixing": op5_mixing}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op5_mixing": """
+    WITH RECURSIVE d AS (
+        SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
+            coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
+    per AS (SELECT src, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY src),
+    corpus AS (SELECT sum(tokens)::BIGINT AS total, max(tokens) AS most, list(tokens / (SELECT max(tokens) FROM per)) AS t, ln(count(*)) * 0.95 AS wished FROM per WHERE tokens > 0),
+    by_entropy AS (  -- the largest exponent with the wished entropy
+        SELECT 0 AS step, 0.0::DOUBLE AS low
+        UNION ALL
+        SELECT step + 1, CASE WHEN ln(list_sum(list_transform(t, lambda x: pow(x, low + pow(0.5, step + 1))))) - (low + pow(0.5, step + 1))
+            * list_sum(list_transform(t, lambda x: pow(x, low + pow(0.5, step + 1)) * ln(x))) / list_sum(list_transform(t, lambda x: pow(x, low + pow(0.5, step + 1)))) >= wished
+            THEN low + pow(0.5, step + 1) ELSE low END
+        FROM by_entropy, corpus WHERE step < 30),
+    by_repeats AS (  -- the least exponent with at most four passes
+        SELECT 0 AS step, 1.0::DOUBLE AS high
+        UNION ALL
+        SELECT step + 1, CASE WHEN list_max(list_transform(t, lambda x: pow(x, high - pow(0.5, step + 1) - 1)))
+            / list_sum(list_transform(t, lambda x: pow(x, high - pow(0.5, step + 1)))) * total / most <= 4 THEN high - pow(0.5, step + 1) ELSE high END
+        FROM by_repeats, corpus WHERE step < 30),
+    chosen AS (
+        SELECT *, CASE WHEN len(t) < 2 THEN 1.0 ELSE greatest((SELECT low FROM by_entropy WHERE step = 30), (SELECT high FROM by_repeats WHERE step = 30)) END AS a,
+            greatest(100000, ceil(total / 200000)) AS size FROM corpus),
+    weighed AS (
+        SELECT src, tokens, CASE WHEN tokens > 0 THEN pow(tokens / most, a) / list_sum(list_transform(t, lambda x: pow(x, a))) ELSE 0 END AS weight,
+            greatest(1, ceil(coalesce(tokens / size, 0)))::BIGINT AS blocks FROM per LEFT JOIN chosen ON true),
+    shared AS (SELECT *, weight * max(tokens / nullif(weight, 0)) OVER () / nullif(tokens, 0) AS share FROM weighed),
+    passed AS (SELECT *, coalesce(floor(share + 1e-9), 1)::BIGINT AS passes FROM shared),
+    sources AS (SELECT *, coalesce(greatest(0, floor((share - passes) * tokens + 1e-6)), 0) AS rest FROM passed),
+    dealt AS (
+        SELECT d.*, passes, rest, ('0x' || substr(md5('deal|42|' || id), 1, 12))::BIGINT % blocks AS block, md5('document|42|' || passes || '|' || id) AS last_rank
+        FROM d JOIN sources USING (src)),
+    sums AS (SELECT src, block, passes, rest, sum(n_tokens) AS held FROM dealt GROUP BY ALL),
+    rooms AS (
+        SELECT src, block, held, rest, rest + held - sum(held) OVER (PARTITION BY src ORDER BY md5('block|42|' || passes || '|' || src || '|' || block), block) AS room FROM sums),
+    through AS (
+        SELECT src, block, last_rank, room, sum(n_tokens) OVER (PARTITION BY src, block ORDER BY last_rank) AS through
+        FROM dealt JOIN rooms USING (src, block) WHERE room > 0 AND room < held),
+    lasts AS (SELECT src, block, max(last_rank) AS last FROM through WHERE through <= room GROUP BY src, block),
+    timed AS (
+        SELECT x.*, x.passes + CASE WHEN (r.room >= r.held AND r.rest > 0) OR last_rank <= last THEN 1 ELSE 0 END AS times
+        FROM dealt x JOIN rooms r USING (src, block) LEFT JOIN lasts USING (src, block))
+    SELECT doc_id, source, pass::INT AS pass, block, md5('document|42|' || pass || '|' || id) AS rank, n_tokens
+    FROM (SELECT *, unnest(range(times)) AS pass FROM timed)"""
+}
