@@ -26,7 +26,10 @@ HEADER_BYTES = 65_536
 REVISIT_BYTES = 100
 #: So many repeated payloads, of about 100 bytes each, are broadcast at most; beyond, pages meet them in a shuffle.
 BROADCAST_ROWS = 50_000
-RECORDS_PER_FILE = 10_000
+#: An archive has at most so many records, and of records of the mean size no more than so many bytes: one task reads it.
+RECORDS_PER_FILE, FILE_BYTES = 10_000, 64_000_000
+#: Bytes of a record's headers, about.
+HEAD_BYTES = 600
 # The profile of revisits by equal payload, and the date of every record.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -63,7 +66,13 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         F.lit("\r\n"),
     )
     record = F.concat(head, block, F.when(revisit, "").otherwise(F.col("html")))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file(pages, html)).text(path)
+
+
+def records_per_file(pages: DataFrame, html: str = "html") -> int:
+    """How many records an archive takes, by the mean size of all payloads."""
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)))).first()[0] or 0.0
+    return max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (mean + HEAD_BYTES))))
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:

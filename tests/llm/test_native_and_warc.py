@@ -134,6 +134,17 @@ def test_warc_round_trip_with_magic_inside(spark):
     assert got == {f"<urn:page:{i}>": h for i, h in enumerate(html)}
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    df = spark.range(40).selectExpr("id page_id", "'http://h/' || id url", "concat(id, repeat('x', 1400)) html").coalesce(1)
+    assert warc.records_per_file(df) == warc.RECORDS_PER_FILE and warc.records_per_file(df.limit(0)) == warc.RECORDS_PER_FILE
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_100)
+    assert warc.records_per_file(df) == 10
+    path = f"{common.shared_dir(spark)}/warc-test-{uuid.uuid4().hex}"
+    warc.write(df, path)
+    read = warc.read(spark, path, payloads=False)
+    assert (read.count(), read.select("archive").distinct().count()) == (40, 4)
+
+
 def test_pointer_jumping_keeps_the_chain_only():
     offsets, after = np.array([0, 10, 15, 30, 40]), np.array([30, 15, 40, 40, 50])
     assert warc.reached(offsets, after).tolist() == [True, False, False, True, True]
