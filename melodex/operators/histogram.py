@@ -95,9 +95,9 @@ def find_peaks(x: np.ndarray, prominence: float, distance: int) -> np.ndarray:
     return np.array(out, int)
 
 
-def peaks(vectors: DataFrame, column: str, share: float, distance: int, least: float = 0.0) -> DataFrame:
-    """Adds peaks: the bins of the peaks of an array column, and either end where it tops both circular neighbours and the
-    threshold. One vectorised call for each batch of recordings."""
+def peaks(vectors: DataFrame, column: str, share: float, distance: int, least: float = 0.0, high_ends: bool = True) -> DataFrame:
+    """Adds peaks: the bins of the peaks of an array column, and either end where it tops both circular neighbours and, with
+    ``high_ends``, the threshold. One vectorised call for each batch of recordings."""
 
     @F.pandas_udf("array<int>")
     def run(batch: pd.Series) -> pd.Series:
@@ -107,7 +107,7 @@ def peaks(vectors: DataFrame, column: str, share: float, distance: int, least: f
             need = max(least, share * x.max())
             found = set(find_peaks(x, need, distance).tolist())
             n = len(x)
-            found |= {i for i in (0, n - 1) if x[i] > x[i - 1] and x[i] > x[(i + 1) % n] and x[i] >= need}
+            found |= {i for i in (0, n - 1) if x[i] > x[i - 1] and x[i] > x[(i + 1) % n] and (x[i] >= need or not high_ends)}
             out.append(sorted(found))
         return pd.Series(out)
 
@@ -125,6 +125,18 @@ def validated_peaks(high: DataFrame, low: DataFrame, high_bins: int, low_bins: i
     return rows.withColumn("r", best).where("r = 1").select("recording_id", "pc", "cent", "distance")
 
 
+def peak_counts(recordings: DataFrame, high: DataFrame, low: DataFrame, high_bins: int, low_bins: int, tolerance: float = 45.0, note_tolerance: float = 35.0, default: int = 7) -> DataFrame:
+    """(recording_id, peaks): how many of the twelve notes have a high-resolution peak near them that lies near a
+    low-resolution one on the line, not the circle; ``default`` for recordings without a histogram."""
+    centre = lambda i, n: (i + 0.5) * 1200 / n
+    both = high.select("recording_id", F.col("peaks").alias("high")).join(low.select("recording_id", F.col("peaks").alias("low")), "recording_id")
+    near = F.filter("high", lambda x: F.exists("low", lambda y: F.abs(centre(x, high_bins) - centre(y, low_bins)) <= tolerance))
+    note = F.transform(near, lambda b: F.floor(centre(b, high_bins) / 100 + 0.5))
+    off = F.filter(F.arrays_zip(near.alias("b"), note.alias("n")), lambda x: F.abs(centre(x["b"], high_bins) - x["n"] * 100) <= note_tolerance)
+    counted = both.select("recording_id", F.size(F.array_distinct(F.transform(off, lambda x: x["n"] % 12))).alias("n"))
+    return recordings.join(counted, "recording_id", "left").select("recording_id", F.coalesce("n", F.lit(default)).alias("peaks"))
+
+
 def gaussian_at(hist: DataFrame, peaks: DataFrame, bins: int, half_width: float = 75.0, floor: float = 1e-6) -> DataFrame:
     """For peaks (recording_id, cent) the mean, spread and deviation from the nearest note of the histogram around them."""
     rows = peaks.select("recording_id", "cent").join(hist, "recording_id").withColumn("centre", (F.col("bin") + 0.5) * 1200 / bins)

@@ -24,6 +24,14 @@ def phrase_bounds(notes: DataFrame) -> DataFrame:
     return notes.groupBy("recording_id", "phrase").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("notes"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
 
 
+def merge_adjacent(bounds: DataFrame, gap: float) -> DataFrame:
+    """(recording_id, merged, phrases, notes, start, end): neighbouring phrases with at most ``gap`` between them become one."""
+    w = Window.partitionBy("recording_id").orderBy("start_us", "phrase")
+    new = F.coalesce((F.col("start_us") - F.lag("end_us").over(w) > round(gap * UNIT)).cast("int"), F.lit(0))
+    rows = bounds.withColumn("_new", new).withColumn("merged", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("recording_id", "merged").agg(F.count("*").alias("phrases"), F.sum("notes").alias("notes"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
 def transitions(notes: DataFrame, within: list[str], most_gap: float | None = None) -> DataFrame:
     """(recording_id, from_pc, to_pc, n, up, down): neighbouring notes in a partition, up and down by absolute pitch."""
     w = note_order(*within)

@@ -106,6 +106,17 @@ def lm_loo_subtractive(spark, d):
     return scores(spark, d, True).select("recording_id", "class", F.round("logprob", 5).alias("logprob"))
 
 
+@R("class_accuracy", LOO + """, rk AS (SELECT recording_id, class, row_number() OVER (PARTITION BY recording_id ORDER BY round(logprob, 6) DESC, class) AS r FROM sc),
+    own_r AS (SELECT recording_id, min(CASE WHEN class = recording_id % 4 THEN r END) AS r FROM rk GROUP BY 1)
+    SELECT recording_id % 4 AS class, count(*) AS recordings, count(*) FILTER (r = 1) AS top1, count(*) FILTER (r <= 5) AS top5, count(r) AS found FROM own_r GROUP BY 1""")
+def class_accuracy(spark, d):
+    """For each class how many of its recordings find it at all, first, and among the first five, each left out of its counts."""
+    w = Window.partitionBy("recording_id").orderBy(F.round("logprob", 6).desc(), "class")
+    ranked = scores(spark, d, True).withColumn("r", F.row_number().over(w))
+    own = ranked.groupBy("recording_id").agg(F.min(F.when(F.col("class") == F.col("recording_id") % 4, F.col("r"))).alias("r"))
+    return own.groupBy((F.col("recording_id") % 4).alias("class")).agg(F.count("*").alias("recordings"), F.count_if(F.col("r") == 1).alias("top1"), F.count_if(F.col("r") <= 5).alias("top5"), F.count("r").alias("found"))
+
+
 @R("mrr_topk", LOO + """, rk AS (SELECT recording_id, class, row_number() OVER (PARTITION BY recording_id ORDER BY round(logprob, 6) DESC, class) AS r FROM sc), own_r AS (SELECT recording_id, r FROM rk WHERE class = recording_id % 4)
     SELECT count(*) AS recordings, round(avg((r = 1)::INT), 4) AS top1, round(avg((r <= 3)::INT), 4) AS top3, round(avg(1.0::DOUBLE / r), 4) AS mrr FROM own_r""")
 def mrr_topk(spark, d):

@@ -159,6 +159,15 @@ def peaks(spark, d):
     return H.validated_peaks(hi, lo, 100, 33)
 
 
+@R("peak_counts")
+def peak_counts(spark, d):
+    f = S.frames(spark, d)
+    plain = O.voiced(f).withColumn("confidence", F.lit(1.0))
+    hi = H.peaks(H.smoothed(H.folded(plain, 100), 100, 0.8), "smooth", 0.03, 2, 1.0, False)
+    lo = H.peaks(H.vectors(H.folded(plain, 33)), "h", 0.01, 1, 0.0, False)
+    return H.peak_counts(f.select("recording_id").distinct(), hi, lo, 100, 33)
+
+
 @R("gmm_closed_form", f"""{FR}, {V}, h AS (SELECT recording_id, CAST(least(floor(cent * 100 / 1200), 99) AS INT) AS bin, count(*) AS c FROM v GROUP BY 1, 2),
     p AS (SELECT DISTINCT recording_id, k * 100.0::DOUBLE AS cent FROM v CROSS JOIN (SELECT unnest(range(12)) AS k)),
     o AS (SELECT p.recording_id, p.cent, c, (((bin + 0.5) * 12 - p.cent + 600) % 1200 + 1200) % 1200 - 600 AS off FROM p JOIN h USING (recording_id)),

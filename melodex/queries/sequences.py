@@ -34,6 +34,15 @@ def gap_phrases(spark, d):
     return b.select("recording_id", "phrase", "notes", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
+@R("merge_adjacent", f"""{NO}, {PH}, b AS (SELECT recording_id, phrase, count(*) AS notes, min(start) AS start, max("end") AS "end", min(start_us) AS s, max(end_us) AS e FROM ph GROUP BY 1, 2),
+    g AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY recording_id ORDER BY s, phrase) > {round(0.8 * S.UNIT)} THEN 1 ELSE 0 END AS new FROM b),
+    m AS (SELECT *, sum(new) OVER (PARTITION BY recording_id ORDER BY s, phrase ROWS UNBOUNDED PRECEDING)::BIGINT AS merged FROM g)
+    SELECT recording_id, merged, count(*) AS phrases, sum(notes)::BIGINT AS notes, round(min(start), 6) AS start, round(max("end"), 6) AS "end" FROM m GROUP BY 1, 2""")
+def merge_adjacent(spark, d):
+    m = P.merge_adjacent(P.phrase_bounds(phrases(spark, d)), 0.8)
+    return m.select("recording_id", "merged", "phrases", "notes", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+
+
 @R("phrase_filter", f"{NO}, {PH} SELECT recording_id, count(*) AS phrases FROM (SELECT recording_id, phrase FROM ph GROUP BY 1, 2 HAVING count(*) >= 3 AND max(\"end\") - min(start) >= 0.8) GROUP BY 1")
 def phrase_filter(spark, d):
     return P.phrase_bounds(phrases(spark, d)).where("notes >= 3 and end - start >= 0.8").groupBy("recording_id").agg(F.count("*").alias("phrases"))

@@ -307,3 +307,29 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("k = 'a'").count() == 1
     log = spark.createDataFrame([("k", 1, "old"), ("j", 1, "only")], "key string, at long, v string")
     assert {r["key"]: r["v"] for r in files.upsert_log(log, log.where("key = 'k'").selectExpr("key", "2L at", "'new' v"), ["key"], "at").collect()} == {"k": "new", "j": "only"}
+
+
+def test_peak_counts_against_brute_force(spark):
+    """Ends need no height, low-resolution peaks match on the line only, notes within 35 cents count once, no histogram: 7."""
+
+    def ends_and_tops(x, need):
+        n, out = len(x), set()
+        for i in range(1, n - 1):
+            if x[i - 1] < x[i] > x[i + 1]:
+                left = next((j for j in range(i - 1, -1, -1) if x[j] > x[i]), -1)
+                right = next((j for j in range(i + 1, n) if x[j] > x[i]), n)
+                if x[i] - max(min(x[left + 1 : i + 1]), min(x[i:right])) >= need:
+                    out.add(i)
+        return out | {i for i in (0, n - 1) if x[i] > x[i - 1] and x[i] > x[(i + 1) % n]}
+
+    rng = np.random.default_rng(9)
+    highs, lows = rng.random((12, 100)) * 50, rng.random((12, 33)) * 200
+    want = {99: 7}
+    for r, (h, g) in enumerate(zip(highs, lows, strict=True)):
+        hi, lo = ends_and_tops(h, max(1.0, 0.5 * h.max())), ends_and_tops(g, 0.5 * g.max())
+        near = [12 * i + 6 for i in hi if any(abs(12 * i + 6 - (j + 0.5) * 1200 / 33) <= 45 for j in lo)]
+        want[r] = len({round(c / 100) % 12 for c in near if abs(c - 100 * round(c / 100)) <= 35})
+    frame = lambda x: spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "recording_id long, h array<double>")
+    high, low = H.peaks(frame(highs), "h", 0.5, 2, 1.0, False), H.peaks(frame(lows), "h", 0.5, 1, 0.0, False)
+    got = H.peak_counts(spark.createDataFrame([(r,) for r in want], "recording_id long"), high, low, 100, 33)
+    assert {r[0]: r[1] for r in got.collect()} == want
