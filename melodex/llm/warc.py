@@ -1,8 +1,9 @@
 """WARC archives: written by Spark's text writer, read back with boundary-chain verification.
 
-A payload may itself hold the magic of a record. A reading task therefore only emits candidates: each place with the magic
-and a whole header, and the place where its successor would begin. Pointer jumping from the start of each file then keeps
-the candidates on the chain; magic inside payloads is never reached.
+A payload may itself hold the magic of a record. A reading task therefore first finds candidates: each place with the magic
+and a whole header, however long, and the place where its successor would begin. Pointer jumping from the start of each file
+then keeps the candidates on the chain; magic inside payloads is never reached. A chain that does not end with its file fails
+the job, so that no record is lost silently.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from .common import shared_dir, table, written
 
 END = "\r\n\r\n"
 MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-HEADER_BYTES = 65_536
+LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([^\r\n]*)", re.IGNORECASE)
 #: Payloads from so many bytes on are stored once.
 REVISIT_BYTES = 100
 #: So many repeated payloads, of about 100 bytes each, are broadcast at most; beyond, pages meet them in a shuffle.
 BROADCAST_ROWS = 50_000
 #: An archive has at most so many records, and of records of the mean size no more than so many bytes: one task reads it.
 RECORDS_PER_FILE, FILE_BYTES = 10_000, 64_000_000
-#: Bytes of a record's headers, about.
-HEAD_BYTES = 600
+#: Bytes of a record's headers, about, with a url of at most so many.
+HEAD_BYTES, URL_BYTES = 600, 200
 # The profile of revisits by equal payload, and the date of every record.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -66,12 +67,13 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         F.lit("\r\n"),
     )
     record = F.concat(head, block, F.when(revisit, "").otherwise(F.col("html")))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file(pages, html)).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file(pages, html, url)).text(path)
 
 
-def records_per_file(pages: DataFrame, html: str = "html") -> int:
-    """How many records an archive takes, by the mean size of all payloads."""
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)))).first()[0] or 0.0
+def records_per_file(pages: DataFrame, html: str = "html", url: str = "url") -> int:
+    """How many records an archive takes, by the mean size of all payloads and long urls."""
+    long_url = F.greatest(F.lit(0), F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0)) - URL_BYTES)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)) + long_url)).first()[0] or 0.0
     return max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (mean + HEAD_BYTES))))
 
 
@@ -80,15 +82,23 @@ def _field(head: bytes, name: bytes) -> bytes | None:
     return m[1].strip() if m else None
 
 
-def candidates(content: bytes) -> Iterator[tuple[int, int, bytes, int]]:
-    """(offset, the successor's offset, head, start of the block) of each place that could be a record."""
+def candidates(content: bytes) -> Iterator[tuple[int, int, int]]:
+    """(offset, the successor's offset, end of the header) of each place that could be a record. Places that share a header's
+    end also share the search for it and for the length: the time is linear in the content."""
+    end, length = -1, None
     for m in MAGIC.finditer(content):
-        end = content.find(b"\r\n\r\n", m.start(), m.start() + HEADER_BYTES)
-        size = _field(content[m.start() : end], b"Content-Length") if end >= 0 else None
-        if size is not None and size.isdigit():
+        if end < m.start():
+            end = content.find(b"\r\n\r\n", m.start())
+            if end < 0:
+                return
+            length = LENGTH.search(content, m.start(), end)
+        elif length and length.start() < m.start():
+            length = LENGTH.search(content, m.start(), end)
+        size = length[1].strip() if length else b""
+        if size.isdigit():
             after = end + 4 + int(size)
             if content[after : after + 4] == b"\r\n\r\n":
-                yield m.start(), after + 4, content[m.start() : end], end + 4
+                yield m.start(), after + 4, end
 
 
 def reached(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
@@ -104,18 +114,29 @@ def reached(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     return on[:n]
 
 
+def chain(content: bytes, name: str = "") -> np.ndarray:
+    """The candidates, a row (offset, successor, end of the header) each, on the chain from offset 0 to the end of ``content``."""
+    found = np.array(list(candidates(content)), np.int64).reshape(-1, 3)
+    found = found[reached(found[:, 0], found[:, 1])]
+    end = int(found[-1, 1]) if len(found) else 0
+    if end != len(content):
+        raise ValueError(f"{name}: the chain of records ends at {end}, the archive at {len(content)}")
+    return found
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """(archive, offset, record_type, record_id, uri, refers_to, payload_bytes, payload_digest[, payload]) of the records on
     the chain of each archive. For revisits, digest as the record says, no payload and no bytes; for others both as found
-    in the payload, which must agree with the record's digest.
+    in the payload, which must agree with the record's digest. Fails if the records do not fill an archive to its end.
     """
-    schema = "archive string, offset long, successor long, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads
+    schema = "archive string, offset long, record_type string, record_id string, uri string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * payloads
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, content in zip(batch["path"], batch["content"], strict=True):
                 rows = []
-                for offset, after, head, start in candidates(content):
+                for offset, after, end in chain(content, archive).tolist():
+                    head, start = content[offset:end], end + 4
                     named = {k: (v or b"").decode("utf-8", "replace") or None for k, v in ((k, _field(head, k)) for k in (b"WARC-Type", b"WARC-Record-ID", b"WARC-Target-URI", b"WARC-Refers-To", b"WARC-Payload-Digest"))}
                     told = (named[b"WARC-Payload-Digest"] or "").removeprefix("sha256:") or None
                     body = content.find(b"\r\n\r\n", start, after - 4)
@@ -123,15 +144,11 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     if named[b"WARC-Type"] != "revisit":
                         payload = content[body + 4 if body >= 0 else start : after - 4]
                         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                    rows.append((archive, offset, after, named[b"WARC-Type"], named[b"WARC-Record-ID"], named[b"WARC-Target-URI"], named[b"WARC-Refers-To"], size, digest, payload)[: 9 + payloads])
+                    rows.append((archive, offset, named[b"WARC-Type"], named[b"WARC-Record-ID"], named[b"WARC-Target-URI"], named[b"WARC-Refers-To"], size, digest, payload)[: 8 + payloads])
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"payload_bytes": "Int64"})
 
-    def chain(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset", ignore_index=True)
-        return rows[reached(rows["offset"].to_numpy(), rows["successor"].to_numpy())].astype({"payload_bytes": "Int64"})
-
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "content")
-    return files.mapInPandas(scan, schema).groupBy("archive").applyInPandas(chain, schema).drop("successor")
+    return files.mapInPandas(scan, schema)
 
 
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

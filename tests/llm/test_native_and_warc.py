@@ -145,6 +145,23 @@ def test_archives_are_bounded_by_bytes(spark, monkeypatch):
     assert (read.count(), read.select("archive").distinct().count()) == (40, 4)
 
 
+def test_long_urls_lose_no_record(spark):
+    rows = [(i, "http://h/" + ("u" * 70_000 if i in (1, 2) else str(i)), ("p" if i % 2 else "q") * 120) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    same(warc.archive(df).collect(), in_duck(warc.ORACLE["op8_warc"], pages=pd.DataFrame(rows, columns=["page_id", "url", "html"])))
+    assert warc.records_per_file(df.where("page_id in (1, 2)")) < 1000
+
+
+def test_broken_chains_fail():
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert warc.chain(record * 3)[:, 0].tolist() == [0, len(record), 2 * len(record)]
+    for bad in (record[:-1], record + b"x", b"x" + record, record + record.replace(b": 3", b": 4") + record, record + b"WARC/1.1\r\n"):
+        with pytest.raises(ValueError, match="chain of records"):
+            warc.chain(bad)
+    many = b"WARC/1.1\r\n" * 200_000 + b"Content-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert warc.chain(many)[:, 0].tolist() == [0]
+
+
 def test_pointer_jumping_keeps_the_chain_only():
     offsets, after = np.array([0, 10, 15, 30, 40]), np.array([30, 15, 40, 40, 50])
     assert warc.reached(offsets, after).tolist() == [True, False, False, True, True]
