@@ -2,6 +2,7 @@
 
 A source's weight is its share of the tokens to the power of an exponent from 0 (all alike) to 1 (as they are). The
 exponent is found by bisection: the largest that gives the wished entropy, raised as far as the limit on repetition asks.
+Without a given budget the largest source is shown once, and t ** (exponent - 1) times one with the share t of its tokens.
 The token budget then gives each source whole passes over its documents and a part of one more. A pass is a permutation of
 the source's blocks and of the documents in each block by hashes; the part is the front of its last permutation, so that
 only the one block in which the budget ends is cut. DataFrame functions only.
@@ -25,8 +26,8 @@ BROADCAST_BLOCKS = 250_000
 
 @dataclass(frozen=True)
 class Settings:
-    """``entropy``: wished entropy of the weights, as a share of the largest possible. ``repeats``: most passes over a source
-    on average. ``budget``: tokens to give out; None for the least that shows every document once. ``block_tokens``: the
+    """``entropy``: wished entropy of the weights, as a share of the largest possible. ``repeats``: most passes over any
+    source. ``budget``: tokens to give out; None for the least that shows every document once. ``block_tokens``: the
     least size of a block; larger where that would make over ``most_blocks`` blocks."""
 
     entropy: float = 0.95
@@ -53,7 +54,7 @@ def _order(*parts: Column | str | int) -> Column:
 
 def exponent(sources: DataFrame, s: Settings = Settings()) -> float:
     """By bisection over ``sources`` (src, tokens): each job sums what 2**HALVINGS - 1 exponents give, six halvings at once."""
-    total, most, n = sources.agg(F.sum("tokens"), F.max("tokens"), F.count("*")).first()
+    least, most, n = sources.agg(F.min("tokens"), F.max("tokens"), F.count("*")).first()
     if n < 2:
         return 1.0
     wished, cuts = s.entropy * math.log(n), 1 << HALVINGS
@@ -66,8 +67,7 @@ def exponent(sources: DataFrame, s: Settings = Settings()) -> float:
             rows = sources.select("tokens", F.explode(F.array(*[F.lit(a) for a in tried])).alias("a")).groupBy("a").agg(F.sum(F.pow(t, "a")).alias("z"), F.sum(F.pow(t, "a") * F.log(t)).alias("zl"), F.max(F.pow(t, F.col("a") - 1)).alias("r"))
             at = {r["a"]: r for r in rows.collect()}  # 2**HALVINGS - 1 rows
             if right:  # the passes of the most repeated source, at most the limit: falls with the exponent
-                budget = s.budget or total
-                fits = [a for a in tried if at[a]["r"] / at[a]["z"] * budget / most <= s.repeats]
+                fits = [a for a in tried if at[a]["r"] / at[a]["z"] * s.budget / most <= s.repeats]
                 hi = min([hi, *fits])
                 lo = max([lo, *(a for a in tried if a < hi)])
             else:  # entropy at least as wished: falls with the exponent
@@ -76,7 +76,10 @@ def exponent(sources: DataFrame, s: Settings = Settings()) -> float:
                 hi = min([hi, *(a for a in tried if a > lo)])
         return hi if right else lo
 
-    return max(search(False), search(True))
+    if s.budget is not None:
+        return max(search(False), search(True))
+    bound = 1 - math.log(s.repeats) / math.log(most / least) if most > least else 0.0
+    return max(search(False), min(1.0, bound))
 
 
 def decide(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:

@@ -110,6 +110,17 @@ def test_mixing_meets_weights_and_budget(spark, s):
         assert {(r["doc_id"], r["source"]) for r in got} == {(r["doc_id"], r["source"]) for r in rows}
 
 
+@pytest.mark.parametrize("sizes", [[6000 // i for i in range(1, 101)], [20_000, *[40] * 400]])
+def test_mixing_repeats_no_source_too_often(spark, sizes):
+    rows = [(i, n, f"s{i}") for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "k long, n int, source string").selectExpr("k", "n", "source", "explode(sequence(1, 20)) part").selectExpr("k * 20 + part doc_id", "source", "repeat('w ', int(n / 20)) text")
+    got = mixing.mix(docs).groupBy("source").agg(F.sum(mixing.tokens(F.col("text"))).alias("given"), F.max("_pass").alias("last")).collect()
+    held = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum(mixing.tokens(F.col("text"))).alias("n")).collect()}
+    passes = [r["given"] / held[r["source"]] for r in got]
+    assert len(got) == len(sizes) and min(passes) >= 1
+    assert 3.9 <= max(passes) <= 4 and max(r["last"] for r in got) == 3
+
+
 def test_mixing_is_repeatable_and_takes_empty_tables(spark):
     docs = mixed_docs(spark)
     rows = lambda d: sorted(map(str, mixing.mix(d).select("doc_id", "source", "_pass", "_block", "_rank").collect()))
