@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,14 +36,14 @@ class Settings:
     l2: float = 0.1
 
 
+@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    """Code points below 2**16 to themselves in lower case where they are letters, else to a space."""
-    out = np.full(65536 + 1, 32, np.uint32)
-    for i in range(65536):
+    """All code points: letters to themselves in lower case, others to a space. Made once in each process, 4 MB."""
+    out = np.full(0x110000, 32, np.uint32)
+    for i in range(0x110000):
         if chr(i).isalpha():
             low = chr(i).lower()
             out[i] = ord(low) if len(low) == 1 else i
-    out[65536] = 65536  # any letter beyond
     return out
 
 
@@ -58,7 +59,7 @@ class Features:
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         lens = np.fromiter(map(len, texts), np.int64, len(texts)) + len(GAP)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-        c = self.map[np.minimum(points, 65536)]
+        c = self.map[points]
         blank = c == 32
         has = np.add.reduceat(~blank, starts) > 0
         none = np.uint32(1 << (32 - int(self.shift)))

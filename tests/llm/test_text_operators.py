@@ -142,6 +142,16 @@ def test_language_id_odd_rows(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_id_beyond_the_basic_plane(spark, odd):
+    emoji = spark.createDataFrame([(20, "\U0001f600\U0001f680 \U0001f44d", None, 7)], COLUMNS)
+    got = {r["doc_id"]: r for r in language_id.identify(odd.unionByName(emoji)).collect()}
+    assert (got[20]["lang_pred"], got[20]["score"]) == ("und", 0.0)
+    made = language_id.Features(16)
+    (one, _, _), _, has = made.of(["\U00010330", "\U00010331", "\U00010400", "\U00010428", "\U0001f600"])
+    assert has.tolist() == [True] * 4 + [False]
+    assert one[0] != one[3] and one[6] == one[9]  # two Gothic letters; a Deseret letter in upper and lower case
+
+
 def brute_contained(docs, items, k=5, least=0.8):
     out = []
     for d, x in docs:
