@@ -2,7 +2,8 @@
 
 Weights come from follow-the-regularised-leader with elastic-net penalties, run on several shards of a bounded sample
 of the labelled rows and averaged; document frequencies cover all labelled rows; a temperature fitted on rows kept out
-of the training shards calibrates the scores. Every text is predicted whole.
+of the training shards calibrates the scores. The sample is bounded for each label, so none is lost as the table grows, and
+the languages get their true shares back as priors. Every text is predicted whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, table
+from .common import fold, map_texts, table, written
 
 #: Texts are worked through in pieces of about so many characters at once.
 CHUNK = 1_000_000
@@ -25,10 +26,12 @@ GAP = "  "
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_rows`` bounds the labelled rows that the classifier is fitted on; ``bits`` the feature space."""
+    """``sample_rows`` bounds the labelled rows that the classifier is fitted on, an equal part for each label, but a label
+    may always give ``label_rows``; labels with fewer rows give all. ``bits``: the feature space."""
 
     bits: int = 16
     sample_rows: int = 6000
+    label_rows: int = 200
     shards: int = 6
     alpha: float = 0.3
     beta: float = 1.0
@@ -122,6 +125,10 @@ class Model:
     weights: np.ndarray  # (2**bits + 1) x languages, times the inverse document frequency; the last row is zero
     temperature: float
     bits: int
+    prior: np.ndarray  # log of each language's share of the labelled rows over its share of the sample
+
+    def probabilities(self, z: np.ndarray) -> np.ndarray:
+        return _softmax(z.astype(np.float64) / self.temperature + self.prior)
 
     def logits(self, texts: list[str], made: Features) -> tuple[np.ndarray, np.ndarray]:
         orders, starts, has = made.of(texts)
@@ -141,17 +148,22 @@ def train(rows: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
     """Fit on labelled ``rows``; None if none of them has both a text and a label."""
     spark, s = rows.sparkSession, settings
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    n = rows.count()
-    if not n:
+    u = F.pmod(F.xxhash64(F.lit("sample"), "key", "text"), F.lit(1 << 60))
+    labels = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(u).alias("least")).collect()}  # a row for each language
+    if not labels:
         return None
+    n, langs = sum(r["n"] for r in labels.values()), sorted(labels)
     df = document_frequency(rows, "text", s.bits)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.1)
-    share = min(1.0, s.sample_rows / n)
-    h = F.xxhash64(F.lit("sample"), "key", "text")
-    sample = rows.where(F.pmod(h, F.lit(1 << 30)) < int(share * (1 << 30))).withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "key", "text"), F.lit(s.shards + 1)).cast("int"))
-    langs = sorted(r[0] for r in sample.select("lang").distinct().collect())  # at most as many as sampled rows
-    if not langs:
-        sample, langs = rows.limit(1).withColumn("shard", F.lit(0)), [rows.first()["lang"]]
+    bound = max(s.label_rows, -(-s.sample_rows // len(langs)))
+    cuts = [(x, r["least"], int(min(1.0, bound / r["n"]) * (1 << 60))) for x, r in labels.items()]
+    cuts = spark.createDataFrame(cuts, f"lang {rows.schema['lang'].dataType.simpleString()}, least long, cut long")
+    # Equal rows fall into the sample together, so they count once; the first row of each label always trains.
+    shard = F.when(u == F.col("least"), 0).otherwise(F.pmod(F.xxhash64(F.lit("shard"), "key", "text"), F.lit(s.shards + 1)).cast("int"))
+    sample = rows.join(F.broadcast(cuts), "lang").where((u < F.col("cut")) | (u == F.col("least"))).select("key", "text", "lang", shard.alias("shard"))
+    sample = written(sample.dropDuplicates(["key", "text", "lang"]), "sample")
+    taken = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
+    prior = np.log([labels[x]["n"] / n * sum(taken.values()) / taken[x] for x in langs])
     shared_idf, size, k = spark.sparkContext.broadcast(idf), 1 << s.bits, len(langs)
     at = {x: i for i, x in enumerate(langs)}
 
@@ -177,13 +189,13 @@ def train(rows: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
 
     made = [np.frombuffer(r[0], np.float32).reshape(size, k) for r in sample.where(F.col("shard") < s.shards).groupBy("shard").applyInPandas(fit, "w binary").collect()]
     mean = np.mean(made, axis=0) if made else np.zeros((size, k), np.float32)
-    model = Model(langs, np.vstack([mean * idf[:, None], np.zeros((1, k))]).astype(np.float32), 1.0, s.bits)
+    model = Model(langs, np.vstack([mean * idf[:, None], np.zeros((1, k))]).astype(np.float32), 1.0, s.bits, prior)
     model.temperature = _calibrate(model, sample.where(F.col("shard") == s.shards))
     return model
 
 
 def _calibrate(model: Model, rows: DataFrame) -> float:
-    """The temperature of least log loss on the kept-out share of the bounded sample."""
+    """The temperature of least log loss on the kept-out share of the bounded sample, each row weighed by its language's prior."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +211,7 @@ def _calibrate(model: Model, rows: DataFrame) -> float:
     if not got:
         return 1.0
     z, y = np.array([np.frombuffer(r[0]) for r in got]), np.array([r[1] for r in got])
-    loss = lambda t: -np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-300)).mean()
+    loss = lambda t: -np.average(np.log(np.maximum(_softmax(z / t + model.prior)[np.arange(len(y)), y], 1e-300)), weights=np.exp(model.prior[y]))
     return float(min(np.exp(np.linspace(np.log(0.05), np.log(20), 241)), key=loss))
 
 
@@ -221,7 +233,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                     scores += [0.0] * len(texts[part])
                     continue
                 z, has = model.logits(texts[part], made)
-                p = _softmax(z.astype(np.float64) / model.temperature)
+                p = model.probabilities(z)
                 best = p.argmax(axis=1)
                 names += [model.langs[i] if ok else "und" for i, ok in zip(best, has, strict=True)]
                 scores += np.where(has, p[np.arange(len(best)), best], 0.0).tolist()
@@ -244,7 +256,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "te
                     keep += [False] * len(texts[part])
                     continue
                 z, has = model.logits(texts[part], made)
-                keep += (has & (_softmax(z.astype(np.float64) / model.temperature).max(axis=1) >= least)).tolist()
+                keep += (has & (model.probabilities(z).max(axis=1) >= least)).tolist()
             yield batch[np.array(keep, bool)]
 
     return map_texts(docs, run, docs.schema)

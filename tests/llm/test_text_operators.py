@@ -142,6 +142,19 @@ def test_language_id_odd_rows(spark, odd, empty):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_language_id_learns_rare_labels(spark):
+    rng = random.Random(5)
+    text = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 8))) for _ in range(12))
+    rows = [(i, text("abcdefgh"), "aa", 0) for i in range(4000)] + [(5000 + i, text("stuvwxyz"), "zz", 0) for i in range(4)] + [(6000, text("klmnop"), "mm", 0)]
+    settings = language_id.Settings(sample_rows=60, label_rows=20)
+    docs = spark.createDataFrame(rows, COLUMNS)
+    model = language_id.train(docs, settings)
+    assert model.langs == ["aa", "mm", "zz"]
+    got = language_id.predict(docs, model, keep=("lang",)).collect()
+    assert len(got) == len(rows) and all(r["lang"] == r["lang_pred"] for r in got)
+    assert language_id.train(docs.limit(0), settings) is None
+
+
 def test_language_id_beyond_the_basic_plane(spark, odd):
     emoji = spark.createDataFrame([(20, "\U0001f600\U0001f680 \U0001f44d", None, 7)], COLUMNS)
     got = {r["doc_id"]: r for r in language_id.identify(odd.unionByName(emoji)).collect()}
