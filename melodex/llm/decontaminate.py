@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_texts, table
+from .common import map_texts, record, table, texts
 
 WORD = re.compile(r"[^\W_]+")
 #: Items are broadcast in blocks of about so many characters; every block is compared with all documents.
@@ -198,20 +199,20 @@ def contained(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settin
     """
     s, spark = settings, docs.sparkSession
     id_type, item_type = docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    item_arrow = to_arrow_type(benchmark.schema[item].dataType)
     schema = f"doc_id {id_type}, item_id {item_type}, shared int, item_shingles int, containment double"
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     out = spark.createDataFrame([], schema)
     for parts in _blocks(benchmark, item, item_text, s):
         shared = spark.sparkContext.broadcast(parts)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            made = Words()
-            for batch in batches:
-                ids = batch["doc_id"].tolist()
-                got = [(ids[first + d], i, n, of, n / of) for first, group in _batches(batch["text"].tolist(), s) for d, i, n, of in _search(group, made, shared.value, s)]
-                yield pd.DataFrame(got, columns=["doc_id", "item_id", "shared", "item_shingles", "containment"])
+        def run(batch: pa.RecordBatch, made: Words, shared=shared) -> Iterator[pa.RecordBatch]:
+            got = [(first + d, i, n, of, n / of) for first, group in _batches(texts(batch), s) for d, i, n, of in _search(group, made, shared.value, s)]
+            if got:
+                at, items, n, of, share = zip(*got, strict=True)
+                yield record(doc_id=batch.column("doc_id").take(pa.array(at)), item_id=pa.array(items, item_arrow), shared=pa.array(n, pa.int32()), item_shingles=pa.array(of, pa.int32()), containment=share)
 
-        out = out.unionAll(map_texts(rows, run, schema))
+        out = out.unionAll(map_texts(rows, run, schema, Words))
     return out
 
 
@@ -221,13 +222,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     for parts in _blocks(benchmark, item, item_text, s):
         shared = spark.sparkContext.broadcast(parts)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            made = Words()
-            for batch in batches:
-                bad = {first + d for first, group in _batches(batch[text].tolist(), s) for d, *_ in _search(group, made, shared.value, s)}
-                yield batch.iloc[[i for i in range(len(batch)) if i not in bad]]
+        def run(batch: pa.RecordBatch, made: Words, shared=shared) -> Iterator[pa.RecordBatch]:
+            bad = {first + d for first, group in _batches(texts(batch, text), s) for d, *_ in _search(group, made, shared.value, s)}
+            yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)])) if bad else batch
 
-        docs = map_texts(docs, run, docs.schema)
+        docs = map_texts(docs, run, docs.schema, Words)
     return docs
 
 

@@ -14,10 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, table, written
+from .common import SLICE, fold, map_texts, record, table, texts, written
 
 #: Texts are worked through in pieces of about so many characters at once.
 CHUNK = 1_000_000
@@ -97,24 +98,25 @@ def document_frequency(rows: DataFrame, text: str, bits: int) -> np.ndarray:
     """How many of ``rows`` hold each feature; 2**bits sums come to the driver, whatever the input."""
     size = 1 << bits
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, df, mark = Features(bits), np.zeros(size, np.int64), np.zeros(size + 1, bool)
         for batch in batches:
-            texts = batch[text].tolist()
-            for part in _chunks(texts):
-                orders, starts, _ = made.of(texts[part])
-                for a, b in zip(starts, [*starts[1:], len(orders[0])], strict=True):
-                    for x in orders:
-                        mark[x[a:b]] = True
-                    mark[size] = False
-                    ids = np.flatnonzero(mark)
-                    df[ids] += 1
-                    mark[ids] = False
+            for i in range(0, batch.num_rows, SLICE):
+                some = texts(batch.slice(i, SLICE), text)
+                for part in _chunks(some):
+                    orders, starts, _ = made.of(some[part])
+                    for a, b in zip(starts, [*starts[1:], len(orders[0])], strict=True):
+                        for x in orders:
+                            mark[x[a:b]] = True
+                        mark[size] = False
+                        ids = np.flatnonzero(mark)
+                        df[ids] += 1
+                        mark[ids] = False
         ids = np.flatnonzero(df)
-        yield pd.DataFrame({"feature": ids, "n": df[ids]})
+        yield record(feature=ids, n=df[ids])
 
     out = np.zeros(size)
-    for r in map_texts(rows.select(text), count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.select(text).mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r[0]] = r[1]
     return out
 
@@ -198,16 +200,15 @@ def _calibrate(model: Model, rows: DataFrame) -> float:
     """The temperature of least log loss on the kept-out share of the bounded sample, each row weighed by its language's prior."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
-    def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        made, at = Features(model.bits), {x: i for i, x in enumerate(model.langs)}
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in _chunks(texts):
-                z, _ = model.logits(texts[part], made)
-                yield pd.DataFrame({"z": [x.astype(np.float64).tobytes() for x in z], "y": [at[y] for y in batch["lang"][part]]})
+    def logits(batch: pa.RecordBatch, made: Features) -> Iterator[pa.RecordBatch]:
+        model, some = shared.value, texts(batch)
+        at = {x: i for i, x in enumerate(model.langs)}
+        y = [at[x] for x in batch.column("lang").to_pylist()]
+        for part in _chunks(some):
+            z, _ = model.logits(some[part], made)
+            yield record(z=[x.astype(np.float64).tobytes() for x in z], y=pa.array(y[part], pa.int32()))
 
-    got = map_texts(rows, logits, "z binary, y int").collect()
+    got = map_texts(rows.select("text", "lang"), logits, "z binary, y int", lambda: Features(shared.value.bits)).collect()
     if not got:
         return 1.0
     z, y = np.array([np.frombuffer(r[0]) for r in got]), np.array([r[1] for r in got])
@@ -215,51 +216,44 @@ def _calibrate(model: Model, rows: DataFrame) -> float:
     return float(min(np.exp(np.linspace(np.log(0.05), np.log(20), 241)), key=loss))
 
 
+def _judged(model: Model | None, made: Features, some: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The language and the score of each text."""
+    some = [x or "" for x in some]
+    if model is None:
+        return ["und"] * len(some), np.zeros(len(some))
+    names, scores = [], []
+    for part in _chunks(some):
+        z, has = model.logits(some[part], made)
+        p = model.probabilities(z)
+        best = p.argmax(axis=1)
+        names += [model.langs[i] if ok else "und" for i, ok in zip(best, has, strict=True)]
+        scores.append(np.where(has, p[np.arange(len(best)), best], 0.0))
+    return names, np.concatenate(scores)
+
+
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, lang_pred, score) for every row. A null text, one without a letter, or no model: ``und`` and 0.0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(key, text, *keep)
-    schema = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes if n != text) + ", lang_pred string, score double"
+    picked = docs.select(key, *keep, text)
+    schema = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes[:-1]) + ", lang_pred string, score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        made = Features(model.bits if model else 16)
-        for batch in batches:
-            texts = [x if isinstance(x, str) else "" for x in batch[text]]
-            names, scores = [], []
-            for part in _chunks(texts):
-                if model is None:
-                    names += ["und"] * len(texts[part])
-                    scores += [0.0] * len(texts[part])
-                    continue
-                z, has = model.logits(texts[part], made)
-                p = model.probabilities(z)
-                best = p.argmax(axis=1)
-                names += [model.langs[i] if ok else "und" for i, ok in zip(best, has, strict=True)]
-                scores += np.where(has, p[np.arange(len(best)), best], 0.0).tolist()
-            yield batch.drop(columns=[text]).assign(lang_pred=names, score=scores)
-
-    return map_texts(picked, run, schema)
+    def run(batch: pa.RecordBatch, made: Features) -> Iterator[pa.RecordBatch]:
+        names, scores = _judged(shared.value, made, batch.column(batch.num_columns - 1).to_pylist())
+        n = batch.num_columns - 1
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names[:n], "lang_pred", "score"])
+
+    return map_texts(picked, run, schema, lambda: Features(shared.value.bits if shared.value else 16))
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose predicted language is not ``und`` and has a score of at least ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        made = Features(model.bits if model else 16)
-        for batch in batches:
-            texts, keep = [x if isinstance(x, str) else "" for x in batch[text]], []
-            for part in _chunks(texts):
-                if model is None:
-                    keep += [False] * len(texts[part])
-                    continue
-                z, has = model.logits(texts[part], made)
-                keep += (has & (model.probabilities(z).max(axis=1) >= least)).tolist()
-            yield batch[np.array(keep, bool)]
-
-    return map_texts(docs, run, docs.schema)
+    def run(batch: pa.RecordBatch, made: Features) -> Iterator[pa.RecordBatch]:
+        names, scores = _judged(shared.value, made, texts(batch, text))
+        yield batch.filter(pa.array([x != "und" and p >= least for x, p in zip(names, scores.tolist(), strict=True)]))
+
+    return map_texts(docs, run, docs.schema, lambda: Features(shared.value.bits if shared.value else 16))
 
 
 def identify(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

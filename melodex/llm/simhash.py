@@ -14,12 +14,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, map_texts, table, written
+from .common import components, copy_of, fresh, map_texts, record, table, texts, written
 
 #: Distinct fingerprints in the sample that correlations and candidate counts are estimated on.
 SAMPLE = 2000
@@ -50,15 +50,15 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp): fp the fingerprint as a signed long."""
+    """(doc_id, copy, fp): fp the fingerprint as a signed long; copy tells the texts of one id apart."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = np.fromiter((fingerprint(x, words) for x in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "fp": made.view(np.int64)})
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        made = np.fromiter((fingerprint(x, words) for x in texts(batch)), np.uint64, batch.num_rows)
+        yield record(doc_id=batch.column("doc_id"), copy=batch.column("copy"), fp=made.view(np.int64))
 
-    return map_texts(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(key).alias("doc_id"), copy_of(F.col(text)).alias("copy"), F.col(text).alias("text"))
+    return map_texts(rows, run, f"doc_id {kind}, copy long, fp long")
 
 
 def _grouped(bits: np.ndarray, n: int) -> list[list[int]]:
@@ -149,29 +149,33 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def group(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) for every document: component_id the least id of all that links reach.
+    """(doc_id, copy, fp, component_id, first) for every document: component_id the least id of all that links reach, first
+    whether the document is the first of its component, by id and then by copy.
 
     Documents with equal fingerprints are one class, so copies are never paired. A null text has no words and so the
     fingerprint zero, like an empty one. A null id takes part but is never a component's least id (null if no other
-    is there). Repeated rows stay. Empty table: no rows. Other columns are ignored; whole texts are read.
+    is there). Rows that share an id are judged each by its own text; rows that share both are first together. Empty table:
+    no rows. Other columns are ignored; whole texts are read.
     """
     made = written(fingerprints(docs, key, text, words), "fingerprints")
-    classes = written(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("copy").isNull().alias("no_text"), F.col("copy").alias("copy"))
+    classes = written(made.groupBy("fp").agg(F.min(order).alias("rep")), "classes")
     joined = components(links(classes, radius))
     parts = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = parts.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = parts.join(least, "component").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns: of each group the document of the least id (all with a null id if there are only
-    such). Of rows that share an id and a text one stays."""
-    found = written(group(docs, key, text), "groups")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    repeated = not found.groupBy("doc_id", "fp").count().where("count > 1").isEmpty()
-    gone = written(gone, "gone")
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    least = parts.groupBy("component").agg(F.min("rep").alias("least"))
+    named = parts.join(least, "component").select("fp", "least")
+    return made.join(named, "fp").select("doc_id", "copy", "fp", F.col("least.doc_id").alias("component_id"), F.col("least").eqNullSafe(order).alias("first"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names: of each group the first document (as in ``group``). Of rows
+    that share an id and a text one stays; of rows that share only an id each stays or goes by its own text."""
+    found = written(group(docs, key, text, words, radius), "groups")
+    id_, copy = fresh(docs, "gone_id", "gone_copy")
+    gone = written(found.where("not first").select(F.col("doc_id").alias(id_), F.col("copy").alias(copy)).distinct(), "gone")
+    repeated = not found.groupBy("doc_id", "copy").count().where("count > 1").isEmpty()
+    met = F.col(key).eqNullSafe(F.col(id_)) & copy_of(F.col(text)).eqNullSafe(F.col(copy))
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, met, "left_anti")
     return out.dropDuplicates([key, text]) if repeated else out
 
 

@@ -12,12 +12,12 @@ import base64
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, record, table, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokens of the vocabulary's tokenizer.
@@ -89,25 +89,26 @@ class Trie(dict):
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_pretokens, n_bytes, n_tokens, log_prob) for every document.
 
-    Null and empty texts have zero of each. Equal scores: the segmentation with fewer tokens. Repeated ids: a row each.
+    Null and empty texts have zero of each; ids pass as they are, null ones too. Equal scores: the segmentation with fewer tokens. Repeated ids: a row each.
     Empty table: no rows. Other columns are ignored. Whole texts are counted, pre-tokens of any length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, split = Trie(shared.value), regex.compile(PATTERN).findall
-        for batch in batches:
-            rows = []
-            for x in batch["text"]:
-                x = x if isinstance(x, str) else ""
-                words = split(x)
-                found = [trie[w] for w in words]
-                rows.append((len(words), len(x.encode()), sum(n for n, _ in found), math.fsum(p for _, p in found)))
-            yield pd.DataFrame(rows, columns=["n_pretokens", "n_bytes", "n_tokens", "log_prob"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n_pretokens", "n_bytes", "n_tokens", "log_prob"]]
+    def setup() -> tuple:
+        return Trie(shared.value), regex.compile(PATTERN).findall
+
+    def run(batch: pa.RecordBatch, made: tuple) -> Iterator[pa.RecordBatch]:
+        (trie, split), rows = made, []
+        for x in texts(batch):
+            words = split(x or "")
+            found = [trie[w] for w in words]
+            rows.append((len(words), len((x or "").encode()), sum(n for n, _ in found), math.fsum(p for _, p in found)))
+        n_pretokens, n_bytes, n_tokens, log_prob = zip(*rows, strict=True)
+        yield record(doc_id=batch.column("doc_id"), n_pretokens=n_pretokens, n_bytes=n_bytes, n_tokens=n_tokens, log_prob=log_prob)
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return map_texts(rows, run, f"doc_id {kind}, n_pretokens long, n_bytes long, n_tokens long, log_prob double")
+    return map_texts(rows, run, f"doc_id {kind}, n_pretokens long, n_bytes long, n_tokens long, log_prob double", setup)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
