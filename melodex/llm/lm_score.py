@@ -8,7 +8,9 @@ are those of all training documents.
 Documents are worked through in blocks. A block holds its distinct words once and its tokens as places in that list. All
 counts are exchanged in packed form: a block sends its distinct n-grams and their counts, dealt into buckets by hash;
 a bucket adds up what all blocks sent and returns the totals in the same order. So a frequent n-gram is one entry of each
-block, and no task sees more than its block or bucket. N-grams are told apart by 64-bit hashes of words.
+block, and no task sees more than its block or bucket. There are as many buckets as the entries ask for; a block sends only to
+those that it has entries for, so the messages are never more than the entries. N-grams are told apart by 64-bit hashes of
+words.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, map_texts, parts, shared_dir, table, written
+from .common import fold, new_path, parts, record, remove, table, written
 
 #: A block ends beyond so many tokens; a bucket is meant for so many entries.
 BLOCK_TOKENS, BUCKET_ENTRIES = 2_500_000, 1_500_000
+MOST_FILES = 50_000  # of the table of blocks; a task takes a file's blocks one by one
 END, START = 0x5BD1E995_27D4EB2F, 0x165667B1_9E3779F9  # stand for the hashes of the end and of what precedes the first word
 CONTEXTS = 40  # buckets of the predecessor's frequency
 ROUNDS = 20
@@ -72,48 +76,52 @@ class _Places(dict):
         return n
 
 
-def _blocks(docs: DataFrame, key: Column, text: str, held: Column, dev: Column) -> DataFrame:
-    """(block, ids, held, dev, lengths, tokens, words) rows, written in buckets by block: later passes meet them in place.
+def _blocks(docs: DataFrame, key: Column, text: str, held: Column, dev: Column, path: str) -> str:
+    """A table of (block, ids, held, dev, lengths, tokens, words) rows, in buckets by block: later passes meet them in place.
+    Ids are carried as text, so that null ones among them change no other.
 
     tokens: places in words; a document ends with the place of the end, 0.
     """
     spark = docs.sparkSession
-    rows = docs.select(key.alias("id"), held.alias("held"), dev.alias("dev"), F.col(text).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = docs.select(key.cast("string").alias("id"), held.alias("held"), dev.alias("dev"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def start() -> None:
             nonlocal places, ids, flags, lengths, tokens, n
             places, ids, flags, lengths, tokens, n = _Places({b"": 0}), [], [], [], [], 0  # no word is empty
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in places), np.uint64, len(places))
             words[0] = END
             f = np.array(flags, np.uint8)
-            row = {"block": uuid.uuid4().int >> 65, "ids": ids, "held": f[:, 0].tobytes(), "dev": f[:, 1].tobytes(), "lengths": np.array(lengths, np.uint32).tobytes(), "tokens": np.concatenate(tokens).tobytes(), "words": words.tobytes()}
-            return pd.DataFrame([row])
+            return record(
+                block=[uuid.uuid4().int >> 65], ids=pa.array([ids], pa.list_(pa.string())), held=[f[:, 0].tobytes()], dev=[f[:, 1].tobytes()],
+                lengths=[np.array(lengths, np.uint32).tobytes()], tokens=[np.concatenate(tokens).tobytes()], words=[words.tobytes()],
+            )
 
         places = ids = flags = lengths = tokens = n = None
         start()
         for batch in batches:
-            for id_, h, d, x in zip(batch["id"], batch["held"], batch["dev"], batch["text"], strict=True):
-                w = x.encode("utf-8", "replace").lower().split() if isinstance(x, str) else []
-                w.append(b"")
-                ids.append(None if pd.isna(id_) else id_)
-                flags.append((h, d))
-                lengths.append(len(w))
-                tokens.append(np.fromiter(map(places.__getitem__, w), np.uint32, len(w)))
-                n += len(w)
-                if n >= BLOCK_TOKENS:
-                    yield block()
-                    start()
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                for id_, h, d, x in zip(*(some.column(c).to_pylist() for c in ("id", "held", "dev", "text")), strict=True):
+                    w = x.encode("utf-8", "replace").lower().split() if x else []
+                    w.append(b"")
+                    ids.append(id_)
+                    flags.append((h, d))
+                    lengths.append(len(w))
+                    tokens.append(np.fromiter(map(places.__getitem__, w), np.uint32, len(w)))
+                    n += len(w)
+                    if n >= BLOCK_TOKENS:
+                        yield block()
+                        start()
         if ids:
             yield block()
 
-    made = map_texts(rows, run, f"block long, ids array<{kind}>, held binary, dev binary, lengths binary, tokens binary, words binary")
-    name, n = f"lm_blocks_{uuid.uuid4().hex}", min(50_000, max(8, 2 * rows.rdd.getNumPartitions()))
-    made.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "block").saveAsTable(name)
-    return spark.table(name)
+    made = rows.mapInArrow(run, "block long, ids array<string>, held binary, dev binary, lengths binary, tokens binary, words binary")
+    name, n = f"lm_blocks_{uuid.uuid4().hex}", min(MOST_FILES, max(8, 2 * rows.rdd.getNumPartitions()))
+    made.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "block").saveAsTable(name)
+    return name
 
 
 class Block:
@@ -147,15 +155,15 @@ class Block:
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's share of the ascending keys begins, and the end."""
-    edges = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
+    edges = np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // max(2, buckets))
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
 def _send(keys: np.ndarray, counts: list[np.ndarray], block: int, kind: int, buckets: int, width: int) -> Iterator[tuple]:
     cuts = _cuts(keys, buckets)
-    for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if j > i:
-            yield b, block, kind, pack(keys[i:j], width), [pack_counts(c[i:j]) for c in counts]
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        i, j = cuts[b], cuts[b + 1]
+        yield b, block, kind, pack(keys[i:j], width), [pack_counts(c[i:j]) for c in counts]
 
 
 SENT = "bucket int, block long, kind int, keys binary, counts array<binary>"
@@ -172,7 +180,7 @@ def _sums(keys: list[np.ndarray], counts: list[list[np.ndarray]]) -> tuple[np.nd
     return every, [np.bincount(at, weights=np.concatenate(c), minlength=len(every)).astype(np.int64) for c in counts], at
 
 
-def unigrams(blocks: DataFrame, buckets: int) -> DataFrame:
+def unigrams(blocks: DataFrame, buckets: int, path: str) -> DataFrame:
     """To each block its words' counts: kind 0, [all training, training but kept out]; kind 9: [tokens, types, kept-in tokens]."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,7 +202,7 @@ def unigrams(blocks: DataFrame, buckets: int) -> DataFrame:
         return _frame(out, RETURNED)
 
     sent = blocks.select("block", "held", "dev", "lengths", "tokens", "words", F.lit(None).alias("ids")).mapInPandas(send, SENT)
-    return written(sent.groupBy("bucket").applyInPandas(add, RETURNED), "unigrams", compression="zstd")
+    return written(sent.groupBy("bucket").applyInPandas(add, RETURNED), "unigrams", path, compression="zstd")
 
 
 def _word_counts(b: Block, rows: pd.DataFrame) -> list[np.ndarray]:
@@ -209,7 +217,7 @@ def _word_counts(b: Block, rows: pd.DataFrame) -> list[np.ndarray]:
     return out
 
 
-def bigrams(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+def bigrams(blocks: DataFrame, words: DataFrame, buckets: int, path: str) -> DataFrame:
     """To each block its bigrams' training counts: kind 1, [count]. And what the kept-out documents hold: kind 2, entries of
     [times, bigram, predecessor, token counts without the kept-out documents]."""
 
@@ -250,7 +258,7 @@ def bigrams(blocks: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
         return _frame(out, RETURNED)
 
     sent = blocks.groupBy("block").cogroup(words.where("kind = 0").groupBy("block")).applyInPandas(send, SENT)
-    return written(sent.groupBy("bucket").applyInPandas(add, RETURNED), "bigrams", compression="zstd")
+    return written(sent.groupBy("bucket").applyInPandas(add, RETURNED), "bigrams", path, compression="zstd")
 
 
 def context(count: np.ndarray) -> np.ndarray:
@@ -300,17 +308,21 @@ def score(docs: DataFrame, held: Column, settings: Settings = Settings(), key: s
 
     Learns from documents that are not ``held``. Tokens: words between white space, A-Z in lower case, then one end. A null
     text is empty; a null id stays; repeated rows are documents of their own. Without training documents every token is
-    unknown and the scores are 0 (one type, the unknown one). Empty table: no rows. Other columns are ignored.
+    unknown and the scores are 0 (one type, the unknown one). Empty table: no rows. Other columns are ignored. The result
+    is written and what led to it removed.
     """
+    spark = docs.sparkSession
     dev = F.pmod(F.xxhash64(F.lit("kept out"), F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(settings.kept_out)) == 0
-    blocks = _blocks(docs, F.col(key), text, held, dev)
-    kind = docs.schema[key].dataType.simpleString()
+    paths = [new_path(spark, x) for x in ("blocks", "unigrams", "bigrams")]
+    name = _blocks(docs, F.col(key), text, held, dev, paths[0])
+    blocks = spark.table(name)
+    kind = docs.schema[key].dataType
     n = blocks.agg(F.sum(F.length("words") / 8), F.sum(F.length("tokens") / 4), F.count("*")).first()
     documents = np.array([int(x or 0) for x in docs.select((~held).alias("t"), (~held & ~dev).alias("k")).agg(F.sum(F.col("t").cast("long")), F.sum(F.col("k").cast("long"))).first()])
-    of = lambda entries: min(50_000, max(parts(docs), int((entries or 0) // BUCKET_ENTRIES)))
-    words = unigrams(blocks, of(n[0]))
+    of = lambda entries: max(parts(docs), int((entries or 0) // BUCKET_ENTRIES))
+    words = unigrams(blocks, of(n[0]), paths[1])
     total, types, kept = (int(x or 0) for x in _stats(words))
-    pairs = bigrams(blocks, words, of(n[1]))
+    pairs = bigrams(blocks, words, of(n[1]), paths[2])
     weights = mixture(pairs.where("kind = 2"), kept, types, int(documents[1]))
 
     def run(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
@@ -331,7 +343,11 @@ def score(docs: DataFrame, held: Column, settings: Settings = Settings(), key: s
         return pd.DataFrame({"doc_id": b.ids, "held_out": b.held, "n_tokens": b.lengths, "n_known": sums((c_w > 0).astype(np.int64)), "train_tokens": total, "base_score": sums(np.log10((c_w + 1) / (total + types + 1))), "score": sums(np.log10(p))})[columns]
 
     answers = words.where("kind = 0").unionByName(pairs.where("kind = 1"))
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = written(scored.withColumn("doc_id", F.col("doc_id").cast(kind)), "scores")
+    spark.sql(f"DROP TABLE {name}")
+    remove(spark, paths)
+    return out
 
 
 def _stats(words: DataFrame) -> tuple:
