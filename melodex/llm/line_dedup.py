@@ -1,9 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
-Lines are sequences of words. Lines of at least five words are near copies at an edit distance of one word (one put in,
-left out or replaced), others only if equal. Each line emits the hashes of itself and of itself without each word; lines
-with equal hashes are joined and verified by edit distance, and the earliest stays. All lines without one and the same
-place are a word apart from each other, so they are joined with the earliest of them only, never among themselves.
+Lines are sequences of words. Lines of at least ``least_words`` words are near copies at an edit distance of one word (one put
+in, left out or replaced), others only if equal: with the least of five words one edit leaves a similarity of 0.8. Each line
+emits the hashes of itself and of itself without each word; lines with equal hashes are joined and verified by edit distance,
+and the earliest stays. All lines without one and the same place are a word apart from each other, so they are joined with the
+earliest of them only, never among themselves. Hashes are polynomials over the hashes of the words, so that all variants of a
+line take time in proportion to its length.
 
 Before that, a filter keeps lines that can have a near copy at all: of two lines a word apart the longest common front or
 the longest common end has at least half the words of the shorter, so both emit that half's hash.
@@ -13,24 +15,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, map_texts, table, written
+from .common import UPPER, copy_of, fresh, map_texts, record, table, texts, written
 
+#: Lines of fewer words repeat only their equals.
 LEAST_WORDS = 5
 #: A set of up to so many line hashes is broadcast; beyond, lines meet it in a shuffle.
 BROADCAST_HASHES = 400_000
-
-
-def _hash(words: bytes, salt: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(words, salt)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+BASE = 0x9E3779B97F4A7C13  # odd: it has an inverse modulo 2**64
 
 
 def lines_of(text: object) -> list[str]:
@@ -42,15 +39,6 @@ def words_of(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
-def halves(words: list[bytes]) -> list[int]:
-    """Hashes of front and end halves, for a partner of like length or longer, and for a shorter one."""
-    out = []
-    for n in (len(words), len(words) - 1):
-        h = n // 2
-        out += [_hash(b" ".join(words[:h]), 2 * n), _hash(b" ".join(words[-h:]), 2 * n + 1)]
-    return out
-
-
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
     """Whether the edit distance in words is at most one."""
     if abs(len(a) - len(b)) > 1:
@@ -61,115 +49,201 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i + (len(a) >= len(b)) :] == b[i + (len(b) >= len(a)) :]
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h, halves) of each line with words."""
+class Hashes(dict):
+    """Hashes of words, kept for those that come again, and powers of the base; made once in each task."""
+
+    def __init__(self, most: int = 120_000):
+        super().__init__()
+        self.most, self.powers = most, np.ones((2, 1), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def upto(self, n: int) -> np.ndarray:
+        """The powers 0 to n of the base and of its inverse."""
+        if n >= self.powers.shape[1]:
+            size = max(1024, 2 * n)
+            self.powers = np.ones((2, size + 1), np.uint64)
+            for row, base in zip(self.powers, (BASE, pow(BASE, -1, 1 << 64)), strict=True):
+                row[1:] = np.multiply.accumulate(np.full(size, base, np.uint64))
+        return self.powers
+
+    def sums(self, lines: list[list[bytes]]) -> Sums:
+        if len(self) > self.most:
+            self.clear()
+        return Sums(self, np.fromiter((self[w] for x in lines for w in x), np.uint64), np.fromiter(map(len, lines), np.int64, len(lines)))
+
+
+class Sums:
+    """Prefix sums of hash times power over each of several lines; every run of words hashes in constant time."""
+
+    def __init__(self, made: Hashes, hashes: np.ndarray, n: np.ndarray):
+        self.n, self.starts = n, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        power, self.inverse = made.upto(int(n.max(initial=0)))
+        self.place = np.arange(len(hashes)) - np.repeat(self.starts, n)
+        self.through = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[self.place], dtype=np.uint64)])
+
+    @staticmethod
+    def mixed(x: np.ndarray, n: np.ndarray, salt: int = 0) -> np.ndarray:
+        """Of polynomials of n words the hashes, as signed longs."""
+        h = (x ^ (n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+    def whole(self) -> np.ndarray:
+        return self.mixed(self.through[self.starts + self.n] - self.through[self.starts], self.n)
+
+    def halves(self) -> np.ndarray:
+        """Hashes of front and end halves, for a partner of like length or longer, and for a shorter one: four for each line."""
+        out, start, end = [], self.starts, self.starts + self.n
+        for n in (self.n, np.maximum(self.n - 1, 0)):
+            h = n // 2
+            out.append(self.mixed(self.through[start + h] - self.through[start], n, 1))
+            out.append(self.mixed((self.through[end] - self.through[end - h]) * self.inverse[self.n - h], n, 2))
+        return np.stack(out, axis=1)
+
+    def without_each(self) -> np.ndarray:
+        """Of each word the hash of its line without it: the later words move a place to the front."""
+        start, end, at = np.repeat(self.starts, self.n), np.repeat(self.starts + self.n, self.n), np.arange(len(self.place))
+        rest = self.through[at] - self.through[start] + (self.through[end] - self.through[at + 1]) * self.inverse[1]
+        return self.mixed(rest, np.repeat(self.n, self.n) - 1)
+
+
+def _lines(batch: pa.RecordBatch, least: int) -> tuple[list[int], list[int], list[list[bytes]]]:
+    """Of each line of at least so many words: its row, its place in the text, its words."""
+    rows, places, words = [], [], []
+    for i, text in enumerate(texts(batch)):
+        for at, line in enumerate(lines_of(text)):
+            w = words_of(line)
+            if len(w) >= least:
+                rows.append(i)
+                places.append(at)
+                words.append(w)
+    return rows, places, words
+
+
+def _keys(batch: pa.RecordBatch, rows: list[int], places: list[int]) -> dict:
+    at = pa.array(rows, pa.int32())
+    return {"doc_id": batch.column("doc_id").take(at), "copy": batch.column("copy").take(at), "line": pa.array(places, pa.int32())}
+
+
+def _occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, copy, line, h, halves) of each line with words; halves only where near copies are sought."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for id_, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for at, line in enumerate(lines_of(text)):
-                    words = words_of(line)
-                    if words:
-                        rows.append((id_, at, _signed(_hash(b" ".join(words))), [_signed(x) for x in halves(words)] if len(words) >= LEAST_WORDS else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "h", "halves"])
+    def run(batch: pa.RecordBatch, made: Hashes) -> Iterator[pa.RecordBatch]:
+        rows, places, words = _lines(batch, 1)
+        if not rows:
+            return
+        sums = made.sums(words)
+        long = sums.n >= least
+        ends = pa.array(np.concatenate([[0], np.cumsum(4 * long)]), pa.int32(), mask=np.append(~long, False))
+        yield record(**_keys(batch, rows, places), h=sums.whole(), halves=pa.ListArray.from_arrays(ends, pa.array(sums.halves()[long].ravel())))
 
-    return map_texts(docs, run, f"doc_id {kind}, line int, h long, halves array<long>")
+    return map_texts(docs, run, f"doc_id {kind}, copy long, line int, h long, halves array<long>", Hashes)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h, words) of each line that can have near copies; words joined by a space."""
+def _texts(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, copy, line, h, words) of each line that can have near copies; words joined by a space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for id_, text in zip(batch["doc_id"], batch["text"], strict=True):
-                for at, line in enumerate(lines_of(text)):
-                    words = words_of(line)
-                    if len(words) >= LEAST_WORDS:
-                        joined = b" ".join(words)
-                        rows.append((id_, at, _signed(_hash(joined)), joined))
-            yield pd.DataFrame(rows, columns=["doc_id", "line", "h", "words"])
+    def run(batch: pa.RecordBatch, made: Hashes) -> Iterator[pa.RecordBatch]:
+        rows, places, words = _lines(batch, least)
+        if rows:
+            yield record(**_keys(batch, rows, places), h=made.sums(words).whole(), words=pa.array([b" ".join(w) for w in words], pa.binary()))
 
-    return map_texts(docs, run, f"doc_id {kind}, line int, h long, words binary")
+    return map_texts(docs, run, f"doc_id {kind}, copy long, line int, h long, words binary", Hashes)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, place, h, first): of each line the hash without the word at each place."""
+    """(key, place, h): of each line the hash without the word at each place."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at, keys, places = [], [], []
-            for i, joined in enumerate(batch["words"]):
-                words = joined.split(b" ")
-                start = 0
-                for k, w in enumerate(words):
-                    end = start + len(w)
-                    at.append(i)
-                    places.append(k)
-                    keys.append(_signed(_hash(joined[end + 1 :] if k == 0 else joined[: start - 1] + joined[end:])))
-                    start = end + 1
-            yield pd.DataFrame({"key": keys, "place": places, "h": batch["h"].to_numpy()[at]})
+    def run(batch: pa.RecordBatch, made: Hashes) -> Iterator[pa.RecordBatch]:
+        sums = made.sums([x.split(b" ") for x in batch.column("words").to_pylist()])
+        yield record(key=sums.without_each(), place=sums.place.astype(np.int32), h=np.repeat(batch.column("h").to_numpy(), sums.n))
 
-    return lines.select("h", "words").mapInPandas(run, "key long, place int, h long")
+    return map_texts(lines.select("h", "words"), run, "key long, place int, h long", Hashes)
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Those of (later, earlier) whose words are within the bound."""
-    kind = pairs.schema.simpleString()[len("struct<") : -1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ok = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch["wa"], batch["wb"], strict=True)]
-            yield batch.loc[ok, ["later", "earlier"]]
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        words = zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist(), strict=True)
+        yield batch.filter(pa.array([within_one(a.split(b" "), b.split(b" ")) for a, b in words], pa.bool_())).select(["later", "earlier"])
 
     met = pairs.join(lines.select(F.col("h").alias("later"), F.col("words").alias("wa")), "later").join(lines.select(F.col("h").alias("earlier"), F.col("words").alias("wb")), "earlier")
-    return met.select("later", "earlier", "wa", "wb").mapInPandas(run, kind)
+    return map_texts(met.select("later", "earlier", "wa", "wb"), run, "later long, earlier long")
 
 
-def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, line, of_doc_id, of_line): each line that goes (counted from 0), and the earlier line that it repeats.
+def _where() -> Column:
+    return F.struct("doc_id", "copy", "line")
 
-    Earlier is by (document id, line); a null id comes first. Equal lines repeat the earliest of them; a line whose equals
-    all have an earlier near copy goes too, whether or not that one stays, so the earliest line of every chain stays. Lines
-    without words stay. A null or empty text has no lines; rows that share an id share their lines' places; an empty table
-    gives no rows; other columns are ignored. Whole texts are read.
-    """
-    docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    seen = written(_occurrences(docs), "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    classes = written(seen.groupBy("h").agg(first, F.first("halves", ignorenulls=True).alias("halves")), "classes")
+
+def _duplicates(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, copy, line, of) of ``docs`` (doc_id, copy, text): of has the same three fields."""
+    seen = written(_occurrences(docs, least), "lines")
+    classes = written(seen.groupBy("h").agg(F.min(_where()).alias("first"), F.first("halves", ignorenulls=True).alias("halves")), "classes")
     half = classes.where("halves is not null").select("h", F.explode(F.array_distinct("halves")).alias("half"))
     met = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1")
     can = written(half.join(met, "half", "left_semi").select("h").distinct().join(classes.select("h", "first"), "h"), "can")
     few = can.count() <= BROADCAST_HASHES
-    lines = _texts(docs).join(F.broadcast(can) if few else can, "h").where(F.col("first").eqNullSafe(F.struct("doc_id", "line")))
+    lines = _texts(docs, least).join(F.broadcast(can) if few else can, "h").where(F.col("first").eqNullSafe(_where()))
     lines = written(lines.groupBy("h", "first").agg(F.min("words").alias("words")), "candidates")
     variants = written(_variants(lines).join(F.broadcast(can) if few else can, "h"), "variants")
     groups = variants.groupBy("key", "place").agg(F.min(F.struct("first", "h")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "place", F.col("least.h").alias("earlier"))
     replaced = variants.join(groups, ["key", "place"]).where("h != earlier").select(F.col("h").alias("later"), "earlier")
     whole = lines.select(F.col("h").alias("key"), F.col("first").alias("whole_first"))
-    added = variants.join(whole, "key").where("h != key").select(F.when(F.col("first") > F.col("whole_first"), F.col("h")).otherwise(F.col("key")).alias("later"), F.when(F.col("first") > F.col("whole_first"), F.col("key")).otherwise(F.col("h")).alias("earlier"))
+    after = F.col("first") > F.col("whole_first")
+    added = variants.join(whole, "key").where("h != key").select(F.when(after, F.col("h")).otherwise(F.col("key")).alias("later"), F.when(after, F.col("key")).otherwise(F.col("h")).alias("earlier"))
     near = _verified(replaced.union(added).distinct(), lines)
     near = near.join(can.select(F.col("h").alias("earlier"), "first"), "earlier").groupBy(F.col("later").alias("h")).agg(F.min("first").alias("near"))
     decided = written(classes.select("h", "first").join(near, "h", "left"), "decided")
-    gone = seen.select("doc_id", "line", "h").join(decided, "h").withColumn("of", F.when(~F.col("first").eqNullSafe(F.struct("doc_id", "line")), F.col("first")).otherwise(F.col("near")))
-    return gone.where("of is not null").select("doc_id", "line", F.col("of.doc_id").alias("of_doc_id"), F.col("of.line").alias("of_line"))
-
-
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """``docs``, all columns, without the lines of ``duplicate_lines``; documents left without a word by that go."""
-    gone = duplicate_lines(docs, key, text).groupBy("doc_id").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    met = docs.join(gone, F.col(key).eqNullSafe(F.col("_id")), "left")
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    out = met.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    out = out.where(F.col("_gone").isNull() | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn(text, F.col("_kept"))
+    of = F.when(~F.col("first").eqNullSafe(_where()), F.col("first")).otherwise(F.col("near"))
+    return seen.select("doc_id", "copy", "line", "h").join(decided, "h").withColumn("of", of).where("of is not null").select("doc_id", "copy", "line", "of")
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("doc_id"), copy_of(F.col(text)).alias("copy"), F.col(text).alias("text"))
+
+
+def duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, line, of_doc_id, of_line): each line that goes (counted from 0), and the earlier line that it repeats.
+
+    Earlier is by (document id, text's hash, line): a null id comes first, texts that share an id follow each other by their
+    hashes. Equal lines repeat the earliest of them; a line whose equals all have an earlier near copy goes too, whether or
+    not that one stays, so the earliest line of every chain stays. Lines without words stay. A null or empty text has no
+    lines; rows that share an id and a text are one document, each with its rows here; an empty table gives no rows; other
+    columns are ignored. Whole texts are read.
+    """
+    return _duplicates(_keyed(docs, key, text), least).select("doc_id", "line", F.col("of.doc_id").alias("of_doc_id"), F.col("of.line").alias("of_line"))
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", least: int = LEAST_WORDS) -> DataFrame:
+    """``docs``, all columns whatever their names, without the lines of ``duplicate_lines``; documents left without a word by
+    that go. Each row loses the lines of its own text only; rows that share an id and a text stay or go together."""
+    id_, copy, gone, kept = fresh(docs, "gone_id", "gone_copy", "gone", "kept")
+    lines = _duplicates(_keyed(docs, key, text), least).groupBy(F.col("doc_id").alias(id_), F.col("copy").alias(copy)).agg(F.collect_set("line").alias(gone))
+    met = docs.join(lines, F.col(key).eqNullSafe(F.col(id_)) & copy_of(F.col(text)).eqNullSafe(F.col(copy)), "left")
+    met = met.select(*docs.columns, gone, F.lit(None).cast("string").alias(kept))
+    names = met.columns
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        rest = []
+        for x, out in zip(texts(batch, text), batch.column(gone).to_pylist(), strict=True):
+            if out is None:
+                rest.append(None)
+            else:
+                out = set(out)
+                rest.append("\n".join(line for i, line in enumerate(x.split("\n")) if i not in out))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rest, pa.string())], names=names)
+
+    out = map_texts(met, run, met.schema).where(F.col(gone).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
+    new = {text: F.coalesce(kept, text)}
     if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("_gone").isNull(), F.col(n_chars)).otherwise(F.length(text)).cast(docs.schema[n_chars].dataType))
-    return out.select(*docs.columns)
+        new[n_chars] = F.when(F.col(gone).isNull(), F.col(n_chars)).otherwise(F.length(kept)).cast(docs.schema[n_chars].dataType)
+    return out.select(*[new[x].alias(x) if x in new else x for x in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,11 +253,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op2_line_dedup": op2_line_dedup}
 ORACLE = {
     "op2_line_dedup": f"""
-    WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
-    raw AS (SELECT doc_id, unnest(parts) AS part, (generate_subscripts(parts, 1) - 1)::INT AS line FROM texts),
+    WITH texts AS (
+        SELECT doc_id, ('0x' || substr(md5(text), 1, 15))::BIGINT AS copy, string_split(text, chr(10)) AS parts
+        FROM documents WHERE text IS NOT NULL),
+    raw AS (SELECT doc_id, copy, unnest(parts) AS part, (generate_subscripts(parts, 1) - 1)::INT AS line FROM texts),
     lines AS (
-        SELECT doc_id, line, regexp_extract_all(translate(part, '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM raw),
-    classes AS (SELECT words, min({{'doc_id': doc_id, 'line': line}}) AS first FROM lines WHERE len(words) > 0 GROUP BY words),
+        SELECT doc_id, copy, line, regexp_extract_all(translate(part, '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS words FROM raw),
+    classes AS (SELECT words, min({{'doc_id': doc_id, 'copy': copy, 'line': line}}) AS first FROM lines WHERE len(words) > 0 GROUP BY words),
     variants AS (
         SELECT words, first, place, list_concat(words[1:place - 1], words[place + 1:]) AS variant
         FROM (SELECT *, unnest(range(1, len(words) + 1)) AS place FROM classes WHERE len(words) >= 5)),
@@ -195,7 +271,7 @@ ORACLE = {
         FROM variants v JOIN classes c ON v.variant = c.words WHERE len(c.words) >= 5),
     nearest AS (SELECT words, min(first) AS near FROM near GROUP BY words),
     decided AS (
-        SELECT l.doc_id, l.line, CASE WHEN c.first <> {{'doc_id': l.doc_id, 'line': l.line}} THEN c.first ELSE n.near END AS of
+        SELECT l.doc_id, l.line, CASE WHEN c.first <> {{'doc_id': l.doc_id, 'copy': l.copy, 'line': l.line}} THEN c.first ELSE n.near END AS of
         FROM lines l JOIN classes c USING (words) LEFT JOIN nearest n USING (words))
     SELECT doc_id, line, of.doc_id AS of_doc_id, of.line AS of_line FROM decided WHERE of IS NOT NULL"""
 }
