@@ -3,7 +3,8 @@
 The first level of the cascade encodes the listed keys, the second those other keys of the corpus that pass the first by
 chance, the third the listed keys that pass the second, and so on until nothing passes wrongly. As the levels are built
 over all keys of the corpus, membership is exact for each of them, and no key is joined with the list. A level is dealt
-into shards of bounded size by a hash of the key, each an array of 64-bit words. DataFrame functions only.
+into shards of bounded size by a hash of the key, each an array of 64-bit words. A cascade of bounded size is one value of a
+scalar subquery, so that pages are judged without a join; a larger one is met by shard. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, ascii_lower, table, written
+from .common import UPPER, ascii_lower, fresh, table, written
 
 #: Host, path and verdict of the rules in production.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Hosts on the production list: those with an advertising or tracking label.
-LISTED = r"(^|[.-])(ad|ads|track|tracker|tracking)([.-]|$)"
-#: A filter of up to so many bytes is broadcast; beyond, rows meet their shard in a shuffle.
-BROADCAST_BYTES = 4_000_000
-SHARD_KEYS = 20_000
+# The unwanted sites whose pages make the production list.
+SITES = ("ads-track", "free-bets", "cheap-pills", "spam-farm", "casino-win", "adult-x")
+#: A cascade of up to so many bytes goes to each task whole; beyond, rows meet their shard in a shuffle.
+WHOLE_BYTES = 4_000_000
+#: Keys of a shard: a row that meets its shard carries at most about a byte for each.
+SHARD_KEYS = 1_000
 BITS_PER_KEY, HASHES = 8, 5
 
 
@@ -57,12 +59,22 @@ class Cascade:
         """``rows`` with a boolean column: whether the key is listed. Exact for keys of the universe."""
         if not self.words:
             return rows.withColumn(name, F.lit(False))
-        filters = F.broadcast(self.filters) if self.size() <= BROADCAST_BYTES else self.filters
-        met = rows.withColumn("_shard", _shard(key, self.shards)).join(filters.withColumnRenamed("shard", "_shard"), "_shard", "left")
+        levels = [f"level_{i + 1}" for i in range(len(self.words))]
+        if self.size() <= WHOLE_BYTES:
+            every = self.filters.agg(F.sort_array(F.collect_list(F.struct("shard", *levels)))).scalar()
+            mine = F.get(every, _shard(key, self.shards).cast("int"))
+            return rows.withColumn(name, self._answer(key, [mine.getField(x) for x in levels]))
+        shard, *renamed = fresh(rows, "shard", *levels)
+        filters = self.filters.withColumnsRenamed(dict(zip(["shard", *levels], [shard, *renamed], strict=True)))
+        met = rows.withColumn(shard, _shard(key, self.shards)).join(filters, shard, "left")
+        return met.select(*rows.columns, self._answer(key, [F.col(x) for x in renamed]).alias(name))
+
+    def _answer(self, key: Column, levels: list[Column]) -> Column:
+        """Listed if the first level that the key does not pass is an even one; so of the level after the last."""
         answer = F.lit(len(self.words) % 2 == 1)
         for i in reversed(range(len(self.words))):
-            answer = F.when(~_passes(F.col(f"level_{i + 1}"), key, i + 1, self.words[i]), F.lit(i % 2 == 1)).otherwise(answer)
-        return met.withColumn(name, answer).drop("_shard", *(f"level_{i + 1}" for i in range(len(self.words))))
+            answer = F.when(~_passes(levels[i], key, i + 1, self.words[i]), F.lit(i % 2 == 1)).otherwise(answer)
+        return answer
 
 
 def _passes(words: Column, key: Column, level: int, n: int) -> Column:
@@ -109,24 +121,37 @@ def _rule(rules: tuple[tuple[str, str, str], ...], pick: int | None) -> Column:
     return out
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, listed: str = LISTED, key: str = "page_id", url: str = "url") -> DataFrame:
+def page_key(url: Column) -> Column:
+    """Host and path: what the list holds."""
+    return F.concat(host(url), path(url))
+
+
+def site_keys(pages: DataFrame, sites: tuple[str, ...] = SITES, url: str = "url") -> DataFrame:
+    """(key): those of all pages whose host has a label of ``sites``; a list in production."""
+    labels = F.split(host(F.col(url)), r"\.")
+    return pages.where(F.arrays_overlap(labels, F.array(*[F.lit(x) for x in sites]))).select(page_key(F.col(url)).alias("key")).distinct()
+
+
+def judge(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict) for every page.
 
-    The list: the host and path of every page whose host matches ``listed``. A page takes the verdict of the longest rule
-    that fits, else ``block`` if the cascade holds its host and path, else ``allow``. A null url or one without ``://``
-    has an empty host and path, which no rule fits. Equal urls have equal verdicts; repeated rows stay; an empty table
-    gives no rows; other columns are ignored.
+    ``listed`` (key): the list, of any size; keys of no page, repeated and null ones are of no effect. A page takes the
+    verdict of the longest rule that fits, else ``block`` if the cascade holds its host and path, else ``allow``. A null url
+    or one without ``://`` has an empty host and path, which no rule fits. Equal urls have equal verdicts; repeated rows stay;
+    an empty table gives no rows, an empty list blocks nothing; other columns are ignored.
     """
     rows = pages.select(F.col(key).alias("page_id"), host(F.col(url)).alias("host"), path(F.col(url)).alias("path"))
     name = F.concat("host", "path")
-    universe = rows.select(name.alias("key"), F.col("host").rlike(listed).alias("listed")).groupBy("key").agg(F.max("listed").alias("listed"))
+    marked = rows.select(name.alias("key"), F.lit(0).alias("l"), F.lit(1).alias("p")).union(listed.select("key", F.lit(1), F.lit(0)))
+    universe = marked.groupBy("key").agg((F.max("l") == 1).alias("listed"), F.max("p").alias("p")).where("p = 1").select("key", "listed")
     met = build(universe).member(rows, name, "held")
     verdict = F.coalesce(_rule(rules, 2), F.when(F.col("held"), "block").otherwise("allow"))
     return met.select("page_id", "host", "path", _rule(rules, None).alias("rule"), verdict.alias("verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, site_keys(pages))
 
 
 QUERIES = {"op3_url_filter": op3_url_filter}
@@ -141,7 +166,7 @@ ORACLE = {
             WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
             WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
             WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM parsed),
-    listed AS (SELECT DISTINCT host || path AS k FROM parsed WHERE regexp_matches(host, '{LISTED}'))
+    listed AS (SELECT DISTINCT host || path AS k FROM parsed WHERE list_has_any(string_split(host, '.'), {list(SITES)}))
     SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
         WHEN host || path IN (SELECT k FROM listed) THEN 'block' ELSE 'allow' END AS verdict
     FROM ruled"""
