@@ -5,7 +5,9 @@ exponent is found by bisection: the largest that gives the wished entropy, raise
 Without a given budget the largest source is shown once, and t ** (exponent - 1) times one with the share t of its tokens.
 The token budget then gives each source whole passes over its documents and a part of one more. A pass is a permutation of
 the source's blocks and of the documents in each block by hashes; the part is the front of its last permutation, so that
-only the one block in which the budget ends is cut. DataFrame functions only.
+only the one block in which the budget ends is cut. The end is found in three steps, by ranges of the blocks' hashes, by the
+blocks of one range, by the documents of one block: no window holds more than one of these. What is decided is a row for each
+source. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -16,25 +18,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 #: Halvings of the exponent's range in each job, and jobs.
 HALVINGS, ROUNDS = 6, 5
-#: A table of up to so many blocks is broadcast; beyond, documents meet their block in a shuffle.
-BROADCAST_BLOCKS = 250_000
+#: A table of up to so many sources is broadcast; beyond, documents meet their source in a shuffle.
+BROADCAST_SOURCES = 100_000
+#: Leading hexadecimal digits of a block's hash that make its range: 16**3 ranges for each source.
+RANGE_DIGITS = 3
 
 
 @dataclass(frozen=True)
 class Settings:
     """``entropy``: wished entropy of the weights, as a share of the largest possible. ``repeats``: most passes over any
     source. ``budget``: tokens to give out; None for the least that shows every document once. ``block_tokens``: the
-    least size of a block; larger where that would make over ``most_blocks`` blocks."""
+    mean size of a source's blocks."""
 
     entropy: float = 0.95
     repeats: float = 4.0
     budget: int | None = None
-    block_tokens: int = 100_000
-    most_blocks: int = 200_000
+    block_tokens: int = 20_000
     seed: int = 42
 
 
@@ -82,36 +85,55 @@ def exponent(sources: DataFrame, s: Settings = Settings()) -> float:
     return max(search(False), min(1.0, bound))
 
 
-def decide(rows: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(sources, blocks) of ``rows`` (id as text, src, n_tokens).
+def _broadcast(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_SOURCES else rows
 
-    sources: src, tokens, weight, blocks. blocks: src, block, passes (whole ones), cut (documents of the block whose order
-    in the last, partial pass is at most this are in it; null: none).
+
+def _crossed(rows: DataFrame, by: list[str], room: str, out: str) -> DataFrame:
+    """Of each source's ``rows`` (src, *by, n_tokens, room) in the order of ``by`` the first whose running sum is over the
+    room; ``out``: the room that is left for it."""
+    front = Window.partitionBy("src").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    over = rows.withColumn("through", F.sum("n_tokens").over(front)).where(F.col("through") > F.col(room))
+    first = over.groupBy("src").agg(F.min_by(F.struct(*by, (F.col(room) - F.col("through") + F.col("n_tokens")).alias(out)), F.struct("through", *by)).alias("x"))
+    return first.select("src", *[F.col(f"x.{c}").alias(c) for c in (*by, out)])
+
+
+def decide(rows: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(src, tokens, weight, blocks, passes, cut_order, cut_block, cut_rank) of ``rows`` (id as text, src, n_tokens).
+
+    passes: whole ones. The last, partial one takes the blocks before (cut_order, cut_block), and of that one the documents
+    whose rank is at most cut_rank (null: none). All null: no partial pass.
     """
     per = written(rows.groupBy("src").agg(F.sum("n_tokens").alias("tokens")), "sources")
     counted = per.where("tokens > 0")
     a = exponent(counted, s) if not counted.isEmpty() else 1.0
-    total, most = (x or 0 for x in counted.agg(F.sum("tokens"), F.max("tokens")).first())
+    most = counted.agg(F.max("tokens")).first()[0] or 0
     power = F.pow(F.col("tokens") / max(most, 1), F.lit(a))
     z = counted.agg(F.sum(power)).first()[0] or 1.0
-    size = max(s.block_tokens, -(-total // s.most_blocks))
-    weighed = per.withColumn("weight", F.when(F.col("tokens") > 0, power / z).otherwise(0.0)).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / size)))
+    weighed = per.withColumn("weight", F.when(F.col("tokens") > 0, power / z).otherwise(0.0)).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("tokens") / s.block_tokens)))
     budget = s.budget if s.budget is not None else weighed.where("tokens > 0").agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0.0
     share = F.col("weight") * F.lit(float(budget)) / F.col("tokens")
     passes = F.when(F.col("tokens") > 0, F.floor(share + 1e-9)).otherwise(1)
-    sources = written(weighed.withColumn("passes", passes).withColumn("rest", F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), F.floor((share - F.col("passes")) * F.col("tokens") + 1e-6))).otherwise(0.0)), "weights")
-    dealt = rows.join(F.broadcast(sources) if sources.count() <= BROADCAST_BLOCKS else sources, "src")
-    dealt = dealt.withColumn("block", block(F.col("id"), F.col("blocks"), s))
-    blocks = dealt.groupBy("src", "block", "passes", "rest").agg(F.sum("n_tokens").alias("n_tokens"))
-    front = Window.partitionBy("src").orderBy(_order("block", s.seed, F.col("passes"), F.col("src"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = written(blocks.withColumn("through", F.sum("n_tokens").over(front)).withColumn("room", F.col("rest") - F.col("through") + F.col("n_tokens")), "blocks")
-    ends = blocks.where("room > 0 and room < n_tokens").select("src", "block", "room")
-    inner = Window.partitionBy("src", "block").orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    last = dealt.join(ends, ["src", "block"]).withColumn("rank", rank(F.col("id"), F.col("passes"), s)).withColumn("through", F.sum("n_tokens").over(inner))
-    last = last.where("through <= room").groupBy("src", "block").agg(F.max("rank").alias("last"))
-    whole = F.when(F.col("room") >= F.col("n_tokens"), F.when(F.col("rest") > 0, F.lit("g")))  # after all hexadecimal digits
-    out = blocks.join(last, ["src", "block"], "left").select("src", "block", F.col("passes").cast("int").alias("passes"), F.coalesce(whole, "last").alias("cut"))
-    return sources.select("src", "tokens", "weight", "blocks"), written(out, "decisions")
+    rest = F.when(F.col("tokens") > 0, F.greatest(F.lit(0.0), F.floor((share - F.col("passes")) * F.col("tokens") + 1e-6))).otherwise(0.0)
+    sources = written(weighed.withColumn("passes", passes.cast("int")).withColumn("rest", rest), "weights")
+    partial = sources.where("rest > 0").select("src", "blocks", "passes", "rest")
+    dealt = rows.join(_broadcast(partial), "src").withColumn("block", block(F.col("id"), F.col("blocks"), s))
+    dealt = dealt.withColumn("order", order(F.col("src"), F.col("block"), F.col("passes"), s)).withColumn("range", F.substring("order", 1, RANGE_DIGITS))
+    ranges = dealt.groupBy("src", "rest", "range").agg(F.sum("n_tokens").alias("n_tokens"))
+    at_range = _broadcast(written(_crossed(ranges, ["range"], "rest", "room"), "ranges"))
+    blocks = dealt.join(at_range, ["src", "range"]).groupBy("src", "room", "order", "block").agg(F.sum("n_tokens").alias("n_tokens"))
+    at_block = written(_crossed(blocks, ["order", "block"], "room", "left"), "cuts")
+    ranks = dealt.join(_broadcast(at_block.where("left > 0")), ["src", "order", "block"]).groupBy("src", "left", rank(F.col("id"), F.col("passes"), s).alias("rank")).agg(F.sum("n_tokens").alias("n_tokens"))
+    inner = Window.partitionBy("src").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = ranks.withColumn("through", F.sum("n_tokens").over(inner)).where(F.col("through") <= F.col("left")).groupBy("src").agg(F.max("rank").alias("cut_rank"))
+    cuts = at_block.select("src", F.col("order").alias("cut_order"), F.col("block").alias("cut_block")).join(last, "src", "left")
+    full = F.when((F.col("rest") > 0) & F.col("cut_order").isNull(), 1).otherwise(0)  # the rest takes all blocks
+    return written(sources.join(cuts, "src", "left").select("src", "tokens", "weight", "blocks", (F.col("passes") + full).alias("passes"), "cut_order", "cut_block", "cut_rank"), "decisions")
+
+
+def order(src: Column, block_: Column, pass_: Column, s: Settings) -> Column:
+    """Where a block stands in its source in a pass."""
+    return _order("block", s.seed, pass_, src, block_)
 
 
 def block(id_: Column, blocks: Column, s: Settings) -> Column:
@@ -125,25 +147,27 @@ def rank(id_: Column, pass_: Column, s: Settings) -> Column:
 
 
 def mix(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """All columns of ``docs`` and ``_src``, ``_block``, ``_pass``, ``_rank``: a row for each pass in which a document stands.
+    """All columns of ``docs``, then ``_src``, ``_block``, ``_pass``, ``_rank``: a row for each pass in which a document stands.
+    Where ``docs`` has a column of such a name, the new one has more underscores in front.
 
     The order of a source's stream: by _pass, then by the hash of the block, then by _rank. Documents without a word are in
     one pass of a source that has no tokens, else they go with their block. A null source is one of its own; a null id is
     the empty text; repeated ids of a source stand together. An empty table gives no rows.
     """
     s = settings
+    src, block_, pass_, rank_ = fresh(docs, "_src", "_block", "_pass", "_rank")
     id_ = F.coalesce(F.col(key).cast("string"), F.lit(""))
     rows = written(docs.select(id_.alias("id"), source_key(F.col(source)).alias("src"), tokens(F.col(text)).alias("n_tokens")), "lengths")
-    sources, blocks = decide(rows, s)
-    full = docs.withColumn("_src", source_key(F.col(source)))
-    for_each = sources.select(F.col("src").alias("_src"), F.col("blocks").alias("_blocks"))
-    full = full.join(F.broadcast(for_each) if for_each.count() <= BROADCAST_BLOCKS else for_each, "_src").withColumn("_block", block(id_, F.col("_blocks"), s))
-    chosen = blocks.select(F.col("src").alias("_src"), F.col("block").alias("_block"), F.col("passes").alias("_passes"), F.col("cut").alias("_cut"))
-    full = full.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_BLOCKS else chosen, ["_src", "_block"])
-    more = F.when(rank(id_, F.col("_passes"), s) <= F.col("_cut"), 1).otherwise(0)
-    n = F.col("_passes") + more
-    full = full.where(n > 0).withColumn("_pass", F.explode(F.sequence(F.lit(0), n - 1)))
-    return full.withColumn("_rank", rank(id_, F.col("_pass"), s)).drop("_blocks", "_passes", "_cut")
+    decided = decide(rows, s)
+    names = dict(zip(decided.columns, fresh(docs, *decided.columns), strict=True))
+    got = lambda x: F.col(names[x])
+    full = docs.join(_broadcast(decided.withColumnsRenamed(names)), source_key(F.col(source)) == got("src"))
+    full = full.select(*docs.columns, got("src").alias(src), block(id_, got("blocks"), s).alias(block_), *[got(x) for x in ("passes", "cut_order", "cut_block", "cut_rank")])
+    place, cut = F.struct(order(F.col(src), F.col(block_), got("passes"), s), F.col(block_)), F.struct(got("cut_order"), got("cut_block"))
+    more = (place < cut) | (place == cut) & (rank(id_, got("passes"), s) <= got("cut_rank"))
+    n = got("passes") + F.when(got("cut_order").isNotNull() & more, 1).otherwise(0)
+    full = full.where(n > 0).withColumn(pass_, F.explode(F.sequence(F.lit(0), n - 1)))
+    return full.select(*docs.columns, src, block_, pass_, rank(id_, F.col(pass_), s).alias(rank_))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +183,7 @@ ORACLE = {
         SELECT doc_id, source, coalesce(doc_id::VARCHAR, '') AS id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
             coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM documents),
     per AS (SELECT src, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY src),
-    corpus AS (SELECT sum(tokens)::BIGINT AS total, max(tokens) AS most, list(tokens / (SELECT max(tokens) FROM per)) AS t, ln(count(*)) * 0.95 AS wished FROM per WHERE tokens > 0),
+    corpus AS (SELECT max(tokens) AS most, list(tokens / (SELECT max(tokens) FROM per)) AS t, ln(count(*)) * 0.95 AS wished FROM per WHERE tokens > 0),
     by_entropy AS (  -- the largest exponent with the wished entropy
         SELECT 0 AS step, 0.0::DOUBLE AS low
         UNION ALL
@@ -167,18 +191,13 @@ ORACLE = {
             * list_sum(list_transform(t, lambda x: pow(x, low + pow(0.5, step + 1)) * ln(x))) / list_sum(list_transform(t, lambda x: pow(x, low + pow(0.5, step + 1)))) >= wished
             THEN low + pow(0.5, step + 1) ELSE low END
         FROM by_entropy, corpus WHERE step < 30),
-    by_repeats AS (  -- the least exponent with at most four passes
-        SELECT 0 AS step, 1.0::DOUBLE AS high
-        UNION ALL
-        SELECT step + 1, CASE WHEN list_max(list_transform(t, lambda x: pow(x, high - pow(0.5, step + 1) - 1)))
-            / list_sum(list_transform(t, lambda x: pow(x, high - pow(0.5, step + 1)))) * total / most <= 4 THEN high - pow(0.5, step + 1) ELSE high END
-        FROM by_repeats, corpus WHERE step < 30),
+    by_repeats AS (  -- the least exponent with at most four passes over the smallest source, the largest being shown once
+        SELECT CASE WHEN max(tokens) > min(tokens) THEN least(1, 1 - ln(4) / ln(max(tokens) / min(tokens))) ELSE 0 END AS high FROM per WHERE tokens > 0),
     chosen AS (
-        SELECT *, CASE WHEN len(t) < 2 THEN 1.0 ELSE greatest((SELECT low FROM by_entropy WHERE step = 30), (SELECT high FROM by_repeats WHERE step = 30)) END AS a,
-            greatest(100000, ceil(total / 200000)) AS size FROM corpus),
+        SELECT *, CASE WHEN len(t) < 2 THEN 1.0 ELSE greatest((SELECT low FROM by_entropy WHERE step = 30), (SELECT high FROM by_repeats)) END AS a FROM corpus),
     weighed AS (
         SELECT src, tokens, CASE WHEN tokens > 0 THEN pow(tokens / most, a) / list_sum(list_transform(t, lambda x: pow(x, a))) ELSE 0 END AS weight,
-            greatest(1, ceil(coalesce(tokens / size, 0)))::BIGINT AS blocks FROM per LEFT JOIN chosen ON true),
+            greatest(1, ceil(coalesce(tokens / 20000, 0)))::BIGINT AS blocks FROM per LEFT JOIN chosen ON true),
     shared AS (SELECT *, weight * max(tokens / nullif(weight, 0)) OVER () / nullif(tokens, 0) AS share FROM weighed),
     passed AS (SELECT *, coalesce(floor(share + 1e-9), 1)::BIGINT AS passes FROM shared),
     sources AS (SELECT *, coalesce(greatest(0, floor((share - passes) * tokens + 1e-6)), 0) AS rest FROM passed),
