@@ -104,8 +104,9 @@ def _filed(classes: DataFrame, s: Settings, looked_into: bool) -> DataFrame:
     return classes.select("rep", "vector").mapInPandas(run, "rep long, signs long, cell long")
 
 
-def _dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
+def _dot(a: str, b: str, ta: Column, tb: Column) -> Column:
+    """The dot product of two vectors, each over its largest component."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") / ta * (y.cast("double") / tb)), F.lit(0.0), lambda x, y: x + y)
 
 
 def usable(vector: Column) -> Column:
@@ -114,6 +115,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _scaled(vector: Column) -> tuple[Column, Column]:
+    """The largest component without its sign, and the norm of the vector over it: neither under- nor overflows."""
+    top = F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double"))))
+    return top, F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") / top, F.lit(2.0))))
+
+
 def candidate_pairs(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b), a < b: classes (rep, vector) that meet in a cell."""
     x, y = _filed(classes, s, True).alias("x"), _filed(classes, s, False).alias("y")
@@ -123,24 +130,26 @@ def candidate_pairs(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
     """(a, b), a < b: the pairs that meet and have a cosine of at least the threshold."""
-    left = classes.select(F.col("rep").alias("a"), F.col("vector").alias("va"), F.col("norm").alias("na"))
-    right = classes.select(F.col("rep").alias("b"), F.col("vector").alias("vb"), F.col("norm").alias("nb"))
+    left = classes.select(F.col("rep").alias("a"), F.col("vector").alias("va"), F.col("top").alias("ta"), F.col("norm").alias("na"))
+    right = classes.select(F.col("rep").alias("b"), F.col("vector").alias("vb"), F.col("top").alias("tb"), F.col("norm").alias("nb"))
     met = candidate_pairs(classes, s).join(left, "a").join(right, "b").where(F.size("va") == F.size("vb"))
-    return met.where(_dot("va", "vb") / (F.col("na") * F.col("nb")) >= s.threshold).select("a", "b")
+    return met.where(_dot("va", "vb", F.col("ta"), F.col("tb")) / (F.col("na") * F.col("nb")) >= s.threshold).select("a", "b")
 
 
 def group(rows: DataFrame, settings: Settings = Settings(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Equal vectors form a class that takes part once, with its size: copies are counted, not paired. Vectors that are null,
-    empty, zero or hold null or non-finite components link with nothing, nor do those of different lengths. Rows that share
+    empty, zero or hold null or non-finite components link with nothing, nor do those of different lengths; those of very small
+    or very large components do. Rows that share
     an id are one node with all their links; null ids are never a component's least id and not kept. Empty table: no rows.
     Other columns are ignored.
     """
     s = settings
     all_rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).withColumn("usable", usable(F.col("vector")))
     classes = all_rows.where("usable and vec_id is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"))
-    classes = written(classes.withColumn("norm", F.sqrt(_dot("vector", "vector"))), "classes")
+    top, norm = _scaled(F.col("vector"))
+    classes = written(classes.select("*", top.alias("top"), norm.alias("norm")), "classes")
     found = written(links(classes, s), "links")
     both = found.select("a", F.col("b").alias("rep")).union(found.select(F.col("b").alias("a"), F.col("a").alias("rep")))
     others = both.join(classes.select("rep", "members"), "rep").groupBy("a").agg(F.sum("members").alias("others"))
