@@ -27,10 +27,13 @@ LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*([^\r\n]*)", re.IGNORECASE)
 REVISIT_BYTES = 100
 #: So many repeated payloads, of about 100 bytes each, are broadcast at most; beyond, pages meet them in a shuffle.
 BROADCAST_ROWS = 50_000
-#: An archive has at most so many records, and of records of the mean size no more than so many bytes: one task reads it.
-RECORDS_PER_FILE, FILE_BYTES = 10_000, 64_000_000
-#: Bytes of a record's headers, about, with a url of at most so many.
-HEAD_BYTES, URL_BYTES = 600, 200
+#: An archive has at most so many bytes, or one record: one task reads it.
+FILE_BYTES = 64_000_000
+#: Records up to so many bytes are written together, then those up to the next bound: each archive of a class takes as many
+#: records as fit at the class's bound. Beyond the last bound a record has an archive of its own.
+SIZES = (6_400, 64_000, 640_000, 6_400_000)
+#: A record's headers but for its url and ids are shorter.
+HEAD_BYTES = 800
 # The profile of revisits by equal payload, and the date of every record.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -67,14 +70,22 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", h
         F.lit("\r\n"),
     )
     record = F.concat(head, block, F.when(revisit, "").otherwise(F.col("html")))
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file(pages, html, url)).text(path)
+    most = F.octet_length("html") + F.coalesce(F.octet_length("url"), F.lit(0)) + 2 * F.coalesce(F.octet_length("id"), F.lit(0)) + HEAD_BYTES
+    present = rows.agg(*[F.max(_class(most, i).cast("int")) for i in range(len(SIZES) + 1)]).first()
+    for i in [i for i, found in enumerate(present) if found] or [0]:
+        of = rows.where(_class(most, i)).select(record.alias("value"))
+        of.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records_per_file(i)).text(path)
 
 
-def records_per_file(pages: DataFrame, html: str = "html", url: str = "url") -> int:
-    """How many records an archive takes, by the mean size of all payloads and long urls."""
-    long_url = F.greatest(F.lit(0), F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0)) - URL_BYTES)
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)) + long_url)).first()[0] or 0.0
-    return max(1, min(RECORDS_PER_FILE, int(FILE_BYTES / (mean + HEAD_BYTES))))
+def _class(size: Column, i: int) -> Column:
+    """Whether a record is of the size class."""
+    over = size > (SIZES[i - 1] if i else -1)
+    return over & (size <= SIZES[i]) if i < len(SIZES) else over
+
+
+def records_per_file(i: int) -> int:
+    """How many records of a size class an archive takes."""
+    return max(1, FILE_BYTES // SIZES[i]) if i < len(SIZES) else 1
 
 
 def _field(head: bytes, name: bytes) -> bytes | None:
