@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions
 
 from melodex.llm import common, embedding_dedup, line_dedup, simhash
 
@@ -34,9 +36,13 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def copy_of(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16) if text is not None else -1
+
+
 def brute_gone(docs):
     order, seen, gone = [], {}, {}
-    for i, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+    for i, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, copy_of(d[1]))):
         for at, line in enumerate(line_dedup.lines_of(text)):
             w = line_dedup.words_of(line)
             if not w:
@@ -90,6 +96,37 @@ def test_line_dedup_texts(spark):
     assert line_dedup.dedup(df.limit(0)).collect() == []
 
 
+BIG = 2**53 + 1
+
+
+def test_line_dedup_judges_each_text_of_an_id(spark):
+    """Two texts under one id, an id beyond 2**53 beside a null one, names that the operator might use itself."""
+    rows = [(1, "one two three four five\nx", 1), (2, "one two three four six\ny", 1), (2, "only here\nnor there", 1), (2, "only here\nnor there", 1), (BIG, "one two three four five six\nz", 1), (None, None, 1), (BIG - 1, "apart", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int").withColumns({x: functions.lit(x) for x in ("_id", "_gone", "_kept", "kept", "gone_id", "copy")})
+    got = line_dedup.dedup(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect() if r["text"]) == [(1, rows[0][1]), (2, "only here\nnor there"), (2, "only here\nnor there"), (2, "y"), (BIG - 1, "apart"), (BIG, "z")]
+    assert all(r["_gone"] == "_gone" and r["gone"] == 1 for r in got.collect())
+    lines = {(r["doc_id"], r["line"]): (r["of_doc_id"], r["of_line"]) for r in line_dedup.duplicate_lines(df).collect()}
+    assert lines == {(2, 0): (1, 0), (BIG, 0): (1, 0)}
+
+
+def test_variants_of_a_very_long_line(spark):
+    words = [f"w{i * 7919 % 50_000}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150_000], "changed", *words[150_001:]])), (3, " ".join(words[1:])), (4, " ".join(words[:-2]))]
+    got = {r["doc_id"]: r["of_doc_id"] for r in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: 1, 3: 1}
+
+
+def test_rolling_hashes_agree_with_those_of_the_parts():
+    made, words = line_dedup.Hashes(), [b"a", b"b", b"a", b"c", b"d", b"e", b"b"]
+    one = made.sums([[b"z"] * 3, words])
+    rest = one.without_each()[3:]
+    assert [int(x) for x in rest] == [int(made.sums([words[:k] + words[k + 1 :]]).whole()[0]) for k in range(7)]
+    longer = made.sums([[*words, b"x"]])
+    assert one.halves()[1, 0] == longer.halves()[0, 2]  # its front half as that of a line of one word less
+
+
 @pytest.mark.parametrize("a,b,ok", [("a b c", "a b c", 1), ("a b c", "a x c", 1), ("a b c", "a b c d", 1), ("a b c", "b c", 1), ("a a b", "a b", 1), ("a b c d", "b a c d", 0), ("a b", "c d", 0), ("a", "b c d", 0), ("a b c", "b c d", 0)])
 def test_within_one(a, b, ok):
     assert line_dedup.within_one(a.encode().split(), b.encode().split()) == bool(ok) == line_dedup.within_one(b.encode().split(), a.encode().split())
@@ -126,6 +163,22 @@ def test_simhash_against_brute_force(spark):
     assert simhash.group(df.limit(0)).collect() == []
 
 
+def test_simhash_judges_each_text_of_an_id(spark):
+    copied, own = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, copied), (2, copied), (2, own), (2, own), (BIG, copied), (None, own), (BIG - 1, "apart from all of them"), (None, None), (None, copied)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: functions.lit(x) for x in ("_gone", "gone_id", "gone_copy", "fp", "copy", "first")})
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == [(0, ""), (1, copied), (2, own), (BIG - 1, "apart from all of them")]
+    assert sorted(r["doc_id"] for r in simhash.group(df).collect() if r["doc_id"]) == [1, 2, 2, 2, BIG - 1, BIG]
+
+
+def test_simhash_of_a_very_long_text(spark):
+    text = " ".join(f"w{i % 70_001}" for i in range(400_000))
+    got = simhash.group(spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in got} == {1} and {r["fp"] % 2**64 for r in got if r["doc_id"] == 1} == {slow_fingerprint(text)}
+
+
 @pytest.mark.parametrize("count", [100, 100_000, 50_000_000])
 def test_simhash_plan_covers_the_radius(count):
     sample = np.random.default_rng(0).integers(0, 2**63, 500, dtype=np.uint64)
@@ -177,6 +230,14 @@ def test_embedding_dedup_against_brute_force(spark):
     assert embedding_dedup.group(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_embeddings_of_extreme_sizes(spark):
+    """Squares that underflow or overflow: neither a crash nor links of what is apart."""
+    a, b = [1.0, 0.2, 0.1, 0.3], [-0.2, 1.0, 0.3, -0.1]
+    rows = [(10 * k + i, [x * f for x in v]) for k, f in enumerate((1.0, 1e-200, 1e200)) for i, v in enumerate((a, b))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.group(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (2, i % 10) for i, _ in rows}
+
+
 def test_embedding_recall_at_the_threshold():
     """Pairs at a cosine of just 0.9, the hardest: the share that meets in some cell."""
     rng, n, s = np.random.default_rng(1), 1500, embedding_dedup.Settings()

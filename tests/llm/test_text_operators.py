@@ -65,6 +65,60 @@ def test_lm_score_base_and_normalisation(spark):
     assert sum(got[i]["score"] for (i, _), h in zip(docs, held, strict=True) if h) > sum(b for b, h in zip(base, held, strict=True) if h)
 
 
+def test_lm_score_is_the_stated_mixture(spark):
+    """The score by brute force: estimates of all training documents, weights by expectation-maximisation over all tokens of
+    the kept-out ones; and the chances of all words after a context sum to one."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"v{int(rng.paretovariate(0.8)) % 60}" for _ in range(rng.randrange(0, 90)))) for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    settings = lm_score.Settings(kept_out=4)
+    dev = {r[0] for r in df.where(F.pmod(F.xxhash64(F.lit("kept out"), F.col("doc_id").cast("string")), F.lit(4)) == 0).collect()}
+    held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 7 == 2}
+    tokens = {i: [*words(x), b"$"] for i, x in docs}
+
+    def counts(ids):
+        one, two = Counter(w for i in ids for w in tokens[i]), Counter(p for i in ids for p in zip([b"^", *tokens[i]], tokens[i], strict=False))
+        one[b"^"] = len(ids)
+        return one, two, sum(len(tokens[i]) for i in ids)
+
+    train = [i for i, _ in docs if i not in held]
+    kept = [i for i in train if i not in dev]
+    types = len({w for i in train for w in tokens[i]})
+    bucket = lambda c: c.bit_length()
+
+    def parts(v, w, made):
+        one, two, n = made
+        return np.array([1 / (types + 1), one[w] / n, two[v, w] / max(1, one[v])])
+
+    made = counts(kept)
+    asked = Counter(p for i in train if i in dev for p in zip([b"^", *tokens[i]], tokens[i], strict=False))
+    weights = {b: np.array([0.2, 0.8, 0.0] if b == 0 else [0.1, 0.5, 0.4]) for b in range(40)}
+    before = -np.inf
+    for _ in range(lm_score.ROUNDS):
+        total, gain = {}, 0.0
+        for (v, w), times in asked.items():
+            p = weights[bucket(made[0][v])] * parts(v, w, made)
+            gain += times * np.log(p.sum())
+            total[bucket(made[0][v])] = total.get(bucket(made[0][v]), 0) + times * p / p.sum()
+        weights |= {b: np.maximum(x / x.sum(), 1e-9) for b, x in total.items()}
+        if gain - before < 1e-5 * abs(gain):
+            break
+        before = gain
+    weights[0][2] = 0.0
+    weights = {b: x / x.sum() for b, x in weights.items()}
+    made = counts(train)
+    chance = lambda v, w: weights[bucket(made[0][v])] @ parts(v, w, made)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, F.col("doc_id").isin(list(held)), settings).collect()}
+    for i, _ in docs:
+        assert got[i] == pytest.approx(sum(math.log10(chance(v, w)) for v, w in zip([b"^", *tokens[i]], tokens[i], strict=False)), rel=1e-6)
+    vocabulary = {w for i in train for w in tokens[i]}
+    for v in [b"^", *sorted(vocabulary - {b"$"})]:
+        assert sum(chance(v, w) for w in vocabulary) + weights[bucket(made[0][v])][0] / (types + 1) == pytest.approx(1)
+
+
 def test_lm_weights_are_a_mixture_and_rise(spark):
     import numpy as np
 
@@ -116,6 +170,37 @@ def test_token_counts_against_brute_force(spark, odd, empty):
     assert token_counts.count_tokens(empty).collect() == []
 
 
+def test_token_counts_of_whole_texts(spark):
+    """Every column against a plain segmentation of each pre-token."""
+    import regex
+
+    scores = token_counts.read_vocabulary()
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60] + [(2**53 + 1, "it's  ein Übung\n\n日本"), (None, "a b"), (2**53, None)]
+    want = []
+    for i, x in docs:
+        words = regex.findall(token_counts.PATTERN, x or "")
+        found = [brute_tokens(w.encode(), scores) for w in words]
+        want.append((i, len(words), len((x or "").encode()), sum(n for n, _ in found), round(sum(p for _, p in found), 6)))
+    got = token_counts.count_tokens(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(((*tuple(r)[:4], round(r["log_prob"], 6)) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_ids_stay_whole_beside_null_ones(spark):
+    """An id that no double holds, in one batch with a null id, through every operator that works on texts in Python."""
+    from pyspark.sql import functions as F
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "the test item of five words", "en"), (None, "the test item of five words", "en"), (big + 2, "other words", "en")], "doc_id long, text string, lang string").coalesce(1)
+    want = [big, big + 2, None]
+    ids = lambda x: sorted((r["doc_id"] for r in x.collect()), key=lambda v: (v is None, v))
+    assert ids(lm_score.score(df, F.lit(False))) == want
+    assert ids(token_counts.count_tokens(df)) == want
+    assert ids(language_id.identify(df)) == want
+    items = spark.createDataFrame([(big, "The test item of five words"), (None, "the test item of five")], "item_id long, text string").coalesce(1)
+    assert sorted(tuple(r)[:2] for r in decontaminate.contained(df, items).collect() if None not in tuple(r)) == [(big, big)]
+    assert ids(decontaminate.clean(df, items)) == [big + 2]
+
+
 def test_trie_starts_anew(monkeypatch):
     monkeypatch.setattr(token_counts, "MOST_NODES", 10)
     scores = {bytes([b]): -1.0 for b in range(256)} | {b"ab": -0.5}
