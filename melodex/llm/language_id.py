@@ -15,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,13 +133,17 @@ class Model:
     def probabilities(self, z: np.ndarray) -> np.ndarray:
         return _softmax(z.astype(np.float64) / self.temperature + self.prior)
 
-    def logits(self, texts: list[str], made: Features) -> tuple[np.ndarray, np.ndarray]:
+    def logits(self, texts: list[str], made: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the languages' logits, whether it has a letter, and the share of its n-grams that have a weight."""
         orders, starts, has = made.of(texts)
-        total, n = 0, 0
+        weighed = self.weights.any(axis=1)
+        total, n, known = 0, 0, 0
         for x in orders:
             total = total + np.add.reduceat(self.weights[x], starts, axis=0)
             n = n + np.add.reduceat(x != (1 << self.bits), starts)
-        return total / np.sqrt(np.maximum(1, n))[:, None], has
+            known = known + np.add.reduceat(weighed[x].astype(np.int64), starts)
+        n = np.maximum(1, n)
+        return total / np.sqrt(n)[:, None], has, known / n
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -205,7 +210,7 @@ def _calibrate(model: Model, rows: DataFrame) -> float:
         at = {x: i for i, x in enumerate(model.langs)}
         y = [at[x] for x in batch.column("lang").to_pylist()]
         for part in _chunks(some):
-            z, _ = model.logits(some[part], made)
+            z, _, _ = model.logits(some[part], made)
             yield record(z=[x.astype(np.float64).tobytes() for x in z], y=pa.array(y[part], pa.int32()))
 
     got = map_texts(rows.select("text", "lang"), logits, "z binary, y int", lambda: Features(shared.value.bits)).collect()
@@ -216,48 +221,56 @@ def _calibrate(model: Model, rows: DataFrame) -> float:
     return float(min(np.exp(np.linspace(np.log(0.05), np.log(20), 241)), key=loss))
 
 
-def _judged(model: Model | None, made: Features, some: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """The language and the score of each text."""
+def _judged(model: Model | None, made: Features, some: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language, the score and the share of known n-grams of each text."""
     some = [x or "" for x in some]
     if model is None:
-        return ["und"] * len(some), np.zeros(len(some))
-    names, scores = [], []
+        return ["und"] * len(some), np.zeros(len(some)), np.zeros(len(some))
+    names, scores, known = [], [], []
     for part in _chunks(some):
-        z, has = model.logits(some[part], made)
+        z, has, share = model.logits(some[part], made)
         p = model.probabilities(z)
         best = p.argmax(axis=1)
         names += [model.langs[i] if ok else "und" for i, ok in zip(best, has, strict=True)]
         scores.append(np.where(has, p[np.arange(len(best)), best], 0.0))
-    return names, np.concatenate(scores)
+        known.append(np.where(has, share, 0.0))
+    return names, np.concatenate(scores), np.concatenate(known)
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, lang_pred, score) for every row. A null text, one without a letter, or no model: ``und`` and 0.0."""
+    """(key, *keep, lang_pred, score, known) for every row; known: the share of the text's n-grams that have a weight in the
+    sparse model. A null text, one without a letter, or no model: ``und``, 0.0 and 0.0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(key, *keep, text)
-    schema = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes[:-1]) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes[:-1]) + ", lang_pred string, score double, known double"
 
     def run(batch: pa.RecordBatch, made: Features) -> Iterator[pa.RecordBatch]:
-        names, scores = _judged(shared.value, made, batch.column(batch.num_columns - 1).to_pylist())
         n = batch.num_columns - 1
-        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores)], names=[*batch.schema.names[:n], "lang_pred", "score"])
+        names, *numbers = _judged(shared.value, made, batch.column(n).to_pylist())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(names, pa.string()), *map(pa.array, numbers)], names=[*batch.schema.names[:n], "lang_pred", "score", "known"])
 
     return map_texts(picked, run, schema, lambda: Features(shared.value.bits if shared.value else 16))
 
 
-def accepted(docs: DataFrame, model: Model | None, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose predicted language is not ``und`` and has a score of at least ``least``."""
+def accepted(docs: DataFrame, model: Model | None, least_known: float, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that are in a learned language: predicted as one, and at least ``least_known`` of
+    their n-grams have a weight. The score alone can't tell, as it says which of the learned languages a text is nearest to.
+    A null ``lang`` of these rows becomes the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(lang)
 
     def run(batch: pa.RecordBatch, made: Features) -> Iterator[pa.RecordBatch]:
-        names, scores = _judged(shared.value, made, texts(batch, text))
-        yield batch.filter(pa.array([x != "und" and p >= least for x, p in zip(names, scores.tolist(), strict=True)]))
+        names, _, known = _judged(shared.value, made, texts(batch, text))
+        filled = pc.coalesce(batch.column(at), pa.array(names, batch.column(at).type))
+        columns = [filled if i == at else x for i, x in enumerate(batch.columns)]
+        batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        yield batch.filter(pa.array([x != "und" and k >= least_known for x, k in zip(names, known.tolist(), strict=True)]))
 
     return map_texts(docs, run, docs.schema, lambda: Features(shared.value.bits if shared.value else 16))
 
 
 def identify(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every document.
+    """(doc_id, held_out, lang_pred, score, known) for every document.
 
     Learns from rows with a text and a label whose crc32(id as text) mod 4 is not 2; the label of no other row is read.
     Nulls: a null label is not learned from, a null text is ``und``; a null id counts as the empty text. Empty table: no

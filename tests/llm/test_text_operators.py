@@ -240,6 +240,22 @@ def test_language_id_learns_rare_labels(spark):
     assert language_id.train(docs.limit(0), settings) is None
 
 
+def test_only_texts_of_learned_languages_are_accepted(spark):
+    """Other scripts and random letters are nearest to some learned language too, but few of their n-grams have a weight."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.train(docs)
+    rng = random.Random(4)
+    junk = lambda letters: " ".join("".join(rng.choices(letters, k=rng.randrange(2, 9))) for _ in range(20))
+    rows = [(10_000 + i, junk(a), None, None, 1) for i, a in enumerate(["абвгдежзиклмн", "αβγδεζηθικλμν", "qwxzjkvbgfpyh"] * 5)] + [(1, None, None, "s", 1), (2, "123 !", "en", "s", 1)]
+    clean = docs.withColumn("lang", functions.when(functions.col("doc_id") % 2 == 0, functions.col("lang")))
+    got = language_id.accepted(clean.unionByName(spark.createDataFrame(rows, docs.schema)), model, 0.8)
+    assert got.columns == docs.columns
+    got = {r["doc_id"]: r["lang"] for r in got.collect()}
+    want = {r["doc_id"]: r["lang"] for r in docs.where("text rlike '[a-zA-Z]'").collect()}
+    assert got.keys() == want.keys()
+    assert sum(got[k] == want[k] for k in got) >= 0.99 * len(want)
+
+
 def test_language_id_beyond_the_basic_plane(spark, odd):
     emoji = spark.createDataFrame([(20, "\U0001f600\U0001f680 \U0001f44d", None, 7)], COLUMNS)
     got = {r["doc_id"]: r for r in language_id.identify(odd.unionByName(emoji)).collect()}
