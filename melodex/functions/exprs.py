@@ -51,18 +51,22 @@ def label_of(step: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in LABELS]), step.cast("int") + 1)
 
 
+def octave_marks(octave: Column) -> Column:
+    """An apostrophe for each octave below, a raised dot for each above."""
+    below, above = F.repeat(F.lit("'"), -octave), F.repeat(F.lit("·"), octave)
+    return F.when(octave < 0, below).when(octave > 0, above).otherwise("")
+
+
 def label(midi: ColumnOrName, tonic: ColumnOrName) -> Column:
-    """Step above the tonic; an apostrophe for each octave below the middle one, a raised dot for each above."""
-    octave = F.floor((col(midi) - (col(tonic) + 48)) / 12).cast("int") - 1
-    base = label_of(floor_mod(half_even(col(midi) - col(tonic)), 12))
-    return F.concat(base, F.when(octave < 0, F.repeat(F.lit("'"), -octave)).when(octave > 0, F.repeat(F.lit("·"), octave)).otherwise(""))
+    """Step above a tonic given as a pitch class, with marks for the octaves from the tonic at 48 to 59 upwards."""
+    octave = F.floor((col(midi) - (col(tonic) + 48)) / 12).cast("int")
+    return F.concat(label_of(floor_mod(half_even(col(midi) - col(tonic)), 12)), octave_marks(octave))
 
 
 def event_label(midi: ColumnOrName, tonic: ColumnOrName) -> Column:
-    """As ``label``, but the octave is that nearest to the tonic itself."""
-    away = half_even(col(midi)) - half_even(col(tonic))
-    octave = half_even(away / 12).cast("int")
-    return F.concat(label_of(floor_mod(away, 12)), F.when(octave < 0, F.repeat(F.lit("'"), -octave)).when(octave > 0, F.repeat(F.lit("·"), octave)).otherwise(""))
+    """Step above a tonic given as a pitch, perhaps between two notes, with marks for the octaves nearest to it."""
+    away = col(midi) - col(tonic)
+    return F.concat(label_of(floor_mod(half_even(away), 12)), octave_marks(half_even(away / 12).cast("int")))
 
 
 def lm_token(midi: ColumnOrName, tonic: ColumnOrName) -> Column:

@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import arrays as A
 from ..functions import exprs as E
+from ..sources.adapters import by_time
 from .frames import voiced
 
 EPSILON = 1e-12
@@ -19,13 +21,26 @@ def dense(keys: DataFrame, bins: int, name: str = "bin") -> DataFrame:
     return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias(name))
 
 
-def folded(frames: DataFrame, bins: int) -> DataFrame:
-    """(recording_id, bin, count), with zeros: voiced frames by their place in the octave. Weighted by confidence times the
-    median step only where all frames of the recording are voiced."""
-    w = Window.partitionBy("recording_id")
-    rows = frames.withColumn("on", F.col("voicing") & (F.col("pitch_hz") > 0)).withColumn("all_on", F.min(F.col("on").cast("int")).over(w) == 1)
+def _on() -> Column:
+    return F.col("voicing") & (F.col("pitch_hz") > 0)
+
+
+def weights(frames: DataFrame) -> DataFrame:
+    """Adds on, whether a frame counts, and weight."""
+    w, whole = by_time(), Window.partitionBy("recording_id")
+    step = F.when(F.row_number().over(w) <= 50, F.col("t") - F.lag("t").over(w))
+    rows = frames.withColumn("on", _on()).withColumn("dt", step)
+    all_on, step = F.min(F.col("on").cast("int")).over(whole) == 1, F.coalesce(F.median("dt").over(whole), F.lit(1.0))
+    return rows.withColumn("weight", F.when(all_on, F.col("confidence") * step).otherwise(1.0)).drop("dt")
+
+
+def folded(frames: DataFrame, bins: int, weighted: bool = True) -> DataFrame:
+    """(recording_id, bin, count), with zeros: voiced frames by their place in the octave. Where all frames of the recording are
+    voiced they weigh their confidence times the median step between the first 50 frames (without it, if there is but one),
+    unless ``weighted`` is off."""
+    rows = weights(frames) if weighted else frames.withColumns({"on": _on(), "weight": F.lit(1.0)})
     at = F.least(F.floor(E.cents(E.hz_to_midi("pitch_hz")) * bins / 1200), F.lit(bins - 1)).cast("int")
-    counts = rows.where("on").groupBy("recording_id", at.alias("bin")).agg(F.sum(F.when(F.col("all_on"), F.col("confidence")).otherwise(1.0)).alias("count"))
+    counts = rows.where("on").groupBy("recording_id", at.alias("bin")).agg(F.sum("weight").alias("count"))
     full = dense(voiced(frames).select("recording_id").distinct(), bins)
     return full.join(counts, ["recording_id", "bin"], "left").select("recording_id", "bin", F.coalesce("count", F.lit(0.0)).alias("count"))
 
@@ -95,21 +110,20 @@ def find_peaks(x: np.ndarray, prominence: float, distance: int) -> np.ndarray:
     return np.array(out, int)
 
 
+def _peaks_of(x: np.ndarray, share: float, distance: int, least: float, high_ends: bool) -> list[int]:
+    x = np.round(x, 9)  # so that levels are equal however their sums were added up
+    need, n = max(least, share * x.max()), len(x)
+    found = set(find_peaks(x, need, distance).tolist())
+    return sorted(found | {i for i in (0, n - 1) if x[i] > x[i - 1] and x[i] > x[(i + 1) % n] and (x[i] >= need or not high_ends)})
+
+
 def peaks(vectors: DataFrame, column: str, share: float, distance: int, least: float = 0.0, high_ends: bool = True) -> DataFrame:
     """Adds peaks: the bins of the peaks of an array column, and either end where it tops both circular neighbours and, with
     ``high_ends``, the threshold. One vectorised call for each batch of recordings."""
 
     @F.pandas_udf("array<int>")
     def run(batch: pd.Series) -> pd.Series:
-        out = []
-        for v in batch:
-            x = np.asarray(v, float)
-            need = max(least, share * x.max())
-            found = set(find_peaks(x, need, distance).tolist())
-            n = len(x)
-            found |= {i for i in (0, n - 1) if x[i] > x[i - 1] and x[i] > x[(i + 1) % n] and (x[i] >= need or not high_ends)}
-            out.append(sorted(found))
-        return pd.Series(out)
+        return pd.Series([_peaks_of(np.asarray(v, float), share, distance, least, high_ends) for v in batch])
 
     return vectors.withColumn("peaks", run(column))
 
@@ -125,6 +139,58 @@ def validated_peaks(high: DataFrame, low: DataFrame, high_bins: int, low_bins: i
     return rows.withColumn("r", best).where("r = 1").select("recording_id", "pc", "cent", "distance")
 
 
+def profile(frames: DataFrame, band: tuple[float, float] = (100.0, 300.0), half_width: float = 35.0) -> DataFrame:
+    """(recording_id, mass, counts, band, cells): all that hypotheses need of a recording, in one pass over its frames.
+
+    mass: of each of the twelve notes the voiced frames near it, as ``window_mass``; counts: those whose nearest note it is;
+    band: the same of the frames in a frequency band; cells: (cent, low, weight), the frames by whole cents and by low bins,
+    at most some 1,300 of a recording.
+    """
+    cent = E.cents(E.hz_to_midi("pitch_hz"))
+    rows = weights(frames).where("on").withColumn("cent", F.floor(cent).cast("int")).withColumn("low", F.least(F.floor(cent * 33 / 1200), F.lit(32)).cast("int"))
+    inside = (F.col("pitch_hz") >= band[0]) & (F.col("pitch_hz") < band[1])
+    cells = rows.groupBy("recording_id", "cent", "low", E.pitch_class(E.hz_to_midi("pitch_hz")).alias("pc")).agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), F.sum("weight").alias("weight"))
+    off = F.pmod(F.col("cent") + half_width, F.lit(1200.0))
+    cells = cells.withColumn("near", F.when(off % 100 < 2 * half_width, F.floor(off / 100)))
+    twelve_of = lambda note, n: F.array(*[F.sum(F.when(F.col(note) == i, F.col(n)).otherwise(0)) for i in range(12)])
+    return cells.groupBy("recording_id").agg(twelve_of("near", "n").alias("mass"), twelve_of("pc", "n").alias("counts"), twelve_of("pc", "inside").alias("band"), F.collect_list(F.struct("cent", "low", "weight")).alias("cells"))
+
+
+def _smooth_wrapped(x: np.ndarray, sigma: float) -> np.ndarray:
+    kernel = np.array(A.gaussian_kernel(sigma))
+    r = len(kernel) // 2
+    return np.convolve(np.concatenate([x[-r:], x, x[:r]]), kernel, "valid")
+
+
+def validated(high: list[int], low: list[int], high_bins: int = 100, low_bins: int = 33, tolerance: float = 45.0) -> int:
+    """How many notes the validated peaks of a recording make, as ``validated_peaks`` finds them."""
+    centre = lambda i, n: (np.asarray(i, float) + 0.5) * 1200 / n
+    h, lo = centre(high, high_bins), centre(low, low_bins)
+    if len(lo):
+        apart = np.abs((h[:, None] - lo[None] + 600) % 1200 - 600)
+        h = h[(apart <= tolerance).any(axis=1)]
+    return len(np.unique(np.rint(h / 100).astype(int) % 12))
+
+
+@F.pandas_udf(IntegerType())
+def count_peaks(cells: pd.Series) -> pd.Series:
+    """The detected peaks of recordings by their cells (cent, low, weight): one vectorised call for each batch."""
+    out = []
+    for c in cells:
+        cent, low, weight = (np.array([x[k] for x in c], t) for k, t in (("cent", int), ("low", int), ("weight", float)))
+        high = _smooth_wrapped(np.bincount(np.minimum(cent * 100 // 1200, 99), weight, 100), 0.8)
+        coarse = np.bincount(low, weight, 33)
+        out.append(validated(_peaks_of(high, 0.01, 2, 1.0, True), _peaks_of(coarse, 0.03, 1, 0.0, True)))
+    return pd.Series(out)
+
+
+def detected_peaks(frames: DataFrame, high_bins: int = 100, low_bins: int = 33, sigma: float = 0.8) -> DataFrame:
+    """(recording_id, pc, cent, distance): the validated peaks of recordings' histograms."""
+    high = peaks(smoothed(folded(frames, high_bins), high_bins, sigma), "smooth", 0.01, 2, 1.0)
+    low = peaks(vectors(folded(frames, low_bins)), "h", 0.03, 1)
+    return validated_peaks(high, low, high_bins, low_bins)
+
+
 def peak_counts(recordings: DataFrame, high: DataFrame, low: DataFrame, high_bins: int, low_bins: int, tolerance: float = 45.0, note_tolerance: float = 35.0, default: int = 7) -> DataFrame:
     """(recording_id, peaks): how many of the twelve notes have a high-resolution peak near them that lies near a
     low-resolution one on the line, not the circle; ``default`` for recordings without a histogram."""

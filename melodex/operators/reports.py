@@ -21,9 +21,8 @@ def drone_boost(counts: DataFrame, weight: float = 0.2) -> DataFrame:
     return pair.groupBy("recording_id", "tonic").agg((weight * F.sum("s")).alias("boost"))
 
 
-def valleys(voiced: DataFrame, off: int = 15, sigma: float = 5.0) -> DataFrame:
-    """(recording_id, valleys, slopes): of the twelve notes, how many lie lower than the smoothed 1-cent histogram ``off`` cents
-    to both sides, or to one.
+def _places(voiced: DataFrame, off: int, sigma: float) -> DataFrame:
+    """(recording_id, pc, lo, mid, hi): the smoothed 1-cent histogram at each note and ``off`` cents to its sides.
 
     Only 36 places of the smoothed histogram are asked for, so each cent meets those in reach of the kernel: a table of fixed
     size (36 times the kernel), broadcast.
@@ -34,8 +33,23 @@ def valleys(voiced: DataFrame, off: int = 15, sigma: float = 5.0) -> DataFrame:
     k = voiced.sparkSession.createDataFrame(reach, "bin int, pc int, side int, w double")
     hist = voiced.groupBy("recording_id", F.floor(E.cents(E.hz_to_midi("pitch_hz"))).cast("int").alias("bin")).agg(F.count("*").alias("c"))
     at = lambda side: F.round(F.coalesce(F.sum(F.when(F.col("side") == side, F.col("c") * F.col("w"))), F.lit(0.0)), 9)
-    places = hist.join(F.broadcast(k), "bin", "left").groupBy("recording_id", "pc").agg(at(-1).alias("lo"), at(0).alias("mid"), at(1).alias("hi"))
-    return places.groupBy("recording_id").agg(F.count(F.when((F.col("mid") < F.col("lo")) & (F.col("mid") < F.col("hi")), 1)).alias("valleys"), F.count(F.when((F.col("mid") < F.col("lo")) | (F.col("mid") < F.col("hi")), 1)).alias("slopes"))
+    return hist.join(F.broadcast(k), "bin", "left").groupBy("recording_id", "pc").agg(at(-1).alias("lo"), at(0).alias("mid"), at(1).alias("hi"))
+
+
+def valleys(voiced: DataFrame, off: int = 15, sigma: float = 5.0) -> DataFrame:
+    """(recording_id, valleys, slopes): of the twelve notes, how many lie lower than the places ``off`` cents to both sides, or
+    to one."""
+    places = _places(voiced, off, sigma)
+    lower = lambda side: F.col("mid") < F.col(side)
+    return places.groupBy("recording_id").agg(F.count_if(lower("lo") & lower("hi")).alias("valleys"), F.count_if(lower("lo") | lower("hi")).alias("slopes"))
+
+
+def dips(voiced: DataFrame, off: int = 15, sigma: float = 5.0) -> DataFrame:
+    """(recording_id, dips): for each of the twelve notes whether it lies lower than the places to both its sides."""
+    low = F.bool_or((F.col("mid") < F.col("lo")) & (F.col("mid") < F.col("hi")))
+    at = lambda i: F.coalesce(F.bool_or(F.when(F.col("pc") == i, F.col("low"))), F.lit(False))
+    flags = _places(voiced, off, sigma).groupBy("recording_id", "pc").agg(low.alias("low"))
+    return flags.groupBy("recording_id").agg(F.array(*[at(i) for i in range(12)]).alias("dips"))
 
 
 def transition_activity(transitions: DataFrame) -> DataFrame:
@@ -60,17 +74,17 @@ def band_grid(voiced: DataFrame, lows: Iterable[int], widths: Iterable[int], gat
 
 
 def smooth_in_time(frames: DataFrame, value: str, sigma: float) -> DataFrame:
-    """(frame_id, smooth): Gaussian smoothing over rows, mirrored at the ends (the end row twice); recordings shorter than the
-    kernel's half are left out. A weighted sum over a frame of rows, with the mirrored rows added near the ends."""
+    """(frame_id, smooth): Gaussian smoothing over rows, mirrored at the ends (the end row twice), again and again where
+    the kernel is longer than the recording. A weighted sum over a frame of rows, with the mirrored rows added near the ends."""
     kernel = gaussian_kernel(sigma)
     r = len(kernel) // 2
     w = by_time()
-    rows = frames.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("recording_id"))).where(F.col("_n") > r)
+    rows = frames.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy("recording_id")))
     rows = rows.withColumn("_near", F.collect_list(value).over(w.rowsBetween(-r, r))).withColumn("_from", F.greatest(F.col("_i") - r, F.lit(0)))
     total = F.lit(0.0)
     for o, k in zip(range(-r, r + 1), kernel, strict=True):
-        j = F.col("_i") + o
-        j = F.when(j < 0, -j - 1).when(j >= F.col("_n"), 2 * F.col("_n") - 1 - j).otherwise(j)
+        j = F.pmod(F.col("_i") + o, 2 * F.col("_n"))
+        j = F.when(j >= F.col("_n"), 2 * F.col("_n") - 1 - j).otherwise(j)
         total = total + k * F.element_at("_near", (j - F.col("_from") + 1).cast("int"))
     return rows.select("frame_id", total.alias("smooth"))
 
@@ -108,17 +122,13 @@ def segments(sizes: DataFrame, least: int) -> DataFrame:
     return sizes.groupBy("recording_id").applyInPandas(lambda x: _segments(x, least), "recording_id long, segment int, first long, last long, tokens long")
 
 
-def calibrated(rows: DataFrame, group: str, score: str, steps: int = 20) -> DataFrame:
-    """(group, threshold, kept): by bisection the score from which on a group keeps as many rows as the smallest group has. Each
-    step is one aggregate over all groups; their thresholds go along as columns."""
-    counts = rows.groupBy(group).agg(F.count("*").alias("n"))
-    state = counts.withColumn("wanted", F.min("n").over(Window.partitionBy())).withColumn("lo", F.lit(0.0)).withColumn("hi", F.lit(1.0)).drop("n")
+def calibrated(rows: DataFrame, group: str, score: str) -> DataFrame:
+    """(group, threshold, kept): the least score from which on a group keeps no more rows than the smallest group has; null and
+    0 if its highest score alone has more. Sums over the distinct scores from above."""
     known = rows.groupBy(group, score).agg(F.count("*").alias("c"))
-    for _ in range(steps):
-        mid = (F.col("lo") + F.col("hi")) / 2
-        kept = known.join(F.broadcast(state), group).groupBy(group, "wanted", "lo", "hi").agg(F.sum(F.when(F.col(score) >= mid, F.col("c")).otherwise(0)).alias("kept"))
-        many = F.col("kept") > F.col("wanted")
-        now = kept.select(group, "wanted", F.when(many, mid).otherwise(F.col("lo")).alias("lo"), F.when(many, F.col("hi")).otherwise(mid).alias("hi")).collect()
-        state = rows.sparkSession.createDataFrame(now, state.schema)  # a row for each group: as many as extractors are compared
-    out = known.join(F.broadcast(state), group).groupBy(group, "hi").agg(F.sum(F.when(F.col(score) >= F.col("hi"), F.col("c")).otherwise(0)).alias("kept"))
-    return out.select(group, F.col("hi").alias("threshold"), "kept")
+    wanted = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.min("n").alias("wanted"))
+    above = Window.partitionBy(group).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    at = known.withColumn("kept", F.sum("c").over(above)).crossJoin(F.broadcast(wanted))  # of one row
+    fits = F.col("kept") <= F.col("wanted")
+    out = at.groupBy(group).agg(F.min(F.when(fits, F.col(score))).alias("threshold"), F.max(F.when(fits, F.col("kept"))).alias("kept"))
+    return out.select(group, "threshold", F.coalesce("kept", F.lit(0)).alias("kept"))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .histogram import EPSILON
+from ..functions import arrays as A
+from .histogram import EPSILON, count_peaks
 
 
 @dataclass(frozen=True)
@@ -31,29 +34,45 @@ def best_per_recording(rows: DataFrame, order: list[Column], n: int | None = Non
     return out.where(F.col(name) <= n) if n else out
 
 
-def hypotheses(dist: DataFrame, steps: DataFrame, tonics: list[int] | None = None) -> DataFrame:
-    """(recording_id, scale_id, tonic) and sums over the scale's notes. dist: (recording_id, pc, p) of all twelve notes.
+#: Scales are a dimension: up to so many are broadcast, beyond Spark chooses.
+BROADCAST_SCALES = 100_000
 
-    Each note of a recording meets each step of the scales; the tonic follows from the two. The scale table is small and of
-    fixed size, so it is broadcast, and the sums stay in the recording's partition. The few rows of the distribution become
-    hundreds of times as many here, so they are dealt to all partitions first: by their size alone they would be coalesced.
+
+def hypotheses(dist: DataFrame, scales: DataFrame, tonics: list[int] | None = None) -> DataFrame:
+    """(recording_id, scale_id, tonic) and sums over the scale's notes. dist: (recording_id, p), p the shares of the twelve
+    notes; other columns stay. scales: (scale_id, mask); those of one note are no hypotheses.
+
+    A recording's shares are turned to each tonic once; then every hypothesis is a row of its own, a sum of at most twelve
+    products, without an aggregate or a shuffle. The few rows of the distribution become hundreds of times as many here, so
+    they are dealt to all partitions first: by their size alone they would be coalesced.
     """
     n = int(dist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dist.repartition(n, "recording_id").withColumn("most", F.max("p").over(Window.partitionBy("recording_id")))
-    met = rows.join(F.broadcast(steps)).withColumn("tonic", F.pmod(F.col("pc") - F.col("step"), F.lit(12)))
-    if tonics is not None:
-        met = met.where(F.col("tonic").isin(tonics))
-    at = lambda i: F.max(F.when(F.col("step") == i, F.col("p")).otherwise(0.0))
-    return met.groupBy("recording_id", "scale_id", "tonic").agg(
-        F.count("*").alias("size"), F.sum("p").alias("match_mass"), F.sum(F.log(F.col("p") + EPSILON)).alias("loglike"), F.max("most").alias("most"), at(0).alias("p0"), F.greatest(at(5), at(6), at(7)).alias("p_drone")
-    )
-
-
-def score(hyp: DataFrame, peaks: DataFrame, w: Weights = Weights()) -> DataFrame:
-    """Adds the score's columns. peaks: (recording_id, n_peaks)."""
+    keep = [c for c in dist.columns if c != "p"]
+    turned = dist.repartition(n, "recording_id").select(*keep, "p", F.array_max("p").alias("most"), F.explode(F.array(*[F.lit(t) for t in (range(12) if tonics is None else tonics)])).alias("tonic"))
+    at = lambda i: F.get("p", (F.col("tonic") + i) % 12)
+    turned = turned.select(*keep, "most", "tonic", *[at(i).alias(f"q{i}") for i in range(12)], *[F.log(at(i) + EPSILON).alias(f"l{i}") for i in range(12)])
+    on = [F.get("mask", F.lit(i)).cast("int").alias(f"m{i}") for i in range(12)]
+    size = F.aggregate("mask", F.lit(0), lambda s, x: s + x.cast("int"))
+    masks = scales.select("scale_id", size.cast("long").alias("size"), *on).where("size >= 2")
+    met = turned.crossJoin(F.broadcast(masks) if masks.count() <= BROADCAST_SCALES else masks)
+    total = lambda x: reduce(add, [F.col(f"m{i}") * F.col(f"{x}{i}") for i in range(12)])
+    drone = F.greatest(*[F.col(f"m{i}") * F.col(f"q{i}") for i in (5, 6, 7)])
+    sums = [total("q").alias("match_mass"), total("l").alias("loglike"), (F.col("m0") * F.col("q0")).alias("p0"), drone.alias("p_drone")]
+    return met.select(*keep, "scale_id", "tonic", "size", "most", *sums)
+
+
+def shares(profile: DataFrame) -> DataFrame:
+    """The profiles of recordings with p, the shares of the twelve notes' masses, and n_peaks."""
+    total = F.aggregate("mass_", F.lit(0).cast("long"), lambda s, x: s + x)
+    rows = profile.withColumnRenamed("mass", "mass_")
+    p = F.transform("mass_", lambda x: (x + EPSILON) / (total + 12 * EPSILON))
+    return rows.select("recording_id", p.alias("p"), "counts", "band", count_peaks("cells").alias("n_peaks"))
+
+
+def score(hyp: DataFrame, w: Weights = Weights()) -> DataFrame:
+    """Adds the score's columns to hypotheses with n_peaks, the recording's detected peaks."""
     k = F.col("size")
-    rows = hyp.join(peaks, "recording_id", "left").withColumn("n_peaks", F.coalesce("n_peaks", F.lit(7)))
-    rows = rows.withColumn("extra_mass", 1 - F.col("match_mass")).withColumn("observed", F.col("match_mass") / k / (F.col("most") + EPSILON))
+    rows = hyp.withColumn("extra_mass", 1 - F.col("match_mass")).withColumn("observed", F.col("match_mass") / k / (F.col("most") + EPSILON))
     rows = rows.withColumn("loglike_norm", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 + (F.col("loglike") / (k + EPSILON)) / (math.log(12) + EPSILON))))
     rows = rows.withColumn("complexity", F.greatest(F.lit(0.0), (k - 5) / 12)).withColumn("size_penalty", w.size * F.abs(k - F.col("n_peaks")) / 4)
     rows = rows.withColumn("primary", F.col("p0") + F.greatest(F.lit(0.0), "p_drone"))
@@ -61,18 +80,49 @@ def score(hyp: DataFrame, peaks: DataFrame, w: Weights = Weights()) -> DataFrame
     return rows.withColumn("fit_raw", fit)
 
 
-def boost(scored: DataFrame, band: DataFrame, drone: DataFrame | None = None, w: Weights = Weights()) -> DataFrame:
-    """Adds fit and salience: the tonic's share of notes in a band (recording_id, pc, n), and, with an accompaniment, that of
-    the tonic and its fifth; clipped to 1 either way, so that high scores tie."""
-    share = lambda c: F.col(c) / (F.max(c).over(Window.partitionBy("recording_id")) + EPSILON)
-    own = band.withColumn("share", share("n")).select("recording_id", F.col("pc").alias("tonic"), F.col("n").alias("salience"), (w.band * F.col("share")).alias("up"))
-    rows = scored.join(own, ["recording_id", "tonic"], "left").withColumn("up", F.coalesce("up", F.lit(0.0)))
-    if drone is not None:
-        d = drone.withColumn("share", share("n"))
-        pair = d.select("recording_id", F.col("pc").alias("tonic"), "share").unionAll(d.select("recording_id", F.pmod(F.col("pc") - 7, F.lit(12)), "share")).groupBy("recording_id", "tonic").agg((w.drone * F.sum("share")).alias("up2"))
-        rows = rows.join(pair, ["recording_id", "tonic"], "left").withColumn("up", F.col("up") + F.coalesce("up2", F.lit(0.0))).drop("up2")
+def boost(scored: DataFrame, drone: bool = False, w: Weights = Weights()) -> DataFrame:
+    """Adds up, fit and salience to hypotheses with band, the frames of each note in a band, and, with ``drone``, those of an
+    accompaniment: the tonic's share of the band, and the shares of the tonic and its fifth of the accompaniment; clipped to 1
+    either way, so that high scores tie."""
+    at = lambda c, i: F.get(c, (F.col("tonic") + i) % 12)
+    share = lambda c, i: at(c, i) / (F.array_max(c) + EPSILON)
+    up = w.band * share("band", 0)
+    if drone:
+        up = up + F.coalesce(w.drone * (share("drone", 0) + share("drone", 7)), F.lit(0.0))
+    rows = scored.withColumn("up", up)
     raw = F.col("fit_raw") + F.col("up")
-    return rows.withColumn("fit", w.scale * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).withColumn("salience", F.coalesce("salience", F.lit(0)))
+    return rows.withColumn("fit", w.scale * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).withColumn("salience", at("band", 0))
+
+
+def valleys(scored: DataFrame, off: int = 15) -> DataFrame:
+    """Adds valley_penalty: of the scale's notes how many lie lower in the smoothed 1-cent histogram than ``off`` cents to both
+    sides, and are not among the recording's ``n_peaks`` most frequent notes. Needs mask, counts and dips, the twelve flags."""
+    order = F.reverse(F.array_sort(F.transform("counts", lambda x, i: F.struct(x.alias("n"), i.alias("pc")))))
+    tops = F.transform(F.slice(order, 1, F.greatest(F.col("n_peaks"), F.lit(0))), lambda x: x["pc"])
+    notes = F.transform("mask", lambda on, i: F.when(on == 1, (i + F.col("tonic")) % 12))
+    low = F.filter(notes, lambda pc: pc.isNotNull() & F.get("dips", pc) & ~F.array_contains(tops, pc))
+    return scored.withColumn("valley_penalty", F.size(low))
+
+
+def turned_vectors(rows: DataFrame, melody: str, accompaniment: str) -> DataFrame:
+    """(recording_id, tonic, melody, accompaniment): twelve shares each, to six places, from each tonic on."""
+    total = F.aggregate(accompaniment, F.lit(0).cast("long"), lambda s, x: s + x)
+    shares = F.when(total > 0, F.transform(accompaniment, lambda x: x / total)).otherwise(F.array_repeat(F.lit(0.0), 12))
+    each = rows.select("recording_id", F.col(melody).alias("p"), shares.alias("a"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("tonic"))
+    text = lambda c: F.array_join(F.transform(A.roll(c, "tonic"), lambda x: F.round(x, 6).cast("decimal(9,6)").cast("string")), ",")
+    return each.select("recording_id", "tonic", text("p").alias("melody"), text("a").alias("accompaniment"))
+
+
+def by_intervals(notes: DataFrame, scales: DataFrame) -> DataFrame:
+    """(recording_id, tonic, scale_id, steps) of recordings' notes (recording_id, pcs ascending): scales and recordings meet by
+    the least rotation of their intervals, and match where the intervals from the tonic on are the scale's own."""
+    mask = lambda pcs, t: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.array_contains(pcs, ((i + t) % 12).cast("int")).cast("int"))
+    turned = notes.select("recording_id", "pcs", F.explode("pcs").alias("tonic")).select("recording_id", "tonic", A.intervals(mask(F.col("pcs"), F.col("tonic"))).alias("iv"))
+    turned = turned.withColumn("canon", A.canonical(F.col("iv")))
+    steps = F.filter(F.transform("mask", lambda on, i: F.when(on == 1, i)), lambda i: i.isNotNull())
+    known = scales.select("scale_id", F.array_join(F.transform(steps, lambda x: x.cast("string")), ",").alias("steps"), F.size(steps).alias("k"), A.intervals("mask").alias("own"))
+    known = known.where("k >= 2").withColumn("canon", A.canonical(F.col("own")))
+    return turned.join(known, "canon").where(F.col("iv") == F.col("own")).select("recording_id", "tonic", "scale_id", "steps")
 
 
 def ranked(boosted: DataFrame, n: int | None = None) -> DataFrame:

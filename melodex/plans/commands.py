@@ -13,7 +13,6 @@ from ..operators import histogram as H
 from ..operators import ngrams as G
 from ..operators import phrases as P
 from ..operators import scoring as C
-from ..sources.adapters import scale_steps
 
 
 @dataclass(frozen=True)
@@ -35,13 +34,12 @@ def detect(frames: DataFrame, scales: DataFrame, s: Settings = Settings(), accom
     """Frames to ranked hypotheses (scale, tonic). The scales are filtered before they meet the recordings, and a recording's
     rows stay in its partition from the distribution to the rank."""
     f = O.rethreshold(frames, s.confidence)
-    dist = H.distribution(H.window_mass(f))
-    counts = H.pitch_class_counts(f)
-    peaks = H.salience_survivors(counts).groupBy("recording_id").agg(F.count("*").cast("int").alias("n_peaks"))
-    band = O.band(f, *s.band).groupBy("recording_id", E.pitch_class(E.hz_to_midi("pitch_hz")).alias("pc")).agg(F.count("*").alias("n"))
-    drone = H.pitch_class_counts(accompaniment) if accompaniment is not None else None
-    scored = C.score(C.hypotheses(dist, scale_steps(scales), tonics), peaks)
-    return {"distribution": dist, "counts": counts, "candidates": C.ranked(C.boost(scored, band, drone), s.top)}
+    found = C.shares(H.profile(f, s.band))
+    if accompaniment is not None:
+        drone = H.profile(accompaniment).select("recording_id", F.col("counts").alias("drone"))
+        found = found.join(drone, "recording_id", "left")
+    scored = C.boost(C.score(C.hypotheses(found, scales, tonics)), accompaniment is not None)
+    return {"profiles": found, "candidates": C.ranked(scored, s.top)}
 
 
 def analyse(frames: DataFrame, s: Settings = Settings(), scale: list[int] | None = None, tonic: int = 0) -> dict[str, DataFrame]:

@@ -51,11 +51,13 @@ def lm_totals(spark, d):
     return grams(spark, d, 1, 1).groupBy("class").agg(F.count("*").alias("tokens"), F.count_distinct("recording_id").alias("recordings"), F.count_distinct("ngram").alias("types"))
 
 
-@R("vocabulary", "SELECT w AS word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(trim(text)), '\\s+')) AS w FROM documents WHERE lang = 'fr') GROUP BY 1 HAVING count(*) >= 20")
+@R("vocabulary", f"""{TOK}
+    SELECT ngram AS token, count(DISTINCT class) AS classes, count(DISTINCT recording_id) AS recordings, count(*) AS n
+    FROM gr WHERE n = 1 GROUP BY 1""")
 def vocabulary(spark, d):
-    docs = S.table(spark, d, "documents").where("lang = 'fr'")
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.trim("text")), r"\s+"))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("docs")).where("docs >= 20")
+    """All tokens of all classes."""
+    g = grams(spark, d, 1, 1).groupBy(F.col("ngram").alias("token"))
+    return g.agg(F.count_distinct("class").alias("classes"), F.count_distinct("recording_id").alias("recordings"), F.count("*").alias("n"))
 
 
 @R("lm_entropy", f"{CNT}, s AS (SELECT n, ngram, cnt / sum(cnt) OVER (PARTITION BY n, ngram) AS p FROM cnt) SELECT n, ngram, round(1 / (1 - sum(p * log2(p))), 6) AS weight FROM s GROUP BY 1, 2")
@@ -138,9 +140,11 @@ def confusion_matrix(spark, d):
 def confusion_pairs(spark, d):
     best = scores(spark, d, True).groupBy("recording_id").agg(F.max_by("class", F.struct(F.round("logprob", 6), -F.col("class"))).alias("predicted"))
     t = F.col("recording_id") % 4
-    g = best.where(t != F.col("predicted")).groupBy(F.least(t, "predicted").alias("a"), F.greatest(t, "predicted").alias("b"))
-    out = g.agg(F.count("*").alias("total"), F.count(F.when(t < F.col("predicted"), 1)).alias("forward"), F.sort_array(F.collect_list("recording_id")).alias("s"))
-    return out.select("a", "b", "total", "forward", F.array_join(F.transform(F.slice("s", 1, 5), lambda x: x.cast("string")), ",").alias("samples"))
+    pairs = best.where(t != F.col("predicted")).withColumns({"a": F.least(t, "predicted"), "b": F.greatest(t, "predicted")})
+    pairs = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("recording_id")))
+    five = F.sort_array(F.collect_list(F.when(F.col("r") <= 5, F.col("recording_id"))))
+    out = pairs.groupBy("a", "b").agg(F.count("*").alias("total"), F.count(F.when(t < F.col("predicted"), 1)).alias("forward"), five.alias("s"))
+    return out.select("a", "b", "total", "forward", F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("samples"))
 
 
 MOT = f"""{TOK}, whole AS (SELECT recording_id, recording_id % 4 AS class, list(track ORDER BY start_us, note_id) AS tokens FROM notes GROUP BY 1, 2),
@@ -181,9 +185,9 @@ def motif_score(spark, d):
     return G.motif_scores(motif_grams(spark, d), motifs(spark, d), ["recording_id"]).withColumn("score", F.round("score", 5))
 
 
-@R("motif_overlay", f"{MOT}, pg AS (SELECT recording_id, seq, ngram FROM (SELECT recording_id, seq, array_to_string(tokens[pos - 2:pos], '|') AS ngram FROM (SELECT *, unnest(range(3, len(tokens) + 1)) AS pos FROM arr)) WHERE NOT contains(ngram, '<BOS>')) SELECT recording_id, seq, m.class, round(sum(weight), 5) AS score, count(*) AS hits, count(DISTINCT ngram) AS motifs FROM pg JOIN motifs m USING (ngram) GROUP BY 1, 2, 3")
+@R("motif_overlay", f"{MOT}, pg AS (SELECT recording_id, seq, ngram FROM (SELECT recording_id, seq, array_to_string(tokens[pos - n + 1:pos], '|') AS ngram FROM (SELECT *, unnest(range(n, len(tokens) + 1)) AS pos FROM arr, (SELECT unnest([3, 4]) AS n))) WHERE NOT contains(ngram, '<BOS>')) SELECT recording_id, seq, m.class, round(sum(weight), 5) AS score, count(*) AS hits, count(DISTINCT ngram) AS motifs FROM pg JOIN motifs m USING (ngram) GROUP BY 1, 2, 3")
 def motif_overlay(spark, d):
-    g = grams(spark, d, 3, 3).where(~F.col("ngram").contains(G.START))
+    g = grams(spark, d, 3, 4).where(~F.col("ngram").contains(G.START))
     return G.motif_scores(g, motifs(spark, d), ["recording_id", "seq"]).withColumn("score", F.round("score", 5))
 
 

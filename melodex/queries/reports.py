@@ -13,6 +13,7 @@ from ..operators import joins as J
 from ..operators import phrases as P
 from ..operators import ranking as K
 from ..operators import reports as T
+from ..operators import scoring as C
 from ..sources import adapters as S
 from .registry import Registry
 from .scoring import DIST, FR, HYP, PC, RECS, SC, SCORED, COUNTS, V, scored
@@ -96,9 +97,8 @@ def fifth_errors(spark, d):
 @R("tonic_rotation_check", f"{SC}, {HYP}, o AS (SELECT recording_id, tonic, match_mass FROM hyp WHERE scale_id = recording_id % 50 + 1), b AS (SELECT recording_id, arg_max(tonic, (round(match_mass, 9), -tonic)) AS best, max(match_mass) AS top, max(match_mass) FILTER (tonic = recording_id % 12) AS own FROM o GROUP BY 1) SELECT recording_id, best, ((best - recording_id % 12) % 12 + 12) % 12 AS shift, round(top - own, 6) AS gain FROM b WHERE top - own > 0.01")
 def tonic_rotation_check(spark, d):
     """Whether another tonic fits a recording's own scale clearly better than its own tonic."""
-    from ..operators.scoring import hypotheses
-
-    h = hypotheses(H.distribution(H.window_mass(S.frames(spark, d))), S.scale_steps(S.scales(spark, d))).where(F.col("scale_id") == F.col("recording_id") % 50 + 1)
+    found = C.shares(H.profile(S.frames(spark, d)))
+    h = C.hypotheses(found, S.scales(spark, d)).where(F.col("scale_id") == F.col("recording_id") % 50 + 1)
     own = F.max(F.when(F.col("tonic") == F.col("recording_id") % 12, F.col("match_mass")))
     b = h.groupBy("recording_id").agg(F.max_by("tonic", F.struct(F.round("match_mass", 9), -F.col("tonic"))).alias("best"), F.max("match_mass").alias("top"), own.alias("own"))
     return b.where("top - own > 0.01").select("recording_id", "best", F.pmod(F.col("best") - F.col("recording_id") % 12, F.lit(12)).alias("shift"), F.round(F.col("top") - F.col("own"), 6).alias("gain"))
@@ -150,13 +150,17 @@ def names_ignoring_case(spark, d):
     return names.groupBy(F.lower("w").alias("low")).agg(F.min("w").alias("first"))
 
 
-@R("spelling_variants", """WITH k AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), w AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'i', 'ee') ELSE p_name END AS name FROM part),
+@R("spelling_variants", """WITH k AS (SELECT DISTINCT p_name AS name FROM part),
+    w AS (
+        SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'i', 'ee') WHEN 2 THEN 'no ' || p_name ELSE p_name END AS name
+        FROM part),
     c AS (SELECT w.name, k.name AS found, CASE WHEN k.name = w.name THEN 1 WHEN lower(k.name) = lower(w.name) THEN 2 WHEN replace(lower(k.name), 'ee', 'i') = replace(lower(w.name), 'ee', 'i') THEN 3 END AS stage FROM w JOIN k ON replace(lower(k.name), 'ee', 'i') = replace(lower(w.name), 'ee', 'i'))
     SELECT w.name, r.found, coalesce(r.stage, 9) AS stage FROM w LEFT JOIN (SELECT name, arg_min(found, (stage, found)) AS found, min(stage) AS stage FROM c GROUP BY 1) r ON r.name = w.name""")
 def spelling_variants(spark, d):
     p = S.table(spark, d, "part")
-    k = p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("found")).distinct()
-    form = F.when(F.col("p_partkey") % 4 == 0, F.upper("p_name")).when(F.col("p_partkey") % 4 == 1, F.replace("p_name", F.lit("i"), F.lit("ee"))).otherwise(F.col("p_name"))
+    k = p.select(F.col("p_name").alias("found")).distinct()
+    way, name = F.col("p_partkey") % 5, F.col("p_name")
+    form = F.when(way == 0, F.upper(name)).when(way == 1, F.replace(name, F.lit("i"), F.lit("ee"))).when(way == 2, F.concat(F.lit("no "), name)).otherwise(name)
     return J.spelled_alike(p.select(form.alias("name")).distinct(), k)
 
 
@@ -173,7 +177,8 @@ def distinct_masks_last_wins(spark, d):
 
 @R("smooth_reflect", f"""{FR}, m AS (SELECT recording_id, frame_id, pitch_hz AS x, row_number() OVER (PARTITION BY recording_id ORDER BY t_us, frame_id) - 1 AS i, count(*) OVER (PARTITION BY recording_id) AS n FROM frames),
     k AS (SELECT o, exp(-0.5 * (o / 1.5) ** 2) / (SELECT sum(exp(-0.5 * (unnest / 1.5) ** 2)) FROM unnest(range(-6, 7))) AS w FROM (SELECT unnest(range(-6, 7)) AS o)),
-    a AS (SELECT m.recording_id, m.frame_id, w, CASE WHEN i + o < 0 THEN -(i + o) - 1 WHEN i + o >= n THEN 2 * n - 1 - (i + o) ELSE i + o END AS j FROM m, k WHERE n > 6)
+    p AS (SELECT recording_id, frame_id, w, n, ((i + o) % (2 * n) + 2 * n) % (2 * n) AS j FROM m, k),
+    a AS (SELECT recording_id, frame_id, w, CASE WHEN j >= n THEN 2 * n - 1 - j ELSE j END AS j FROM p)
     SELECT a.frame_id, round(sum(w * x), 6) AS smooth FROM a JOIN m ON m.recording_id = a.recording_id AND m.i = a.j GROUP BY 1""")
 def smooth_reflect(spark, d):
     return T.smooth_in_time(S.frames(spark, d), "pitch_hz", 1.5).withColumn("smooth", F.round("smooth", 6))
@@ -298,9 +303,14 @@ def segment_windows(spark, d):
     return T.segments(sizes, 12)
 
 
-@R("calibrated_threshold")
+@R("calibrated_threshold", f"""{S.with_('frames')},
+    v AS (SELECT track, confidence, count(*) AS c FROM frames WHERE voicing AND pitch_hz > 0 GROUP BY 1, 2),
+    w AS (SELECT min(n) AS wanted FROM (SELECT sum(c) AS n FROM v GROUP BY track)),
+    k AS (SELECT *, sum(c) OVER (PARTITION BY track ORDER BY confidence DESC)::BIGINT AS kept FROM v)
+    SELECT track, min(confidence) FILTER (kept <= wanted) AS threshold, coalesce(max(kept) FILTER (kept <= wanted), 0)::BIGINT AS kept
+    FROM k, w GROUP BY 1""")
 def calibrated_threshold(spark, d):
-    """For each track the confidence that leaves as many voiced frames as the smallest track has, by bisection over counts."""
+    """For each track the confidence that leaves no more voiced frames than the smallest track has."""
     return T.calibrated(O.voiced(S.frames(spark, d)), "track", "confidence")
 
 

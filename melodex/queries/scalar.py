@@ -33,16 +33,25 @@ def circular_distance(spark, d):
     return n.select("note_id", "c", F.round(E.circular_distance("a", F.col("c") * 100), 5).alias("distance"))
 
 
-@R("label_from_midi", f"""{NO}, n AS (SELECT note_id, midi, floor((midi - 108) / 12) - 1 AS o, CAST({FLOOR12.format('round_even(midi - 60, 0)')} AS INT) AS s FROM notes)
-    SELECT note_id, ({LABEL_LIST})[s + 1] || CASE WHEN o < 0 THEN repeat('''', CAST(-o AS INT)) WHEN o > 0 THEN repeat('·', CAST(o AS INT)) ELSE '' END AS label FROM n""")
+MARKS = "CASE WHEN o < 0 THEN repeat('''', CAST(-o AS INT)) WHEN o > 0 THEN repeat('·', CAST(o AS INT)) ELSE '' END"
+
+
+@R("label_from_midi", f"""{NO},
+    n AS (
+        SELECT note_id, floor((midi - (recording_id % 12 + 48)) / 12) AS o,
+            CAST({FLOOR12.format('round_even(midi - recording_id % 12, 0)')} AS INT) AS s
+        FROM notes)
+    SELECT note_id, ({LABEL_LIST})[s + 1] || {MARKS} AS label FROM n""")
 def label_from_midi(spark, d):
-    return S.notes(spark, d).select("note_id", E.label("midi", F.lit(60)).alias("label"))
+    return S.notes(spark, d).select("note_id", E.label("midi", F.col("recording_id") % 12).alias("label"))
 
 
-@R("label_from_midi_events", f"""{NO}, n AS (SELECT note_id, round_even(midi, 0) - 57 AS a FROM notes)
-    SELECT note_id, ({LABEL_LIST})[CAST({FLOOR12.format('a')} AS INT) + 1] || CASE WHEN a / 12 < -0.5 THEN repeat('''', CAST(-round_even(a / 12, 0) AS INT)) WHEN a / 12 > 0.5 THEN repeat('·', CAST(round_even(a / 12, 0) AS INT)) ELSE '' END AS label FROM n""")
+@R("label_from_midi_events", f"""{NO},
+    n AS (SELECT note_id, midi - 57.5 AS away, round_even((midi - 57.5) / 12, 0) AS o FROM notes)
+    SELECT note_id, ({LABEL_LIST})[CAST({FLOOR12.format('round_even(away, 0)')} AS INT) + 1] || {MARKS} AS label FROM n""")
 def label_from_midi_events(spark, d):
-    return S.notes(spark, d).select("note_id", E.event_label("midi", F.lit(57)).alias("label"))
+    """Labels above a tonic between two notes."""
+    return S.notes(spark, d).select("note_id", E.event_label("midi", F.lit(57.5)).alias("label"))
 
 
 @R("lm_token", f"""{NO}, n AS (SELECT note_id, round_even(midi, 0) - 50 AS a FROM notes)

@@ -48,9 +48,9 @@ def phrase_filter(spark, d):
     return P.phrase_bounds(phrases(spark, d)).where("notes >= 3 and end - start >= 0.8").groupBy("recording_id").agg(F.count("*").alias("phrases"))
 
 
-@R("gradient", f"{FR}, {GRAD} SELECT frame_id, round(gradient, 4) AS gradient FROM g WHERE abs(gradient) < 1e6")
+@R("gradient", f"{FR}, {GRAD} SELECT frame_id, round(gradient, 4) AS gradient FROM g")
 def gradient(spark, d):
-    return O.gradient(O.midi_or_zero(S.frames(spark, d)), "midi").where(F.abs("gradient") < 1e6).select("frame_id", F.round("gradient", 4).alias("gradient"))
+    return O.gradient(O.midi_or_zero(S.frames(spark, d)), "midi").select("frame_id", F.round("gradient", 4).alias("gradient"))
 
 
 @R("derivative", f"{FR} SELECT frame_id, round(coalesce(abs((pitch_hz - lag(pitch_hz) OVER w) / (t - lag(t) OVER w)), 0), 3) AS derivative FROM frames WHERE voicing WINDOW w AS ({T})")
@@ -96,11 +96,13 @@ def interp_gaps(spark, d):
 
 
 @R("asof_energy", f"""{FR}, pts AS (SELECT recording_id, frame_id AS point_id, t_us + 7000000000 AS t_us FROM frames WHERE track = 'click'), f AS (SELECT recording_id, t_us, energy FROM frames WHERE track <> 'click')
-    SELECT point_id, energy FROM (SELECT p.point_id, f.energy, row_number() OVER (PARTITION BY p.point_id ORDER BY abs(f.t_us - p.t_us), f.t_us) AS r FROM pts p JOIN f USING (recording_id)) WHERE r = 1""")
+    SELECT point_id, energy FROM (
+        SELECT p.point_id, f.energy, row_number() OVER (PARTITION BY p.point_id ORDER BY abs(f.t_us - p.t_us), f.t_us) AS r
+        FROM pts p LEFT JOIN f USING (recording_id)) WHERE r = 1""")
 def asof_energy(spark, d):
     f = S.frames(spark, d)
     points = f.where("track = 'click'").select("recording_id", F.col("frame_id").alias("point_id"), (F.col("t_us") + 7_000_000_000).alias("t_us"))
-    return O.asof_nearest(points, f.where("track != 'click'"), "energy").where("energy is not null").select("point_id", "energy")
+    return O.asof_nearest(points, f.where("track != 'click'"), "energy").select("point_id", "energy")
 
 
 SIL = RUN.format("energy < 0.5", "frames") + ", sil AS (SELECT recording_id, run, min(t) AS s, max(t) AS e FROM rn WHERE run IS NOT NULL GROUP BY 1, 2 HAVING max(t) - min(t) >= 0.2)"
@@ -220,23 +222,23 @@ def two_means_threshold(spark, d):
     return P.gap_thresholds(S.notes(spark, d))
 
 
-@R("scale_label_lookup", f"""{S.with_("scales")}, w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT name FROM scales WHERE scale_id % 2 = 0)
+@R("scale_label_lookup", f"""{S.with_("scales")}, w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT upper(name) FROM scales)
     SELECT w.name, coalesce((SELECT min(scale_id) FROM scales s WHERE lower(s.name) = lower(w.name)), (SELECT min(scale_id) FROM scales s WHERE contains(lower(w.name), lower(s.name)) OR contains(lower(s.name), lower(w.name)))) AS scale_id,
         CASE WHEN EXISTS (SELECT 1 FROM scales s WHERE lower(s.name) = lower(w.name)) THEN 'exact' WHEN EXISTS (SELECT 1 FROM scales s WHERE contains(lower(w.name), lower(s.name)) OR contains(lower(s.name), lower(w.name))) THEN 'contains' ELSE 'none' END AS how FROM w""")
 def scale_label_lookup(spark, d):
     p, s = S.table(spark, d, "part"), S.scales(spark, d)
-    wanted = p.select(F.col("p_brand").alias("name")).union(p.select("p_type")).union(s.where("scale_id % 2 = 0").select("name")).distinct()
+    wanted = p.select(F.col("p_brand").alias("name")).union(p.select("p_type")).union(s.select(F.upper("name"))).distinct()
     return J.fuzzy_lookup(wanted, s)
 
 
 @R("label_match_unique", """WITH f AS (SELECT page_id, lower(regexp_extract(url, '([^/]*)$', 1)) AS base, split_part(lower(regexp_extract(url, '([^/]*)$', 1)), '?', 1) AS stem FROM pages),
-    l AS (SELECT page_id AS label_id, CASE WHEN page_id % 3 = 0 THEN 'x' ELSE stem END AS stem, base FROM f WHERE page_id % 2 = 0), s AS (SELECT stem, count(*) AS n, min(page_id) AS id FROM f GROUP BY 1), b AS (SELECT base, count(*) AS n, min(page_id) AS id FROM f GROUP BY 1)
+    l AS (SELECT page_id AS label_id, CASE WHEN page_id % 3 = 0 THEN 'x' ELSE stem END AS stem, base FROM f), s AS (SELECT stem, count(*) AS n, min(page_id) AS id FROM f GROUP BY 1), b AS (SELECT base, count(*) AS n, min(page_id) AS id FROM f GROUP BY 1)
     SELECT label_id, CASE WHEN s.n = 1 THEN s.id WHEN s.n IS NULL AND b.n = 1 THEN b.id END AS page_id, CASE WHEN s.n = 1 THEN 'stem' WHEN s.n > 1 THEN 'ambiguous' WHEN b.n = 1 THEN 'base' WHEN b.n > 1 THEN 'ambiguous' ELSE 'missing' END AS match
     FROM l LEFT JOIN s USING (stem) LEFT JOIN b USING (base)""")
 def label_match_unique(spark, d):
     base = F.lower(F.regexp_extract("url", "([^/]*)$", 1))
     f = S.table(spark, d, "pages").select("page_id", base.alias("base"), F.substring_index(base, "?", 1).alias("stem"))
-    labels = f.where("page_id % 2 = 0").select(F.col("page_id").alias("label_id"), F.when(F.col("page_id") % 3 == 0, "x").otherwise(F.col("stem")).alias("stem"), "base")
+    labels = f.select(F.col("page_id").alias("label_id"), F.when(F.col("page_id") % 3 == 0, "x").otherwise(F.col("stem")).alias("stem"), "base")
     return J.unique_match(labels, f, ["stem", "base"], "page_id").select("label_id", "page_id", "match")
 
 
