@@ -103,6 +103,51 @@ def note_step(name: ColumnOrName) -> Column:
     return F.try_element_at(known, col(name))
 
 
+def note_midi(name: ColumnOrName, unknown: float = 60.0) -> Column:
+    """A note name without an octave in the octave of 60; ``unknown`` for what is none."""
+    return F.coalesce(60.0 + note_step(F.trim(col(name))), F.lit(unknown))
+
+
+def resolve_tonic(text: ColumnOrName) -> Column:
+    """A tonic as a pitch: a number over 200 with a fraction part is a frequency, other numbers are pitches; a note name with an
+    octave is that note, one without stands in the octave of 60; 60 for all else."""
+    x = F.trim(col(text))
+    number = x.try_cast("double")
+    parts = F.regexp_extract(x, r"^([A-G][#b]?)(-?\d+)?$", 1)
+    octave = F.regexp_extract(x, r"^([A-G][#b]?)(-?\d+)?$", 2).try_cast("int")
+    step = note_step(parts)
+    named = F.when(octave.isNull(), 60.0 + step).otherwise((octave + 1) * 12.0 + step)
+    frequency = x.contains(".") & (number > 200)
+    return F.coalesce(F.when(frequency, hz_to_midi(number)).otherwise(number), named, F.lit(60.0))
+
+
+def label_midi(label: ColumnOrName, tonic: ColumnOrName, octave: int = 4) -> Column:
+    """The pitch of a label with octave marks above a tonic given as a pitch class; null for an unknown label."""
+    marks = lambda x: F.length(col(label)) - F.length(F.replace(col(label), F.lit(x), F.lit("")))
+    return col(tonic) + label_step(label) + 12 * (octave + marks("·") - marks("'"))
+
+
+def snap_in_scale(midi: ColumnOrName, tonic: ColumnOrName, allowed: list[int], most: float = 1.0) -> Column:
+    """The nearest pitch of a scale on the tonic, from the octaves around; of two as near, the higher. Null if none is within
+    ``most``."""
+    midi, tonic = col(midi), col(tonic)
+    octave = F.floor(half_even(midi - tonic) / 12)
+    steps = [tonic + (octave + o) * 12 + s for o in (-1, 0, 1) for s in sorted({x % 12 for x in allowed})]
+    best = F.array_min(F.array(*[F.struct(F.round(F.abs(x - midi), 9).alias("away"), (-x).alias("x")) for x in steps]))
+    return F.when(best["away"] <= most, -best["x"])
+
+
+def same_name(aliases: ColumnOrName, name: ColumnOrName, squeeze: bool = False) -> Column:
+    """Whether one of a comma list of names equals a name but for case and outer spaces; with ``squeeze`` for all spaces."""
+    plain = lambda x: F.replace(F.lower(F.trim(x)), F.lit(" "), F.lit("")) if squeeze else F.lower(F.trim(x))
+    return F.exists(F.split(col(aliases), ","), lambda x: plain(x) == plain(col(name)))
+
+
+def predicted_name(aliases: ColumnOrName, name: ColumnOrName) -> Column:
+    """The true name where the aliases hold it, else the first alias."""
+    return F.when(same_name(aliases, name), col(name)).otherwise(F.trim(F.get(F.split(col(aliases), ","), F.lit(0))))
+
+
 def normal_name(name: ColumnOrName) -> Column:
     """Lower case, without parts in brackets; other than a-z, 0-9 become single spaces."""
     x = F.regexp_replace(F.lower(F.coalesce(col(name), F.lit(""))), r"\(.*?\)", "")

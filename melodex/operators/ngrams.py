@@ -14,6 +14,21 @@ def token_arrays(tokens: DataFrame, by: list[str], order: list[str], token: str
     return rows.withColumn("tokens", F.concat(F.array(F.lit(START)), "tokens")) if start else rows
 
 
+def windowed_ngrams(tokens: DataFrame, by: list[str], order: list[str], token: str = "token", least: int = 1, most: int = 3, start: bool = True) -> DataFrame:
+    """(by..., n, pos, ngram): every contiguous n-gram of the sequences ``by``, each after a start token, at the place of its
+    last token. By windows over the rows, so that no sequence is gathered into one."""
+    w, ahead = Window.partitionBy(*by).orderBy(*order), int(start)
+    before = {k: F.lag(token, k).over(w) for k in range(1, most)}
+    rows = tokens.select(*by, F.row_number().over(w).alias("_i"), F.col(token).alias("_0"), *[x.alias(f"_{k}") for k, x in before.items()])
+    at = lambda k: F.when(F.col("_i") > k, F.col(f"_{k}")).otherwise(F.lit(START)) if k else F.col("_0")
+    gram = lambda n: F.struct(F.lit(n).alias("n"), (F.col("_i") + ahead).alias("pos"), F.concat_ws("|", *[at(k) for k in reversed(range(n))]).alias("ngram"))
+    found = F.filter(F.array(*[gram(n) for n in range(least, most + 1)]), lambda x: x["pos"] >= x["n"])
+    if start and least == 1:
+        first = F.array(F.struct(F.lit(1).alias("n"), F.lit(1).alias("pos"), F.lit(START).alias("ngram")))
+        found = F.when(F.col("_i") == 1, F.concat(first, found)).otherwise(found)
+    return rows.select(*by, F.inline(found))
+
+
 def ngrams(arrays: DataFrame, least: int, most: int) -> DataFrame:
     """Every contiguous n-gram of the lengths asked for: adds n, pos (of its last token) and ngram, joined by |."""
     each = F.explode(F.sequence(F.lit(least), F.lit(most))).alias("n")
@@ -43,8 +58,14 @@ def entropy_weights(counted: DataFrame, classes: str = "class") -> DataFrame:
     return rows.groupBy("n", "ngram").agg((1 / (1 + F.sum("h"))).alias("weight"))
 
 
+def parse_lambdas(text: str) -> list[float]:
+    """Weights of the orders as given, highest order first: lowest first, of sum 1."""
+    x = [float(v) for v in text.split(",")][::-1]
+    return [v / sum(x) for v in x]
+
+
 def score_positions(queries: DataFrame, counted: DataFrame, totals: DataFrame, vocabulary: int, order: int, lambdas: list[float], k: float, own: DataFrame | None = None) -> DataFrame:
-    """(recording_id, class, logprob, positions): add-k estimates of every order mixed by ``lambdas`` (lowest order first).
+    """(recording_id, seq, pos, class, p): add-k estimates of every order mixed by ``lambdas`` (lowest order first).
 
     queries: n-grams of the recordings to score (recording_id, seq, pos, n, ngram). counted: (class, n, ngram, cnt) over all
     recordings. totals: (class, tokens). own: (recording_id, class, n, ngram, cnt), taken off a recording's own class, so that
@@ -66,8 +87,20 @@ def score_positions(queries: DataFrame, counted: DataFrame, totals: DataFrame, v
     got = got.select("recording_id", "class", "n", "ngram", (weight * (F.col("cnt") + k) / (F.col("ctx") + k * vocabulary)).alias("part"))
     rows = q.join(got, ["recording_id", "n", "ngram"]).groupBy("recording_id", "seq", "pos", "class").agg(F.sum("part").alias("p"), F.max("n").alias("top"))
     short = F.aggregate(F.slice(F.array(*[F.lit(x) for x in lambdas]), F.col("top") + 1, F.lit(order)), F.lit(0.0), lambda s, x: s + x) / vocabulary
-    rows = rows.where("pos > 1").withColumn("p", F.col("p") + short)
-    return rows.groupBy("recording_id", "class").agg(F.sum(F.log("p")).alias("logprob"), F.count("*").alias("positions"))
+    return rows.where("pos > 1").withColumn("p", F.col("p") + short).drop("top")
+
+
+def score_sequences(positions: DataFrame) -> DataFrame:
+    return positions.groupBy("recording_id", "class").agg(F.sum(F.log("p")).alias("logprob"), F.count("*").alias("positions"))
+
+
+def weighted_scores(queries: DataFrame, scored: DataFrame, weights: DataFrame, order: int) -> DataFrame:
+    """(recording_id, class, mean): the mean log probability of positions, each weighed by the entropy weight of the longest
+    n-gram that ends there and has one, else by 1. scored: (recording_id, seq, pos, class, p)."""
+    known = queries.where((F.col("n") <= order) & (F.col("pos") > 1)).select("recording_id", "seq", "pos", "n", "ngram").join(weights, ["n", "ngram"])
+    best = known.groupBy("recording_id", "seq", "pos").agg(F.max_by("weight", "n").alias("weight"))
+    rows = scored.where("pos > 1").join(best, ["recording_id", "seq", "pos"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    return rows.groupBy("recording_id", "class").agg((F.sum(F.col("weight") * F.log("p")) / F.sum("weight")).alias("mean"))
 
 
 def motif_stats(grams: DataFrame, by: str = "class", recording: str = "recording_id") -> DataFrame:

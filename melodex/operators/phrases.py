@@ -69,30 +69,47 @@ def intervals(notes: DataFrame) -> DataFrame:
     return rows.select("recording_id", "phrase", F.expr("transform(sequence(2, greatest(size(m), 2)), i -> try_element_at(m, i) - m[i - 2])").alias("steps")).withColumn("steps", F.filter("steps", lambda x: x.isNotNull()))
 
 
-# Folds whose state runs on from note to note: one group for each recording, as vectorised as the state allows.
+# Folds whose state runs on from note to note. A recording is cut where the state is known to start anew, and the pieces are
+# brought together to groups of about CHUNK rows: so a group has no more rows than that and one piece.
+CHUNK = 10_000
+
+
+def _chunks(rows: DataFrame, restart: Column, order: Window) -> DataFrame:
+    """Adds _chunk: rows between two restarts share one, and so do neighbouring pieces up to some size."""
+    rows = rows.withColumn("_i", F.row_number().over(order)).withColumn("_new", F.coalesce(restart.cast("int"), F.lit(0)))
+    since = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begin = F.max(F.when((F.col("_new") == 1) | (F.col("_i") == 1), F.col("_i"))).over(since)
+    return rows.withColumn("_chunk", F.floor(begin / CHUNK)).drop("_i", "_new")
 
 
 def _merge(rows: pd.DataFrame, tolerance: float, most_gap: float, dropout: float, short: float) -> pd.DataFrame:
-    slack, out, head = 1e-9, [], None
-    for r in rows.sort_values(["start", "note_id"]).to_dict("records"):
-        if head is not None:
-            gap, length, own = r["start"] - head["end"], head["end"] - head["start"], r["end"] - r["start"]
+    slack, heads = 1e-9, []
+    rows = rows.sort_values(["start", "note_id"], ignore_index=True)
+    start, end, midi, energy = (rows[c].to_numpy(float) for c in ("start", "end", "midi", "energy"))
+    ends, energies, head = end.copy(), energy.copy(), -1
+    for i in range(len(rows)):
+        if head >= 0:
+            gap, length, own = start[i] - ends[head], ends[head] - start[head], end[i] - start[i]
             heals = gap <= dropout + slack and min(length, own) <= short + slack
-            if abs(r["midi"] - head["midi"]) < tolerance and (gap <= most_gap + slack or heals):
+            if abs(midi[i] - midi[head]) < tolerance and (gap <= most_gap + slack or heals):
                 whole = length + own
-                head["energy"] = (head["energy"] * length + r["energy"] * own) / whole if whole > 0 else max(head["energy"], r["energy"])
-                head["end"] = max(head["end"], r["end"])
+                energies[head] = (energies[head] * length + energy[i] * own) / whole if whole > 0 else max(energies[head], energy[i])
+                ends[head] = max(ends[head], end[i])
                 continue
-        head = dict(r)
-        out.append(head)
-    return pd.DataFrame(out, columns=list(rows.columns))
+        head = i
+        heads.append(i)
+    return rows.iloc[heads].assign(end=ends[heads], energy=energies[heads]).drop(columns="_chunk")
 
 
 def merge_notes(notes: DataFrame, tolerance: float = 0.7, most_gap: float = 0.1, dropout: float = 0.18, short: float = 0.12) -> DataFrame:
     """Joins a note to the one before it if their pitches are alike and the gap is small, or a bit larger and one of them
-    short. Compared with the joined note as it has grown: its pitch is that of its first note, its length all so far."""
+    short. Compared with the joined note as it has grown: its pitch is that of its first note, its length all so far. After a
+    gap beyond both bounds to all earlier ends a note is a new one whatever came before."""
+    w = Window.partitionBy("recording_id").orderBy("start", "note_id")
+    through = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = notes.select("recording_id", "note_id", "start", "end", "midi", "energy")
-    return rows.groupBy("recording_id").applyInPandas(lambda x: _merge(x, tolerance, most_gap, dropout, short), NOTE_SCHEMA)
+    rows = _chunks(rows, F.col("start") - through > max(most_gap, dropout) + 1e-6, w)
+    return rows.groupBy("recording_id", "_chunk").applyInPandas(lambda x: _merge(x, tolerance, most_gap, dropout, short), NOTE_SCHEMA)
 
 
 def _small(rows: pd.DataFrame, least_notes: int, least_duration: float) -> pd.DataFrame:
@@ -116,49 +133,82 @@ def _small(rows: pd.DataFrame, least_notes: int, least_duration: float) -> pd.Da
 
 def merge_small_phrases(notes: DataFrame, least_notes: int, least_duration: float = 0.0) -> DataFrame:
     """A phrase that is too small goes to the next one, which is then looked at again; the last ones go to the one before,
-    and all are dropped if none is large enough."""
+    and all are dropped if none is large enough. After a phrase that is large by itself nothing waits: recordings are cut there,
+    but for the last such phrase, which takes what follows."""
+    w = Window.partitionBy("recording_id").orderBy("phrase")
+    bounds = notes.groupBy("recording_id", "phrase").agg(F.count("*").alias("_n"), (F.max("end") - F.min("start")).alias("_d"))
+    large = ((F.col("_n") >= least_notes) & (F.col("_d") >= least_duration)).cast("int")
+    through = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bounds = bounds.withColumn("_large", large).withColumn("_before", F.sum("_large").over(through) - F.col("_large")).withColumn("_all", F.sum("_large").over(Window.partitionBy("recording_id")))
+    piece = F.least("_before", F.greatest(F.col("_all") - 1, F.lit(0)))
+    rows_before = F.sum("_n").over(through) - F.col("_n")
+    bounds = bounds.withColumn("_piece", piece).withColumn("_at", rows_before).withColumn("_begin", F.min("_at").over(Window.partitionBy("recording_id", "_piece")))
     rows = notes.select("recording_id", "note_id", "start", "end", F.col("phrase").cast("long").alias("phrase"))
-    return rows.groupBy("recording_id").applyInPandas(lambda x: _small(x, least_notes, least_duration), "recording_id long, note_id long, start double, end double, phrase long")
+    rows = rows.join(bounds.select("recording_id", F.col("phrase").cast("long").alias("phrase"), F.floor(F.col("_begin") / CHUNK).alias("_chunk")), ["recording_id", "phrase"])
+    schema = "recording_id long, note_id long, start double, end double, phrase long, _chunk long"
+    made = rows.groupBy("recording_id", "_chunk").applyInPandas(lambda x: _small(x, least_notes, least_duration)[["recording_id", "note_id", "start", "end", "phrase", "_chunk"]], schema)
+    number = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("_chunk", "phrase")) - 1
+    return made.withColumn("phrase", number.cast("long")).drop("_chunk")
 
 
-def _snap(rows: pd.DataFrame, allowed: list[int], tonic: int, most: float) -> pd.DataFrame:
-    before, out = None, []
+def _resolve(rows: pd.DataFrame) -> pd.DataFrame:
+    """The choices of a chunk's notes in order: known ones as they are, ties by the note accepted before."""
     rows = rows.sort_values(["start", "note_id"], ignore_index=True)
-    for m in rows["midi"]:
-        base = 12 * np.floor((m - tonic) / 12) + tonic
-        near = min((round(abs(m - x), 9), abs(x - before) if before is not None else 0, -x) for o in (-12, 0, 12) for x in (base + o + s for s in allowed))
-        if near[0] <= most:
-            before = -near[2]
-            out.append(before)
-        else:
-            out.append(None)
-    return rows.assign(snapped=pd.array(out, "Float64"))
-
-
-def snap_to_scale(notes: DataFrame, allowed: list[int], tonic: int, most: float = 1.0) -> DataFrame:
-    """The nearest allowed pitch; of two as near, that closer to the note accepted before, else the higher. Null if further
-    than ``most``."""
-    rows = notes.select("recording_id", "note_id", "start", "midi")
-    return rows.groupBy("recording_id").applyInPandas(lambda x: _snap(x, allowed, tonic, most), "recording_id long, note_id long, start double, midi double, snapped double")
-
-
-def _two_means(x: np.ndarray, least: float) -> float:
-    """Midway between the means of the two groups of values of the least squared error; exact, by sums over sorted values."""
-    x = np.sort(x)
-    n = len(x)
-    if n < 2 or x[0] == x[-1]:
-        q1, q2, q3 = np.percentile(x, [25, 50, 75]) if n else (0, 0, 0)
-        return max(least, q2 + 1.5 * max(q3 - q1, 1e-9))
-    s, k = np.cumsum(x), np.arange(1, n)
-    left, right = s[:-1] / k, (s[-1] - s[:-1]) / (n - k)
-    best = np.argmax(k * left**2 + (n - k) * right**2)
-    return max(least, (left[best] + right[best]) / 2)
+    own, near = rows["own"].to_numpy(float), rows["near"].tolist()
+    before, out = None, np.full(len(rows), np.nan)
+    for i, options in enumerate(near):
+        if not np.isnan(own[i]):
+            before = out[i] = own[i]
+        elif options is not None:
+            far = [(round(abs(x - before), 9) if before is not None else 0.0, -x) for x in options]
+            before = out[i] = -min(far)[1]
+    return rows.assign(own=pd.Series(out).astype("Float64"))[["recording_id", "note_id", "start", "midi", "own", "best"]]
+
+
+def snap_to_scale(notes: DataFrame, allowed: list[int], tonic: int, most: float = 1.0, keep_far: bool = False) -> DataFrame:
+    """Adds snapped and action: the nearest allowed pitch of the octaves around; of two as near, that closer to the note accepted
+    before, else the higher. A note further than ``most`` from all is discarded (null), or kept as it is with ``keep_far``;
+    kept notes count as accepted. Actions: unchanged, corrected, discarded, unchanged_far; without allowed notes all are far.
+
+    Only ties look back. Notes without one are decided by themselves, and recordings are cut at them.
+    """
+    pcs = sorted({(x + tonic) % 12 for x in allowed})
+    w = Window.partitionBy("recording_id").orderBy("start", "note_id")
+    octave = F.floor(E.half_even("midi") / 12)
+    steps = F.array(*[((octave + o) * 12 + pc).cast("double") for o in (-1, 0, 1) for pc in pcs]) if pcs else F.array().cast("array<double>")
+    away = lambda x: F.abs(x - F.col("midi"))
+    rows = notes.select("recording_id", "note_id", "start", "midi").withColumn("_c", steps).withColumn("best", F.array_min(F.transform("_c", away)))
+    near = F.filter("_c", lambda x: away(x) - F.col("best") <= 1e-9)
+    fits = F.coalesce(F.col("best") <= most, F.lit(False))
+    far = F.col("midi") if keep_far or not pcs else F.lit(None).cast("double")
+    rows = rows.withColumn("near", F.when(fits, near)).withColumn("own", F.when(F.isnan("midi") | F.col("midi").isNull(), None).when(~fits, far).when(F.size("near") == 1, F.get("near", F.lit(0))))
+    rows = _chunks(rows.drop("_c"), F.col("own").isNotNull(), w)
+    schema = "recording_id long, note_id long, start double, midi double, own double, best double"
+    made = rows.groupBy("recording_id", "_chunk").applyInPandas(_resolve, schema)
+    action = F.when(F.col("own").isNull(), "discarded").when(F.col("best").isNull() | (F.col("best") > most), "unchanged_far").when(F.col("best") > 1e-9, "corrected").otherwise("unchanged")
+    return made.select("recording_id", "note_id", "start", "midi", F.col("own").alias("snapped"), action.alias("action"))
+
+
+def correction_stats(snapped: DataFrame) -> DataFrame:
+    """(recording_id, total, unchanged, corrected, discarded, remaining) of snapped notes; those kept though far are unchanged."""
+    is_ = lambda *x: F.count_if(F.col("action").isin(*x))
+    counts = [F.count("*").alias("total"), is_("unchanged", "unchanged_far").alias("unchanged"), is_("corrected").alias("corrected"), is_("discarded").alias("discarded")]
+    return snapped.groupBy("recording_id").agg(*counts).withColumn("remaining", F.col("total") - F.col("discarded"))
 
 
 def gap_thresholds(notes: DataFrame, least: float = 0.3) -> DataFrame:
-    """(recording_id, threshold): the gap that tells phrases apart, by two-means over the gaps between notes."""
-    gaps = notes.withColumn("gap", F.col("start") - F.lag("end").over(note_order())).where("gap is not null").select("recording_id", "gap")
-    return gaps.groupBy("recording_id").applyInPandas(lambda x: pd.DataFrame({"recording_id": x["recording_id"].iloc[:1], "threshold": [_two_means(x["gap"].to_numpy(), least)]}), "recording_id long, threshold double")
+    """(recording_id, threshold): the gap that tells phrases apart: midway between the means of the two groups of gaps between
+    notes of the least squared error, exact by sums over the sorted gaps; of equal gaps the median and a bit. At least ``least``."""
+    gaps = notes.withColumn("gap", F.col("start") - F.lag("end").over(note_order())).where("gap is not null")
+    known = gaps.groupBy("recording_id", "gap").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("recording_id")
+    through = whole.orderBy("gap").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = known.withColumns({"k": F.sum("c").over(through), "s": F.sum(F.col("gap") * F.col("c")).over(through)})
+    rows = rows.withColumns({"n": F.sum("c").over(whole), "all": F.max_by("s", "k").over(whole), "least": F.min("gap").over(whole)})
+    left, right = F.col("s") / F.col("k"), F.try_divide(F.col("all") - F.col("s"), F.col("n") - F.col("k"))
+    gain = F.when(F.col("k") < F.col("n"), F.round(F.col("k") * left * left + (F.col("n") - F.col("k")) * right * right, 9))
+    best = rows.groupBy("recording_id").agg(F.max_by((left + right) / 2, F.struct(gain, -F.col("k"))).alias("mid"), F.min("least").alias("low"))
+    return best.select("recording_id", F.greatest(F.lit(least), F.coalesce("mid", F.col("low") + 1.5e-9)).alias("threshold"))
 
 
 def silences(frames: DataFrame, threshold: float, least: float) -> DataFrame:

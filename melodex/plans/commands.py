@@ -62,13 +62,13 @@ def analyse(frames: DataFrame, s: Settings = Settings(), scale: list[int] | None
 
 
 def evaluate(tokens: DataFrame, order: int = 3, s: Settings = Settings()) -> dict[str, DataFrame]:
-    """Token sequences (recording_id, class, seq, tokens) to leave-one-out scores of every class, ranks and a summary. The
+    """Tokens (recording_id, class, seq, start_us, note_id, token) to leave-one-out scores of every class, ranks and a summary. The
     corpus is counted once; a recording's own counts are taken off where it is scored."""
-    grams = G.ngrams(tokens, 1, order)
+    grams = G.windowed_ngrams(tokens, ["recording_id", "class", "seq"], ["start_us", "note_id"], "token", 1, order)
     counted = G.counts(grams, ["class"])
     totals = counted.where("n = 1").groupBy("class").agg(F.sum("cnt").alias("tokens"))
     vocabulary = max(1, counted.where("n = 1").select("ngram").distinct().count())
-    scores = G.score_positions(grams, counted, totals, vocabulary, order, s.lambdas, s.add, G.counts(grams, ["recording_id", "class"]))
+    scores = G.score_sequences(G.score_positions(grams, counted, totals, vocabulary, order, s.lambdas, s.add, G.counts(grams, ["recording_id", "class"])))
     w = Window.partitionBy("recording_id").orderBy(F.round("logprob", 6).desc(), "class")
     ranks = scores.withColumn("rank", F.row_number().over(w))
     own = ranks.join(tokens.select("recording_id", "class").distinct(), ["recording_id", "class"], "left_semi")

@@ -26,7 +26,7 @@ def command_analyse(spark, d):
 
 @R("command_evaluate", language.R.oracle["mrr_topk"])
 def command_evaluate(spark, d):
-    return P.evaluate(language.arrays(spark, d))["summary"]
+    return P.evaluate(language.tokens(spark, d).withColumnRenamed("track", "token"))["summary"]
 
 
 QUERIES, ORACLE = R.queries, R.oracle

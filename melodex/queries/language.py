@@ -20,15 +20,14 @@ CTX = "regexp_replace(CASE WHEN contains(ngram, '|') THEN ngram ELSE '' END, '\\
 CNT = f"{TOK}, cnt AS (SELECT class, n, ngram, count(*) AS cnt FROM gr GROUP BY 1, 2, 3), ctx AS (SELECT class, n, {CTX} AS context, sum(cnt)::BIGINT AS ctx FROM cnt WHERE n >= 2 GROUP BY 1, 2, 3)"
 
 
-def arrays(spark, d):
+def tokens(spark, d):
     from ..operators.phrases import gap_phrases
 
-    n = gap_phrases(S.notes(spark, d), 0.5, "seq").withColumn("class", F.col("recording_id") % 4)
-    return G.token_arrays(n, ["recording_id", "class", "seq"], ["start_us", "note_id"], "track")
+    return gap_phrases(S.notes(spark, d), 0.5, "seq").withColumn("class", F.col("recording_id") % 4)
 
 
 def grams(spark, d, least=1, most=3):
-    return G.ngrams(arrays(spark, d), least, most)
+    return G.windowed_ngrams(tokens(spark, d), ["recording_id", "class", "seq"], ["start_us", "note_id"], "track", least, most)
 
 
 @R("ngram_explode", f"{TOK} SELECT recording_id, seq, n, pos, ngram FROM gr")
@@ -86,7 +85,7 @@ def scores(spark, d, leave_one_out):
     totals = counted.where("n = 1").groupBy("class").agg(F.sum("cnt").alias("tokens"))
     v = counted.where("n = 1").select("ngram").distinct().count()
     own = G.counts(g, ["recording_id", "class"]) if leave_one_out else None
-    return G.score_positions(g, counted, totals, v, 3, LAMBDAS, ADD, own)
+    return G.score_sequences(G.score_positions(g, counted, totals, v, 3, LAMBDAS, ADD, own))
 
 
 @R("lm_score", PROB.replace("LOO", "0") + " SELECT recording_id, class, positions, round(logprob / positions, 6) AS mean FROM sc")
@@ -100,6 +99,20 @@ def lm_rank(spark, d):
     return scores(spark, d, False).select("recording_id", "class", F.row_number().over(w).alias("rank"))
 
 
+@R("lm_weighted_score", PROB.replace("LOO", "0") + """,
+    ew AS (SELECT n, ngram, 1 / (1 - sum(p * log2(p))) AS weight FROM (SELECT n, ngram, cnt / sum(cnt) OVER (PARTITION BY n, ngram) AS p FROM cnt) GROUP BY 1, 2),
+    bw AS (SELECT recording_id, seq, pos, arg_max(weight, n) AS weight FROM gr JOIN ew USING (n, ngram) WHERE pos > 1 GROUP BY 1, 2, 3)
+    SELECT recording_id, class, round(sum(weight * ln(p)) / sum(weight), 6) AS mean FROM pos JOIN bw USING (recording_id, seq, pos) GROUP BY 1, 2""")
+def lm_weighted_score(spark, d):
+    """The mean log probability of a recording's tokens under each class, weighed by how much an n-gram tells classes apart."""
+    g = grams(spark, d)
+    counted = G.counts(g, ["class"])
+    totals = counted.where("n = 1").groupBy("class").agg(F.sum("cnt").alias("tokens"))
+    v = counted.where("n = 1").select("ngram").distinct().count()
+    scored = G.score_positions(g, counted, totals, v, 3, LAMBDAS, ADD)
+    return G.weighted_scores(g, scored, G.entropy_weights(counted), 3).withColumn("mean", F.round("mean", 6))
+
+
 LOO = PROB.replace("LOO", "1")
 
 
@@ -157,7 +170,7 @@ MOT = f"""{TOK}, whole AS (SELECT recording_id, recording_id % 4 AS class, list(
 
 def motif_grams(spark, d):
     n = S.notes(spark, d).withColumn("class", F.col("recording_id") % 4)
-    return G.ngrams(G.token_arrays(n, ["recording_id", "class"], ["start_us", "note_id"], "track", start=False), 3, 4)
+    return G.windowed_ngrams(n, ["recording_id", "class"], ["start_us", "note_id"], "track", 3, 4, start=False)
 
 
 def motifs(spark, d):
@@ -196,8 +209,9 @@ def motif_overlay(spark, d):
     SELECT pattern, n, count(*) AS freq FROM sub GROUP BY 1, 2 HAVING count(*) >= 2""")
 def common_patterns(spark, d):
     """Sub-sequences of overlapping windows of up to five tokens; counted in every window, on purpose."""
-    a = arrays(spark, d).where(F.size("tokens") >= 4).select("tokens", F.explode(F.sequence(F.lit(2), F.size("tokens") - 2)).alias("i"))
-    w = a.select(F.slice("tokens", F.col("i"), F.lit(5)).alias("tokens"))
+    w = S.note_order("seq")
+    rows = tokens(spark, d).select("track", *[F.lead("track", k).over(w).alias(f"_{k}") for k in range(1, 5)]).where("_2 is not null")
+    w = rows.select(F.array_compact(F.array("track", "_1", "_2", "_3", "_4")).alias("tokens"))
     return G.ngrams(w, 3, 5).groupBy(F.col("ngram").alias("pattern"), F.col("n").cast("long").alias("n")).agg(F.count("*").alias("freq")).where("freq >= 2")
 
 

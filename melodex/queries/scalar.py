@@ -107,6 +107,60 @@ def chromatic_snap(spark, d):
     return S.notes(spark, d).select("note_id", E.snap("midi").alias("snapped"))
 
 
+MAJOR = [0, 2, 4, 5, 7, 9, 11]
+
+
+@R("scale_snap", f"""{NO},
+    c AS (
+        SELECT note_id, midi, 57.5 + (floor(round_even(midi - 57.5, 0) / 12) + o) * 12 + s AS x
+        FROM notes, (SELECT unnest({MAJOR}) AS s), (SELECT unnest([-1, 0, 1]) AS o)),
+    b AS (SELECT note_id, arg_max(x, (-round(abs(x - midi), 9), x)) AS x, min(round(abs(x - midi), 9)) AS away FROM c GROUP BY 1)
+    SELECT note_id, CASE WHEN away <= 1 THEN x END AS snapped FROM notes LEFT JOIN b USING (note_id)""")
+def scale_snap(spark, d):
+    """Notes in a major scale on a tonic between two notes."""
+    return S.notes(spark, d).select("note_id", E.snap_in_scale("midi", F.lit(57.5), MAJOR).alias("snapped"))
+
+
+@R("corrected_triple", f"""{NO}
+    SELECT note_id, CAST({FLOOR12.format('round_even(midi - recording_id % 12, 0)')} AS INT) AS step, CAST(round_even(midi, 0) AS INT) AS rounded,
+        ({LABEL_LIST})[CAST({FLOOR12.format('round_even(midi - recording_id % 12, 0)')} AS INT) + 1] AS label FROM notes""")
+def corrected_triple(spark, d):
+    """Of each note its step above the tonic, its rounded pitch and its label without octave marks."""
+    step = E.floor_mod(E.half_even(F.col("midi") - F.col("recording_id") % 12), 12).cast("int")
+    return S.notes(spark, d).select("note_id", step.alias("step"), E.half_even("midi").cast("int").alias("rounded"), E.label_of(step).alias("label"))
+
+
+@R("label_to_midi", f"""{NO}, n AS (SELECT *, recording_id % 12 AS tonic, CAST({FLOOR12.format('round_even(midi - recording_id % 12, 0)')} AS INT) AS s FROM notes WHERE midi IS NOT NULL)
+    SELECT note_id, tonic + CASE s WHEN 2 THEN 1 WHEN 4 THEN 3 WHEN 6 THEN 5 WHEN 9 THEN 8 WHEN 11 THEN 10 ELSE s END
+        + 12 * (4 + CAST(floor((midi - (tonic + 48)) / 12) AS INT)) AS midi FROM n""")
+def label_to_midi(spark, d):
+    """Labels read back as pitches: a step in capitals is found as the one in small letters, which comes first."""
+    n = S.notes(spark, d).where("midi is not null").withColumn("tonic", F.col("recording_id") % 12)
+    return n.select("note_id", E.label_midi(E.label("midi", "tonic"), "tonic").cast("long").alias("midi"))
+
+
+TONICS = ["C", "C#", "Bb", "F#3", "Eb5", "261.625565", "62", "201", "60.5", "H", "", "c", " G "]
+
+
+@R("tonic_resolution", f"""SELECT event_id, ([60.0, 61, 70, 54, 75, 69 + 12 * log2(261.625565 / 440), 62, 201, 60.5, 60, 60, 60, 67])[event_id % {len(TONICS)} + 1]::DOUBLE AS midi,
+    ([60.0, 61, 70, 60, 60, 60, 60, 60, 60, 60, 60, 60, 67])[event_id % {len(TONICS)} + 1]::DOUBLE AS named FROM events""")
+def tonic_resolution(spark, d):
+    """Tonics written as names, notes, pitches or frequencies; and as bare names only, 60 for all others."""
+    text = F.element_at(F.array(*[F.lit(x) for x in TONICS]), (F.col("event_id") % len(TONICS)).cast("int") + 1)
+    return S.table(spark, d, "events").select("event_id", E.resolve_tonic(text).alias("midi"), E.note_midi(text).alias("named"))
+
+
+@R("alias_match", """WITH a AS (SELECT p_partkey, p_name, CASE p_partkey % 3 WHEN 0 THEN p_brand || ', ' || upper(p_name) WHEN 1 THEN replace(p_name, ' ', '') || ',x' ELSE p_type END AS aliases FROM part)
+    SELECT p_partkey, p_partkey % 3 = 0 OR p_partkey % 3 = 1 AND NOT contains(p_name, ' ') AS same, p_partkey % 3 < 2 AS squeezed,
+        CASE WHEN p_partkey % 3 = 0 OR p_partkey % 3 = 1 AND NOT contains(p_name, ' ') THEN p_name ELSE trim(split_part(aliases, ',', 1)) END AS predicted FROM a""")
+def alias_match(spark, d):
+    way = F.col("p_partkey") % 3
+    squeezed = F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.lit(",x"))
+    aliases = F.when(way == 0, F.concat_ws(", ", "p_brand", F.upper("p_name"))).when(way == 1, squeezed).otherwise(F.col("p_type"))
+    p = S.table(spark, d, "part").select("p_partkey", "p_name", aliases.alias("aliases"))
+    return p.select("p_partkey", E.same_name("aliases", "p_name").alias("same"), E.same_name("aliases", "p_name", True).alias("squeezed"), E.predicted_name("aliases", "p_name").alias("predicted"))
+
+
 @R("bool_and_number_cells", """SELECT event_id, CASE WHEN lower(event_type) IN ('1', 'yes', 'click') THEN TRUE ELSE FALSE END AS flag, coalesce(try_cast(event_type AS DOUBLE), 0.0) AS number FROM events""")
 def bool_and_number_cells(spark, d):
     e = S.table(spark, d, "events")

@@ -127,15 +127,6 @@ def transition_direction(spark, d):
     return P.transitions(phrases(spark, d), ["phrase"], 0.5)
 
 
-@R("edge_conformance", f"""{NO}, x AS (SELECT *, lag(midi) OVER ({N}) AS b FROM notes), e AS (SELECT recording_id, pc, sum((midi > b)::INT)::BIGINT AS up, sum((midi < b)::INT)::BIGINT AS down FROM x WHERE b IS NOT NULL GROUP BY 1, 2)
-    SELECT recording_id, count(*) AS notes, round(avg(CASE WHEN (up > 0) = (pc % 2 = 0 OR pc > 5) AND (down > 0) THEN 1 ELSE 0 END), 3) AS score FROM e WHERE up + down >= 3 GROUP BY 1""")
-def edge_conformance(spark, d):
-    """Of notes reached often enough, the share that is reached from the sides that a pattern asks for."""
-    e = P.edge_evidence(S.notes(spark, d), []).where("up + down >= 3")
-    fine = ((F.col("up") > 0) == ((F.col("pc") % 2 == 0) | (F.col("pc") > 5))) & (F.col("down") > 0)
-    return e.groupBy("recording_id").agg(F.count("*").alias("notes"), F.round(F.avg(fine.cast("int")), 3).alias("score"))
-
-
 @R("monotone_runs", f"""{NO}, a AS (SELECT *, round_even(midi, 0) AS p FROM notes), b AS (SELECT *, lag(p) OVER ({N}) AS before FROM a), c AS (SELECT *, CAST(sign(p - before) AS INT) AS direction FROM b WHERE before IS NULL OR before <> p),
     e AS (SELECT *, sum(CASE WHEN direction <> ld THEN 1 ELSE 0 END) OVER ({N})::BIGINT AS run FROM (SELECT *, lag(direction) OVER ({N}) AS ld FROM c))
     SELECT recording_id, run, any_value(direction) AS direction, count(*) + 1 AS notes, CAST(arg_min(before, (start_us, note_id)) AS BIGINT) || ',' || string_agg(CAST(p AS BIGINT)::VARCHAR, ',' ORDER BY start_us, note_id) AS pitches FROM e WHERE direction IS NOT NULL GROUP BY 1, 2""")
@@ -202,24 +193,93 @@ def percentile_normalise(spark, d):
     return f.join(q, "recording_id").select("frame_id", F.round(level, 6).alias("level"))
 
 
-@R("merge_notes")
+@R("merge_notes", f"""{NO.replace("WITH ", "WITH RECURSIVE ", 1)},
+    o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start, note_id) AS i FROM notes),
+    f AS (
+        SELECT recording_id, i, note_id AS head, start AS head_start, "end" AS head_end, midi AS head_midi, energy AS head_energy FROM o WHERE i = 1
+        UNION ALL
+        SELECT recording_id, i, CASE WHEN joins THEN head ELSE note_id END, CASE WHEN joins THEN head_start ELSE start END,
+            CASE WHEN joins THEN greatest(head_end, "end") ELSE "end" END, CASE WHEN joins THEN head_midi ELSE midi END,
+            CASE WHEN NOT joins THEN energy WHEN whole > 0 THEN (head_energy * length + energy * own) / whole ELSE greatest(head_energy, energy) END
+        FROM (
+            SELECT f.recording_id, o.i, head, head_start, head_end, head_midi, head_energy, note_id, start, "end", midi, energy,
+                head_end - head_start AS length, "end" - start AS own, head_end - head_start + "end" - start AS whole,
+                coalesce(abs(midi - head_midi) < 3 AND (start - head_end <= 0.3 + 1e-9
+                    OR start - head_end <= 0.5 + 1e-9 AND least(head_end - head_start, "end" - start) <= 0.2 + 1e-9), FALSE) AS joins
+            FROM f JOIN o ON o.recording_id = f.recording_id AND o.i = f.i + 1))
+    SELECT recording_id, head AS note_id, head_start AS start, round(max(head_end), 6) AS "end", head_midi AS midi, round(arg_max(head_energy, i), 6) AS energy
+    FROM f GROUP BY 1, 2, 3, 5""")
 def merge_notes(spark, d):
-    return P.merge_notes(S.notes(spark, d), 3.0, 0.3, 0.5, 0.2)
-
-
-@R("merge_small_phrases")
+    m = P.merge_notes(S.notes(spark, d), 3.0, 0.3, 0.5, 0.2)
+    return m.withColumns({"end": F.round("end", 6), "energy": F.round("energy", 6)})
+
+
+@R("merge_small_phrases", f"""{NO.replace("WITH ", "WITH RECURSIVE ", 1)}, {PH},
+    b AS (SELECT recording_id, phrase, row_number() OVER (PARTITION BY recording_id ORDER BY phrase) AS i, count(*) AS n FROM ph GROUP BY 1, 2),
+    f AS (
+        SELECT recording_id, i, phrase, 0 AS made, CASE WHEN n < 3 THEN n ELSE 0 END AS waiting, CASE WHEN n < 3 THEN 0 ELSE 1 END AS done FROM b WHERE i = 1
+        UNION ALL
+        SELECT f.recording_id, b.i, b.phrase, f.done, CASE WHEN f.waiting + b.n < 3 THEN f.waiting + b.n ELSE 0 END, f.done + CASE WHEN f.waiting + b.n < 3 THEN 0 ELSE 1 END
+        FROM f JOIN b ON b.recording_id = f.recording_id AND b.i = f.i + 1),
+    t AS (SELECT *, max(done) OVER (PARTITION BY recording_id) AS whole FROM f)
+    SELECT ph.recording_id, note_id, start, "end", least(made, whole - 1)::BIGINT AS phrase FROM ph JOIN t USING (recording_id, phrase) WHERE whole > 0""")
 def merge_small_phrases(spark, d):
     return P.merge_small_phrases(phrases(spark, d), 3)
 
 
-@R("snap_continuity")
+def snap_sql(keep_far: bool) -> str:
+    """Notes snapped to a major scale on 60, walked in order."""
+    steps = "unnest([0, 2, 4, 5, 7, 9, 11]) AS pc), (SELECT unnest([-1, 0, 1]) AS o)"
+    return f"""{NO.replace("WITH ", "WITH RECURSIVE ", 1)},
+    o AS (SELECT recording_id, note_id, start, midi, row_number() OVER (PARTITION BY recording_id ORDER BY start, note_id) AS i FROM notes),
+    c AS (
+        SELECT recording_id, i, midi, list((floor(round_even(midi, 0) / 12) + o) * 12 + pc)::DOUBLE[] AS c FROM o, (SELECT {steps}
+        WHERE midi IS NOT NULL GROUP BY 1, 2, 3),
+    d AS (SELECT *, list_min([abs(x - midi) FOR x IN c]) AS best FROM c),
+    n AS (
+        SELECT o.*, best, CASE WHEN best <= 1 THEN [x FOR x IN c IF abs(x - d.midi) - best <= 1e-9] END AS near
+        FROM o LEFT JOIN d ON d.recording_id = o.recording_id AND d.i = o.i),
+    f AS (
+        SELECT recording_id, 0::BIGINT AS i, NULL::DOUBLE AS own, NULL::DOUBLE AS before FROM n WHERE i = 1
+        UNION ALL
+        SELECT recording_id, i, own, coalesce(own, before) FROM (
+            SELECT n.recording_id, n.i, f.before, CASE WHEN near IS NOT NULL
+                THEN -list_sort([{{'a': CASE WHEN f.before IS NULL THEN 0 ELSE round(abs(x - f.before), 9) END, 'b': -x}} FOR x IN near])[1].b
+                {"WHEN midi IS NOT NULL THEN midi" if keep_far else ""} END AS own
+            FROM f JOIN n ON n.recording_id = f.recording_id AND n.i = f.i + 1)),
+    s AS (
+        SELECT n.recording_id, note_id, own AS snapped, CASE WHEN own IS NULL THEN 'discarded' WHEN best > 1 THEN 'unchanged_far'
+            WHEN best > 1e-9 THEN 'corrected' ELSE 'unchanged' END AS action FROM n JOIN f USING (recording_id, i))"""
+
+
+@R("snap_continuity", snap_sql(False) + " SELECT * FROM s")
 def snap_continuity(spark, d):
-    return P.snap_to_scale(S.notes(spark, d), [0, 2, 4, 5, 7, 9, 11], 60)
+    return P.snap_to_scale(S.notes(spark, d), [0, 2, 4, 5, 7, 9, 11], 60).select("recording_id", "note_id", "snapped", "action")
+
+
+@R("snap_keeping_far", snap_sql(True).replace("[0, 2, 4, 5, 7, 9, 11]", "[0, 6]") + " SELECT * FROM s")
+def snap_keeping_far(spark, d):
+    """A scale of two notes: those too far from both stay as they are and count as accepted."""
+    return P.snap_to_scale(S.notes(spark, d), [0, 6], 60, keep_far=True).select("recording_id", "note_id", "snapped", "action")
+
+
+@R("correction_stats", snap_sql(False) + """
+    SELECT recording_id, count(*) AS total, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action = 'corrected') AS corrected,
+        count(*) FILTER (action = 'discarded') AS discarded, count(*) FILTER (action <> 'discarded') AS remaining FROM s GROUP BY 1""")
+def correction_stats(spark, d):
+    return P.correction_stats(P.snap_to_scale(S.notes(spark, d), [0, 2, 4, 5, 7, 9, 11], 60))
 
 
-@R("two_means_threshold")
+@R("two_means_threshold", f"""{NO}, g AS (SELECT recording_id, start - lag("end") OVER ({N}) AS gap FROM notes),
+    k AS (SELECT recording_id, gap, count(*) AS c FROM g WHERE gap IS NOT NULL GROUP BY 1, 2),
+    t AS (SELECT *, sum(c) OVER w AS k, sum(gap * c) OVER w AS s FROM k WINDOW w AS (PARTITION BY recording_id ORDER BY gap)),
+    a AS (SELECT *, max(k) OVER w AS n, arg_max(s, k) OVER w AS whole, min(gap) OVER w AS low FROM t WINDOW w AS (PARTITION BY recording_id)),
+    e AS (
+        SELECT *, (s / k + (whole - s) / (n - k)) / 2 AS mid, round(s * s / k + (whole - s) * (whole - s) / (n - k), 9) AS gain FROM a WHERE k < n),
+    b AS (SELECT recording_id, arg_max(mid, (gain, -k)) AS mid FROM e GROUP BY 1)
+    SELECT recording_id, round(greatest(0.3, coalesce(mid, low + 1.5e-9)), 6) AS threshold FROM (SELECT recording_id, min(low) AS low FROM a GROUP BY 1) LEFT JOIN b USING (recording_id)""")
 def two_means_threshold(spark, d):
-    return P.gap_thresholds(S.notes(spark, d))
+    return P.gap_thresholds(S.notes(spark, d)).withColumn("threshold", F.round("threshold", 6))
 
 
 @R("scale_label_lookup", f"""{S.with_("scales")}, w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT upper(name) FROM scales)

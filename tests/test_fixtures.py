@@ -53,8 +53,10 @@ def test_token_octave_is_clipped(spark):
 
 
 def test_labels(spark):
-    assert values(spark, E.label("x", F.lit(60)), [60.0, 59.0, 72.0, 108.0]) == ["Sa'''''", "Ni''''''", "Sa''''", "Sa'"]
-    assert values(spark, E.event_label("x", F.lit(60)), [60.0, 54.0, 67.0, 78.0, 48.0]) == ["Sa", "Ma", "Pa·", "Ma··", "Sa'"]
+    assert values(spark, E.label("x", F.lit(0)), [48.0, 60.0, 47.0, 72.0, 35.9]) == ["Sa", "Sa·", "Ni'", "Sa··", "Sa''"]
+    assert values(spark, E.label("x", F.lit(2)), [50.0, 49.6, 61.0]) == ["Sa", "Sa'", "Ni"]
+    assert values(spark, E.event_label("x", F.lit(60)), [60.0, 54.0, 66.2, 67.0, 78.0, 48.0]) == ["Sa", "Ma", "Ma·", "Pa·", "Ma··", "Sa'"]
+    assert values(spark, E.event_label("x", F.lit(61.5)), [61.5, 62.6, 67.0]) == ["Sa", "re", "Ma"]
     assert values(spark, E.label_step("x"), ["Re", "re", "Pa··", "no"], "x string") == [1, 1, 7, None]
     assert values(spark, E.plain_label("x"), [" Sa’", "Sa'", "Sa·`"], "x string") == ["Sa", "Sa'", "Sa"]
 
@@ -107,6 +109,31 @@ def test_snapping_ties(spark):
     assert snap([60.05, 61.0]) == [60, 60]
     assert snap([61.0]) == [62]
     assert snap([66.0]) == [None]
+    n = notes(spark, [(i, i + 1, m) for i, m in enumerate([66.0, 61.0, 60.0])])
+    far = P.snap_to_scale(n, [0, 2], 60, keep_far=True).orderBy("start").collect()
+    assert [(r["snapped"], r["action"]) for r in far] == [(66.0, "unchanged_far"), (62.0, "corrected"), (60.0, "unchanged")]
+    assert [r["action"] for r in P.snap_to_scale(n, [], 60).collect()] == ["unchanged_far"] * 3
+
+
+def test_folds_do_not_depend_on_where_they_are_cut(spark, monkeypatch):
+    """The same notes, phrases and choices whether a recording is one group or many."""
+    rng = np.random.default_rng(5)
+    at, rows = 0.0, []
+    for _ in range(400):
+        at += rng.choice([0.0, 0.05, 0.15, 0.4, 1.0])
+        end = at + rng.choice([0.05, 0.1, 0.3])
+        rows.append((at, end, float(rng.choice([60, 60.4, 61, 62, 63, 66]))))
+        at = end
+    n = notes(spark, rows)
+    phrased = P.gap_phrases(n, 0.3)
+
+    def all_of():
+        tables = (P.merge_notes(n), P.merge_small_phrases(phrased, 4, 0.5), P.snap_to_scale(n, [0, 2, 4], 60), P.snap_to_scale(n, [0, 2, 4], 60, keep_far=True))
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    whole = all_of()
+    monkeypatch.setattr(P, "CHUNK", 3)
+    assert all_of() == whole
 
 
 def test_small_phrases_cascade(spark):
@@ -131,7 +158,9 @@ def test_window_mass_edges(spark):
 
 def test_histogram_weights_need_all_frames_voiced(spark):
     f = frames(spark, [60.0, 60.0]).withColumn("confidence", F.lit(0.25))
-    assert H.folded(f, 33).agg(F.sum("count")).first()[0] == 0.5
+    assert H.folded(f, 33).agg(F.sum("count")).first()[0] == pytest.approx(0.5 * 0.1)  # times the median step
+    assert H.folded(f.where("frame_id = 0"), 33).agg(F.sum("count")).first()[0] == 0.25
+    assert H.folded(f, 33, weighted=False).agg(F.sum("count")).first()[0] == 2.0
     g = frames(spark, [60.0, 60.0, 0]).withColumn("confidence", F.lit(0.25))
     assert H.folded(g, 33).agg(F.sum("count")).first()[0] == 2.0
 
@@ -195,14 +224,34 @@ def test_turning_note_belongs_to_both_runs(spark):
     assert [(r["direction"], r["first"], r["rest"]) for r in got] == [(1, 60, [62, 64]), (-1, 64, [62, 60])]
 
 
-def test_two_means_is_optimal():
+def test_two_means_is_optimal(spark):
     rng = np.random.default_rng(2)
-    for _ in range(50):
-        x = np.sort(rng.random(12) * 5)
-        cost = lambda k, x=x: ((x[:k] - x[:k].mean()) ** 2).sum() + ((x[k:] - x[k:].mean()) ** 2).sum()
-        k = min(range(1, 12), key=cost)
-        assert P._two_means(x, 0.0) == pytest.approx((x[:k].mean() + x[k:].mean()) / 2)
-    assert P._two_means(np.array([0.1, 0.1]), 0.3) == 0.3
+    gaps = {k: rng.random(12) * 5 for k in range(20)} | {20: np.array([0.1, 0.1])}
+    rows = []
+    for k, x in gaps.items():
+        t = 0.0
+        for i, g in enumerate([0.0, *x]):
+            t += float(g)
+            rows.append((k, i, round(t * UNIT), round((t + 1) * UNIT), t, t + 1))
+            t += 1
+    n = spark.createDataFrame(rows, "recording_id long, note_id long, start_us long, end_us long, start double, end double")
+    got = {r[0]: r[1] for r in P.gap_thresholds(n, 0.3).collect()}
+    for k in range(20):
+        x = np.sort(gaps[k])
+        cost = lambda j, x=x: ((x[:j] - x[:j].mean()) ** 2).sum() + ((x[j:] - x[j:].mean()) ** 2).sum()
+        j = min(range(1, 12), key=cost)
+        assert got[k] == pytest.approx((x[:j].mean() + x[j:].mean()) / 2)
+    assert got[20] == 0.3
+
+
+def test_windowed_ngrams_are_those_of_the_arrays(spark):
+    rows = [(g, i, f"t{(g * i) % 5}") for g in range(4) for i in range(g * 2 + 1)]
+    t = spark.createDataFrame(rows, "g long, i long, token string")
+    for start in (True, False):
+        want = G.ngrams(G.token_arrays(t, ["g"], ["i"], start=start), 1, 3).select("g", "n", "pos", "ngram")
+        got = G.windowed_ngrams(t, ["g"], ["i"], start=start).select("g", "n", "pos", "ngram")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert G.parse_lambdas("5,3,2") == [0.2, 0.3, 0.5]
 
 
 def test_silence_split(spark):
@@ -216,7 +265,7 @@ def model(spark, own=False):
     g = G.ngrams(a, 1, 3)
     counted = G.counts(g, ["class"])
     totals = counted.where("n = 1").groupBy("class").agg(F.sum("cnt").alias("tokens"))
-    return G.score_positions(g, counted, totals, 3, 3, [0.2, 0.3, 0.5], 0.1, G.counts(g, ["recording_id", "class"]) if own else None), counted
+    return G.score_sequences(G.score_positions(g, counted, totals, 3, 3, [0.2, 0.3, 0.5], 0.1, G.counts(g, ["recording_id", "class"]) if own else None)), counted
 
 
 def test_short_context_is_one_over_the_vocabulary(spark):
