@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import catalog, commands, directions, language, reports, scalar, scoring, sequences, stream
+from . import catalog, commands, directions, files, language, reports, scalar, scoring, sequences, stream
 
-MODULES = (scalar, scoring, sequences, language, directions, catalog, reports, stream, commands)
+MODULES = (scalar, scoring, sequences, language, directions, files, catalog, reports, stream, commands)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
 FLAGSHIP = "score_candidates"

@@ -140,12 +140,6 @@ def rounded_sink(spark, d):
     return rounded_notes(S.notes(spark, d)).select("note_id", "start", "end", "pitch_midi", "pitch_class", "energy")
 
 
-@R("model_json", "SELECT event_type, to_json(struct_pack(event_type := event_type, n := count(*), users := count(DISTINCT user_id))) AS json FROM events GROUP BY event_type")
-def model_json(spark, d):
-    g = S.table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
-    return g.select("event_type", F.to_json(F.struct("event_type", "n", "users")).alias("json"))
-
-
 @R("conversation_turns", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, round(avg(length(text)), 4) AS mean_chars, count(*) FILTER (turn = 0) AS first FROM conversations GROUP BY 1")
 def conversation_turns(spark, d):
     c = S.table(spark, d, "conversations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
@@ -63,6 +63,85 @@ def read_scales(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.aggregate("mask", F.lit(0), lambda s, x: s + x) >= 2).withColumn("name", F.element_at("names", 1))
 
 
+NOTE_ALIASES = {"start": ("start", "start_time", "starttime"), "end": ("end", "end_time", "endtime"), "midi": ("pitch_midi", "pitchmidi", "midi"), "label": ("sargam", "label"), "pc": ("pitch_class", "pitchclass")}
+# Names of transcriptions in recordings' folders, and suffixes of audio files.
+ORIGINAL, EDITED, EDITS = "transcribed_notes.csv", "transcription_edited.csv", "transcription_edits"
+AUDIO = ("wav", "mp3", "flac", "ogg", "m4a", "aac")
+
+
+def _located(spark: SparkSession, path: str) -> DataFrame:
+    """A folder's tables as text cells, with file, and row: each file's rows counted from 0."""
+    rows = read_text_table(spark, path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b")).withColumn("_m", F.monotonically_increasing_id())
+    return rows.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("_b", "_m")) - 1).drop("_b", "_m")
+
+
+def read_transcriptions(spark: SparkSession, path: str) -> DataFrame:
+    """file, row, start, end, midi, hz, label of transcriptions for the language model. Without a column for times they are 0,
+    without one for pitch it is 60; rows with a cell that is no number are left out."""
+    rows = _located(spark, path)
+    at = {k: resolve(rows.columns, v) for k, v in NOTE_ALIASES.items()}
+    number = lambda k, default: F.col(f"`{at[k]}`").try_cast("double") if at[k] else F.lit(default)
+    label = F.trim(F.col(f"`{at['label']}`")) if at["label"] else F.lit("")
+    read = rows.select("file", "row", number("start", 0.0).alias("start"), number("end", 0.0).alias("end"), number("midi", 60.0).alias("midi"), label.alias("label"))
+    return read.where("start is not null and end is not null and midi is not null").withColumn("hz", E.midi_to_hz("midi"))
+
+
+def read_motif_notes(spark: SparkSession, path: str, tonic: int | None = None) -> DataFrame:
+    """file, row, start, end, token of transcriptions for motifs: label and pitch class, from the tonic if one is given. Rows need
+    a label, and a pitch class or a pitch; a time that is no number is the row's place, or the one after it for the end; times
+    in the wrong order change places, and rows with infinite ones are left out."""
+    rows = _located(spark, path)
+    at = {k: resolve(rows.columns, v) for k, v in NOTE_ALIASES.items()}
+    number = lambda k: F.col(f"`{at[k]}`").try_cast("double") if at[k] else F.lit(None).cast("double")
+    label = E.plain_label(f"`{at['label']}`") if at["label"] else F.lit("")
+    pc = F.coalesce(E.pitch_class(E.finite(number("pc"))), E.pitch_class(E.finite(number("midi"))))
+    read = rows.select("file", "row", label.alias("label"), pc.alias("pc"), F.coalesce(number("start"), F.col("row").cast("double")).alias("a"), F.coalesce(number("end"), F.col("row") + 1.0).alias("b"))
+    read = read.where("label != '' and pc is not null").where(E.finite("a").isNotNull() & E.finite("b").isNotNull())
+    step = E.floor_mod(F.col("pc") - tonic, 12) if tonic is not None else F.col("pc")
+    return read.select("file", "row", F.least("a", "b").alias("start"), F.greatest("a", "b").alias("end"), F.concat_ws(":", "label", step.cast("string")).alias("token"))
+
+
+def discover(paths: DataFrame, path: str = "path") -> DataFrame:
+    """(folder, stem, original, edited) of recordings' folders among file paths: that of a transcription, or for edited ones in
+    their own folder the one above. stem: the folder's name in lower case. Folders and files are told by whole names."""
+    rows = paths.select(F.col(path).alias("p"), F.substring_index(path, "/", -1).alias("name"), F.regexp_replace(path, "/[^/]*$", "").alias("dir")).where(F.col("name").isin(ORIGINAL, EDITED))
+    up = (F.col("name") == EDITED) & (F.substring_index("dir", "/", -1) == EDITS)
+    rows = rows.withColumn("folder", F.when(up, F.regexp_replace("dir", "/[^/]*$", "")).otherwise(F.col("dir")))
+    found = rows.groupBy("folder").agg(*[F.max(F.when(F.col("name") == n, F.col("p"))).alias(c) for n, c in ((ORIGINAL, "original"), (EDITED, "edited"))])
+    return found.withColumn("stem", F.lower(F.substring_index("folder", "/", -1)))
+
+
+def audio_files(paths: DataFrame, root: str, path: str = "path", depth: int = 3) -> DataFrame:
+    """The paths of audio files at most ``depth`` folders below and in the root, none hidden, in order."""
+    below = F.substring(F.col(path), len(root.rstrip("/")) + 2, 1 << 20)
+    name = F.substring_index(path, "/", -1)
+    fits = F.col(path).startswith(root.rstrip("/") + "/") & (F.size(F.split(below, "/")) <= depth) & ~name.startswith(".")
+    return paths.where(fits & F.lower(name).rlike(r"\.(" + "|".join(AUDIO) + ")$")).select(path).orderBy(path)
+
+
+def cache_path(folder: Column, prefix: Column, extractor: Column, first: str = "swiftf0") -> Column:
+    """Where an extractor's pitch table is kept: the first extractor's under the old name, others' under their own."""
+    return F.concat(folder, F.lit("/"), prefix, F.lit("_pitch_data"), F.when(extractor == first, "").otherwise(F.concat(F.lit("_"), extractor)), F.lit(".csv"))
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each candidate of recordings' feature files: a JSON object each, its candidates in an array."""
+    rows = spark.read.option("multiLine", True).json(path)
+    kept = [c for c in rows.columns if c != "candidates"]
+    return rows.select(*kept, F.explode("candidates").alias("c")).select(*kept, "c.*")
+
+
+def read_corpus(spark: SparkSession, path: str, key: str = "stem") -> DataFrame:
+    """The tables of a folder of recordings as one, as text cells, with the recording's key from its folder ``key=``."""
+    return spark.read.option("header", True).option("inferSchema", False).option("basePath", path).csv(path).withColumn(key, F.col(key).cast("string"))
+
+
+def write_csv(rows: DataFrame, path: str, by: list[str], order: list[str]) -> None:
+    """A table with headers for each value of ``by``, its rows in order."""
+    rows.repartition(*by).sortWithinPartitions(*by, *order).write.mode("overwrite").option("header", True).partitionBy(*by).csv(path)
+
+
 def rounded_notes(notes: DataFrame) -> DataFrame:
     """As written to tables: times to 3 places, pitch to 2, frequency to 1, energy to 4. Later steps read these."""
     return notes.select("recording_id", "note_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), F.round(F.greatest(F.col("end") - F.col("start"), F.lit(0.0)), 3).alias("duration"), F.round("midi", 2).alias("pitch_midi"), F.round(E.midi_to_hz("midi"), 1).alias("pitch_hz"), F.col("pc").alias("pitch_class"), F.round("energy", 4).alias("energy"))
@@ -81,10 +160,13 @@ def upsert_log(log: DataFrame, more: DataFrame, key: list[str], order: str) -> D
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A place in the folder that driver and executors share; a temporary one where none is set (tests)."""
+    """A place in the folder that driver and executors share. Where none is set, a temporary one on a local master (tests); on a
+    cluster an error, as a folder of one machine would lose what the others write."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}"
