@@ -17,10 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """recording_id, frame_id, t_us, t, track, pitch_hz, confidence, voicing, energy."""
+    return as_frames(table(spark, sf_dir, "events"))
+
+
+def as_frames(events: DataFrame, *more: str) -> DataFrame:
+    """Events as frames; a stream's too."""
     k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("recording_id"), F.col("event_id").alias("frame_id"), us.alias("t_us"), (us / F.lit(float(UNIT))).alias("t"), F.col("event_type").alias("track"),
+    return events.select(
+        *more, F.col("user_id").alias("recording_id"), F.col("event_id").alias("frame_id"), us.alias("t_us"), (us / F.lit(float(UNIT))).alias("t"), F.col("event_type").alias("track"),
         F.col("value").alias("pitch_hz"), (k / F.lit(100.0)).alias("confidence"), ((F.col("value") > 0) & (k % 10 != 0)).alias("voicing"), ((F.col("event_id") * 37 % 100) / F.lit(100.0)).alias("energy"),
     )
 
