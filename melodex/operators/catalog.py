@@ -46,3 +46,15 @@ def owned(notes: DataFrame, phrases: DataFrame) -> DataFrame:
     named = phrases.select("song", "phrase", F.explode("note_ids").alias("note_id"))
     named = named.withColumn("_r", F.row_number().over(Window.partitionBy("song", "note_id").orderBy("phrase"))).where("_r = 1").drop("_r")
     return notes.join(named, ["song", "note_id"], "left").withColumn("phrase", F.coalesce("phrase", F.concat(F.lit("auto-"), F.col("note_id").cast("string"))))
+
+
+def replay(notes: DataFrame, log: DataFrame) -> DataFrame:
+    """Notes (recording_id, note_id, start, end, midi) after a log of edits (recording_id, note_id, op, seq, start, end, midi), of which
+    the last of a note counts: ``delete`` takes it away, ``move`` gives an existing one new bounds, ``add`` makes or remakes it."""
+    keys = ["recording_id", "note_id"]
+    last = latest(log, keys, ["seq"]).select(*keys, "op", *[F.col(c).alias(f"_{c}") for c in ("start", "end", "midi")])
+    met = notes.withColumn("_there", F.lit(True)).join(last, keys, "full")
+    op = F.col("op")
+    kept = op.isNull() | ((op == "move") & F.col("_there")) | (op == "add")
+    pick = lambda c: F.when(op.isNull(), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    return met.where(kept).select(*keys, pick("start"), pick("end"), F.coalesce("midi", "_midi").alias("midi"))

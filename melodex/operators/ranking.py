@@ -46,6 +46,47 @@ def pairwise_weights(pairs: DataFrame, features: list[str], l2: float = 1e-4) ->
     return [float(x) for x in model.coefficients]
 
 
+def rerank(rows: DataFrame, fallback: int = 20, histogram: float = 0.5, model: float = 2.0, deletion: float = 2.0) -> DataFrame:
+    """Adds gated, combined and lm_rank to hypotheses (recording_id, class, hist, lm, residual): those with a positive score of
+    the histogram pass the gate, or the best ``fallback`` where none has; among them the scores of histogram and language model,
+    each spread over 0 to 1, are weighed, and the share of deleted notes over the expected one is taken off. The others get
+    -999. A model's score of -900 and below is none, and has no part in the spread."""
+    w = Window.partitionBy("recording_id")
+    pos, place = F.sum((F.col("hist") > 0).cast("int")).over(w), F.row_number().over(w.orderBy(F.col("hist").desc(), "class"))
+    rows = rows.withColumn("gated", F.when(pos > 0, F.col("hist") > 0).otherwise(place <= fallback))
+    inside = {"hist": F.col("gated"), "lm": F.col("gated") & (F.col("lm") > -900)}
+    for c, ok in inside.items():
+        x = F.when(ok, F.col(c))
+        lo, hi = F.coalesce(F.min(x).over(w), F.lit(0.0)), F.coalesce(F.max(x).over(w), F.lit(1.0))
+        rows = rows.withColumn(f"n_{c}", (F.col(c) - lo) / F.when(hi > lo, hi - lo).otherwise(1.0))
+    score = F.round(histogram * F.col("n_hist") + model * F.col("n_lm") - deletion * F.col("residual"), 4)
+    rows = rows.withColumn("combined", F.when(F.col("gated"), score).otherwise(-999.0)).drop("n_hist", "n_lm")
+    return rows.withColumn("lm_rank", F.row_number().over(w.orderBy(F.col("combined").desc(), "class")))
+
+
+def fold_weights(rows: DataFrame, group: str, features: list[str], label: str, folds: int = 5) -> DataFrame:
+    """(fold, weights, top1, top3, groups): logistic regression with classes of equal weight, learned without one fold of the groups
+    and judged on it, for each fold; groups fall into folds by a hash."""
+    from pyspark.ml.functions import vector_to_array
+
+    spark = rows.sparkSession
+    fold = F.pmod(F.xxhash64(F.lit("fold"), group), F.lit(folds)).cast("int")
+    data = VectorAssembler(inputCols=features, outputCol="x").transform(rows.select(group, *features, F.col(label).cast("double").alias("label"), fold.alias("fold"))).cache()
+    out = []
+    for k in range(folds):  # each a fit of its own
+        train = data.where(F.col("fold") != k)
+        n, ones = train.agg(F.count("*"), F.sum("label")).first()
+        if not n or not 0 < (ones or 0) < n:
+            continue
+        weight = F.when(F.col("label") == 1, n / (2 * ones)).otherwise(n / (2 * (n - ones)))
+        model = LogisticRegression(featuresCol="x", weightCol="w", maxIter=50, regParam=1.0 / n).fit(train.withColumn("w", weight))
+        judged = model.transform(data.where(F.col("fold") == k)).withColumn("score", vector_to_array("probability")[1]).withColumn("ok", F.col("label") == 1)
+        m = correct_ranks(judged, group, "score", "ok").agg(F.avg((F.col("rank") <= 1).cast("double")), F.avg((F.col("rank") <= 3).cast("double")), F.count("*")).first()
+        out.append((k, [float(x) for x in model.coefficients], m[0], m[1], m[2]))
+    data.unpersist()
+    return spark.createDataFrame(out, "fold int, weights array<double>, top1 double, top3 double, groups long")
+
+
 def learned_ranking(rows: DataFrame, group: str, features: list[str], held_out: int = 5) -> DataFrame:
     """Metrics of a scaled multilayer perceptron on the groups kept out (one in ``held_out`` by hash); rows have a label of 0 or 1."""
     from pyspark.ml import Pipeline

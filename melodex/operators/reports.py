@@ -63,6 +63,19 @@ def deletion_rates(notes: DataFrame, scale: list[int], slope: float, level: floa
     return notes.groupBy("recording_id").agg(F.round(rate, 6).alias("rate"), F.round(rate - (slope * len(scale) + level), 6).alias("residual"))
 
 
+def deletion_of_scales(notes: DataFrame, scales: DataFrame, key: str, slope: float, level: float, most: float = 1.0) -> DataFrame:
+    """(recording_id, key, rate, residual): for each scale the share of a recording's notes further than ``most`` from all of the
+    scale's, and what that is over the share expected of a scale of its size. Scales are few: those that are weighed."""
+    place = E.cents("midi") / 100
+    far = F.array_min(F.transform(F.filter(F.transform("mask", lambda on, i: F.when(on == 1, i.cast("double"))), lambda x: x.isNotNull()), lambda x: E.circular_distance(place, x, 12.0)))
+    size = F.aggregate("mask", F.lit(0), lambda s, x: s + x.cast("int"))
+    met = notes.select("recording_id", "midi").crossJoin(F.broadcast(scales.select(key, "mask")))
+    kept = F.coalesce(F.round(far, 9) <= most, F.lit(False))
+    rate = F.avg(F.when(kept, 0.0).otherwise(1.0))
+    out = met.withColumn("size", size).groupBy("recording_id", key).agg(rate.alias("rate"), F.max("size").alias("size"))
+    return out.select("recording_id", key, "rate", (F.col("rate") - (slope * F.col("size") + level)).alias("residual"))
+
+
 def band_grid(voiced: DataFrame, lows: Iterable[int], widths: Iterable[int], gates: Iterable[int], best: int = 5) -> DataFrame:
     grid = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(lo + w).alias("hi"), F.lit(g).alias("gate")) for lo in lows for w in widths for g in gates])
     rows = voiced.select("recording_id", "pitch_hz", "confidence", F.inline(grid)).where("pitch_hz >= lo and pitch_hz < hi and confidence * 100 >= gate")

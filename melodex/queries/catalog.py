@@ -146,4 +146,31 @@ def conversation_turns(spark, d):
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.count(F.when(F.col("turn") == 0, 1)).alias("first"))
 
 
+@R("ornaments", f"{S.with_('notes')} SELECT note_id, \"end\" - start < 0.15 AS ornament FROM notes")
+def ornaments(spark, d):
+    return S.notes(spark, d).select("note_id", (F.col("end") - F.col("start") < 0.15).alias("ornament"))
+
+
+EDITS = """log AS (
+    SELECT recording_id, note_id, CASE note_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'move' ELSE 'add' END AS op, note_id AS seq, start + 0.01 AS start, "end" + 0.02 AS "end", midi FROM notes WHERE note_id % 5 < 3
+    UNION ALL SELECT recording_id, note_id, 'move', note_id + 1000000, start - 0.01, "end", midi FROM notes WHERE note_id % 10 = 0),
+last AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY recording_id, note_id ORDER BY seq DESC) = 1)"""
+
+
+@R("edits_replayed", f"""{S.with_('notes')}, {EDITS}, kept AS (SELECT * FROM notes WHERE note_id % 5 <> 2),
+    m AS (SELECT coalesce(k.recording_id, l.recording_id) AS recording_id, coalesce(k.note_id, l.note_id) AS note_id, op, k.start AS ks, k."end" AS ke, l.start AS ls, l."end" AS le, k.midi AS km, l.midi AS lm
+          FROM kept k FULL JOIN last l ON l.recording_id = k.recording_id AND l.note_id = k.note_id)
+    SELECT recording_id, note_id, round(CASE WHEN op IS NULL THEN ks ELSE ls END, 6) AS start, round(CASE WHEN op IS NULL THEN ke ELSE le END, 6) AS "end", round(coalesce(km, lm), 6) AS midi
+    FROM m WHERE op IS NULL OR op = 'move' AND ks IS NOT NULL OR op = 'add'""")
+def edits_replayed(spark, d):
+    """A log of deletions, moves and additions replayed over notes: of several edits of a note the last counts."""
+    n = S.notes(spark, d).select("recording_id", "note_id", "start", "end", "midi")
+    way = F.col("note_id") % 5
+    op = F.when(way == 0, "delete").when(way == 1, "move").otherwise("add")
+    first = n.where(way < 3).select("recording_id", "note_id", op.alias("op"), F.col("note_id").alias("seq"), (F.col("start") + 0.01).alias("start"), (F.col("end") + 0.02).alias("end"), "midi")
+    more = n.where("note_id % 10 = 0").select("recording_id", "note_id", F.lit("move").alias("op"), (F.col("note_id") + 1000000).alias("seq"), (F.col("start") - 0.01).alias("start"), "end", "midi")
+    out = C.replay(n.where(way != 2), first.unionByName(more))
+    return out.select("recording_id", "note_id", *[F.round(c, 6).alias(c) for c in ("start", "end", "midi")])
+
+
 QUERIES, ORACLE = R.queries, R.oracle

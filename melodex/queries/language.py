@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import joins as J
 from ..operators import ngrams as G
 from ..operators import ranking as K
+from ..operators import reports as T
 from ..sources import adapters as S
 from .registry import Registry
 
@@ -198,10 +199,47 @@ def motif_score(spark, d):
     return G.motif_scores(motif_grams(spark, d), motifs(spark, d), ["recording_id"]).withColumn("score", F.round("score", 5))
 
 
-@R("motif_overlay", f"{MOT}, pg AS (SELECT recording_id, seq, ngram FROM (SELECT recording_id, seq, array_to_string(tokens[pos - n + 1:pos], '|') AS ngram FROM (SELECT *, unnest(range(n, len(tokens) + 1)) AS pos FROM arr, (SELECT unnest([3, 4]) AS n))) WHERE NOT contains(ngram, '<BOS>')) SELECT recording_id, seq, m.class, round(sum(weight), 5) AS score, count(*) AS hits, count(DISTINCT ngram) AS motifs FROM pg JOIN motifs m USING (ngram) GROUP BY 1, 2, 3")
+@R("motif_overlay", f"""{MOT},
+    mine AS (SELECT mg.recording_id, m.class AS class, round(sum(weight), 5) AS total FROM mg JOIN motifs m USING (ngram) GROUP BY 1, 2),
+    top AS (SELECT * FROM mine QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY total DESC, class) <= 2),
+    pg AS (
+        SELECT recording_id, seq, array_to_string(tokens[pos - n + 1:pos], '|') AS ngram
+        FROM (SELECT *, unnest(range(n, len(tokens) + 1)) AS pos FROM arr, (SELECT unnest([3, 4]) AS n)) WHERE NOT contains(array_to_string(tokens[pos - n + 1:pos], '|'), '<BOS>')),
+    b AS (SELECT recording_id, seq, round(min(start), 6) AS start, round(max("end"), 6) AS "end" FROM ph GROUP BY 1, 2),
+    o AS (
+        SELECT pg.recording_id AS recording_id, seq, m.class AS class, round(sum(weight), 5) AS score, count(*) AS hits, array_to_string(list_sort(list(DISTINCT ngram)), ' ') AS motifs
+        FROM pg JOIN motifs m USING (ngram) GROUP BY 1, 2, 3)
+    SELECT recording_id, seq, class, start, "end", score, hits, motifs FROM o SEMI JOIN top USING (recording_id, class) JOIN b USING (recording_id, seq)""")
 def motif_overlay(spark, d):
+    """For the two best classes of a recording each phrase's motifs: its bounds, their number, score and names."""
+    m = motifs(spark, d)
+    mine = G.motif_scores(motif_grams(spark, d), m, ["recording_id"]).withColumn("score", F.round("score", 5))
+    w = Window.partitionBy("recording_id").orderBy(F.col("score").desc(), "class")
+    top = mine.withColumn("r", F.row_number().over(w)).where("r <= 2").select("recording_id", "class")
     g = grams(spark, d, 3, 4).where(~F.col("ngram").contains(G.START))
-    return G.motif_scores(g, motifs(spark, d), ["recording_id", "seq"]).withColumn("score", F.round("score", 5))
+    met = g.drop("class").join(m.select("class", "ngram", "weight"), "ngram").join(top, ["recording_id", "class"], "left_semi")
+    o = met.groupBy("recording_id", "seq", "class").agg(F.round(F.sum("weight"), 5).alias("score"), F.count("*").alias("hits"), F.array_join(F.array_sort(F.collect_set("ngram")), " ").alias("motifs"))
+    bounds = tokens(spark, d).groupBy("recording_id", "seq").agg(F.round(F.min("start"), 6).alias("start"), F.round(F.max("end"), 6).alias("end"))
+    return o.join(bounds, ["recording_id", "seq"])
+
+
+@R("motif_ranking", f"""{MOT},
+    hit AS (SELECT mg.recording_id, m.class AS class, ngram, count(*) AS n, round(count(*) * any_value(weight), 9) AS part FROM mg JOIN motifs m USING (ngram) GROUP BY 1, 2, 3),
+    r AS (SELECT recording_id, class, round(sum(part), 5) AS score, sum(n)::BIGINT AS hits, count(*) AS motifs FROM hit GROUP BY 1, 2),
+    k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY score DESC, class) <= 2),
+    t AS (SELECT * FROM hit QUALIFY row_number() OVER (PARTITION BY recording_id, class ORDER BY part DESC, n DESC, ngram) <= 20)
+    SELECT k.recording_id AS recording_id, k.class AS class, score, hits, motifs, array_to_string(list(ngram ORDER BY part DESC, n DESC, ngram), ' ') AS top_motifs
+    FROM k JOIN t USING (recording_id, class) GROUP BY ALL""")
+def motif_ranking(spark, d):
+    """The two best classes of each recording by its motifs, with the twenty of the largest part."""
+    met = motif_grams(spark, d).drop("class").join(motifs(spark, d).select("class", "ngram", "weight"), "ngram")
+    hit = met.groupBy("recording_id", "class", "ngram").agg(F.count("*").alias("n"), F.round(F.count("*") * F.first("weight"), 9).alias("part"))
+    w = Window.partitionBy("recording_id", "class").orderBy(F.col("part").desc(), F.col("n").desc(), "ngram")
+    hit = hit.withColumn("at", F.row_number().over(w))
+    names = F.transform(F.sort_array(F.collect_list(F.when(F.col("at") <= 20, F.struct("at", "ngram")))), lambda x: x["ngram"])
+    r = hit.groupBy("recording_id", "class").agg(F.round(F.sum("part"), 5).alias("score"), F.sum("n").alias("hits"), F.count("*").alias("motifs"), F.array_join(names, " ").alias("top_motifs"))
+    best = Window.partitionBy("recording_id").orderBy(F.col("score").desc(), "class")
+    return r.withColumn("r", F.row_number().over(best)).where("r <= 2").drop("r")
 
 
 @R("common_patterns", f"""{TOK}, wd AS (SELECT recording_id, seq, i, tokens[i:least(i + 4, len(tokens))] AS w FROM (SELECT *, unnest(range(2, len(tokens) - 1)) AS i FROM arr)),
@@ -255,19 +293,56 @@ def variant_summary_p95(spark, d):
     return li.agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95"), F.max("l_extendedprice").alias("max"), F.count(F.when(F.col("l_discount") > 0.05, 1)).alias("discounted"))
 
 
-@R("lm_rerank", LOO + """, h AS (SELECT recording_id, pc % 4 AS class, count(*)::DOUBLE AS hist FROM notes GROUP BY 1, 2), j AS (SELECT sc.recording_id, sc.class, coalesce(hist, 0) AS hist, logprob / positions AS lm FROM sc LEFT JOIN h ON h.recording_id = sc.recording_id AND h.class = sc.class),
-    nm AS (SELECT *, CASE WHEN max(hist) OVER w > min(hist) OVER w THEN (hist - min(hist) OVER w) / (max(hist) OVER w - min(hist) OVER w) ELSE 0 END AS nh, CASE WHEN max(lm) OVER w > min(lm) OVER w THEN (lm - min(lm) OVER w) / (max(lm) OVER w - min(lm) OVER w) ELSE 0 END AS nl FROM j WINDOW w AS (PARTITION BY recording_id))
-    SELECT recording_id, class, round(0.5 * nh + 2.0 * nl, 5) AS combined, row_number() OVER (PARTITION BY recording_id ORDER BY round(0.5 * nh + 2.0 * nl, 7) DESC, class) AS lm_rank FROM nm""")
+@R("lm_rerank", LOO + f""",
+    {S.SQL["scales"]},
+    h AS (SELECT recording_id, pc % 4 AS class, count(*) - 10.0::DOUBLE AS hist FROM notes GROUP BY 1, 2),
+    away AS (
+        SELECT recording_id, note_id, scale_id - 1 AS class, min(abs(((midi % 12 - step + 6) % 12 + 12) % 12 - 6)) AS far
+        FROM notes CROSS JOIN scale_steps WHERE scale_id <= 4 GROUP BY 1, 2, 3),
+    del AS (SELECT recording_id, class, avg(CASE WHEN round(far, 9) <= 1 THEN 0.0::DOUBLE ELSE 1 END) AS rate FROM away GROUP BY 1, 2),
+    size AS (SELECT scale_id - 1 AS class, count(*) AS k FROM scale_steps GROUP BY 1),
+    j AS (
+        SELECT sc.recording_id, sc.class, coalesce(hist, 0) AS hist, logprob / positions AS lm, rate - (-0.06 * k + 0.7) AS residual
+        FROM sc JOIN del USING (recording_id, class) JOIN size USING (class) LEFT JOIN h ON h.recording_id = sc.recording_id AND h.class = sc.class),
+    g AS (
+        SELECT *, CASE WHEN count(*) FILTER (hist > 0) OVER w > 0 THEN hist > 0 ELSE row_number() OVER (PARTITION BY recording_id ORDER BY hist DESC, class) <= 2 END AS gated
+        FROM j WINDOW w AS (PARTITION BY recording_id)),
+    b AS (
+        SELECT *, min(hist) FILTER (gated) OVER w AS h0, max(hist) FILTER (gated) OVER w AS h1, min(lm) FILTER (gated) OVER w AS l0, max(lm) FILTER (gated) OVER w AS l1
+        FROM g WINDOW w AS (PARTITION BY recording_id)),
+    c AS (
+        SELECT *, CASE WHEN gated THEN round(0.5 * (hist - h0) / (CASE WHEN h1 > h0 THEN h1 - h0 ELSE 1 END)
+            + 2.0 * (lm - l0) / (CASE WHEN l1 > l0 THEN l1 - l0 ELSE 1 END) - 2.0 * residual, 4) ELSE -999 END AS combined FROM b)
+    SELECT recording_id, class, gated, round(residual, 6) AS residual, combined, row_number() OVER (PARTITION BY recording_id ORDER BY combined DESC, class) AS lm_rank FROM c""")
 def lm_rerank(spark, d):
-    """The histogram's and the language model's scores, each spread over 0 to 1 in its recording, weighed and ranked."""
+    """Classes by histogram, language model and the share of notes that the class's scale would delete; a scale for each class."""
     s = scores(spark, d, True).select("recording_id", "class", (F.col("logprob") / F.col("positions")).alias("lm"))
-    h = S.notes(spark, d).groupBy("recording_id", (F.col("pc") % 4).cast("long").alias("class")).agg(F.count("*").cast("double").alias("hist"))
-    w = Window.partitionBy("recording_id")
-    norm = lambda c: F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.0)
-    j = s.join(h, ["recording_id", "class"], "left").withColumn("hist", F.coalesce("hist", F.lit(0.0)))
-    j = K.fused(j.withColumn("nh", norm("hist")).withColumn("nl", norm("lm")), {"nh": 0.5, "nl": 2.0})
-    rank = F.row_number().over(w.orderBy(F.round("combined", 7).desc(), "class"))
-    return j.select("recording_id", "class", F.round("combined", 5).alias("combined"), rank.alias("lm_rank"))
+    n = S.notes(spark, d)
+    h = n.groupBy("recording_id", (F.col("pc") % 4).cast("long").alias("class")).agg((F.count("*") - F.lit(10.0)).alias("hist"))
+    scales = S.scales(spark, d).where("scale_id <= 4").select((F.col("scale_id") - 1).cast("long").alias("class"), "mask")
+    rates = T.deletion_of_scales(n, scales, "class", -0.06, 0.7)
+    j = s.join(h, ["recording_id", "class"], "left").withColumn("hist", F.coalesce("hist", F.lit(0.0))).join(rates, ["recording_id", "class"])
+    return K.rerank(j, fallback=2).select("recording_id", "class", "gated", F.round("residual", 6).alias("residual"), "combined", "lm_rank")
+
+
+@R("evaluation_rows", LOO + """, r AS (SELECT *, round(logprob / positions, 6) AS mean, row_number() OVER (PARTITION BY recording_id ORDER BY round(logprob, 6) DESC, class) AS r FROM sc)
+    SELECT recording_id, recording_id % 4 AS true_class, max(class) FILTER (r = 1) AS predicted, bool_or(r = 1 AND class = recording_id % 4) AS correct, max(r) FILTER (class = recording_id % 4) AS true_rank,
+        max(mean) FILTER (r = 1) AS score_1, max(mean) FILTER (r = 2) AS score_2, max(mean) FILTER (r = 3) AS score_3, max(class) FILTER (r = 1) AS class_1, max(class) FILTER (r = 2) AS class_2, max(class) FILTER (r = 3) AS class_3
+    FROM r GROUP BY 1""")
+def evaluation_rows(spark, d):
+    """A row for each recording: its class, the predicted one, its rank, and the three best classes with their scores."""
+    w = Window.partitionBy("recording_id").orderBy(F.round("logprob", 6).desc(), "class")
+    r = scores(spark, d, True).withColumn("mean", F.round(F.col("logprob") / F.col("positions"), 6)).withColumn("r", F.row_number().over(w))
+    own, at = F.col("class") == F.col("recording_id") % 4, lambda c, k: F.max(F.when(F.col("r") == k, F.col(c)))
+    tops = [at(c, k).alias(f"{n}_{k}") for c, n in (("mean", "score"), ("class", "class")) for k in (1, 2, 3)]
+    out = r.groupBy("recording_id").agg(at("class", 1).alias("predicted"), F.bool_or((F.col("r") == 1) & own).alias("correct"), F.max(F.when(own, F.col("r"))).alias("true_rank"), *tops)
+    return out.withColumn("true_class", F.col("recording_id") % 4)
+
+
+@R("fold_learner")
+def fold_learner(spark, d):
+    """Logistic regression with classes of equal weight, judged on the orders that it did not see."""
+    return K.fold_weights(lines(spark, d).withColumnRenamed("l_orderkey", "song"), "song", ["l_quantity", "l_discount", "l_tax"], "ok")
 
 
 @R("pairwise_ranker")

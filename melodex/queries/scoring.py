@@ -325,6 +325,45 @@ def peak_counts(spark, d):
     return H.peak_counts(f.select("recording_id").distinct(), hi, lo, 100, 33)
 
 
+@R("primary_ranking", f"""{FR}, {V}, {RECS}, {COUNTS},
+    t AS (SELECT a.recording_id, a.pc AS tonic, a.n + coalesce(max(b.n), 0) AS score FROM counts a LEFT JOIN counts b ON b.recording_id = a.recording_id AND (b.pc - a.pc + 12) % 12 IN (5, 6, 7) GROUP BY 1, 2, a.n)
+    SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY score DESC, tonic) AS place FROM t""")
+def primary_ranking(spark, d):
+    """Tonics by how often they and the strongest of their fourths and fifth are heard."""
+    c = C.shares(H.profile(S.frames(spark, d))).select("recording_id", "counts", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("tonic"))
+    at = lambda i: F.get("counts", (F.col("tonic") + i) % 12)
+    return C.best_per_recording(c.select("recording_id", "tonic", (at(0) + F.greatest(at(5), at(6), at(7))).alias("score")), [F.col("score").desc(), F.col("tonic")], None, "place")
+
+
+@R("circular_minima", ",\n".join([
+    FR, V, RECS, FLAGS, histogram_sql("h33", 33),
+    "three AS (SELECT recording_id, bin + 33 * k AS bin, -x AS x FROM h33, (SELECT unnest([0, 1, 2]) AS k))", peaks_sql("low", "three", 99, 0.0, 1.0, False),
+    "SELECT recording_id, bin % 33 AS bin FROM low WHERE bin >= 33 AND bin < 66",
+]).replace(",\nSELECT", "\nSELECT"))
+def circular_minima(spark, d):
+    """The places around the octave that lie lower than both their sides."""
+    h = H.vectors(H.folded(S.frames(spark, d), 33, weighted=False)).withColumn("h", F.transform(F.concat("h", "h", "h"), lambda x: -x))
+    found = H.peaks(h, "h", 0.0, 1, 1.0, False).select("recording_id", F.explode("peaks").alias("b"))
+    return found.where("b >= 33 and b < 66").select("recording_id", (F.col("b") % 33).alias("bin"))
+
+
+@R("gaussian_vector", f"""{FR}, {V}, {RECS}, {PEAKS},
+    t AS (SELECT recording_id, bin, x / sum(x) OVER (PARTITION BY recording_id) AS v FROM s100),
+    w AS (
+        SELECT p.recording_id, p.bin AS peak, a.v AS height, (b.bin + 0.5) * 12 AS cent, b.v AS v FROM high p JOIN t a ON a.recording_id = p.recording_id AND a.bin = p.bin
+        JOIN t b ON b.recording_id = p.recording_id AND least(abs(b.bin - p.bin), 100 - abs(b.bin - p.bin)) * 12 <= 75),
+    k AS (SELECT *, greatest(1, floor(round(v * greatest(1, floor(round(1000 / greatest(sum(v) OVER (PARTITION BY recording_id, peak), 1e-6), 6))), 6))) AS n FROM w),
+    g AS (SELECT recording_id, peak, height, sum(n * cent) / sum(n) AS mu, sum(n * cent * cent) / sum(n) AS m2, sum(n) AS n FROM k GROUP BY 1, 2, 3),
+    o AS (SELECT *, CAST(round_even((peak + 0.5) * 12 / 100, 0) % 12 AS INT) AS pc, (peak + 0.5) * 12 AS middle FROM g WHERE n >= 5)
+    SELECT recording_id, pc, round(height, 6) AS height, round(((mu - middle + 600) % 1200 + 1200) % 1200 - 600, 4) AS deviation, round(sqrt(greatest(m2 - mu * mu, 0) + 1e-6), 4) AS sigma
+    FROM o QUALIFY row_number() OVER (PARTITION BY recording_id, pc ORDER BY round(height, 9) DESC, peak) = 1""")
+def gaussian_vector(spark, d):
+    """For each note its highest peak: height, and deviation and spread of a Gaussian around it."""
+    smooth = H.smoothed(H.folded(S.frames(spark, d), 100), 100, 0.8)
+    v = H.gaussian_vector(H.peaks(smooth, "smooth", 0.01, 2, 1.0))
+    return v.select("recording_id", "pc", F.round("height", 6).alias("height"), F.round("deviation", 4).alias("deviation"), F.round("sigma", 4).alias("sigma"))
+
+
 @R("gmm_closed_form", f"""{FR}, {V}, h AS (SELECT recording_id, CAST(least(floor(cent * 100 / 1200), 99) AS INT) AS bin, count(*) AS c FROM v GROUP BY 1, 2),
     p AS (SELECT DISTINCT recording_id, k * 100.0::DOUBLE AS cent FROM v CROSS JOIN (SELECT unnest(range(12)) AS k)),
     o AS (SELECT p.recording_id, p.cent, c, (((bin + 0.5) * 12 - p.cent + 600) % 1200 + 1200) % 1200 - 600 AS off FROM p JOIN h USING (recording_id)),
