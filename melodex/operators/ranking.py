@@ -46,7 +46,7 @@ def pairwise_weights(pairs: DataFrame, features: list[str], l2: float = 1e-4) ->
     return [float(x) for x in model.coefficients]
 
 
-def rerank(rows: DataFrame, fallback: int = 20, histogram: float = 0.5, model: float = 2.0, deletion: float = 2.0) -> DataFrame:
+def rerank(rows: DataFrame, fallback: int = 20, histogram: float = 0.5, model: float = 2.0, deletion: float = 2.0, places: int = 4) -> DataFrame:
     """Adds gated, combined and lm_rank to hypotheses (recording_id, class, hist, lm, residual): those with a positive score of
     the histogram pass the gate, or the best ``fallback`` where none has; among them the scores of histogram and language model,
     each spread over 0 to 1, are weighed, and the share of deleted notes over the expected one is taken off. The others get
@@ -59,7 +59,7 @@ def rerank(rows: DataFrame, fallback: int = 20, histogram: float = 0.5, model: f
         x = F.when(ok, F.col(c))
         lo, hi = F.coalesce(F.min(x).over(w), F.lit(0.0)), F.coalesce(F.max(x).over(w), F.lit(1.0))
         rows = rows.withColumn(f"n_{c}", (F.col(c) - lo) / F.when(hi > lo, hi - lo).otherwise(1.0))
-    score = F.round(histogram * F.col("n_hist") + model * F.col("n_lm") - deletion * F.col("residual"), 4)
+    score = F.round(histogram * F.col("n_hist") + model * F.col("n_lm") - deletion * F.col("residual"), places)
     rows = rows.withColumn("combined", F.when(F.col("gated"), score).otherwise(-999.0)).drop("n_hist", "n_lm")
     return rows.withColumn("lm_rank", F.row_number().over(w.orderBy(F.col("combined").desc(), "class")))
 

@@ -312,7 +312,7 @@ def variant_summary_p95(spark, d):
         FROM g WINDOW w AS (PARTITION BY recording_id)),
     c AS (
         SELECT *, CASE WHEN gated THEN round(0.5 * (hist - h0) / (CASE WHEN h1 > h0 THEN h1 - h0 ELSE 1 END)
-            + 2.0 * (lm - l0) / (CASE WHEN l1 > l0 THEN l1 - l0 ELSE 1 END) - 2.0 * residual, 4) ELSE -999 END AS combined FROM b)
+            + 2.0 * (lm - l0) / (CASE WHEN l1 > l0 THEN l1 - l0 ELSE 1 END) - 2.0 * residual, 7) ELSE -999 END AS combined FROM b)
     SELECT recording_id, class, gated, round(residual, 6) AS residual, combined, row_number() OVER (PARTITION BY recording_id ORDER BY combined DESC, class) AS lm_rank FROM c""")
 def lm_rerank(spark, d):
     """Classes by histogram, language model and the share of notes that the class's scale would delete; a scale for each class."""
@@ -322,7 +322,7 @@ def lm_rerank(spark, d):
     scales = S.scales(spark, d).where("scale_id <= 4").select((F.col("scale_id") - 1).cast("long").alias("class"), "mask")
     rates = T.deletion_of_scales(n, scales, "class", -0.06, 0.7)
     j = s.join(h, ["recording_id", "class"], "left").withColumn("hist", F.coalesce("hist", F.lit(0.0))).join(rates, ["recording_id", "class"])
-    return K.rerank(j, fallback=2).select("recording_id", "class", "gated", F.round("residual", 6).alias("residual"), "combined", "lm_rank")
+    return K.rerank(j, fallback=2, places=7).select("recording_id", "class", "gated", F.round("residual", 6).alias("residual"), "combined", "lm_rank")
 
 
 @R("evaluation_rows", LOO + """, r AS (SELECT *, round(logprob / positions, 6) AS mean, row_number() OVER (PARTITION BY recording_id ORDER BY round(logprob, 6) DESC, class) AS r FROM sc)

@@ -43,11 +43,11 @@ def bias_median_deviation(spark, d):
     return f.groupBy("recording_id").agg(F.when(F.count("*") >= 3, F.round(F.median(dev), 5)).alias("bias"))
 
 
-@R("derivative_percentiles", f"{FR}, x AS (SELECT track, recording_id, abs((pitch_hz - lag(pitch_hz) OVER w) / (t - lag(t) OVER w)) AS dv FROM frames WHERE voicing WINDOW w AS (PARTITION BY recording_id ORDER BY t_us, frame_id)) SELECT recording_id, round(quantile_cont(dv, 0.75), 4) AS p75, round(quantile_cont(dv, 0.95), 4) AS p95, round(quantile_cont(dv, 0.99), 3) AS p99 FROM x WHERE dv IS NOT NULL GROUP BY 1")
+@R("derivative_percentiles", f"{FR}, x AS (SELECT track, recording_id, abs((pitch_hz - lag(pitch_hz) OVER w) / (t - lag(t) OVER w)) AS dv FROM frames WHERE voicing WINDOW w AS (PARTITION BY recording_id ORDER BY t_us, frame_id)) SELECT recording_id, round(quantile_cont(dv, 0.75), 4) AS p75, round(quantile_cont(dv, 0.85), 4) AS p85, round(quantile_cont(dv, 0.95), 4) AS p95, round(quantile_cont(dv, 0.99), 3) AS p99 FROM x WHERE dv IS NOT NULL GROUP BY 1")
 def derivative_percentiles(spark, d):
     x = O.derivative(O.voiced(S.frames(spark, d)), "pitch_hz").withColumn("r", F.row_number().over(S.by_time())).where("r > 1")
-    p = x.groupBy("recording_id").agg(F.percentile("derivative", [0.75, 0.95, 0.99]).alias("p"))
-    return p.select("recording_id", *(F.round(F.col("p")[i], 3 if n == 99 else 4).alias(f"p{n}") for i, n in enumerate((75, 95, 99))))
+    p = x.groupBy("recording_id").agg(F.percentile("derivative", [0.75, 0.85, 0.95, 0.99]).alias("p"))
+    return p.select("recording_id", *(F.round(F.col("p")[i], 3 if n == 99 else 4).alias(f"p{n}") for i, n in enumerate((75, 85, 95, 99))))
 
 
 @R("transition_activity", f"{NO}, x AS (SELECT recording_id, pc AS a, lead(pc) OVER ({N}) AS b FROM notes) SELECT recording_id, pc, count(*) AS activity FROM (SELECT recording_id, a AS pc FROM x WHERE b IS NOT NULL UNION ALL SELECT recording_id, b FROM x WHERE b IS NOT NULL) GROUP BY 1, 2")
@@ -150,11 +150,14 @@ def names_ignoring_case(spark, d):
     return names.groupBy(F.lower("w").alias("low")).agg(F.min("w").alias("first"))
 
 
-@R("spelling_variants", """WITH k AS (SELECT DISTINCT p_name AS name FROM part),
+SPELLED = """WITH k AS (SELECT DISTINCT p_name AS name FROM part),
     w AS (
         SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, 'i', 'ee') WHEN 2 THEN 'no ' || p_name ELSE p_name END AS name
         FROM part),
-    c AS (SELECT w.name, k.name AS found, CASE WHEN k.name = w.name THEN 1 WHEN lower(k.name) = lower(w.name) THEN 2 WHEN replace(lower(k.name), 'ee', 'i') = replace(lower(w.name), 'ee', 'i') THEN 3 END AS stage FROM w JOIN k ON replace(lower(k.name), 'ee', 'i') = replace(lower(w.name), 'ee', 'i'))
+    c AS (SELECT w.name, k.name AS found, CASE WHEN k.name = w.name THEN 1 WHEN lower(k.name) = lower(w.name) THEN 2 WHEN replace(lower(k.name), 'ee', 'i') = replace(lower(w.name), 'ee', 'i') THEN 3 END AS stage FROM w JOIN k ON replace(lower(k.name), 'ee', 'i') = replace(lower(w.name), 'ee', 'i'))"""
+
+
+@R("spelling_variants", f"""{SPELLED}
     SELECT w.name, r.found, coalesce(r.stage, 9) AS stage FROM w LEFT JOIN (SELECT name, arg_min(found, (stage, found)) AS found, min(stage) AS stage FROM c GROUP BY 1) r ON r.name = w.name""")
 def spelling_variants(spark, d):
     p = S.table(spark, d, "part")
@@ -164,10 +167,15 @@ def spelling_variants(spark, d):
     return J.spelled_alike(p.select(form.alias("name")).distinct(), k)
 
 
-@R("name_match_report", """SELECT how, count(*) AS names FROM (SELECT p_name, CASE WHEN p_name = p_type THEN 'equal' WHEN contains(lower(p_name), lower(p_type)) OR contains(lower(p_type), lower(p_name)) THEN 'part' WHEN list_contains([x FOR x IN string_split(p_name, ' ')], 'ring') THEN 'word' ELSE 'none' END AS how FROM part) GROUP BY 1""")
+@R("name_match_report", f"""{SPELLED} SELECT coalesce(stage, 9) AS stage, count(*) AS names FROM w LEFT JOIN (SELECT name, min(stage) AS stage FROM c GROUP BY 1) USING (name) GROUP BY 1""")
 def name_match_report(spark, d):
-    how = F.when(F.col("p_name") == F.col("p_type"), "equal").when(E.near("p_name", "p_type"), "part").when(F.array_contains(F.split("p_name", " "), "ring"), "word").otherwise("none")
-    return S.table(spark, d, "part").groupBy(how.alias("how")).agg(F.count("*").alias("names"))
+    """How many names are found at each stage of spelling."""
+    return spelling_variants(spark, d).groupBy("stage").agg(F.count("*").alias("names"))
+
+
+@R("name_likeness", "SELECT p_partkey, lower(p_name) = lower(p_type) OR contains(lower(p_name), lower(p_type)) OR contains(lower(p_type), lower(p_name)) AS near, contains(lower(p_name), lower(split_part(p_name, ' ', 1))) AS part FROM part")
+def name_likeness(spark, d):
+    return S.table(spark, d, "part").select("p_partkey", E.near("p_name", "p_type").alias("near"), E.near("p_name", F.substring_index("p_name", " ", 1)).alias("part"))
 
 
 @R("distinct_masks_last_wins", f"{S.with_('scales')} SELECT code % 64 AS mask, arg_max(name, scale_id) AS name, count(*) AS names FROM scales GROUP BY 1")

@@ -85,10 +85,14 @@ def alias_lookup(spark, d):
     return S.table(spark, d, "customer").select("c_custkey", known.alias("known"), F.coalesce(known, F.lower("c_mktsegment")).alias("kept"))
 
 
-@R("html_subtitle", """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS links, regexp_extract_all(html, 'href="([^"]*)"', 1)[1] AS first_link FROM pages""")
+@R("html_subtitle", """SELECT page_id, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ''), regexp_extract(html, '<p>([^<]*)<', 1)) AS raw_title,
+        len(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS links, regexp_extract_all(html, 'href="([^"]*)"', 1)[1] AS first_link, len(regexp_extract_all(html, 'src="([^"]*)"', 1)) AS sources FROM pages""")
 def html_subtitle(spark, d):
-    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
-    return S.table(spark, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("long").alias("links"), F.try_element_at(links, F.lit(1)).alias("first_link"))
+    """The title of a page, else its heading, else its first words; and what it links to and plays."""
+    of = lambda name: F.regexp_extract_all("html", F.lit(name + '="([^"]*)"'), F.lit(1))
+    found = lambda tag: F.nullif(F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1), F.lit(""))
+    title = F.coalesce(found("title"), found("h1"), F.regexp_extract("html", "<p>([^<]*)<", 1))
+    return S.table(spark, d, "pages").select("page_id", title.alias("raw_title"), F.size(of("href")).cast("long").alias("links"), F.try_element_at(of("href"), F.lit(1)).alias("first_link"), F.size(of("src")).cast("long").alias("sources"))
 
 
 @R("file_names", r"""SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS safe,
@@ -225,12 +229,31 @@ def energy_gate(spark, d):
     return O.voiced(S.frames(spark, d)).where("energy >= 0.4").groupBy("track").agg(F.count("*").alias("n"), F.round(F.avg("pitch_hz"), 6).alias("mean"))
 
 
-@R("status_case", """SELECT status, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'missing_label' WHEN lang NOT IN ('en', 'fr') THEN 'filtered_out' WHEN n_chars < 200 THEN 'too_short' WHEN toxic = 1 THEN 'flagged' ELSE 'processed' END AS status
-    FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY status""")
+STATUS = """status AS (
+    SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'missing_transcription' WHEN lang IS NULL OR lang = '' THEN 'missing_class' WHEN lang NOT IN ('en', 'fr') THEN 'filtered_out_class'
+        WHEN source LIKE '%9' THEN 'filtered_out_gender' WHEN source LIKE '%7' THEN 'filtered_out_instrument' WHEN toxic = 1 THEN 'invalid' WHEN n_chars < 200 THEN 'too_short' ELSE 'processed' END AS status
+    FROM documents d LEFT JOIN labels l USING (doc_id))"""
+
+
+def statuses(spark, d):
+    """Documents as rows of a label table, labels as their transcriptions: the first state that holds of each."""
+    docs = S.table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").join(S.table(spark, d, "labels").withColumn("has", F.lit(True)), "doc_id", "left")
+    status = (
+        F.when(F.col("has").isNull(), "missing_transcription").when(F.col("lang").isNull() | (F.col("lang") == ""), "missing_class")
+        .when(~F.col("lang").isin("en", "fr"), "filtered_out_class").when(F.col("source").endswith("9"), "filtered_out_gender").when(F.col("source").endswith("7"), "filtered_out_instrument")
+        .when(F.col("toxic") == 1, "invalid").when(F.col("n_chars") < 200, "too_short").otherwise("processed")
+    )
+    return docs.select("doc_id", status.alias("status"))
+
+
+@R("status_rows", f"WITH {STATUS} SELECT * FROM status")
+def status_rows(spark, d):
+    return statuses(spark, d)
+
+
+@R("status_case", f"WITH {STATUS} SELECT status, count(*) AS n FROM status GROUP BY 1")
 def status_case(spark, d):
-    docs = S.table(spark, d, "documents").select("doc_id", "lang", "n_chars").join(S.table(spark, d, "labels").withColumn("has", F.lit(True)), "doc_id", "left")
-    status = F.when(F.col("has").isNull(), "missing_label").when(~F.col("lang").isin("en", "fr"), "filtered_out").when(F.col("n_chars") < 200, "too_short").when(F.col("toxic") == 1, "flagged").otherwise("processed")
-    return docs.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return statuses(spark, d).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @R("library_filter", "SELECT count(*) AS n, sum(o_totalprice > 100000)::BIGINT AS large FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND lower(c_name) LIKE '%00012%'")

@@ -282,13 +282,22 @@ def two_means_threshold(spark, d):
     return P.gap_thresholds(S.notes(spark, d)).withColumn("threshold", F.round("threshold", 6))
 
 
-@R("scale_label_lookup", f"""{S.with_("scales")}, w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT upper(name) FROM scales)
-    SELECT w.name, coalesce((SELECT min(scale_id) FROM scales s WHERE lower(s.name) = lower(w.name)), (SELECT min(scale_id) FROM scales s WHERE contains(lower(w.name), lower(s.name)) OR contains(lower(s.name), lower(w.name)))) AS scale_id,
-        CASE WHEN EXISTS (SELECT 1 FROM scales s WHERE lower(s.name) = lower(w.name)) THEN 'exact' WHEN EXISTS (SELECT 1 FROM scales s WHERE contains(lower(w.name), lower(s.name)) OR contains(lower(s.name), lower(w.name))) THEN 'contains' ELSE 'none' END AS how FROM w""")
+@R("scale_label_lookup", f"""{S.with_("scales")},
+    w AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT upper(name) FROM scales),
+    f AS (
+        SELECT w.name, (SELECT min(scale_id) FROM scales s WHERE lower(s.name) = lower(w.name)) AS exact,
+            (SELECT min(scale_id) FROM scales s WHERE contains(lower(w.name), lower(s.name)) OR contains(lower(s.name), lower(w.name))) AS loose FROM w),
+    n AS (SELECT scale_id, array_to_string(list(step ORDER BY step), ',') AS notes FROM scale_steps GROUP BY 1)
+    SELECT name, coalesce(exact, loose) AS scale_id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN loose IS NOT NULL THEN 'contains' ELSE 'none' END AS how,
+        coalesce(n.notes, '0,1,2,3,4,5,6,7,8,9,10,11') AS notes FROM f LEFT JOIN n ON n.scale_id = coalesce(exact, loose)""")
 def scale_label_lookup(spark, d):
+    """Names with the scale of that name and its notes; all twelve where there is none."""
     p, s = S.table(spark, d, "part"), S.scales(spark, d)
     wanted = p.select(F.col("p_brand").alias("name")).union(p.select("p_type")).union(s.select(F.upper("name"))).distinct()
-    return J.fuzzy_lookup(wanted, s)
+    steps = F.filter(F.transform("mask", lambda on, i: F.when(on == 1, i)), lambda i: i.isNotNull())
+    notes = s.select("scale_id", F.array_join(F.transform(steps, lambda x: x.cast("string")), ",").alias("notes"))
+    every = ",".join(map(str, range(12)))
+    return J.fuzzy_lookup(wanted, s).join(notes, "scale_id", "left").withColumn("notes", F.coalesce("notes", F.lit(every)))
 
 
 @R("label_match_unique", """WITH f AS (SELECT page_id, lower(regexp_extract(url, '([^/]*)$', 1)) AS base, split_part(lower(regexp_extract(url, '([^/]*)$', 1)), '?', 1) AS stem FROM pages),
