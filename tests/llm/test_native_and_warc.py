@@ -135,6 +135,21 @@ def test_mixing_is_repeatable_and_takes_empty_tables(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
+def test_mixing_takes_long_texts_and_clashing_columns(spark):
+    rows = [(1, "w " * 1_000_000, "big", 1), (2, "w w", "big", 2), (3, "w", "small", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _pass int").withColumns({x: F.lit(x) for x in ("_src", "blocks", "cut_rank", "weight")})
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "__src", "_block", "__pass", "_rank"]
+    assert {(r["doc_id"], r["_pass"], r["_src"]) for r in got.collect()} == {(i, i, "_src") for i in (1, 2, 3)}
+
+
+def test_warc_takes_a_long_page(spark):
+    rows = [(1, "http://h/1", "é" * 2_000_000), (2, "http://h/2", "é" * 2_000_000), (2**53 + 1, "http://h/3", "short"), (None, None, "none")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({x: F.lit(1) for x in ("digest", "bytes", "first", "size")})
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive(df).collect()}
+    assert got == {1: (4_000_000, "response", None), 2: (4_000_000, "revisit", 1), 2**53 + 1: (5, "response", None), None: (4, "response", None)}
+
+
 def test_warc_against_sql(spark, pages):
     got = warc.archive(pages.where("page_id != 10")).collect()
     same(got, in_duck(warc.ORACLE["op8_warc"], pages=pandas_pages().query("page_id != 10")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -88,6 +89,31 @@ def test_mixing_stage_keeps_every_document(made):
     assert len({(r["doc_id"], r["pass"]) for r in after}) == len(after)
 
 
+def through(spark, docs):
+    for name, f in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(f(spark, docs, "/root/testdata/sf0.001"), name)
+    return docs
+
+
+def test_an_empty_table_goes_through(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = through(spark, docs.limit(0))
+    assert (out.columns, out.count()) == ([*docs.columns, "pass"], 0)
+
+
+def test_clashing_columns_and_a_long_text_go_through(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ["pass", "_pass", "_src", "_block", "gone", "kept", "copy", "fp", "tokens", "passes", "shard", "n_tokens"]
+    long = " ".join(f"the{i % 90_001}" for i in range(200_000))  # one line of 1.4 MB
+    more = spark.createDataFrame([(2**53 + 1, long, "en", None, len(long)), (None, long + " end", "en", "s", 1)], docs.schema)
+    docs = docs.limit(60).unionByName(more).withColumns({x: F.lit(x) for x in names})
+    out = through(spark, docs)
+    assert out.columns == [*docs.columns, "__pass"]
+    rows = out.collect()
+    assert all(r[x] == x for r in rows for x in names)
+    assert [r["doc_id"] for r in rows if len(r["text"]) > 1_000_000] == [None]  # the first by id; the other repeats its line but for a word
+
+
 def test_registry():
     found = __spark_entry__.queries()
     assert set(registry.QUERIES) | {"pipeline"} <= set(found)
