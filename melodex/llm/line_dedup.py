@@ -4,8 +4,8 @@ Lines are sequences of words. Lines of at least ``least_words`` words are near c
 in, left out or replaced), others only if equal: with the least of five words one edit leaves a similarity of 0.8. Each line
 emits the hashes of itself and of itself without each word; lines with equal hashes are joined and verified by edit distance,
 and the earliest stays. All lines without one and the same place are a word apart from each other, so they are joined with the
-earliest of them only, never among themselves. Hashes are polynomials over the hashes of the words, so that all variants of a
-line take time in proportion to its length.
+earliest of them only, never among themselves. The variants' hashes are polynomials over the hashes of the words, so that all
+of a line take time in proportion to its length.
 
 Before that, a filter keeps lines that can have a near copy at all: of two lines a word apart the longest common front or
 the longest common end has at least half the words of the shorter, so both emit that half's hash.
@@ -14,6 +14,7 @@ the longest common end has at least half the words of the shorter, so both emit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,21 @@ def words_of(line: str) -> list[bytes]:
     return line.encode("utf-8", "replace").lower().split()
 
 
+def line_hash(words: bytes, salt: int = 0) -> int:
+    """Of the words of a line, joined by a space, as a signed long."""
+    x = xxhash.xxh3_64_intdigest(words, salt)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def halves(words: list[bytes]) -> list[int]:
+    """Hashes of front and end halves, for a partner of like length or longer, and for a shorter one."""
+    out = []
+    for n in (len(words), len(words) - 1):
+        h = n // 2
+        out += [line_hash(b" ".join(words[:h]), 2 * n + 1), line_hash(b" ".join(words[-h:]), 2 * n + 2)]
+    return out
+
+
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
     """Whether the edit distance in words is at most one."""
     if abs(len(a) - len(b)) > 1:
@@ -72,11 +88,12 @@ class Hashes(dict):
     def sums(self, lines: list[list[bytes]]) -> Sums:
         if len(self) > self.most:
             self.clear()
-        return Sums(self, np.fromiter((self[w] for x in lines for w in x), np.uint64), np.fromiter(map(len, lines), np.int64, len(lines)))
+        n = np.fromiter(map(len, lines), np.int64, len(lines))
+        return Sums(self, np.fromiter(map(self.__getitem__, chain.from_iterable(lines)), np.uint64, int(n.sum())), n)
 
 
 class Sums:
-    """Prefix sums of hash times power over each of several lines; every run of words hashes in constant time."""
+    """Prefix sums of hash times power over each of several lines; each variant hashes in constant time."""
 
     def __init__(self, made: Hashes, hashes: np.ndarray, n: np.ndarray):
         self.n, self.starts = n, np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
@@ -85,24 +102,15 @@ class Sums:
         self.through = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * power[self.place], dtype=np.uint64)])
 
     @staticmethod
-    def mixed(x: np.ndarray, n: np.ndarray, salt: int = 0) -> np.ndarray:
+    def mixed(x: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Of polynomials of n words the hashes, as signed longs."""
-        h = (x ^ (n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt))) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (x ^ (n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xFF51AFD7ED558CCD)
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         return (h ^ (h >> np.uint64(29))).view(np.int64)
 
     def whole(self) -> np.ndarray:
         return self.mixed(self.through[self.starts + self.n] - self.through[self.starts], self.n)
 
-    def halves(self) -> np.ndarray:
-        """Hashes of front and end halves, for a partner of like length or longer, and for a shorter one: four for each line."""
-        out, start, end = [], self.starts, self.starts + self.n
-        for n in (self.n, np.maximum(self.n - 1, 0)):
-            h = n // 2
-            out.append(self.mixed(self.through[start + h] - self.through[start], n, 1))
-            out.append(self.mixed((self.through[end] - self.through[end - h]) * self.inverse[self.n - h], n, 2))
-        return np.stack(out, axis=1)
-
     def without_each(self) -> np.ndarray:
         """Of each word the hash of its line without it: the later words move a place to the front."""
         start, end, at = np.repeat(self.starts, self.n), np.repeat(self.starts + self.n, self.n), np.arange(len(self.place))
@@ -132,36 +140,36 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, copy, line, h, halves) of each line with words; halves only where near copies are sought."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch, made: Hashes) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, places, words = _lines(batch, 1)
-        if not rows:
-            return
-        sums = made.sums(words)
-        long = sums.n >= least
-        ends = pa.array(np.concatenate([[0], np.cumsum(4 * long)]), pa.int32(), mask=np.append(~long, False))
-        yield record(**_keys(batch, rows, places), h=sums.whole(), halves=pa.ListArray.from_arrays(ends, pa.array(sums.halves()[long].ravel())))
+        if rows:
+            h = [line_hash(b" ".join(w)) for w in words]
+            yield record(**_keys(batch, rows, places), h=pa.array(h), halves=pa.array([halves(w) if len(w) >= least else None for w in words], pa.list_(pa.int64())))
 
-    return map_texts(docs, run, f"doc_id {kind}, copy long, line int, h long, halves array<long>", Hashes)
+    return map_texts(docs, run, f"doc_id {kind}, copy long, line int, h long, halves array<long>")
 
 
 def _texts(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, copy, line, h, words) of each line that can have near copies; words joined by a space."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batch: pa.RecordBatch, made: Hashes) -> Iterator[pa.RecordBatch]:
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows, places, words = _lines(batch, least)
         if rows:
-            yield record(**_keys(batch, rows, places), h=made.sums(words).whole(), words=pa.array([b" ".join(w) for w in words], pa.binary()))
+            joined = [b" ".join(w) for w in words]
+            yield record(**_keys(batch, rows, places), h=pa.array(map(line_hash, joined), pa.int64()), words=pa.array(joined, pa.binary()))
 
-    return map_texts(docs, run, f"doc_id {kind}, copy long, line int, h long, words binary", Hashes)
+    return map_texts(docs, run, f"doc_id {kind}, copy long, line int, h long, words binary")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, place, h): of each line the hash without the word at each place."""
+    """(key, place, h): of each line the hash without the word at each place, and at place -1 that of the whole line."""
 
     def run(batch: pa.RecordBatch, made: Hashes) -> Iterator[pa.RecordBatch]:
         sums = made.sums([x.split(b" ") for x in batch.column("words").to_pylist()])
-        yield record(key=sums.without_each(), place=sums.place.astype(np.int32), h=np.repeat(batch.column("h").to_numpy(), sums.n))
+        h = batch.column("h").to_numpy()
+        yield record(key=sums.without_each(), place=sums.place.astype(np.int32), h=np.repeat(h, sums.n))
+        yield record(key=sums.whole(), place=np.full(len(h), -1, np.int32), h=h)
 
     return map_texts(lines.select("h", "words"), run, "key long, place int, h long", Hashes)
 
@@ -192,11 +200,13 @@ def _duplicates(docs: DataFrame, least: int) -> DataFrame:
     lines = _texts(docs, least).join(F.broadcast(can) if few else can, "h").where(F.col("first").eqNullSafe(_where()))
     lines = written(lines.groupBy("h", "first").agg(F.min("words").alias("words")), "candidates")
     variants = written(_variants(lines).join(F.broadcast(can) if few else can, "h"), "variants")
+    wholes, variants = variants.where("place = -1"), variants.where("place >= 0")
     groups = variants.groupBy("key", "place").agg(F.min(F.struct("first", "h")).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "place", F.col("least.h").alias("earlier"))
     replaced = variants.join(groups, ["key", "place"]).where("h != earlier").select(F.col("h").alias("later"), "earlier")
-    whole = lines.select(F.col("h").alias("key"), F.col("first").alias("whole_first"))
+    whole = wholes.select("key", F.col("h").alias("whole_h"), F.col("first").alias("whole_first"))
     after = F.col("first") > F.col("whole_first")
-    added = variants.join(whole, "key").where("h != key").select(F.when(after, F.col("h")).otherwise(F.col("key")).alias("later"), F.when(after, F.col("key")).otherwise(F.col("h")).alias("earlier"))
+    both = variants.join(whole, "key").where("h != whole_h")
+    added = both.select(F.when(after, F.col("h")).otherwise(F.col("whole_h")).alias("later"), F.when(after, F.col("whole_h")).otherwise(F.col("h")).alias("earlier"))
     near = _verified(replaced.union(added).distinct(), lines)
     near = near.join(can.select(F.col("h").alias("earlier"), "first"), "earlier").groupBy(F.col("later").alias("h")).agg(F.min("first").alias("near"))
     decided = written(classes.select("h", "first").join(near, "h", "left"), "decided")
