@@ -62,8 +62,9 @@ class Cascade:
         levels = [f"level_{i + 1}" for i in range(len(self.words))]
         if self.size() <= WHOLE_BYTES:
             every = self.filters.agg(F.sort_array(F.collect_list(F.struct("shard", *levels)))).scalar()
-            mine = F.get(every, _shard(key, self.shards).cast("int"))
-            return rows.withColumn(name, self._answer(key, [mine.getField(x) for x in levels]))
+            (mine,) = fresh(rows, "shard")
+            met = rows.withColumn(mine, F.get(every, _shard(key, self.shards).cast("int")))  # a column, so that it is asked for once
+            return met.select(*rows.columns, self._answer(key, [F.col(mine).getField(x) for x in levels]).alias(name))
         shard, *renamed = fresh(rows, "shard", *levels)
         filters = self.filters.withColumnsRenamed(dict(zip(["shard", *levels], [shard, *renamed], strict=True)))
         met = rows.withColumn(shard, _shard(key, self.shards)).join(filters, shard, "left")
