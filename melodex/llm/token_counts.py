@@ -37,7 +37,8 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
 
 
 class Trie(dict):
-    """Pre-tokens to (tokens, log probability); grows by those that it is asked for."""
+    """Pre-tokens to (tokens, log probability); grows by those that it is asked for. When the trie starts anew, what was found
+    with it is kept until the next time: pre-tokens that come again are carried along."""
 
     def __init__(self, vocabulary: dict[bytes, float]):
         super().__init__()
@@ -45,8 +46,9 @@ class Trie(dict):
         self.start()
 
     def start(self) -> None:
+        self.before = dict(self)
         self.clear()
-        self.next: dict[tuple[int, int], int] = {}
+        self.next: dict[int, int] = {}  # by node and byte
         self.best, self.tokens = [0.0], [0]
 
     def forward(self, word: bytes, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
@@ -61,6 +63,10 @@ class Trie(dict):
         return top, least
 
     def __missing__(self, text: str) -> tuple[int, float]:
+        found = self.before.get(text)
+        if found is not None:
+            self[text] = found
+            return found
         word = text.encode()
         if len(word) > LONGEST:
             best, tokens = [0.0], [0]
@@ -73,10 +79,11 @@ class Trie(dict):
             self.start()
         node, best, tokens = 0, [0.0], [0]
         for end, byte in enumerate(word, 1):
-            child = self.next.get((node, byte))
+            step = node << 8 | byte
+            child = self.next.get(step)
             if child is None:
                 p, n = self.forward(word, end, best, tokens)
-                child = self.next[node, byte] = len(self.best)
+                child = self.next[step] = len(self.best)
                 self.best.append(p)
                 self.tokens.append(n)
             node = child
@@ -102,7 +109,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
         (trie, split), rows = made, []
         for x in texts(batch):
             words = split(x or "")
-            found = [trie[w] for w in words]
+            found = list(map(trie.__getitem__, words))
             rows.append((len(words), len((x or "").encode()), sum(n for n, _ in found), math.fsum(p for _, p in found)))
         n_pretokens, n_bytes, n_tokens, log_prob = zip(*rows, strict=True)
         yield record(doc_id=batch.column("doc_id"), n_pretokens=n_pretokens, n_bytes=n_bytes, n_tokens=n_tokens, log_prob=log_prob)
