@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import exprs as E
 from ..sources.adapters import note_order
 from .joins import first_wins
+from .names import alike
 
 # The letters of the twelve steps above the tonic.
 LETTERS = ["Ss", "r", "R", "g", "G", "m", "M", "Pp", "d", "D", "n", "N"]
-#: Patterns are a dimension: up to so many are broadcast, beyond Spark chooses.
-BROADCAST_PATTERNS = 100_000
 
 
 def presence(text: E.ColumnOrName) -> Column:
@@ -45,8 +44,7 @@ def pattern_for(wanted: DataFrame, known: DataFrame, names: str = "names") -> Da
     k = known.select("key", F.col("place").alias("in_table"))
     exact = each.join(k, F.col("one") == F.col("key")).groupBy(names).agg(F.min_by("key", "at").alias("exact"))
     rest = each.join(exact, names, "left_anti")
-    small = F.broadcast(k) if k.count() <= BROADCAST_PATTERNS else k
-    met = rest.join(small, F.col("one").contains(F.col("key")) | F.col("key").contains(F.col("one")))
+    met = alike(rest, k, "one", "key").join(k, "key").join(rest, "one")
     loose = met.groupBy(names).agg(F.min_by("key", F.struct("at", "in_table")).alias("loose"))
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "contains").otherwise("none")
     return wanted.join(exact, names, "left").join(loose, names, "left").withColumn("key", F.coalesce("exact", "loose")).withColumn("how", how).drop("exact", "loose")

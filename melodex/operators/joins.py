@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exprs as E
-
-
-#: Names are a dimension: up to so many are broadcast, beyond Spark chooses.
-BROADCAST_NAMES = 100_000
+from .names import alike
 
 
 def unique_match(labels: DataFrame, files: DataFrame, keys: list[str], id_: str) -> DataFrame:
@@ -29,12 +25,11 @@ def unique_match(labels: DataFrame, files: DataFrame, keys: list[str], id_: str)
 
 def fuzzy_lookup(wanted: DataFrame, known: DataFrame, name: str = "name", order: str = "scale_id") -> DataFrame:
     """Each name with the first entry equal to it but for case, else with the first that holds it or is held by it; null if
-    there is none. ``known`` is a dimension, broadcast up to a size."""
-    w = wanted.select(name).distinct()
-    k = known.select(F.col(name).alias("_k"), F.col(order).alias("_o"))
-    k = F.broadcast(k) if k.count() <= BROADCAST_NAMES else k
-    exact = w.join(k, F.lower(name) == F.lower("_k")).groupBy(name).agg(F.min("_o").alias("exact"))
-    loose = w.join(k, F.lower(name).contains(F.lower("_k")) | F.lower("_k").contains(F.lower(name))).groupBy(name).agg(F.min("_o").alias("loose"))
+    there is none, as for null and empty names."""
+    w = wanted.select(name, F.lower(name).alias("_w")).distinct()
+    k = known.select(F.lower(name).alias("_k"), F.col(order).alias("_o")).groupBy("_k").agg(F.min("_o").alias("_o"))
+    exact = w.join(k, F.col("_w") == F.col("_k")).where("_w != ''").select(name, F.col("_o").alias("exact"))
+    loose = alike(w, k, "_w", "_k").join(k, "_k").join(w, "_w").groupBy(name).agg(F.min("_o").alias("loose"))
     return wanted.join(exact, name, "left").join(loose, name, "left").withColumn(order, F.coalesce("exact", "loose")).withColumn("how", F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "contains").otherwise("none")).drop("exact", "loose")
 
 

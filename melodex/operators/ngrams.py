@@ -64,18 +64,19 @@ def parse_lambdas(text: str) -> list[float]:
     return [v / sum(x) for v in x]
 
 
-def score_positions(queries: DataFrame, counted: DataFrame, totals: DataFrame, vocabulary: int, order: int, lambdas: list[float], k: float, own: DataFrame | None = None) -> DataFrame:
+def score_positions(queries: DataFrame, counted: DataFrame, totals: DataFrame, vocabulary: int, order: int, lambdas: list[float], k: float, own: DataFrame | None = None, contexts: DataFrame | None = None) -> DataFrame:
     """(recording_id, seq, pos, class, p): add-k estimates of every order mixed by ``lambdas`` (lowest order first).
 
     queries: n-grams of the recordings to score (recording_id, seq, pos, n, ngram). counted: (class, n, ngram, cnt) over all
     recordings. totals: (class, tokens). own: (recording_id, class, n, ngram, cnt), taken off a recording's own class, so that
-    every recording is scored as if it had been left out: one job instead of one for each. A context that is too short at the
+    every recording is scored as if it had been left out: one job instead of one for each. contexts: (class, n, context, ctx) where
+    they are known already. A context that is too short at the
     front of a sequence has no counts, which leaves one over the vocabulary.
     """
     classes = totals.select("class")
     q = queries.where(F.col("n") <= order).groupBy("recording_id", "seq", "pos", "n", "ngram").agg(F.lit(1).alias("_one")).drop("_one").withColumn("context", context_of())
     need = q.select("recording_id", "n", "ngram", "context").distinct().crossJoin(F.broadcast(classes))
-    ctx = context_counts(counted, ["class"])
+    ctx = context_counts(counted, ["class"]) if contexts is None else contexts
     got = need.join(counted, ["class", "n", "ngram"], "left").join(ctx, ["class", "n", "context"], "left").join(F.broadcast(totals), "class")
     got = got.withColumn("cnt", F.coalesce("cnt", F.lit(0))).withColumn("ctx", F.when(F.col("n") == 1, F.col("tokens")).otherwise(F.coalesce("ctx", F.lit(0))))
     if own is not None:
@@ -94,13 +95,19 @@ def score_sequences(positions: DataFrame) -> DataFrame:
     return positions.groupBy("recording_id", "class").agg(F.sum(F.log("p")).alias("logprob"), F.count("*").alias("positions"))
 
 
-def weighted_scores(queries: DataFrame, scored: DataFrame, weights: DataFrame, order: int) -> DataFrame:
-    """(recording_id, class, mean): the mean log probability of positions, each weighed by the entropy weight of the longest
-    n-gram that ends there and has one, else by 1. scored: (recording_id, seq, pos, class, p)."""
+def weighted_sums(queries: DataFrame, scored: DataFrame, weights: DataFrame, order: int) -> DataFrame:
+    """(recording_id, seq, class, total, weight): of each sequence the log probabilities of its positions, each weighed by the
+    entropy weight of the longest n-gram that ends there and has one, else by 1; and the weights' sum. scored:
+    (recording_id, seq, pos, class, p)."""
     known = queries.where((F.col("n") <= order) & (F.col("pos") > 1)).select("recording_id", "seq", "pos", "n", "ngram").join(weights, ["n", "ngram"])
     best = known.groupBy("recording_id", "seq", "pos").agg(F.max_by("weight", "n").alias("weight"))
     rows = scored.where("pos > 1").join(best, ["recording_id", "seq", "pos"], "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    return rows.groupBy("recording_id", "class").agg((F.sum(F.col("weight") * F.log("p")) / F.sum("weight")).alias("mean"))
+    return rows.groupBy("recording_id", "seq", "class").agg(F.sum(F.col("weight") * F.log("p")).alias("total"), F.sum("weight").alias("weight"))
+
+
+def weighted_scores(queries: DataFrame, scored: DataFrame, weights: DataFrame, order: int) -> DataFrame:
+    """(recording_id, class, mean): the mean log probability of positions, weighed as in ``weighted_sums``."""
+    return weighted_sums(queries, scored, weights, order).groupBy("recording_id", "class").agg((F.sum("total") / F.sum("weight")).alias("mean"))
 
 
 def motif_stats(grams: DataFrame, by: str = "class", recording: str = "recording_id") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,28 +112,6 @@ def extremum_bounds(voiced: DataFrame, value: str) -> DataFrame:
     return rows.select("frame_id", F.coalesce(mid(F.lag("i").over(e)), F.lit(1)).alias("low"), F.coalesce(mid(F.lead("i").over(e)), F.col("i")).alias("high"))
 
 
-def _segments(rows: pd.DataFrame, least: int) -> pd.DataFrame:
-    rows = rows.sort_values("phrase", ignore_index=True)
-    n, sizes, i, out = len(rows), rows["tokens"].tolist(), 0, []
-    while i < n:
-        j = total = 0
-        j = i
-        while j < n and total < least:
-            total += sizes[j]
-            j += 1
-        out.append((rows["recording_id"][0], len(out), int(rows["phrase"][i]), int(rows["phrase"][j - 1]), total))
-        if j >= n:
-            break
-        i += max(1, (j - i) // 2)
-    return pd.DataFrame(out, columns=["recording_id", "segment", "first", "last", "tokens"])
-
-
-def segments(sizes: DataFrame, least: int) -> DataFrame:
-    """Windows over phrases (recording_id, phrase, tokens): each goes on until it has enough tokens, the next begins halfway
-    into it. Where one begins depends on the one before, so a recording's phrases are walked in order."""
-    return sizes.groupBy("recording_id").applyInPandas(lambda x: _segments(x, least), "recording_id long, segment int, first long, last long, tokens long")
-
-
 def calibrated(rows: DataFrame, group: str, score: str) -> DataFrame:
     """(group, threshold, kept): the least score from which on a group keeps no more rows than the smallest group has; null and
     0 if its highest score alone has more. Sums over the distinct scores from above."""

@@ -304,13 +304,6 @@ def fixed_weight_fusion(spark, d):
     return K.fused(li, {"h": 0.5, "m": 2.0, "l_tax": -1.0}).select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(w).alias("place"))
 
 
-@R("segment_windows")
-def segment_windows(spark, d):
-    """Overlapping runs of phrases with at least 12 notes, stepping by half."""
-    sizes = P.phrase_bounds(phrases(spark, d)).select("recording_id", "phrase", F.col("notes").alias("tokens"))
-    return T.segments(sizes, 12)
-
-
 @R("calibrated_threshold", f"""{S.with_('frames')},
     v AS (SELECT track, confidence, count(*) AS c FROM frames WHERE voicing AND pitch_hz > 0 GROUP BY 1, 2),
     w AS (SELECT min(n) AS wanted FROM (SELECT sum(c) AS n FROM v GROUP BY track)),

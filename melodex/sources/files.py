@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -170,3 +171,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}"
+
+
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: cuts lineage, survives lost executors."""
+    path = shared_path(rows.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
