@@ -139,27 +139,29 @@ def links(classes: DataFrame, s: Settings = Settings()) -> DataFrame:
 def group(rows: DataFrame, settings: Settings = Settings(), key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Equal vectors form a class that takes part once, with its size: copies are counted, not paired. Vectors that are null,
-    empty, zero or hold null or non-finite components link with nothing, nor do those of different lengths; those of very small
-    or very large components do. Rows that share
-    an id are one node with all their links; null ids are never a component's least id and not kept. Empty table: no rows.
-    Other columns are ignored.
+    Equal vectors form a class that takes part once, with its size: copies are counted, not paired. Each row is a vector of its
+    own, whatever its id: rows that share an id count each as links of others, of each other too if they are alike. Vectors that
+    are null, empty, zero or hold null or non-finite components link with nothing, nor do those of different lengths; those of
+    very small or very large components do. Null ids are linked like others, but are never a component's least id (null if no
+    other is there) and not kept. Empty table: no rows. Other columns are ignored.
     """
     s = settings
     all_rows = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("vector")).withColumn("usable", usable(F.col("vector")))
-    classes = all_rows.where("usable and vec_id is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"))
+    classes = all_rows.where("usable").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("members"))
     top, norm = _scaled(F.col("vector"))
-    classes = written(classes.select("*", top.alias("top"), norm.alias("norm")), "classes")
+    classes = written(classes.select("*", F.monotonically_increasing_id().alias("rep"), top.alias("top"), norm.alias("norm")), "classes")
     found = written(links(classes, s), "links")
     both = found.select("a", F.col("b").alias("rep")).union(found.select(F.col("b").alias("a"), F.col("a").alias("rep")))
     others = both.join(classes.select("rep", "members"), "rep").groupBy("a").agg(F.sum("members").alias("others"))
     joined = components(found)
-    nodes = classes.select("vector", "rep", "members").join(others, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left")
-    nodes = nodes.select("vector", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    placed = all_rows.where("usable").join(nodes, "vector", "left").select("vec_id", "n_links", "component_id")
+    nodes = classes.select("vector", "rep", "least", "members").join(others, F.col("rep") == F.col("a"), "left").join(joined, F.col("rep") == F.col("node"), "left")
+    nodes = nodes.select("vector", "least", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    nodes = written(nodes, "nodes")
+    names = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    nodes = nodes.join(names, "component").select("vector", "n_links", "component_id")
+    placed = all_rows.where("usable").join(nodes, "vector").select("vec_id", "n_links", "component_id")
     alone = all_rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = placed.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).union(alone)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return placed.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

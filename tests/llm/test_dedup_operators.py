@@ -229,6 +229,27 @@ def test_embedding_dedup_against_brute_force(spark):
     assert embedding_dedup.group(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_embeddings_whose_ids_repeat(spark):
+    """Each row is a vector of its own: equal ones, near ones and far ones under one id, and null ids."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, (6, 32))
+    rows = [(rng.choice([1, 2, 3, 4, None, 9]), base[i % 6] + rng.normal(0, 0.12, 32) * (i % 5 > 1)) for i in range(60)]
+    rows = [(None if k is None else int(k), [float(y) for y in x]) for k, x in rows] + [(7, [1.0] * 32), (7, [-1.0] * 32)]
+    df = spark.createDataFrame([(k, x, i) for i, (k, x) in enumerate(rows)], "vec_id long, embedding array<double>, row int").repartition(3)
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    part = partition([(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if near[i, j]], range(len(rows)))
+    want = []
+    for i, (k, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if part[j] == part[i] and rows[j][0] is not None]
+        least = min(ids) if ids else None
+        want.append((k, int(near[i].sum()) - 1, least, k is not None and k == least))
+    assert sorted(map(tuple, embedding_dedup.group(df).select("vec_id", "n_links", "component_id", "kept").collect()), key=str) == sorted(want, key=str)
+    three = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0]), (1, [1.0, 0.2])], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"]) for r in embedding_dedup.group(three).collect()) == [(1, 2), (1, 2), (2, 2)]
+
+
 def test_embeddings_of_extreme_sizes(spark):
     """Squares that underflow or overflow: neither a crash nor links of what is apart."""
     a, b = [1.0, 0.2, 0.1, 0.3], [-0.2, 1.0, 0.3, -0.1]
