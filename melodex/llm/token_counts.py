@@ -22,8 +22,8 @@ from .common import map_texts, record, table, texts
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokens of the vocabulary's tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A task's trie starts anew beyond so many nodes; pre-tokens beyond so many bytes are scored without being kept.
-MOST_NODES, LONGEST = 400_000, 128
+#: A task's trie starts anew beyond so many nodes or pre-tokens held; pre-tokens beyond so many bytes are scored without being kept.
+MOST_NODES, MOST_HELD, LONGEST = 400_000, 200_000, 128
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
@@ -38,7 +38,8 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
 
 class Trie(dict):
     """Pre-tokens to (tokens, log probability); grows by those that it is asked for. When the trie starts anew, what was found
-    with it is kept until the next time: pre-tokens that come again are carried along."""
+    with it is kept until the next time: pre-tokens that come again are carried along. It starts anew when it has many nodes or
+    holds many pre-tokens, carried ones among them, so it never holds more than twice ``MOST_HELD``."""
 
     def __init__(self, vocabulary: dict[bytes, float]):
         super().__init__()
@@ -63,6 +64,8 @@ class Trie(dict):
         return top, least
 
     def __missing__(self, text: str) -> tuple[int, float]:
+        if len(self) >= MOST_HELD:
+            self.start()
         found = self.before.get(text)
         if found is not None:
             self[text] = found
