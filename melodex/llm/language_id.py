@@ -23,7 +23,6 @@ from .common import SLICE, fold, map_texts, record, table, texts, written
 
 #: Texts are worked through in pieces of about so many characters at once.
 CHUNK = 1_000_000
-GAP = "  "
 
 
 @dataclass(frozen=True)
@@ -60,9 +59,9 @@ class Features:
 
     def of(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Per order the feature of each position (2**bits where there is none), the starts of the texts, and which have a letter."""
-        joined = GAP.join(texts) + GAP
+        joined = "".join([f" {x} " for x in texts])  # no n-gram reaches from one text into another: one around two spaces is none
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        lens = np.fromiter(map(len, texts), np.int64, len(texts)) + len(GAP)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
         c = self.map[points]
         blank = c == 32
@@ -129,21 +128,22 @@ class Model:
     temperature: float
     bits: int
     prior: np.ndarray  # log of each language's share of the labelled rows over its share of the sample
+    least: np.ndarray  # of each language the share of known n-grams below which a text is in none; -1 where that is not known
 
     def probabilities(self, z: np.ndarray) -> np.ndarray:
         return _softmax(z.astype(np.float64) / self.temperature + self.prior)
 
     def logits(self, texts: list[str], made: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text the languages' logits, whether it has a letter, and the share of its n-grams that have a weight."""
+        """Of each text the languages' logits, whether it has a letter, and the share of its n-grams that have a weight, ``DOUBT``
+        more counted as such."""
         orders, starts, has = made.of(texts)
         weighed = self.weights.any(axis=1)
-        total, n, known = 0, 0, 0
+        total, n, known = 0, 0, DOUBT
         for x in orders:
             total = total + np.add.reduceat(self.weights[x], starts, axis=0)
             n = n + np.add.reduceat(x != (1 << self.bits), starts)
             known = known + np.add.reduceat(weighed[x].astype(np.int64), starts)
-        n = np.maximum(1, n)
-        return total / np.sqrt(n)[:, None], has, known / n
+        return total / np.sqrt(np.maximum(1, n))[:, None], has, known / (n + DOUBT)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -196,13 +196,25 @@ def train(rows: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
 
     made = [np.frombuffer(r[0], np.float32).reshape(size, k) for r in sample.where(F.col("shard") < s.shards).groupBy("shard").applyInPandas(fit, "w binary").collect()]
     mean = np.mean(made, axis=0) if made else np.zeros((size, k), np.float32)
-    model = Model(langs, np.vstack([mean * idf[:, None], np.zeros((1, k))]).astype(np.float32), 1.0, s.bits, prior)
-    model.temperature = _calibrate(model, sample.where(F.col("shard") == s.shards))
+    model = Model(langs, np.vstack([mean * idf[:, None], np.zeros((1, k))]).astype(np.float32), 1.0, s.bits, prior, np.full(k, -1.0))
+    model.temperature, model.least = _calibrate(model, sample.where(F.col("shard") == s.shards), np.array([labels[x]["n"] / n for x in langs]))
     return model
 
 
-def _calibrate(model: Model, rows: DataFrame) -> float:
-    """The temperature of least log loss on the kept-out share of the bounded sample, each row weighed by its language's prior."""
+#: A text's share of known n-grams is taken as if it had so many more, all known: short texts are hard to tell.
+DOUBT = 64
+#: Languages with fewer kept-out rows reject nothing; with more, never what is less than so far below their mean.
+LEAST_ROWS, MARGIN = 8, 0.1
+
+
+def _calibrate(model: Model, rows: DataFrame, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """From the kept-out share of the bounded sample: the temperature, and of each language the bound on known n-grams.
+
+    The temperature is that of least log loss, each row weighed by its language's prior. Rows that are all predicted right would
+    ask for ever more certainty; so much as in Platt's scaling, of n rows the label is taken as true by (n + 1) / (n + 2), and the
+    rest is spread over all languages by their share. The bound lies as far below the least share of a language's own rows as
+    that lies below their mean, and ``MARGIN`` below the mean at least; a language of few kept-out rows has none.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def logits(batch: pa.RecordBatch, made: Features) -> Iterator[pa.RecordBatch]:
@@ -210,15 +222,40 @@ def _calibrate(model: Model, rows: DataFrame) -> float:
         at = {x: i for i, x in enumerate(model.langs)}
         y = [at[x] for x in batch.column("lang").to_pylist()]
         for part in _chunks(some):
-            z, _, _ = model.logits(some[part], made)
-            yield record(z=[x.astype(np.float64).tobytes() for x in z], y=pa.array(y[part], pa.int32()))
+            z, has, known = model.logits(some[part], made)
+            yield record(z=[x.astype(np.float64).tobytes() for x in z], y=pa.array(y[part], pa.int32()), known=pa.array(np.where(has, known, np.nan)))
 
-    got = map_texts(rows.select("text", "lang"), logits, "z binary, y int", lambda: Features(shared.value.bits)).collect()
+    got = map_texts(rows.select("text", "lang"), logits, "z binary, y int, known double", lambda: Features(shared.value.bits)).collect()
+    least, k = np.full(len(model.langs), -1.0), len(model.langs)
     if not got:
-        return 1.0
-    z, y = np.array([np.frombuffer(r[0]) for r in got]), np.array([r[1] for r in got])
-    loss = lambda t: -np.average(np.log(np.maximum(_softmax(z / t + model.prior)[np.arange(len(y)), y], 1e-300)), weights=np.exp(model.prior[y]))
-    return float(min(np.exp(np.linspace(np.log(0.05), np.log(20), 241)), key=loss))
+        return 1.0, least
+    z, y, known = np.array([np.frombuffer(r[0]) for r in got]), np.array([r[1] for r in got]), np.array([r[2] for r in got])
+    for i in range(k):
+        own = known[(y == i) & ~np.isnan(known)]
+        if len(own) >= LEAST_ROWS:
+            least[i] = own.mean() - max(MARGIN, 2 * (own.mean() - own.min()))
+    if k == 1:
+        return 1.0, least
+    return temperature(z, y, model.prior, share), least
+
+
+def temperature(z: np.ndarray, y: np.ndarray, prior: np.ndarray, share: np.ndarray) -> float:
+    """Of least smoothed loss for the logits z of rows of the languages y: the least on a grid, and on ever finer ones around it."""
+    n, k = z.shape
+    truth = np.tile(share / (n + 2), (n, 1))
+    truth[np.arange(n), y] += (n + 1) / (n + 2)
+    weights = np.exp(prior[y])
+
+    def loss(log_t: float) -> float:
+        x = z * np.exp(-log_t) + prior
+        x = x - x.max(axis=1, keepdims=True)
+        return -float(np.average((truth * (x - np.log(np.exp(x).sum(axis=1, keepdims=True)))).sum(axis=1), weights=weights))
+
+    at, width = 0.0, 12.0
+    while width > 1e-3:
+        at = min(np.linspace(at - width, at + width, 33), key=loss)
+        width /= 8
+    return float(np.exp(at))
 
 
 def _judged(model: Model | None, made: Features, some: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -238,8 +275,8 @@ def _judged(model: Model | None, made: Features, some: list[str | None]) -> tupl
 
 
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, lang_pred, score, known) for every row; known: the share of the text's n-grams that have a weight in the
-    sparse model. A null text, one without a letter, or no model: ``und``, 0.0 and 0.0."""
+    """(key, *keep, lang_pred, score, known) for every row; known: the share of the text's n-grams, and of ``DOUBT`` more that
+    count as such, that have a weight in the sparse model. A null text, one without a letter, or no model: ``und``, 0.0 and 0.0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(key, *keep, text)
     schema = ", ".join(f"`{n}` {t}" for n, t in picked.dtypes[:-1]) + ", lang_pred string, score double, known double"
@@ -252,19 +289,24 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
     return map_texts(picked, run, schema, lambda: Features(shared.value.bits if shared.value else 16))
 
 
-def accepted(docs: DataFrame, model: Model | None, least_known: float, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, that are in a learned language: predicted as one, and at least ``least_known`` of
-    their n-grams have a weight. The score alone can't tell, as it says which of the learned languages a text is nearest to.
-    A null ``lang`` of these rows becomes the prediction."""
+def accepted(docs: DataFrame, model: Model | None, least_known: float | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that are in a learned language: predicted as one, and with a share of known n-grams that
+    is not below that language's bound, which its kept-out rows gave (``least_known``: one bound for all instead). The score
+    alone can't tell, as it says which of the learned languages a text is nearest to. Texts in a language of which too few
+    rows were kept out all stay, as do short texts with a letter: there is no telling. Null texts and texts without a letter
+    go, however long; without a model all go. A null ``lang`` of these rows becomes the prediction; rows that repeat stay or
+    go together; columns of any name pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(lang)
 
     def run(batch: pa.RecordBatch, made: Features) -> Iterator[pa.RecordBatch]:
-        names, _, known = _judged(shared.value, made, texts(batch, text))
+        model = shared.value
+        names, _, known = _judged(model, made, texts(batch, text))
+        bounds = dict(zip(model.langs, model.least.tolist(), strict=True)) if model and least_known is None else {}
         filled = pc.coalesce(batch.column(at), pa.array(names, batch.column(at).type))
         columns = [filled if i == at else x for i, x in enumerate(batch.columns)]
         batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-        yield batch.filter(pa.array([x != "und" and k >= least_known for x, k in zip(names, known.tolist(), strict=True)]))
+        yield batch.filter(pa.array([x != "und" and k >= bounds.get(x, least_known or -1.0) for x, k in zip(names, known.tolist(), strict=True)], pa.bool_()))
 
     return map_texts(docs, run, docs.schema, lambda: Features(shared.value.bits if shared.value else 16))
 

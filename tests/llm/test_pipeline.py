@@ -117,7 +117,7 @@ def test_clashing_columns_and_a_long_text_go_through(spark):
 def test_registry():
     found = __spark_entry__.queries()
     assert set(registry.QUERIES) | {"pipeline"} <= set(found)
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.QUERIES) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(found)
 
 
