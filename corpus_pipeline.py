@@ -16,15 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from melodex.llm import decontaminate, language_id, line_dedup, mixing, simhash
 from melodex.llm.common import fold, fresh, table, written
 
-#: A document's n-grams that have a weight in the trained model, at least. Of clean documents of check_s the least share is
-#: 0.92; of random Latin letters the 99th percentile is 0.78, of other scripts 0.15.
-LEAST_KNOWN = 0.8
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from labelled documents as op10 does; null texts, texts without a letter and those in no learned language go."""
+    """Learns from labelled documents as op10 does; null texts, texts without a letter and those in no learned language go. What
+    is in none is said by each language's own kept-out rows; of a rare label nothing goes."""
     model = language_id.train(docs.where(fold(docs["doc_id"], 4) != 2))
-    return language_id.accepted(docs, model, LEAST_KNOWN)
+    return language_id.accepted(docs, model)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
