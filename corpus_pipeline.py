@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from melodex.llm import decontaminate, language_id, line_dedup, mixing, simhash
 from melodex.llm.common import fold, fresh, table, written
 
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from labelled documents as op10 does; null texts, texts without a letter and those in no learned language go. What
     is in none is said by each language's own kept-out rows; of a rare label nothing goes."""
