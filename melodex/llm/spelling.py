@@ -3,7 +3,8 @@
 Letters are hashed to a few symbols. A word's reduced form and everything within one edit of that (each symbol left out, replaced
 by each other, one put in at each place) are its neighbourhood. Neighbourhoods are joined with the reduced vocabulary: two
 words one edit apart have reduced forms at most one edit apart, so they always meet; who meets is verified on the words
-themselves. The keys are as many as eight symbols make, not as the letters of the script would.
+themselves. The keys are as many as eight symbols make, not as the letters of the script would. Neighbourhoods are mutual, so
+of each pair one word asks and the other is found: a word emits the two sevenths of its neighbourhood that it asks for.
 """
 
 from __future__ import annotations
@@ -95,9 +96,10 @@ class Neighbourhoods:
     def whole(self) -> np.ndarray:
         return self.key(self.through[self.starts + self.lengths] - self.through[self.starts], self.lengths)
 
-    def all(self) -> tuple[np.ndarray, np.ndarray]:
-        """(word's place, key), each key of a word once: of a run of one symbol any one left out makes the same, so only the
-        first is; a symbol is put in before a run of it, not within or after."""
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word's place, key), each key of a word once: of a neighbourhood what this word asks for, so that of any two words
+        one edit apart just one asks for the other, and two of one form each for the other: the longer leaves a symbol out (of a
+        run of one symbol any makes the same, so only the first is), the one of the smaller symbol replaces it by each larger."""
         n, words = self.lengths, np.arange(len(self.lengths))
         word = np.repeat(words, n)
         at = np.arange(len(self.symbols))
@@ -105,18 +107,9 @@ class Neighbourhoods:
         tail = self.through[(self.starts + n)[word]] - self.through[at + 1]
         new = (self.place == 0) | (self.symbols != np.concatenate([[-1], self.symbols[:-1]]))
         out = [(words, self.whole()), (word[new], self.key(front + tail * self.back, n[word] - 1)[new])]
-        own = self.value[self.symbols] * self.power[self.place]
-        # places to put a symbol in: before each letter, and at the end
-        gap_word = np.concatenate([word, words])
-        gap_front = np.concatenate([front, self.through[self.starts + n] - self.through[self.starts]])
-        gap_tail = np.concatenate([tail + own, np.zeros(len(n), np.uint64)])
-        gap_place = np.concatenate([self.place, n])
-        before = np.where(gap_place > 0, self.symbols[np.maximum(self.starts[gap_word] + gap_place - 1, 0)], -1) if len(at) else np.full(len(n), -1)
         for s, v in enumerate(self.value):
-            other = self.symbols != s
-            out.append((word[other], self.key(front + v * self.power[self.place] + tail, n[word])[other]))
-            fits = before != s
-            out.append((gap_word[fits], self.key(gap_front + v * self.power[gap_place] + gap_tail * self.power[1], n[gap_word] + 1)[fits]))
+            less = self.symbols < s
+            out.append((word[less], self.key((front + v * self.power[self.place] + tail)[less], n[word[less]])))
         return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
@@ -141,30 +134,33 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """(word, n, near, near_n): all pairs, both ways, of the distinct ``words`` (word, n) that differ by just one code point put
-    in, left out or replaced. Neighbourhoods carry a hash of their word; pairs of hashes meet the words again to be verified."""
+    """(word, n, near, near_n): all pairs, both ways, of the distinct ``words`` (id, word, n) that differ by just one code point put
+    in, left out or replaced. Each pair is asked for from one side; its ids then meet the words again to be verified."""
 
     def made(batch: pa.RecordBatch) -> Neighbourhoods:
         return Neighbourhoods(*reduced(batch.column("word").to_pylist(), symbols), symbols)
 
-    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in _slices(batch):
-                at, keys = made(some).all()
-                yield record(key=keys, a=some.column("a").take(pa.array(at)))
+                at, keys = made(some).asked()
+                yield record(key=keys, a=some.column("id").take(pa.array(at)), equal=pa.array(np.arange(len(at)) < some.num_rows))
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in _slices(batch):
-                yield record(key=made(some).whole(), b=some.column("a"))
+                yield record(key=made(some).whole(), b=some.column("id"))
 
-    some = words.select("word", "n", F.xxhash64("word").alias("a"))
-    pairs = some.select("word", "a").mapInArrow(wide, "key long, a long").join(some.select("word", "a").mapInArrow(narrow, "key long, b long"), "key").where("a != b").select("a", "b").distinct()
-    met = pairs.join(some, "a").join(some.select(F.col("a").alias("b"), F.col("word").alias("near"), F.col("n").alias("near_n")), "b").select("word", "n", "near", "near_n")
+    some = words.select("id", "word")
+    pairs = some.mapInArrow(asked, "key long, a long, equal boolean").join(some.mapInArrow(whole, "key long, b long"), "key").where("a < b or a > b and not equal").select("a", "b")
+    side = lambda id_, word, n: words.select(F.col("id").alias(id_), F.col("word").alias(word), F.col("n").alias(n))
+    met = pairs.join(side("a", "word", "n"), "a").join(side("b", "near", "near_n"), "b").select("word", "n", "near", "near_n")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(list(map(one_edit, batch.column("word").to_pylist(), batch.column("near").to_pylist())), pa.bool_()))
+            good = batch.filter(pa.array(list(map(one_edit, batch.column("word").to_pylist(), batch.column("near").to_pylist())), pa.bool_()))
+            yield good
+            yield record(word=good.column("near"), n=good.column("near_n"), near=good.column("word"), near_n=good.column("n"))
 
     return met.mapInArrow(verified, met.schema)
 
@@ -178,7 +174,7 @@ def grouped(words: DataFrame, times: int = TIMES, symbols: int = SYMBOLS) -> Dat
     """
     spark = words.sparkSession
     paths = [new_path(spark, "vocabulary")]
-    words = written(words.select("word", "n"), "vocabulary", paths[0])
+    words = written(words.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "vocabulary", paths[0])
     best = near_words(words, symbols).groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("near"))).alias("best"))
     enough = -F.col("best.less") >= times * F.col("n")
     found = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n"))
