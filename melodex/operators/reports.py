@@ -64,14 +64,17 @@ def deletion_rates(notes: DataFrame, scale: list[int], slope: float, level: floa
 
 def deletion_of_scales(notes: DataFrame, scales: DataFrame, key: str, slope: float, level: float, most: float = 1.0) -> DataFrame:
     """(recording_id, key, rate, residual): for each scale the share of a recording's notes further than ``most`` from all of the
-    scale's, and what that is over the share expected of a scale of its size. Scales are few: those that are weighed."""
+    scale's, and what that is over the share expected of a scale of its size. Of a note only the steps that are near count, and few
+    sets of steps are near at once: notes are counted by these before they meet the scales, a dimension."""
     place = E.cents("midi") / 100
-    far = F.array_min(F.transform(F.filter(F.transform("mask", lambda on, i: F.when(on == 1, i.cast("double"))), lambda x: x.isNotNull()), lambda x: E.circular_distance(place, x, 12.0)))
+    bit = lambda i: F.pow(F.lit(2), i).cast("int")
+    near = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0), lambda s, i: s + F.when(F.round(E.circular_distance(place, i.cast("double"), 12.0), 9) <= most, bit(i)).otherwise(0))
+    counted = notes.groupBy("recording_id", F.coalesce(near, F.lit(0)).alias("_near")).agg(F.count("*").alias("_n"))
+    on = F.aggregate(F.transform("mask", lambda x, i: F.when(x == 1, bit(i)).otherwise(0)), F.lit(0), lambda s, x: s + x)
     size = F.aggregate("mask", F.lit(0), lambda s, x: s + x.cast("int"))
-    met = notes.select("recording_id", "midi").crossJoin(F.broadcast(scales.select(key, "mask")))
-    kept = F.coalesce(F.round(far, 9) <= most, F.lit(False))
-    rate = F.avg(F.when(kept, 0.0).otherwise(1.0))
-    out = met.withColumn("size", size).groupBy("recording_id", key).agg(rate.alias("rate"), F.max("size").alias("size"))
+    met = counted.crossJoin(F.broadcast(scales.select(key, on.alias("_on"), size.alias("size"))))
+    gone = F.sum(F.when(F.col("_near").bitwiseAND(F.col("_on")) == 0, F.col("_n")).otherwise(0))
+    out = met.groupBy("recording_id", key).agg((gone / F.sum("_n")).alias("rate"), F.max("size").alias("size"))
     return out.select("recording_id", key, "rate", (F.col("rate") - (slope * F.col("size") + level)).alias("residual"))
 
 

@@ -297,13 +297,16 @@ def variant_summary_p95(spark, d):
     {S.SQL["scales"]},
     h AS (SELECT recording_id, pc % 4 AS class, count(*) - 10.0::DOUBLE AS hist FROM notes GROUP BY 1, 2),
     away AS (
-        SELECT recording_id, note_id, scale_id - 1 AS class, min(abs(((midi % 12 - step + 6) % 12 + 12) % 12 - 6)) AS far
-        FROM notes CROSS JOIN scale_steps WHERE scale_id <= 4 GROUP BY 1, 2, 3),
-    del AS (SELECT recording_id, class, avg(CASE WHEN round(far, 9) <= 1 THEN 0.0::DOUBLE ELSE 1 END) AS rate FROM away GROUP BY 1, 2),
-    size AS (SELECT scale_id - 1 AS class, count(*) AS k FROM scale_steps GROUP BY 1),
+        SELECT recording_id, note_id, scale_id, min(abs(((midi % 12 - step + 6) % 12 + 12) % 12 - 6)) AS far
+        FROM notes CROSS JOIN scale_steps GROUP BY 1, 2, 3),
+    rate AS (SELECT recording_id, scale_id, avg(CASE WHEN round(far, 9) <= 1 THEN 0.0::DOUBLE ELSE 1 END) AS rate FROM away GROUP BY 1, 2),
+    size AS (SELECT scale_id, count(*) AS k FROM scale_steps GROUP BY 1),
+    del AS (
+        SELECT recording_id, (scale_id - 1) % 4 AS class, min(rate - (-0.06 * k + 0.7)) AS residual
+        FROM rate JOIN size USING (scale_id) GROUP BY 1, 2),
     j AS (
-        SELECT sc.recording_id, sc.class, coalesce(hist, 0) AS hist, logprob / positions AS lm, rate - (-0.06 * k + 0.7) AS residual
-        FROM sc JOIN del USING (recording_id, class) JOIN size USING (class) LEFT JOIN h ON h.recording_id = sc.recording_id AND h.class = sc.class),
+        SELECT sc.recording_id, sc.class, coalesce(hist, 0) AS hist, logprob / positions AS lm, residual
+        FROM sc JOIN del USING (recording_id, class) LEFT JOIN h ON h.recording_id = sc.recording_id AND h.class = sc.class),
     g AS (
         SELECT *, CASE WHEN count(*) FILTER (hist > 0) OVER w > 0 THEN hist > 0 ELSE row_number() OVER (PARTITION BY recording_id ORDER BY hist DESC, class) <= 2 END AS gated
         FROM j WINDOW w AS (PARTITION BY recording_id)),
@@ -315,12 +318,13 @@ def variant_summary_p95(spark, d):
             + 2.0 * (lm - l0) / (CASE WHEN l1 > l0 THEN l1 - l0 ELSE 1 END) - 2.0 * residual, 7) ELSE -999 END AS combined FROM b)
     SELECT recording_id, class, gated, round(residual, 6) AS residual, combined, row_number() OVER (PARTITION BY recording_id ORDER BY combined DESC, class) AS lm_rank FROM c""")
 def lm_rerank(spark, d):
-    """Classes by histogram, language model and the share of notes that the class's scale would delete; a scale for each class."""
+    """Classes by histogram, language model and the share of notes that the class's scale would delete; every scale belongs to a
+    class, and the one that deletes least counts for it."""
     s = scores(spark, d, True).select("recording_id", "class", (F.col("logprob") / F.col("positions")).alias("lm"))
     n = S.notes(spark, d)
     h = n.groupBy("recording_id", (F.col("pc") % 4).cast("long").alias("class")).agg((F.count("*") - F.lit(10.0)).alias("hist"))
-    scales = S.scales(spark, d).where("scale_id <= 4").select((F.col("scale_id") - 1).cast("long").alias("class"), "mask")
-    rates = T.deletion_of_scales(n, scales, "class", -0.06, 0.7)
+    rates = T.deletion_of_scales(n, S.scales(spark, d), "scale_id", -0.06, 0.7)
+    rates = rates.groupBy("recording_id", ((F.col("scale_id") - 1) % 4).cast("long").alias("class")).agg(F.min("residual").alias("residual"))
     j = s.join(h, ["recording_id", "class"], "left").withColumn("hist", F.coalesce("hist", F.lit(0.0))).join(rates, ["recording_id", "class"])
     return K.rerank(j, fallback=2, places=7).select("recording_id", "class", "gated", F.round("residual", 6).alias("residual"), "combined", "lm_rank")
 

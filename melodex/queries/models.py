@@ -158,14 +158,14 @@ def known_class_candidates(spark, d):
 
 def candidate_features(spark, d):
     """(recording_id, class, hist, lm, residual, label): each class of each recording. hist: the share of notes on the steps that
-    fall to the class; lm: the mean log probability without the recording; residual: the deletions of the class's scale."""
+    fall to the class; lm: the mean log probability without the recording; residual: the deletions of that of the class's scales that deletes least."""
     s = scores(spark, d, True).select("recording_id", "class", (F.col("logprob") / F.col("positions")).alias("lm"))
     n = S.notes(spark, d)
     whole = Window.partitionBy("recording_id")
     h = n.groupBy("recording_id", (F.col("pc") % 4).cast("long").alias("class")).agg(F.count("*").alias("n"))
     h = h.select("recording_id", "class", (F.col("n") / F.sum("n").over(whole)).alias("hist"))
-    first = S.scales(spark, d).groupBy((F.col("scale_id") % 4).cast("long").alias("class")).agg(F.min_by("mask", "scale_id").alias("mask"))
-    rates = T.deletion_of_scales(n, first, "class", -0.06, 0.7)
+    rates = T.deletion_of_scales(n, S.scales(spark, d), "scale_id", -0.06, 0.7)
+    rates = rates.groupBy("recording_id", ((F.col("scale_id") - 1) % 4).cast("long").alias("class")).agg(F.min("residual").alias("residual"))
     j = s.join(h, ["recording_id", "class"], "left").withColumn("hist", F.coalesce("hist", F.lit(0.0))).join(rates, ["recording_id", "class"])
     return j.select("recording_id", "class", "hist", "lm", "residual", (F.col("class") == F.col("recording_id") % 4).cast("int").alias("label"))
 

@@ -94,11 +94,12 @@ def fifth_errors(spark, d):
     return off.agg(F.count("*").alias("recordings"), F.count(F.when(F.col("off") != 0, 1)).alias("errors"), F.round(F.avg(F.when(F.col("off") != 0, F.col("off").isin(5, 7).cast("int"))), 6).alias("fifths"))
 
 
-@R("tonic_rotation_check", f"{SC}, {HYP}, o AS (SELECT recording_id, tonic, match_mass FROM hyp WHERE scale_id = recording_id % 50 + 1), b AS (SELECT recording_id, arg_max(tonic, (round(match_mass, 9), -tonic)) AS best, max(match_mass) AS top, max(match_mass) FILTER (tonic = recording_id % 12) AS own FROM o GROUP BY 1) SELECT recording_id, best, ((best - recording_id % 12) % 12 + 12) % 12 AS shift, round(top - own, 6) AS gain FROM b WHERE top - own > 0.01")
+@R("tonic_rotation_check", f"{SC}, {HYP}, o AS (SELECT recording_id, tonic, match_mass FROM hyp WHERE scale_id = recording_id % (SELECT max(scale_id) FROM scales) + 1), b AS (SELECT recording_id, arg_max(tonic, (round(match_mass, 9), -tonic)) AS best, max(match_mass) AS top, max(match_mass) FILTER (tonic = recording_id % 12) AS own FROM o GROUP BY 1) SELECT recording_id, best, ((best - recording_id % 12) % 12 + 12) % 12 AS shift, round(top - own, 6) AS gain FROM b WHERE top - own > 0.01")
 def tonic_rotation_check(spark, d):
     """Whether another tonic fits a recording's own scale clearly better than its own tonic."""
     found = C.shares(H.profile(S.frames(spark, d)))
-    h = C.hypotheses(found, S.scales(spark, d)).where(F.col("scale_id") == F.col("recording_id") % 50 + 1)
+    scales = S.scales(spark, d)
+    h = C.hypotheses(found, scales).where(F.col("scale_id") == F.col("recording_id") % scales.count() + 1)
     own = F.max(F.when(F.col("tonic") == F.col("recording_id") % 12, F.col("match_mass")))
     b = h.groupBy("recording_id").agg(F.max_by("tonic", F.struct(F.round("match_mass", 9), -F.col("tonic"))).alias("best"), F.max("match_mass").alias("top"), own.alias("own"))
     return b.where("top - own > 0.01").select("recording_id", "best", F.pmod(F.col("best") - F.col("recording_id") % 12, F.lit(12)).alias("shift"), F.round(F.col("top") - F.col("own"), 6).alias("gain"))
