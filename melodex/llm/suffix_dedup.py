@@ -37,12 +37,12 @@ WIDTH = 50
 #: Bytes of the strings whose hashes are compared for the anchor.
 GRAM = 25
 #: A block ends beyond so many bytes; a bucket is meant for so many anchors, a shard for so many bytes.
-BLOCK_BYTES, BUCKET_ENTRIES, SHARD_BYTES = 4 << 20, 1_500_000, 6 << 20
+BLOCK_BYTES, BUCKET_ENTRIES, SHARD_BYTES = 4 << 20, 1_500_000, 3 << 20
 #: Anchors of more documents send their strings one by one.
 HOT = 2_000
 MOST_FILES = 50_000  # of the table of blocks
 MOST_WINDOWS = 64  # of a passage: one bit each in the answer
-CHUNK = 1 << 17  # bytes whose hashes are made at once, for the processor's cache
+CHUNK = 1 << 14  # bytes whose hashes are made at once, for the processor's cache
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -65,19 +65,28 @@ def anchors(text: np.ndarray, width: int, gram: int) -> np.ndarray:
     symbols = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     size = CHUNK + width
     powers, inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    through, one, two = np.zeros(size + 1, np.uint64), np.empty(size, np.uint64), np.empty(size, np.uint64)
     for i in range(0, n - width + 1, CHUNK):
         some = text[i : i + CHUNK + width - 1]
-        through = np.zeros(len(some) + 1, np.uint64)
-        np.cumsum(symbols[some] * powers[: len(some)], out=through[1:])
-        h = (through[gram:] - through[:-gram]) * inverse[: len(some) + 1 - gram]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        m = len(some)
+        np.take(symbols, some, out=one[:m])
+        np.multiply(one[:m], powers[:m], out=one[:m])
+        np.cumsum(one[:m], out=through[1 : m + 1])
+        m += 1 - gram
+        h, spare = one, two
+        np.subtract(through[gram : gram + m], through[:m], out=h[:m])
+        np.multiply(h[:m], inverse[:m], out=h[:m])
+        np.right_shift(h[:m], np.uint64(32), out=spare[:m])
+        np.bitwise_xor(h[:m], spare[:m], out=h[:m])
+        np.multiply(h[:m], np.uint64(0xD6E8FEB86659FD93), out=h[:m])
         have = 1
         while have < span:
             more = min(have, span - have)
-            h = np.minimum(h[:-more], h[more:])
+            m -= more
+            np.minimum(h[:m], h[more : m + more], out=spare[:m])
+            h, spare = spare, h
             have += more
-        out[i : i + len(h)] = h
+        out[i : i + m] = h[:m]
     return out
 
 
@@ -105,7 +114,8 @@ class Block:
         new = valid.copy()
         new[1:] &= ~valid[:-1] | (found[1:] != found[:-1])
         starts = np.flatnonzero(new)
-        windows = np.add.reduceat(valid, starts, dtype=np.int64) if len(starts) else starts
+        through = np.cumsum(valid, dtype=np.int32)
+        windows = np.diff(through[starts], append=through[-1] + 1).astype(np.int64)
         pieces = -(-windows // MOST_WINDOWS)
         if (pieces > 1).any():
             nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -151,6 +161,20 @@ class Entries:
     key: np.ndarray  # of each text
     least: np.ndarray
 
+    def packed(self, order: np.ndarray) -> bytes:
+        """Of each place its start, its strings, which of the texts in ``order`` it is, and whether its document is not the text's least."""
+        nth = np.empty(len(order), np.int64)
+        nth[order] = np.arange(len(order))
+        step = np.diff(self.start, prepend=0)
+        return _squeeze(b"".join(x.tobytes() for x in (step, self.windows.astype(np.uint8), nth[self.of].astype(np.uint32), self.ids > self.least[self.of])))
+
+    @staticmethod
+    def unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = _stretch(x)
+        n = len(x) // 14
+        step, windows, text, later = (np.frombuffer(x, kind, n, at * n) for kind, at in ((np.int64, 0), (np.uint8, 8), (np.uint32, 9), (bool, 13)))
+        return np.cumsum(step), windows.astype(np.int64), text, later
+
     def dealt(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
         """The texts by ascending key, and where each shard's begin among them."""
         order = np.argsort(self.key, kind="stable")
@@ -240,7 +264,7 @@ def _found_twice(blocks: DataFrame, buckets: int, width: int, settings: Settings
         cuts = np.cumsum([0, *map(len, keys)])
         bucket = rows["bucket"].iloc[0]
         out = [(block, 1, bucket, state[i:j].tobytes()) for block, i, j in zip(rows["block"], cuts[:-1], cuts[1:], strict=True)]
-        return _frame([*out, (0, 0, bucket, int(total[total > 1].sum()).to_bytes(8, "little"))], ANSWER)
+        return _frame([*out, (0, 0, bucket, int(total[total > 1].sum()).to_bytes(8, "big"))], ANSWER)
 
     sent = blocks.mapInPandas(send, SENT)
     return written(sent.groupBy("bucket").applyInPandas(add, ANSWER), "anchors", path, compression="zstd")
@@ -273,7 +297,8 @@ def judged(texts: list[bytes], key: np.ndarray, least: np.ndarray, width: int) -
 
 
 def _judge(blocks: DataFrame, found: DataFrame, buckets: int, shards: int, settings: Settings, path: str) -> DataFrame:
-    """To each block of each of its texts the strings that a document smaller than the block's least has: kind 2."""
+    """To each block of each of its texts, by shard, the strings that a document smaller than the block's least has: kind 2. And
+    where its texts stand, handed through: kind 3."""
 
     def send(mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(mine):
@@ -281,7 +306,7 @@ def _judge(blocks: DataFrame, found: DataFrame, buckets: int, shards: int, setti
         b = Block(mine.iloc[0].to_dict(), settings)
         e = b.entries(dict(zip(got["bucket"], got["value"], strict=True)), buckets)
         order, cuts = e.dealt(shards)
-        out = []
+        out = [(-1 - b.block % shards, b.block, b"", b"", b"", e.packed(order))]
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             some = order[cuts[s] : cuts[s + 1]]
             texts = [e.texts[i] for i in some.tolist()]
@@ -289,6 +314,8 @@ def _judge(blocks: DataFrame, found: DataFrame, buckets: int, shards: int, setti
         return _frame(out, SENT)
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
+        if rows["bucket"].iloc[0] < 0:
+            return _frame([(block, 3, 0, x) for block, x in zip(rows["block"], rows["texts"], strict=True)], ANSWER)
         seen: dict[bytes, int] = {}
         of, keys, docs = [], [], []
         for row in rows.itertuples(index=False):
@@ -316,8 +343,8 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings(), key: str =
     spans: the maximal runs of bytes that go, in UTF-8, counted from 0; kept: the rest, joined. A null text is empty; one of
     fewer than ``width`` bytes has no string and stays whole. Of rows that share an id none is smaller than another. A row
     without an id stays whole, and takes nothing from others. ``key`` is an integer column. Whole texts are read, however long: a
-    very long one is a block of its own. Empty table: no rows. Other columns are ignored. The result is written and what
-    led to it removed.
+    very long one is a block of its own. Empty table: no rows. Other columns are ignored. The result is made from tables in
+    the shared folder whenever it is asked for.
     """
     spark = docs.sparkSession
     paths = [new_path(spark, x) for x in ("blocks", "anchors", "judged")]
@@ -329,34 +356,31 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings(), key: str =
         likely = 2 * size // (settings.width - settings.gram + 2) + 1
         buckets, width = max(parts(docs), likely // BUCKET_ENTRIES), min(8, (likely.bit_length() + 14) // 8)
         found = _found_twice(blocks, buckets, width, settings, paths[1])
-        again = found.where("kind = 0").agg(F.sum(F.conv(F.hex(F.reverse("value")), 16, 10).cast("long"))).first()[0] or 0
+        again = found.where("kind = 0").agg(F.sum(F.conv(F.hex("value"), 16, 10).cast("long"))).first()[0] or 0
         shards = max(parts(docs), int(again) * (settings.width + 13) // settings.shard_bytes)
-        answers = found.where("kind = 1").unionByName(_judge(blocks, found, buckets, shards, settings, paths[2]))
+        answers = _judge(blocks, found, buckets, shards, settings, paths[2])
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))), ("kept", pa.binary())])
 
         def run(mine: pa.Table, got: pa.Table) -> pa.Table:
             if not mine.num_rows:
                 return schema.empty_table()
             b = Block(mine.to_pylist()[0], settings)
-            of_kind = lambda k: {r["bucket"]: r["value"] for r in got.to_pylist() if r["kind"] == k}
-            e = b.entries(of_kind(1), buckets)
-            order, cuts = e.dealt(shards)
-            marks = np.zeros(len(e.texts), np.uint64)
-            for s, x in of_kind(2).items():
-                marks[order[cuts[s] : cuts[s + 1]]] = np.frombuffer(_stretch(x), np.uint64)
-            mine_ = np.where(e.ids > e.least[e.of], np.uint64((1 << 64) - 1), marks[e.of])
-            nth = np.arange(int(e.windows.sum())) - np.repeat(np.cumsum(e.windows) - e.windows, e.windows)
-            start = (np.repeat(e.start, e.windows) + nth)[(np.repeat(mine_, e.windows) >> nth.astype(np.uint64)) & np.uint64(1) == 1]
+            rows = sorted(got.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+            marks = np.frombuffer(b"".join(_stretch(r["value"]) for r in rows if r["kind"] == 2), np.uint64)
+            start, windows, text, later = Entries.unpacked(next(r["value"] for r in rows if r["kind"] == 3))
+            mine_ = np.where(later, np.uint64((1 << 64) - 1), marks[text])
+            nth = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+            start = (np.repeat(start, windows) + nth)[(np.repeat(mine_, windows) >> nth.astype(np.uint64)) & np.uint64(1) == 1]
             n = len(b.text)
             change = np.bincount(start, minlength=n + 1) - np.bincount(start + settings.width, minlength=n + 1)
             gone = np.cumsum(change)[:n] > 0
             return _rest(b, gone, schema)
 
         made = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, spans array<struct<start: long, bytes: long>>, kept binary")
-        return written(made.withColumn("doc_id", F.col("doc_id").cast(kind)), "spans", compression="zstd")
+        remove(spark, paths[1:2])
+        return made.withColumn("doc_id", F.col("doc_id").cast(kind))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        remove(spark, paths)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files stay: the result is made from them
 
 
 def _rest(b: Block, gone: np.ndarray, schema: pa.Schema) -> pa.Table:

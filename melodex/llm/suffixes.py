@@ -1,7 +1,8 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, over one shard's bytes; whole arrays at a time.
 
 Suffixes are classified: S if smaller than the one after, else L. An S-suffix after an L-suffix is leftmost-smaller. Their
-substrings (each up to the next such place) are sorted by inducing, named, and the string of names is sorted by recursion.
+substrings (each up to the next such place) are sorted by inducing, named, and the string of names is sorted by recursion, until
+it is short enough to be sorted by doubling.
 From the sorted leftmost-smaller suffixes the L- and then the S-suffixes are induced in one scan each. A scan takes as many
 places at a time as are filled already: what a place induces comes after it, so the filled front is final.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import numpy as np
 
+#: A string of names of up to so many is sorted by doubling; longer ones by recursion.
+SHORT = 1 << 19
 SEPARATOR = 1  # symbols: 0 ends the whole, 1 ends a passage, a byte is its value plus 2
 
 
@@ -49,6 +52,11 @@ def _induce(at: np.ndarray, code: np.ndarray, head: np.ndarray) -> None:
         head[bucket] = free + count
 
 
+def _spread(shift: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places 0, 1, ... of items of buckets, moved by their bucket's shift."""
+    return np.repeat(shift.astype(np.int32), count) + np.arange(int(count.sum()), dtype=np.int32)
+
+
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """The suffix array of ``t``, integers below ``sigma`` that end with their only 0."""
     n = len(t)
@@ -56,10 +64,11 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         return np.zeros(1, np.int32)
     t = t.astype(np.int32)
     # S or L: as the next place where neighbours differ says
-    step = np.append(np.diff(t), -1)
+    step = np.append(np.diff(t), np.int32(-1))
     differs = np.flatnonzero(step)
     small = np.repeat(step[differs] > 0, np.diff(np.concatenate([[-1], differs])))
     small[-1] = True
+    del step, differs
     left = np.flatnonzero(small[1:] & ~small[:-1]).astype(np.int32) + 1
     if n == 2:
         return np.array([1, 0], np.int32)
@@ -74,15 +83,14 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         each = larges + lefts
         start = np.cumsum(each) - each
         front = np.full(len(seeds) + int(larges.sum()), -1, np.int32)
-        front[np.repeat(start + larges - (np.cumsum(lefts) - lefts), lefts) + np.arange(len(seeds))] = seeds
+        front[_spread(start + larges - (np.cumsum(lefts) - lefts), lefts)] = seeds
         _induce(front, code_l, start.copy())
         is_large = np.repeat(np.tile([True, False], sigma), np.stack([larges, lefts], axis=1).ravel())
         # mirrored: buckets from the last, each with its open S-places before its L-suffixes
         back = np.full(n, -1, np.int32)
         end = np.cumsum(all_)
         mirrored = (n - end)[::-1].copy()
-        place = np.repeat(end - all_ - (np.cumsum(larges) - larges), larges) + np.arange(int(larges.sum()))
-        back[n - 1 - place] = front[is_large]
+        back[n - 1 - _spread(end - all_ - (np.cumsum(larges) - larges), larges)] = front[is_large]
         back[n - 1] = n - 1
         _induce(back, code_s, mirrored)
         return back[::-1]
@@ -107,10 +115,42 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     name[order] = np.cumsum(new) - 1
     names = int(new.sum())
     if names < len(left):
-        order = left[suffix_array(name[left], names)]
+        order = left[(_doubled if len(left) <= SHORT else suffix_array)(name[left], names)]
     return induced(order)
 
 
+def _doubled(t: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffix array of a short string by doubling: where the recursion ends. Ranks are places; only what is not told apart yet
+    is sorted again, by what is as far on as is told."""
+    n, h = len(t), 1
+    key = np.append(t.astype(np.int64) + 1, np.zeros(8, np.int64))
+    wide = sigma + 2
+    while h < 8 and wide**2 < 1 << 62:
+        key[: n + 8 - h] = key[: n + 8 - h] * wide + key[h:]
+        wide, h = wide**2, 2 * h
+    order = key[:n].argsort()
+    key = key[order]
+    rank, at = np.empty(n + 1, np.int64), np.arange(n)
+    rank[n] = -1
+    items = order
+    while True:
+        new = np.empty(len(items) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:-1])
+        first = new.nonzero()[0]
+        size = first[1:] - first[:-1]
+        rank[items] = at[first[:-1]].repeat(size)
+        more = (size > 1).repeat(size)
+        at, items = at[more], items[more]
+        if not len(items):
+            return order.astype(np.int32)
+        key = rank[items] * (n + 1) + rank[np.minimum(items + h, n)] + 1
+        sort = key.argsort()
+        key, items = key[sort], items[sort]
+        order[at] = items
+        h *= 2
+
+
 def permuted_prefixes(t: np.ndarray, order: np.ndarray, until: np.ndarray) -> np.ndarray:
     """Of each place in the text, how many symbols its suffix shares with the one before it in ``order``, ``until`` that many
     at most (symbols to the end of its passage). Only where the symbols before differ, or a passage begins, is anything
@@ -126,9 +166,9 @@ def permuted_prefixes(t: np.ndarray, order: np.ndarray, until: np.ndarray) -> np
     at = place[fresh]
     shared = np.zeros(len(at), np.int32)
     word = np.zeros(n + 8, np.uint64)
-    bytes_ = np.concatenate([t.astype(np.uint64), np.zeros(15, np.uint64)])
+    padded = np.concatenate([t.astype(np.uint16), np.zeros(15, np.uint16)])
     for j in range(7):  # seven symbols of nine bits
-        word |= bytes_[j : j + n + 8] << np.uint64(9 * j)
+        word |= padded[j : j + n + 8].astype(np.uint64) << np.uint64(9 * j)
     live = np.flatnonzero(prior[at] >= 0)
     while len(live):
         a = at[live] + shared[live]

@@ -8,12 +8,14 @@ import random
 import numpy as np
 import pytest
 
-from melodex.llm import suffix_dedup
+from melodex.llm import suffix_dedup, suffixes
 from melodex.llm.suffixes import permuted_prefixes, suffix_array
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_suffix_array_and_prefixes(seed):
+@pytest.mark.parametrize("short", [0, 1 << 18])
+def test_suffix_array_and_prefixes(monkeypatch, seed, short):
+    monkeypatch.setattr(suffixes, "SHORT", short)  # by recursion to the end, or by doubling
     rng = random.Random(seed)
     letters = rng.choice([1, 2, 3, 250])
     t = []
