@@ -25,24 +25,28 @@ def _on() -> Column:
     return F.col("voicing") & (F.col("pitch_hz") > 0)
 
 
-def weights(frames: DataFrame) -> DataFrame:
-    """Adds on, whether a frame counts, and weight."""
-    w, whole = by_time(), Window.partitionBy("recording_id")
-    step = F.when(F.row_number().over(w) <= 50, F.col("t") - F.lag("t").over(w))
-    rows = frames.withColumn("on", _on()).withColumn("dt", step)
-    all_on, step = F.min(F.col("on").cast("int")).over(whole) == 1, F.coalesce(F.median("dt").over(whole), F.lit(1.0))
-    return rows.withColumn("weight", F.when(all_on, F.col("confidence") * step).otherwise(1.0)).drop("dt")
+def steps(frames: DataFrame) -> DataFrame:
+    """(recording_id, step): the median step between a recording's first 50 frames, 1 if it has but one. Spark keeps no more than
+    these 50 of each group ahead of the shuffle."""
+    w = by_time()
+    first = frames.select("recording_id", "t_us", "frame_id", "t").withColumn("_r", F.row_number().over(w)).where("_r <= 50")
+    return first.withColumn("_dt", F.col("t") - F.lag("t").over(w)).groupBy("recording_id").agg(F.coalesce(F.median("_dt"), F.lit(1.0)).alias("step"))
 
 
 def folded(frames: DataFrame, bins: int, weighted: bool = True) -> DataFrame:
     """(recording_id, bin, count), with zeros: voiced frames by their place in the octave. Where all frames of the recording are
     voiced they weigh their confidence times the median step between the first 50 frames (without it, if there is but one),
-    unless ``weighted`` is off."""
-    rows = weights(frames) if weighted else frames.withColumns({"on": _on(), "weight": F.lit(1.0)})
-    at = F.least(F.floor(E.cents(E.hz_to_midi("pitch_hz")) * bins / 1200), F.lit(bins - 1)).cast("int")
-    counts = rows.where("on").groupBy("recording_id", at.alias("bin")).agg(F.sum("weight").alias("count"))
-    full = dense(voiced(frames).select("recording_id").distinct(), bins)
-    return full.join(counts, ["recording_id", "bin"], "left").select("recording_id", "bin", F.coalesce("count", F.lit(0.0)).alias("count"))
+    unless ``weighted`` is off. Frames are added up by bins first; what they weigh is decided on the bins."""
+    at = F.when(_on(), F.least(F.floor(E.cents(E.hz_to_midi("pitch_hz")) * bins / 1200), F.lit(bins - 1)).cast("int"))
+    found = frames.groupBy("recording_id", at.alias("bin")).agg(F.count("*").alias("n"), F.sum("confidence").alias("sure"))
+    on = found.where("bin is not null")
+    if weighted:
+        whole = found.groupBy("recording_id").agg(F.max(F.col("bin").isNull()).alias("off")).join(steps(frames), "recording_id")
+        on = on.join(whole, "recording_id").select("recording_id", "bin", F.when(F.col("off"), F.col("n")).otherwise(F.col("sure") * F.col("step")).alias("count"))
+    else:
+        on = on.select("recording_id", "bin", F.col("n").cast("double").alias("count"))
+    full = dense(on.select("recording_id").distinct(), bins)
+    return full.join(on, ["recording_id", "bin"], "left").select("recording_id", "bin", F.coalesce("count", F.lit(0.0)).alias("count"))
 
 
 def vectors(hist: DataFrame) -> DataFrame:
@@ -147,13 +151,18 @@ def profile(frames: DataFrame, band: tuple[float, float] = (100.0, 300.0), half_
     at most some 1,300 of a recording.
     """
     cent = E.cents(E.hz_to_midi("pitch_hz"))
-    rows = weights(frames).where("on").withColumn("cent", F.floor(cent).cast("int")).withColumn("low", F.least(F.floor(cent * 33 / 1200), F.lit(32)).cast("int"))
+    on = lambda c: F.when(_on(), c)
+    keys = [on(F.floor(cent).cast("int")).alias("cent"), on(F.least(F.floor(cent * 33 / 1200), F.lit(32)).cast("int")).alias("low"), on(E.pitch_class(E.hz_to_midi("pitch_hz"))).alias("pc")]
     inside = (F.col("pitch_hz") >= band[0]) & (F.col("pitch_hz") < band[1])
-    cells = rows.groupBy("recording_id", "cent", "low", E.pitch_class(E.hz_to_midi("pitch_hz")).alias("pc")).agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), F.sum("weight").alias("weight"))
+    cells = frames.groupBy("recording_id", *keys).agg(F.count("*").alias("n"), F.count_if(inside).alias("inside"), F.sum("confidence").alias("sure"))
     off = F.pmod(F.col("cent") + half_width, F.lit(1200.0))
     cells = cells.withColumn("near", F.when(off % 100 < 2 * half_width, F.floor(off / 100)))
     twelve_of = lambda note, n: F.array(*[F.sum(F.when(F.col(note) == i, F.col(n)).otherwise(0)) for i in range(12)])
-    return cells.groupBy("recording_id").agg(twelve_of("near", "n").alias("mass"), twelve_of("pc", "n").alias("counts"), twelve_of("pc", "inside").alias("band"), F.collect_list(F.struct("cent", "low", "weight")).alias("cells"))
+    listed = F.collect_list(F.when(F.col("cent").isNotNull(), F.struct("cent", "low", "n", "sure")))
+    found = cells.groupBy("recording_id").agg(twelve_of("near", "n").alias("mass"), twelve_of("pc", "n").alias("counts"), twelve_of("pc", "inside").alias("band"), listed.alias("cells"), F.max(F.col("cent").isNull()).alias("off"))
+    weight = lambda x: F.when(F.col("off"), x["n"].cast("double")).otherwise(x["sure"] * F.col("step"))
+    weighed = F.transform("cells", lambda x: F.struct(x["cent"].alias("cent"), x["low"].alias("low"), weight(x).alias("weight")))
+    return found.where(F.size("cells") > 0).join(steps(frames), "recording_id").select("recording_id", "mass", "counts", "band", weighed.alias("cells"))
 
 
 def _smooth_wrapped(x: np.ndarray, sigma: float) -> np.ndarray:
