@@ -63,7 +63,7 @@ def test_spelling_stages(spark):
     known = [(0, "Todi"), (1, "Shree"), (2, "Jhinjhoti"), (3, "darbari"), (4, "DARBARI"), (5, "Ahir"), (6, "Mal")]
     want = {
         "Todi": ("Todi", "exact"), "todi": ("Todi", "exact"), "TODI": ("Todi", "case"), "Shri": ("Shree", "i_to_ee"), "AhiR": ("Ahir", "case"), "Aheer": ("Ahir", "ee_to_i"), "Jhinjti": ("Jhinjhoti", "ti_to_hoti"),
-        "Jhinjhti": (None, None), "Jhinjti Kafi": (None, None), "darbari Kafi": ("darbari", "suffix"), "Darbari Kafi": ("darbari", "suffix_case"), "Gurjari todI raga": ("Todi", "contains"), "Mal x": (None, None),
+        "Jhinjhti": (None, None), "Jhinjti Kafi": (None, None), "darbari Kafi": ("darbari", "suffix"), "Darbari Kafi": ("darbari", "suffix_case"), "Gurjari todI song": ("Todi", "contains"), "Mal x": (None, None),
     }
     want |= {"Ahee": (None, None), "Toti": (None, None), "SHRi": ("Shree", "variant_case"), "todee": ("Todi", "ee_to_i")}
     labels = spark.createDataFrame([(x,) for x in [*want, "", None, "Todi"]], "name string")
