@@ -23,7 +23,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokens of the vocabulary's tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A task's trie starts anew beyond so many nodes or pre-tokens held; pre-tokens beyond so many bytes are scored without being kept.
-MOST_NODES, MOST_HELD, LONGEST = 400_000, 200_000, 128
+MOST_NODES, MOST_HELD, LONGEST = 400_000, 1_000_000, 128
 
 
 def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, float]:
