@@ -34,9 +34,10 @@ def resolve(candidates: DataFrame, key: list[str], priority: str) -> DataFrame:
 
 
 def normal_notes(notes: DataFrame) -> DataFrame:
-    """Edited notes (song, note_id, pos, start, end): the first of an id counts; ends before starts are swapped; a note lasts
+    """Edited notes (song, note_id, pos, start, end): the first of an id counts (of one
+    pos by its times); ends before starts are swapped; a note lasts
     at least a millisecond."""
-    rows = notes.withColumn("_r", F.row_number().over(Window.partitionBy("song", "note_id").orderBy("pos"))).where("_r = 1").drop("_r")
+    rows = notes.withColumn("_r", F.row_number().over(Window.partitionBy("song", "note_id").orderBy("pos", "start", "end"))).where("_r = 1").drop("_r")
     lo, hi = F.least("start", "end"), F.greatest("start", "end")
     return rows.withColumn("_lo", lo).withColumn("_hi", F.greatest(hi, lo + UNIT_EDIT)).withColumn("start", F.col("_lo")).withColumn("end", F.col("_hi")).drop("_lo", "_hi")
 

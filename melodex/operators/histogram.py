@@ -214,16 +214,17 @@ def peak_counts(recordings: DataFrame, high: DataFrame, low: DataFrame, high_bin
 
 def gaussian_vector(found: DataFrame, column: str = "smooth", half_width: float = 75.0, samples: int = 1000, floor: float = 1e-6) -> DataFrame:
     """(recording_id, pc, height, deviation, sigma) of recordings with a smoothed histogram and its peaks: the histogram around a
-    peak as some ``samples`` samples, a Gaussian's mean and spread of them; of the peaks nearest to a note the highest."""
+    peak as some ``samples`` samples, a Gaussian's mean and spread of them; of the peaks nearest to a note the highest. Samples are whole numbers to three
+    digits: levels are equal to nine only, so that what should be whole can be off by some 1e-6."""
     total = F.aggregate(column, F.lit(0.0), lambda s, x: s + F.round(x, 9))
     each = found.select("recording_id", F.transform(column, lambda x: F.round(x, 9) / total).alias("v"), F.explode("peaks").alias("peak"))
     n, step = 100, 12.0
     away = lambda i: F.least(F.abs(i - F.col("peak")), n - F.abs(i - F.col("peak"))) * step
     near = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda x: away(x["i"]) <= half_width)
     each = each.withColumn("near", near).withColumn("mass", F.aggregate("near", F.lit(0.0), lambda s, x: s + x["v"]))
-    scale = F.greatest(F.lit(1.0), F.floor(F.round(samples / F.greatest("mass", F.lit(1e-6)), 6)).cast("double"))
+    scale = F.greatest(F.lit(1.0), F.floor(F.round(samples / F.greatest("mass", F.lit(1e-6)), 3)).cast("double"))
     rows = each.withColumn("scale", scale).select("recording_id", "peak", F.get("v", "peak").alias("height"), "scale", F.inline("near"))
-    rows = rows.withColumn("k", F.greatest(F.lit(1.0), F.floor(F.round(F.col("v") * F.col("scale"), 6)).cast("double"))).withColumn("c", (F.col("i") + 0.5) * step)
+    rows = rows.withColumn("k", F.greatest(F.lit(1.0), F.floor(F.round(F.col("v") * F.col("scale"), 3)).cast("double"))).withColumn("c", (F.col("i") + 0.5) * step)
     g = rows.groupBy("recording_id", "peak", "height").agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("c")) / F.sum("k")).alias("mu"), (F.sum(F.col("k") * F.col("c") * F.col("c")) / F.sum("k")).alias("m2")).where("n >= 5")
     at = (F.col("peak") + 0.5) * step
     g = g.withColumns({"pc": F.pmod(E.half_even(at / 100), F.lit(12)).cast("int"), "deviation": F.pmod(F.col("mu") - at + 600, F.lit(1200.0)) - 600, "sigma": F.sqrt(F.greatest(F.col("m2") - F.col("mu") * F.col("mu"), F.lit(0.0)) + floor)})

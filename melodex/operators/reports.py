@@ -57,8 +57,8 @@ def transition_activity(transitions: DataFrame) -> DataFrame:
 
 
 def deletion_rates(notes: DataFrame, scale: list[int], slope: float, level: float) -> DataFrame:
-    """The share of notes outside a scale, and what it is over the expected one."""
-    rate = F.avg((~F.col("pc").isin(scale)).cast("double"))
+    """The share of notes outside a scale, and what it is over the expected one. A note without a pitch is a note, but not outside."""
+    rate = F.avg(F.coalesce(~F.col("pc").isin(scale), F.lit(False)).cast("double"))
     return notes.groupBy("recording_id").agg(F.round(rate, 6).alias("rate"), F.round(rate - (slope * len(scale) + level), 6).alias("residual"))
 
 

@@ -43,12 +43,12 @@ def edit_manifest_latest(spark, d):
     return C.latest(S.table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-NOTES = "n AS (SELECT l_orderkey AS song, l_partkey % 5 AS note_id, l_linenumber * 100000 + l_partkey AS pos, l_quantity AS start, l_quantity + l_tax * 10 - 0.3 AS \"end\" FROM lineitem), u AS (SELECT song, note_id, pos, least(start, \"end\") AS start, greatest(greatest(start, \"end\"), least(start, \"end\") + 0.001) AS \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY song, note_id ORDER BY pos) AS r FROM n) WHERE r = 1)"
+NOTES = "n AS (SELECT l_orderkey AS song, l_partkey % 5 AS note_id, l_linenumber * 1000000000000 + l_partkey AS pos, l_quantity AS start, l_quantity + l_tax * 10 - 0.3 AS \"end\" FROM lineitem), u AS (SELECT song, note_id, pos, least(start, \"end\") AS start, greatest(greatest(start, \"end\"), least(start, \"end\") + 0.001) AS \"end\" FROM (SELECT *, row_number() OVER (PARTITION BY song, note_id ORDER BY pos, start, \"end\") AS r FROM n) WHERE r = 1)"
 
 
 def edits(spark, d):
     li = S.table(spark, d, "lineitem")
-    return li.select(F.col("l_orderkey").alias("song"), (F.col("l_partkey") % 5).alias("note_id"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("pos"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_tax") * 10 - 0.3).alias("end"))
+    return li.select(F.col("l_orderkey").alias("song"), (F.col("l_partkey") % 5).alias("note_id"), (F.col("l_linenumber") * F.lit(10**12) + F.col("l_partkey")).alias("pos"), F.col("l_quantity").alias("start"), (F.col("l_quantity") + F.col("l_tax") * 10 - 0.3).alias("end"))
 
 
 @R("edit_notes", f"WITH {NOTES} SELECT song, note_id, round(start, 6) AS start, round(\"end\", 6) AS \"end\" FROM u")

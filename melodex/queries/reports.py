@@ -113,8 +113,9 @@ def note_stats(spark, d):
     return k.where("place <= 7")
 
 
-@R("distinct_trigrams", f"{NO}, x AS (SELECT recording_id, pc AS a, lead(pc) OVER ({N}) AS b, lead(pc, 2) OVER ({N}) AS c FROM notes) SELECT recording_id, count(*) AS trigrams, count(DISTINCT a * 144 + b * 12 + c) AS types FROM x WHERE c IS NOT NULL GROUP BY 1")
+@R("distinct_trigrams", f"{NO}, x AS (SELECT recording_id, pc AS a, lead(pc) OVER ({N}) AS b, lead(pc, 2) OVER ({N}) AS c FROM notes) SELECT recording_id, count(*) AS trigrams, count(DISTINCT a * 144 + b * 12 + c) AS types FROM x WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY 1")
 def distinct_trigrams(spark, d):
+    """Neighbouring notes by threes, all three of known pitch, and how many kinds there are."""
     w = S.note_order()
     x = S.notes(spark, d).select("recording_id", (F.col("pc") * 144 + F.lead("pc").over(w) * 12 + F.lead("pc", 2).over(w)).alias("g")).where("g is not null")
     return x.groupBy("recording_id").agg(F.count("*").alias("trigrams"), F.count_distinct("g").alias("types"))
