@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from ..functions import arrays as A
 from ..functions import exprs as E
@@ -14,6 +14,7 @@ from ..sources.adapters import by_time
 from .frames import voiced
 
 EPSILON = 1e-12
+NOTED = ArrayType(StructType().add("pc", IntegerType()).add("cent", DoubleType()).add("distance", DoubleType()))
 
 
 def dense(keys: DataFrame, bins: int, name: str = "bin") -> DataFrame:
@@ -171,33 +172,54 @@ def _smooth_wrapped(x: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.concatenate([x[-r:], x, x[:r]]), kernel, "valid")
 
 
-def validated(high: list[int], low: list[int], high_bins: int = 100, low_bins: int = 33, tolerance: float = 45.0) -> int:
-    """How many notes the validated peaks of a recording make, as ``validated_peaks`` finds them."""
+def noted(high: list[int], low: list[int], high_bins: int = 100, low_bins: int = 33, tolerance: float = 45.0) -> list[tuple[int, float, float]]:
+    """(pc, cent, distance) of the validated peaks of one recording, as ``validated_peaks`` finds them, by notes."""
     centre = lambda i, n: (np.asarray(i, float) + 0.5) * 1200 / n
     h, lo = centre(high, high_bins), centre(low, low_bins)
     if len(lo):
         apart = np.abs((h[:, None] - lo[None] + 600) % 1200 - 600)
         h = h[(apart <= tolerance).any(axis=1)]
-    return len(np.unique(np.rint(h / 100).astype(int) % 12))
+    pc = np.rint(h / 100).astype(int) % 12
+    away = np.abs((h - pc * 100.0 + 600) % 1200 - 600)
+    best: dict[int, tuple[float, float]] = {}
+    for p, c, a in zip(pc.tolist(), h.tolist(), away.tolist(), strict=True):
+        best[p] = min(best.get(p, (a, c)), (a, c))
+    return [(p, c, a) for p, (a, c) in sorted(best.items())]
+
+
+def _noted_cells(cent: np.ndarray, low: np.ndarray, weight: np.ndarray) -> list[tuple[int, float, float]]:
+    cent, low, weight = np.asarray(cent, int), np.asarray(low, int), np.asarray(weight, float)
+    high = _smooth_wrapped(np.bincount(np.minimum(cent * 100 // 1200, 99), weight, 100), 0.8)
+    coarse = np.bincount(low, weight, 33)
+    return noted(_peaks_of(high, 0.01, 2, 1.0, True), _peaks_of(coarse, 0.03, 1, 0.0, True))
 
 
 @F.pandas_udf(IntegerType())
-def count_peaks(cells: pd.Series) -> pd.Series:
-    """The detected peaks of recordings by their cells (cent, low, weight): one vectorised call for each batch."""
-    out = []
-    for c in cells:
-        cent, low, weight = (np.array([x[k] for x in c], t) for k, t in (("cent", int), ("low", int), ("weight", float)))
-        high = _smooth_wrapped(np.bincount(np.minimum(cent * 100 // 1200, 99), weight, 100), 0.8)
-        coarse = np.bincount(low, weight, 33)
-        out.append(validated(_peaks_of(high, 0.01, 2, 1.0, True), _peaks_of(coarse, 0.03, 1, 0.0, True)))
-    return pd.Series(out)
+def _count_noted(cent: pd.Series, low: pd.Series, weight: pd.Series) -> pd.Series:
+    return pd.Series([len(_noted_cells(*x)) for x in zip(cent, low, weight, strict=True)], dtype="int32")
+
+
+@F.pandas_udf(NOTED)
+def _all_noted(cent: pd.Series, low: pd.Series, weight: pd.Series) -> pd.Series:
+    named = lambda x: [{"pc": p, "cent": c, "distance": a} for p, c, a in x]
+    return pd.Series([named(_noted_cells(*x)) for x in zip(cent, low, weight, strict=True)], dtype=object)
+
+
+def _parts(cells: str) -> list[Column]:
+    """Cells as three arrays of numbers, which go to Python as they lie in memory, not as an object for each cell."""
+    return [F.col(f"{cells}.{k}") for k in ("cent", "low", "weight")]
+
+
+def count_peaks(cells: str) -> Column:
+    """How many notes the detected peaks of recordings make, by their cells (cent, low, weight)."""
+    return _count_noted(*_parts(cells))
 
 
-def detected_peaks(frames: DataFrame, high_bins: int = 100, low_bins: int = 33, sigma: float = 0.8) -> DataFrame:
-    """(recording_id, pc, cent, distance): the validated peaks of recordings' histograms."""
-    high = peaks(smoothed(folded(frames, high_bins), high_bins, sigma), "smooth", 0.01, 2, 1.0)
-    low = peaks(vectors(folded(frames, low_bins)), "h", 0.03, 1)
-    return validated_peaks(high, low, high_bins, low_bins)
+def detected_peaks(frames: DataFrame) -> DataFrame:
+    """(recording_id, pc, cent, distance): the validated peaks of recordings' histograms, of 100 bins smoothed and of 33, both from
+    the cells of one pass over the frames."""
+    found = profile(frames).select("recording_id", _all_noted(*_parts("cells")).alias("notes"))
+    return found.select("recording_id", F.inline("notes"))
 
 
 def peak_counts(recordings: DataFrame, high: DataFrame, low: DataFrame, high_bins: int, low_bins: int, tolerance: float = 45.0, note_tolerance: float = 35.0, default: int = 7) -> DataFrame:
@@ -216,8 +238,10 @@ def gaussian_vector(found: DataFrame, column: str = "smooth", half_width: float
     """(recording_id, pc, height, deviation, sigma) of recordings with a smoothed histogram and its peaks: the histogram around a
     peak as some ``samples`` samples, a Gaussian's mean and spread of them; of the peaks nearest to a note the highest. Samples are whole numbers to three
     digits: levels are equal to nine only, so that what should be whole can be off by some 1e-6."""
-    total = F.aggregate(column, F.lit(0.0), lambda s, x: s + F.round(x, 9))
-    each = found.select("recording_id", F.transform(column, lambda x: F.round(x, 9) / total).alias("v"), F.explode("peaks").alias("peak"))
+    whole = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    rounded = F.transform(F.array(F.transform(column, lambda x: F.round(x, 9))), lambda v: F.named_struct(F.lit("v"), v, F.lit("sum"), whole(v)))  # the sum is taken once, not for each bin
+    shares = F.transform(rounded, lambda r: F.transform(r["v"], lambda x: x / r["sum"]))[0]
+    each = found.select("recording_id", shares.alias("v"), F.explode("peaks").alias("peak"))
     n, step = 100, 12.0
     away = lambda i: F.least(F.abs(i - F.col("peak")), n - F.abs(i - F.col("peak"))) * step
     near = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("i"), x.alias("v"))), lambda x: away(x["i"]) <= half_width)

@@ -114,15 +114,19 @@ def turned_vectors(rows: DataFrame, melody: str, accompaniment: str) -> DataFram
 
 
 def by_intervals(notes: DataFrame, scales: DataFrame) -> DataFrame:
-    """(recording_id, tonic, scale_id, steps) of recordings' notes (recording_id, pcs ascending): scales and recordings meet by
-    the least rotation of their intervals, and match where the intervals from the tonic on are the scale's own."""
-    mask = lambda pcs, t: F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.array_contains(pcs, ((i + t) % 12).cast("int")).cast("int"))
-    turned = notes.select("recording_id", "pcs", F.explode("pcs").alias("tonic")).select("recording_id", "tonic", A.intervals(mask(F.col("pcs"), F.col("tonic"))).alias("iv"))
-    turned = turned.withColumn("canon", A.canonical(F.col("iv")))
+    """(recording_id, tonic, scale_id, steps) of recordings' notes (recording_id, pcs): the scales whose intervals, from their first
+    note on, are those between the recording's notes from the tonic on. Sets of notes are numbers of twelve bits: turned to its
+    tonic a recording's is the scale's own, so they meet in an equi-join."""
+    bits = lambda on: reduce(add, [F.when(on(i), F.lit(1 << i)).otherwise(0) for i in range(12)])
+    turn = lambda b, i: F.shiftright(b, i).bitwiseOR(F.shiftleft(b, 12 - i)).bitwiseAND(F.lit(4095))
+    sets = notes.select("recording_id", bits(lambda i: F.array_contains("pcs", i)).alias("_bits")).where("_bits > 0")
+    each = F.array(*[F.struct(F.lit(i).alias("tonic"), turn(F.col("_bits"), i).alias("_set")) for i in range(12)])
+    turned = sets.select("recording_id", F.inline(F.filter(each, lambda x: x["_set"].bitwiseAND(F.lit(1)) == 1)))
     steps = F.filter(F.transform("mask", lambda on, i: F.when(on == 1, i)), lambda i: i.isNotNull())
-    known = scales.select("scale_id", F.array_join(F.transform(steps, lambda x: x.cast("string")), ",").alias("steps"), F.size(steps).alias("k"), A.intervals("mask").alias("own"))
-    known = known.where("k >= 2").withColumn("canon", A.canonical(F.col("own")))
-    return turned.join(known, "canon").where(F.col("iv") == F.col("own")).select("recording_id", "tonic", "scale_id", "steps")
+    known = scales.select("scale_id", F.array_join(F.transform(steps, lambda x: x.cast("string")), ",").alias("steps"), F.size(steps).alias("k"), F.array_min(steps).alias("_first"), bits(lambda i: F.get("mask", F.lit(i)) == 1).alias("_bits"))
+    own = reduce(lambda rest, i: F.when(F.col("_first") == i, turn(F.col("_bits"), i)).otherwise(rest), range(12), F.col("_bits"))
+    known = known.where("k >= 2").select("scale_id", "steps", own.alias("_set"))
+    return turned.join(known, "_set").select("recording_id", "tonic", "scale_id", "steps")
 
 
 def ranked(boosted: DataFrame, n: int | None = None) -> DataFrame:
