@@ -82,5 +82,11 @@ def score_positions(model: Model, grams: DataFrame) -> DataFrame:
     return G.score_positions(grams, model.counts, totals, model.vocabulary, model.order, list(model.lambdas), model.k, contexts=model.contexts)
 
 
+def score_recordings(model: Model, paths: DataFrame) -> DataFrame:
+    """(recording_id, class, logprob, positions) of the positions' paths (recording_id, path) under each class of the model."""
+    scored = G.score_paths(paths, model.counts, model.classes, model.vocabulary, model.order, list(model.lambdas), model.k, model.contexts)
+    return G.score_recordings(paths, scored)
+
+
 def entropy_weights(model: Model) -> DataFrame:
     return G.entropy_weights(model.counts)

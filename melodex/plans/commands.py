@@ -68,7 +68,10 @@ def evaluate(tokens: DataFrame, order: int = 3, s: Settings = Settings()) -> dic
     counted = G.counts(grams, ["class"])
     totals = counted.where("n = 1").groupBy("class").agg(F.sum("cnt").alias("tokens"))
     vocabulary = max(1, counted.where("n = 1").select("ngram").distinct().count())
-    scores = G.score_sequences(G.score_positions(grams, counted, totals, vocabulary, order, s.lambdas, s.add, G.counts(grams, ["recording_id", "class"])))
+    paths = G.windowed_paths(tokens, ["recording_id", "class", "seq"], ["start_us", "note_id"], "token", order)
+    known = paths.groupBy("recording_id", "path").agg(F.count("*").alias("times"))
+    own = G.own_paths(known, counted, totals, G.counts(grams, ["recording_id", "class"]), vocabulary, order, s.lambdas, s.add)
+    scores = G.score_recordings(paths, G.score_paths(paths, counted, totals, vocabulary, order, s.lambdas, s.add), own)
     w = Window.partitionBy("recording_id").orderBy(F.round("logprob", 6).desc(), "class")
     ranks = scores.withColumn("rank", F.row_number().over(w))
     own = ranks.join(tokens.select("recording_id", "class").distinct(), ["recording_id", "class"], "left_semi")

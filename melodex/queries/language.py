@@ -31,6 +31,11 @@ def grams(spark, d, least=1, most=3):
     return G.windowed_ngrams(tokens(spark, d), ["recording_id", "class", "seq"], ["start_us", "note_id"], "track", least, most)
 
 
+def paths(spark, d):
+    """At each token the n-grams that end there, in partitions by recordings."""
+    return G.windowed_paths(tokens(spark, d), ["recording_id", "class", "seq"], ["start_us", "note_id"], "track", 3)
+
+
 @R("ngram_explode", f"{TOK} SELECT recording_id, seq, n, pos, ngram FROM gr")
 def ngram_explode(spark, d):
     return grams(spark, d).select("recording_id", "seq", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "ngram")
@@ -81,12 +86,14 @@ PROB = f"""{CNT}, tot AS (SELECT class, sum(cnt)::BIGINT AS tokens FROM cnt WHER
 
 
 def scores(spark, d, leave_one_out):
-    g = grams(spark, d)
-    counted = G.counts(g, ["class"])
+    counted = G.counts(grams(spark, d), ["class"])
     totals = counted.where("n = 1").groupBy("class").agg(F.sum("cnt").alias("tokens"))
     v = counted.where("n = 1").select("ngram").distinct().count()
-    own = G.counts(g, ["recording_id", "class"]) if leave_one_out else None
-    return G.score_sequences(G.score_positions(g, counted, totals, v, 3, LAMBDAS, ADD, own))
+    p, own = paths(spark, d), None
+    if leave_one_out:
+        mine = G.counts(grams(spark, d), ["recording_id", "class"])
+        own = G.own_paths(p.groupBy("recording_id", "path").agg(F.count("*").alias("times")), counted, totals, mine, v, 3, LAMBDAS, ADD)
+    return G.score_recordings(p, G.score_paths(p, counted, totals, v, 3, LAMBDAS, ADD), own)
 
 
 @R("lm_score", PROB.replace("LOO", "0") + " SELECT recording_id, class, positions, round(logprob / positions, 6) AS mean FROM sc")
@@ -106,12 +113,12 @@ def lm_rank(spark, d):
     SELECT recording_id, class, round(sum(weight * ln(p)) / sum(weight), 6) AS mean FROM pos JOIN bw USING (recording_id, seq, pos) GROUP BY 1, 2""")
 def lm_weighted_score(spark, d):
     """The mean log probability of a recording's tokens under each class, weighed by how much an n-gram tells classes apart."""
-    g = grams(spark, d)
-    counted = G.counts(g, ["class"])
+    counted = G.counts(grams(spark, d), ["class"])
     totals = counted.where("n = 1").groupBy("class").agg(F.sum("cnt").alias("tokens"))
     v = counted.where("n = 1").select("ngram").distinct().count()
-    scored = G.score_positions(g, counted, totals, v, 3, LAMBDAS, ADD)
-    return G.weighted_scores(g, scored, G.entropy_weights(counted), 3).withColumn("mean", F.round("mean", 6))
+    p = paths(spark, d)
+    s = G.score_recordings(p, G.score_paths(p, counted, totals, v, 3, LAMBDAS, ADD), weights=G.path_weights(p, G.entropy_weights(counted)))
+    return s.select("recording_id", "class", F.round(F.col("total") / F.col("weight"), 6).alias("mean"))
 
 
 LOO = PROB.replace("LOO", "1")

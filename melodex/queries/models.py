@@ -19,6 +19,7 @@ from ..sources import adapters as S
 from ..sources import files as C
 from .language import ADD, LAMBDAS, PROB, TOK, scores
 from .language import grams as class_grams
+from .language import paths
 from .registry import Registry
 from .scoring import SC, SCORED, scored
 from .sequences import NO, PH, phrases
@@ -85,7 +86,9 @@ def segment_classes(spark, d):
     """The three likeliest classes of each segment, from sums of its phrases."""
     g = class_grams(spark, d)
     m = M.train(g, 3, ADD, LAMBDAS)
-    per = G.weighted_sums(g, M.score_positions(m, g), M.entropy_weights(m), 3).withColumnRenamed("seq", "phrase")
+    p = paths(spark, d)
+    scored = G.score_paths(p, m.counts, m.classes, m.vocabulary, m.order, list(m.lambdas), m.k, m.contexts)
+    per = G.score_recordings(p, scored, weights=G.path_weights(p, M.entropy_weights(m)), by=("recording_id", "seq")).withColumnRenamed("seq", "phrase")
     sums = W.over_segments(W.segments(phrase_sizes(spark, d), LEAST_TOKENS), per, ["class"], ["total", "weight"])
     w = Window.partitionBy("recording_id", "segment").orderBy(F.col("score").desc(), "class")
     rows = sums.select("recording_id", "segment", "class", F.round(F.col("total") / F.col("weight"), 6).alias("score"))
@@ -114,8 +117,8 @@ def stored(spark, d, halves=False):
 @R("stored_model_score", STORED + " SELECT recording_id, class, positions, round(logprob / positions, 6) AS mean FROM sc")
 def stored_model_score(spark, d):
     """All recordings scored by the last version of a stored model, nothing counted anew."""
-    g, path = stored(spark, d, halves=True)
-    s = G.score_sequences(M.score_positions(M.load(spark, path), g))
+    path = stored(spark, d, halves=True)[1]
+    s = M.score_recordings(M.load(spark, path), paths(spark, d))
     return s.select("recording_id", "class", "positions", F.round(F.col("logprob") / F.col("positions"), 6).alias("mean"))
 
 
