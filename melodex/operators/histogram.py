@@ -34,8 +34,8 @@ def steps(frames: DataFrame) -> DataFrame:
     return first.withColumn("_dt", F.col("t") - F.lag("t").over(w)).groupBy("recording_id").agg(F.coalesce(F.median("_dt"), F.lit(1.0)).alias("step"))
 
 
-def folded(frames: DataFrame, bins: int, weighted: bool = True) -> DataFrame:
-    """(recording_id, bin, count), with zeros: voiced frames by their place in the octave. Where all frames of the recording are
+def folded(frames: DataFrame, bins: int, weighted: bool = True, zeros: bool = True) -> DataFrame:
+    """(recording_id, bin, count), with zeros, unless they are not asked for: voiced frames by their place in the octave. Where all frames of the recording are
     voiced they weigh their confidence times the median step between the first 50 frames (without it, if there is but one),
     unless ``weighted`` is off. Frames are added up by bins first; what they weigh is decided on the bins."""
     at = F.when(_on(), F.least(F.floor(E.cents(E.hz_to_midi("pitch_hz")) * bins / 1200), F.lit(bins - 1)).cast("int"))
@@ -46,6 +46,8 @@ def folded(frames: DataFrame, bins: int, weighted: bool = True) -> DataFrame:
         on = on.join(whole, "recording_id").select("recording_id", "bin", F.when(F.col("off"), F.col("n")).otherwise(F.col("sure") * F.col("step")).alias("count"))
     else:
         on = on.select("recording_id", "bin", F.col("n").cast("double").alias("count"))
+    if not zeros:
+        return on
     full = dense(on.select("recording_id").distinct(), bins)
     return full.join(on, ["recording_id", "bin"], "left").select("recording_id", "bin", F.coalesce("count", F.lit(0.0)).alias("count"))
 
@@ -258,9 +260,11 @@ def gaussian_vector(found: DataFrame, column: str = "smooth", half_width: float
 
 def gaussian_at(hist: DataFrame, peaks: DataFrame, bins: int, half_width: float = 75.0, floor: float = 1e-6) -> DataFrame:
     """For peaks (recording_id, cent) the mean, spread and deviation from the nearest note of the histogram around them."""
-    rows = peaks.select("recording_id", "cent").join(hist, "recording_id").withColumn("centre", (F.col("bin") + 0.5) * 1200 / bins)
-    off = F.pmod(F.col("centre") - F.col("cent") + 600, F.lit(1200.0)) - 600
-    rows = rows.withColumn("off", off).withColumn("w", F.floor("count")).where((F.abs("off") <= half_width) & (F.col("w") > 0))
+    cells = hist.select("recording_id", "bin", F.floor("count").alias("w")).where("w > 0")
+    each = cells.join(peaks.groupBy("recording_id").agg(F.collect_set("cent").alias("_cents")), "recording_id")
+    off = lambda cent: F.pmod((F.col("bin") + 0.5) * 1200 / bins - cent + 600, F.lit(1200.0)) - 600
+    near = F.filter("_cents", lambda cent: F.abs(off(cent)) <= half_width)
+    rows = each.select("recording_id", "bin", "w", F.explode(near).alias("cent")).withColumn("off", off(F.col("cent")))
     g = rows.groupBy("recording_id", "cent").agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("off")) / F.sum("w")).alias("m"), (F.sum(F.col("w") * F.col("off") * F.col("off")) / F.sum("w")).alias("m2"))
     mean = F.col("cent") + F.col("m")
     return g.select("recording_id", "cent", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0)) + floor).alias("sigma"), (mean - 100 * E.half_even(mean / 100)).alias("deviation"))

@@ -43,17 +43,15 @@ def contained_anti(points: DataFrame, spans: DataFrame, bucket: float) -> DataFr
 def skyline(rows: DataFrame, partition: list[str], first: str, second: str) -> DataFrame:
     """Rows that no other of the partition dominates (at least as good in both, better in one; more is better).
 
-    In order of the first, a row stays if its second is over the best of all rows of a better first, and it is the best among
-    those of its own first: two running maxima instead of a join.
+    Of each first only the best second can stay, and does if it is over the best of all better firsts: a running maximum over
+    the distinct firsts, which then meet the rows. No window goes over all rows.
     """
-    w = Window.partitionBy(*partition).orderBy(F.col(first).desc())
-    better = F.max(second).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    own = F.max(second).over(Window.partitionBy(*partition, first))
-    rows = rows.withColumn("_d", F.dense_rank().over(w)).withColumn("_own", own)
-    tops = rows.select(*partition, "_d", "_own").distinct()
-    run = Window.partitionBy(*partition).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("_best", F.max("_own").over(run)).select(*partition, "_d", "_best")
-    return rows.join(tops, [*partition, "_d"]).where((F.col(second) == F.col("_own")) & (F.col("_best").isNull() | (F.col(second) > F.col("_best")))).drop("_d", "_own", "_best")
+    tops = rows.groupBy(*partition, first).agg(F.max(second).alias("_own"))
+    better = Window.partitionBy(*partition).orderBy(F.col(first).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.withColumn("_best", F.max("_own").over(better)).where("_best is null or _own > _best").drop("_best")
+    tops = tops.withColumnsRenamed({c: f"_t_{c}" for c in [*partition, first]})
+    same = [F.col(c) == F.col(f"_t_{c}") for c in partition] + [F.col(first).eqNullSafe(F.col(f"_t_{first}")), F.col(second) == F.col("_own")]
+    return rows.join(tops, same).select(*rows.columns)
 
 
 def first_wins(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -372,7 +372,7 @@ def gaussian_vector(spark, d):
 def gmm_closed_form(spark, d):
     f = S.frames(spark, d)
     p = O.voiced(f).select("recording_id").distinct().select("recording_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: i * 100.0)).alias("cent"))
-    g = H.gaussian_at(H.folded(f, 100, weighted=False), p, 100)
+    g = H.gaussian_at(H.folded(f, 100, weighted=False, zeros=False), p, 100)
     return g.select("recording_id", "cent", "n", F.round("mean", 5).alias("mean"), F.round("sigma", 4).alias("sigma"))
 
 
