@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
 from ..sources.adapters import by_time
+from .phrases import chunks, walk
 
 NOTES = "recording_id long, note long, start double, end double, midi double, pitch_hz double, confidence double, energy double, parts long"
 
@@ -27,22 +29,19 @@ def stretches(voiced: DataFrame, steepest: float, least: float, period: float) -
     return runs.where(F.col("end") - F.col("start") >= least)
 
 
-def _joined(rows: pd.DataFrame, alike: float) -> pd.DataFrame:
-    rows = rows.sort_values(["start", "end"], ignore_index=True)
-    out: list[list] = []
-    for start, end, midi, confidence, energy in rows[["start", "end", "midi", "confidence", "energy"]].itertuples(index=False):
-        if out and abs(midi - out[-1][2]) < alike:
-            last, own = out[-1], end - start
-            before = last[1] - last[0]
-            mean = (last[5] * before + energy * own) / (before + own) if before + own > 0 else energy
-            out[-1] = [last[0], end, (last[2] + midi) / 2, 440 * 2 ** ((midi - 69) / 12), confidence, mean, last[6] + 1]
-        else:
-            out.append([start, end, midi, 440 * 2 ** ((midi - 69) / 12), confidence, energy, 1])
-    made = pd.DataFrame(out, columns=["start", "end", "midi", "pitch_hz", "confidence", "energy", "parts"])
-    made.insert(0, "note", range(len(made)))
-    made.insert(0, "recording_id", rows["recording_id"].iloc[0])
-    made["note"] += int(rows["_first"].iloc[0])
-    return made
+def _joined(rows: Iterator[tuple], alike: float) -> Iterator[tuple]:
+    last = None
+    for recording, _, start, end, midi, confidence, energy, cut, n in rows:
+        hz = 440 * 2 ** ((midi - 69) / 12)
+        if last and not cut and abs(midi - last[4]) < alike:
+            before, own = last[3] - last[2], end - start
+            mean = (last[7] * before + energy * own) / (before + own) if before + own > 0 else energy
+            last[3:] = [end, (last[4] + midi) / 2, hz, confidence, mean, last[8] + 1]
+            continue
+        if last:
+            yield tuple(last)
+        last = [recording, n if cut or not last else last[1] + 1, start, end, midi, hz, confidence, energy, 1]
+    yield tuple(last)
 
 
 def stationary_notes(voiced: DataFrame, steepest: float = 0.15, least: float = 0.1, alike: float = 0.3, period: float = 0.01) -> DataFrame:
@@ -51,11 +50,10 @@ def stationary_notes(voiced: DataFrame, steepest: float = 0.15, least: float = 0
     frequency and confidence those of the stretch that came last; note numbers the pieces' first stretches, in order.
 
     A note's pitch is never more than half of ``alike`` from its last stretch's. So where two stretches are one and a half times
-    ``alike`` apart a new note begins whatever came before, and recordings are cut there: a task holds no more than such a piece.
+    ``alike`` apart a new note begins whatever came before, and recordings are cut there.
     """
     w = Window.partitionBy("recording_id").orderBy("start", "end")
     rows = stretches(voiced, steepest, least, period)
-    rows = rows.withColumn("_cut", F.coalesce((F.abs(F.col("midi") - F.lag("midi").over(w)) >= 1.5 * alike).cast("int"), F.lit(0)))
-    rows = rows.withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", (F.row_number().over(w) - 1).cast("long"))
-    rows = rows.withColumn("_first", F.min("_n").over(Window.partitionBy("recording_id", "_piece")))
-    return rows.groupBy("recording_id", "_piece").applyInPandas(lambda x: _joined(x, alike), NOTES)
+    cut = F.coalesce(F.abs(F.col("midi") - F.lag("midi").over(w)) >= 1.5 * alike, F.lit(False))
+    rows = chunks(rows.select("recording_id", "start", "end", "midi", "confidence", "energy", cut.alias("_cut"), (F.row_number().over(w) - 1).cast("long").alias("_n")), F.col("_cut"), w)
+    return walk(rows, ["start", "end"], lambda x: _joined(x, alike), NOTES)
