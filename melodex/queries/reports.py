@@ -55,7 +55,7 @@ def transition_activity(spark, d):
     return T.transition_activity(P.transitions(S.notes(spark, d), []))
 
 
-@R("deletion_rate", f"{NO} SELECT recording_id, round(avg(CASE WHEN pc IN (1, 3, 6, 8, 10) THEN 1.0::DOUBLE ELSE 0 END), 6) AS rate, round(avg(CASE WHEN pc IN (1, 3, 6, 8, 10) THEN 1.0::DOUBLE ELSE 0 END) - (-0.06 * 7 + 0.7), 6) AS residual FROM notes GROUP BY 1")
+@R("deletion_rate", f"{NO} SELECT recording_id, round(CAST(avg(CASE WHEN pc IN (1, 3, 6, 8, 10) THEN 1.0::DOUBLE ELSE 0 END) AS DECIMAL(18, 9)), 6)::DOUBLE AS rate, round(CAST(avg(CASE WHEN pc IN (1, 3, 6, 8, 10) THEN 1.0::DOUBLE ELSE 0 END) - (-0.06 * 7 + 0.7) AS DECIMAL(18, 9)), 6)::DOUBLE AS residual FROM notes GROUP BY 1")
 def deletion_rate(spark, d):
     return T.deletion_rates(S.notes(spark, d), [0, 2, 4, 5, 7, 9, 11], -0.06, 0.7)
 
