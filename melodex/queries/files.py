@@ -25,7 +25,7 @@ cells AS (
 
 
 def written(spark, d):
-    """The notes as text tables, one for each recording."""
+    """The notes as text tables, each of many recordings, which its column ``stem`` names."""
     n, i = S.notes(spark, d), F.col("note_id")
     start, end = F.round("start", 3).cast("string"), F.round("end", 3).cast("string")
     cells = n.select(
@@ -39,14 +39,14 @@ def written(spark, d):
     return path
 
 
-def recording(c="file"):
-    return F.regexp_extract(F.url_decode(F.col(c)), r"stem=Rec (\d+)/", 1).cast("long")
+def recording(c="stem"):
+    return F.regexp_extract(c, r"^Rec (\d+)$", 1).cast("long")
 
 
 @R("transcriptions_read", f"""{CELLS} SELECT recording_id, row, s AS start, e AS "end", m AS midi, round(440 * pow(2, (m - 69) / 12), 4) AS hz, coalesce(label, '') AS label
     FROM cells WHERE s IS NOT NULL AND m IS NOT NULL""")
 def transcriptions_read(spark, d):
-    t = C.read_transcriptions(spark, written(spark, d))
+    t = C.read_transcriptions(spark, written(spark, d), "stem")
     return t.select(recording().alias("recording_id"), F.col("row").cast("long").alias("row"), "start", "end", "midi", F.round("hz", 4).alias("hz"), F.coalesce("label", F.lit("")).alias("label"))
 
 
@@ -54,7 +54,7 @@ def transcriptions_read(spark, d):
         SELECT recording_id, row, replace(label, '·', '') AS label, coalesce(pc, CAST((round_even(m, 0) % 12 + 12) % 12 AS INT)) AS pc, coalesce(s, row) AS a, e AS b FROM cells)
     SELECT recording_id, row, least(a, b) AS start, greatest(a, b) AS "end", label || ':' || ((pc - 3 + 12) % 12) AS token FROM t WHERE label IS NOT NULL AND pc IS NOT NULL""")
 def motif_notes_read(spark, d):
-    t = C.read_motif_notes(spark, written(spark, d), 3)
+    t = C.read_motif_notes(spark, written(spark, d), 3, "stem")
     return t.select(recording().alias("recording_id"), F.col("row").cast("long").alias("row"), "start", "end", "token")
 
 
@@ -101,7 +101,7 @@ def cache_paths(spark, d):
         SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY round(fit, 6) DESC, scale_id, tonic) AS rank FROM fitted QUALIFY rank <= 5)
     SELECT 'rec' || recording_id AS stem, scale_id, tonic, round(fit, 4) AS fit, rank = 1 AS correct FROM r""")
 def corpus_read(spark, d):
-    """The best candidates of every recording, written as one table for each and read back as one data set for learning."""
+    """The best candidates of every recording, written as tables, each of many recordings, and read back as one data set for learning."""
     from ..operators.scoring import best_per_recording
 
     order = [F.round("fit", 6).desc(), F.col("scale_id"), F.col("tonic")]
