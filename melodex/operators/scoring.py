@@ -104,6 +104,17 @@ def valleys(scored: DataFrame, off: int = 15) -> DataFrame:
     return scored.withColumn("valley_penalty", F.size(low))
 
 
+def saturated(boosted: DataFrame, places: int = 9) -> DataFrame:
+    """(recording_id, scale_id, tonic, raw): the hypotheses whose score before it is clipped lies beyond 1, to ``places``.
+
+    They are told apart by a generator: a filter would be pushed down to the hypotheses, and a score with all its sums worked out
+    anew there, for each of its uses. Only scores close to 1 or beyond are rounded.
+    """
+    rows = boosted.select("recording_id", "scale_id", "tonic", (F.col("fit_raw") + F.col("up")).alias("_raw"))
+    beyond = (F.abs("_raw") > 1 - 10.0 ** (1 - places)) & (F.abs(F.round("_raw", places)) > 1)
+    return rows.select("recording_id", "scale_id", "tonic", F.explode(F.when(beyond, F.array("_raw"))).alias("raw"))
+
+
 def turned_vectors(rows: DataFrame, melody: str, accompaniment: str) -> DataFrame:
     """(recording_id, tonic, melody, accompaniment): twelve shares each, to six places, from each tonic on."""
     total = F.aggregate(accompaniment, F.lit(0).cast("long"), lambda s, x: s + x)

@@ -195,8 +195,7 @@ def score_variants(spark, d):
     SELECT recording_id, scale_id, tonic, round(fit_raw + 0.8 * share, 6) AS raw FROM scored WHERE abs(round(fit_raw + 0.8 * share, 9)) > 1""")
 def saturated_candidates(spark, d):
     """The hypotheses whose score is clipped, with what it would be."""
-    raw = F.col("fit_raw") + F.col("up")
-    return scored(spark, d).where(F.abs(F.round(raw, 9)) > 1).select("recording_id", "scale_id", "tonic", F.round(raw, 6).alias("raw"))
+    return C.saturated(scored(spark, d)).withColumn("raw", F.round("raw", 6))
 
 
 @R("top_score_ties", f"""{SC}, {SCORED}
