@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
@@ -94,14 +95,25 @@ def boost(scored: DataFrame, drone: bool = False, w: Weights = Weights()) -> Dat
     return rows.withColumn("fit", w.scale * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))).withColumn("salience", at("band", 0))
 
 
-def valleys(scored: DataFrame, off: int = 15) -> DataFrame:
-    """Adds valley_penalty: of the scale's notes how many lie lower in the smoothed 1-cent histogram than ``off`` cents to both
-    sides, and are not among the recording's ``n_peaks`` most frequent notes. Needs mask, counts and dips, the twelve flags."""
+def bits(on: Callable[[int], Column]) -> Column:
+    """Twelve conditions as a number of twelve bits."""
+    return reduce(add, [F.when(on(i), F.lit(1 << i)).otherwise(0) for i in range(12)])
+
+
+def low_notes(found: DataFrame) -> DataFrame:
+    """(recording_id, p, low): the notes of recordings that lie in a valley, but for the ``n_peaks`` most frequent ones, as bits. Needs
+    p, counts and dips, the twelve flags."""
     order = F.reverse(F.array_sort(F.transform("counts", lambda x, i: F.struct(x.alias("n"), i.alias("pc")))))
     tops = F.transform(F.slice(order, 1, F.greatest(F.col("n_peaks"), F.lit(0))), lambda x: x["pc"])
-    notes = F.transform("mask", lambda on, i: F.when(on == 1, (i + F.col("tonic")) % 12))
-    low = F.filter(notes, lambda pc: pc.isNotNull() & F.get("dips", pc) & ~F.array_contains(tops, pc))
-    return scored.withColumn("valley_penalty", F.size(low))
+    rows = found.select("recording_id", "p", "dips", tops.alias("_tops"))
+    return rows.select("recording_id", "p", bits(lambda i: F.get("dips", F.lit(i)) & ~F.array_contains("_tops", i)).alias("low"))
+
+
+def valleys(hyp: DataFrame) -> DataFrame:
+    """Adds valley_penalty to hypotheses with on, the scale's notes as bits, and low (``low_notes``): how many notes are in both, once
+    the low ones are turned to the tonic. There are hundreds of hypotheses for each recording, so they meet as numbers."""
+    turned = F.call_function("shiftright", "low", "tonic").bitwiseOR(F.call_function("shiftleft", "low", 12 - F.col("tonic")))
+    return hyp.withColumn("valley_penalty", F.bit_count(turned.bitwiseAND(F.col("on"))).cast("int"))
 
 
 def saturated(boosted: DataFrame, places: int = 9) -> DataFrame:
@@ -128,7 +140,6 @@ def by_intervals(notes: DataFrame, scales: DataFrame) -> DataFrame:
     """(recording_id, tonic, scale_id, steps) of recordings' notes (recording_id, pcs): the scales whose intervals, from their first
     note on, are those between the recording's notes from the tonic on. Sets of notes are numbers of twelve bits: turned to its
     tonic a recording's is the scale's own, so they meet in an equi-join."""
-    bits = lambda on: reduce(add, [F.when(on(i), F.lit(1 << i)).otherwise(0) for i in range(12)])
     turn = lambda b, i: F.shiftright(b, i).bitwiseOR(F.shiftleft(b, 12 - i)).bitwiseAND(F.lit(4095))
     sets = notes.select("recording_id", bits(lambda i: F.array_contains("pcs", i)).alias("_bits")).where("_bits > 0")
     each = F.array(*[F.struct(F.lit(i).alias("tonic"), turn(F.col("_bits"), i).alias("_set")) for i in range(12)])

@@ -253,7 +253,8 @@ def candidate_valleys(spark, d):
     f = S.frames(spark, d)
     found = C.shares(H.profile(f)).join(T.dips(O.voiced(f)), "recording_id")
     scales = S.scales(spark, d)
-    h = C.hypotheses(found, scales).join(F.broadcast(scales.select("scale_id", "mask")), "scale_id")
+    on = scales.select("scale_id", C.bits(lambda i: F.get("mask", F.lit(i)) == 1).alias("on"))
+    h = C.hypotheses(C.low_notes(found), scales).join(F.broadcast(on), "scale_id")
     return C.valleys(h).select("recording_id", "scale_id", "tonic", "valley_penalty")
 
 
