@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +32,32 @@ def band_prefixes(frames: DataFrame, edges: list[int], gates: dict[str, Column])
     each = F.map_from_entries(F.collect_list(F.struct((F.col("_pc") * len(edges) + F.col("_slot")).cast("int").alias("at"), "_n")))  # of twelve times the edges at most
     cells = counted.groupBy("recording_id", "gate").agg(each.alias("_m"))
     have = lambda i, s: F.coalesce(F.try_element_at("_m", (i * len(edges) + s).cast("int")), F.lit(0).cast("long"))
-    through = lambda i: F.transform(F.sequence(F.lit(0), F.lit(len(edges) - 1)), lambda e: F.aggregate(F.sequence(F.lit(0), e), F.lit(0).cast("long"), lambda n, s: n + F.when(s > 0, have(i, s)).otherwise(0)))
+    through = lambda i: F.aggregate(F.sequence(F.lit(1), F.lit(len(edges) - 1)), F.array(F.lit(0).cast("long")), lambda sums, s: F.concat(sums, F.array(F.element_at(sums, -1) + have(i, s))))
     return cells.select("recording_id", "gate", F.transform(F.sequence(F.lit(0), F.lit(11)), through).alias("prefixes"))
 
 
-def _best(score: Column, allowed: Column) -> Column:
-    """The first of the allowed tonics with the highest of twelve scores, null ones left out; null if there is none."""
-    listed = F.filter(F.transform(score, lambda x, i: F.when(x.isNotNull() & F.array_contains(allowed, i), F.struct(x.alias("x"), (-i).alias("i")))), lambda y: y.isNotNull())
-    return -F.array_max(listed)["i"]
+def _best(score: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Of each row the first of the allowed tonics with the highest of twelve scores, NaN ones left out; -1 if there is none. A tonic that is not known is -2, which none is."""
+    known = np.where(allowed & ~np.isnan(score), score, -np.inf)
+    return np.where(np.isneginf(known.max(axis=1)), -1, known.argmax(axis=1))
+
+
+def _found(tonic: np.ndarray, allowed: np.ndarray, fits: np.ndarray, through: list[np.ndarray], settings: list[tuple[int, int, float]], places: int) -> np.ndarray:
+    """(gate, setting, count): how many of a block's recordings have frames in the band, and of each of KINDS how many are found.
+
+    tonic: of each recording; allowed, fits: of each of its twelve tonics; through: for each gate its prefixes by tonic and edge;
+    settings: (first edge, last edge, weight) by the edges' places.
+    """
+    every = np.ones_like(allowed)
+    hits = lambda score: [int((_best(score, a) == tonic).sum()) for a in (every, allowed)]
+    by_fit, filled, out = hits(np.round(fits, places)), np.where(np.isnan(fits), NO_FIT, fits), []
+    for sums in through:
+        for a, b, weight in settings:
+            n = (sums[:, :, b] - sums[:, :, a]).astype(float)
+            most = n.max(axis=1, keepdims=True)
+            both = np.round(filled + weight * n / np.maximum(most, 1), places)
+            out.append([int((most > 0).sum()), *hits(np.where(n > 0, n, np.nan)), *by_fit, *hits(both)])
+    return np.array(out)
 
 
 def sweep(recordings: DataFrame, prefixes: DataFrame, edges: list[int], gates: list[str], settings: list[tuple[int, int, float]], places: int = 9) -> DataFrame:
@@ -45,26 +67,32 @@ def sweep(recordings: DataFrame, prefixes: DataFrame, edges: list[int], gates: l
     By band: the allowed tonic with the most frames in the band, if any has one; by hist: that of the best fit; combined: that of
     the best fit (``NO_FIT`` where there is none) plus weight times its share of the band's fullest note. Scores are rounded to
     ``places``; of equals the lowest tonic. ``only``: all twelve are allowed.
+
+    A task goes through its recordings block by block, all settings over a block's arrays, and sends one row of counts for each
+    setting, so no recording is multiplied by the settings.
     """
-    listed = F.array(*[F.struct(F.lit(g).alias("gate"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(float(w)).alias("weight"), F.lit(edges.index(lo) + 1).alias("_a"), F.lit(edges.index(hi) + 1).alias("_b")) for g in gates for lo, hi, w in settings])
-    none = F.array_repeat(F.array_repeat(F.lit(0).cast("long"), len(edges)), 12)
-    # gates of a recording side by side, so that settings multiply rows only after the join
     wide = prefixes.groupBy("recording_id").pivot("gate", gates).agg(F.first("prefixes"))
-    met = recordings.join(wide, "recording_id", "left").select("*", F.inline(listed))
-    of = F.lit(None)
-    for g in gates:
-        of = F.when(F.col("gate") == g, F.col(f"`{g}`")).otherwise(of)
-    met = met.withColumn("_p", F.coalesce(of, none)).withColumn("_h", F.transform("_p", lambda x: F.element_at(x, F.col("_b")) - F.element_at(x, F.col("_a"))))
-    most = F.greatest(F.array_max("_h"), F.lit(1))
-    both = F.zip_with("fits", "_h", lambda f, n: F.round(F.coalesce(f, F.lit(NO_FIT)) + F.col("weight") * n / most, places))
-    every = F.sequence(F.lit(0), F.lit(11))
-    scores = {"band": F.transform("_h", lambda n: F.when(n > 0, n)), "hist": F.transform("fits", lambda f: F.round(f, places)), "combined": both}
-    found = {}
-    for kind in KINDS:
-        name, who = kind.split("_")
-        found[kind] = F.sum(F.coalesce(_best(scores[name], every if who == "only" else F.col("allowed")) == F.col("tonic"), F.lit(False)).cast("long"))
-    some = F.sum((F.array_max("_h") > 0).cast("long"))
-    return met.groupBy("gate", "lo", "hi", "weight").agg(F.count("*").alias("total"), some.alias("band_frames"), *[v.alias(k) for k, v in found.items()])
+    none = F.array_repeat(F.lit(0).cast("long"), 12 * len(edges))
+    flat = [F.coalesce(F.flatten(f"`{g}`"), none).alias(f"g{i}") for i, g in enumerate(gates)]
+    may = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.array_contains("allowed", i))
+    no_fits = F.array_repeat(F.lit(None).cast("double"), 12)
+    met = recordings.join(wide, "recording_id", "left").select(F.coalesce("tonic", F.lit(-2)).alias("tonic"), may.alias("may"), F.coalesce("fits", no_fits).alias("fits"), *flat)
+    at = [(edges.index(lo), edges.index(hi), float(w)) for lo, hi, w in settings]
+    width, names = len(edges), [f"g{i}" for i in range(len(gates))]
+
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, sums = 0, 0
+        for x in blocks:
+            if len(x):
+                through = [np.stack(x[g].to_numpy()).reshape(-1, 12, width) for g in names]
+                total += len(x)
+                sums = sums + _found(x["tonic"].to_numpy(), np.stack(x["may"].to_numpy()).astype(bool), np.stack(x["fits"].to_numpy()).astype(float), through, at, places)
+        if total:
+            keys = pd.DataFrame([(g, lo, hi, float(w)) for g in gates for lo, hi, w in settings], columns=["gate", "lo", "hi", "weight"])
+            yield pd.concat([keys.assign(total=total), pd.DataFrame(sums, columns=["band_frames", *KINDS])], axis=1)
+
+    counted = met.mapInPandas(run, "gate string, lo int, hi int, weight double, total long, band_frames long, " + ", ".join(f"{k} long" for k in KINDS))
+    return counted.groupBy("gate", "lo", "hi", "weight").agg(*[F.sum(c).alias(c) for c in ("total", "band_frames", *KINDS)])
 
 
 def best_bands(swept: DataFrame, best: int = 5) -> DataFrame:

@@ -55,7 +55,7 @@ SWEPT = f"""{SC}, {SCORED},
 def swept(spark, d):
     f = O.voiced(S.frames(spark, d))
     prefixes = W.band_prefixes(f, EDGES, {"runtime": F.col("confidence") >= 0.3, "half": F.col("confidence") > 0.5})
-    fits = scored(spark, d).groupBy("recording_id", "tonic").agg(F.max(F.round("fit", 6)).alias("fit"))
+    fits = scored(spark, d).groupBy("recording_id", "tonic").agg(F.round(F.max("fit"), 6).alias("fit"))  # rounding keeps the order
     fits = fits.groupBy("recording_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("tonic").cast("int"), "fit"))).alias("m"))
     segment = S.table(spark, d, "customer").select(F.col("c_custkey").alias("recording_id"), "c_mktsegment")
     users = S.frames(spark, d).select("recording_id").distinct().join(segment, "recording_id", "left")
