@@ -40,10 +40,10 @@ def midi_or_zero(frames: DataFrame) -> DataFrame:
 def gradient(rows: DataFrame, value: str, name: str = "gradient") -> DataFrame:
     """Second-order differences for uneven steps; one-sided at the ends."""
     w, v, t = by_time(), F.col(value), F.col("t")
-    before, after = F.lag(value).over(w), F.lead(value).over(w)
-    hs, hd = t - F.lag("t").over(w), F.lead("t").over(w) - t
+    near = {"_before": F.lag(value).over(w), "_after": F.lead(value).over(w), "_hs": t - F.lag("t").over(w), "_hd": F.lead("t").over(w) - t}
+    before, after, hs, hd = map(F.col, near)  # columns: an expression used many times would be as many window functions
     inner = (hs * hs * after + (hd * hd - hs * hs) * v - hd * hd * before) / (hs * hd * (hd + hs))
-    return rows.withColumn(name, F.when(before.isNull(), (after - v) / hd).when(after.isNull(), (v - before) / hs).otherwise(inner))
+    return rows.withColumns(near).withColumn(name, F.when(before.isNull(), (after - v) / hd).when(after.isNull(), (v - before) / hs).otherwise(inner)).drop(*near)
 
 
 def derivative(rows: DataFrame, value: str, name: str = "derivative") -> DataFrame:
@@ -61,22 +61,59 @@ def islands(rows: DataFrame, flag: Column, name: str = "run") -> DataFrame:
     return rows.withColumn("_b", begins.cast("int")).withColumn(name, F.when(F.col("_f"), F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_f", "_b")
 
 
+def with_next(frames: DataFrame) -> DataFrame:
+    """Adds midi, gradient and the time of the next frame, the last one's own."""
+    return gradient(midi_or_zero(frames), "midi").withColumn("next_t", F.coalesce(F.lead("t").over(by_time()), F.col("t")))
+
+
+def is_still(most: float) -> Column:
+    return F.col("voicing") & (F.abs("gradient") < most)
+
+
 def stationary_events(frames: DataFrame, most: float, least_duration: float) -> DataFrame:
     """Runs of voiced frames with a small gradient: (recording_id, run, start, end, midi, energy). A run ends at the time of
     the first frame after it."""
-    rows = gradient(midi_or_zero(frames), "midi").withColumn("next_t", F.coalesce(F.lead("t").over(by_time()), F.col("t")))
-    runs = islands(rows, F.col("voicing") & (F.abs("gradient") < most)).where("run is not null")
+    runs = islands(with_next(frames), is_still(most)).where("run is not null")
     out = runs.groupBy("recording_id", "run").agg(F.min("t").alias("start"), F.max("next_t").alias("end"), F.median("midi").alias("midi"), F.avg("energy").alias("energy"), F.count("*").alias("frames"))
     return out.where(F.col("end") - F.col("start") >= least_duration)
 
 
+def sign() -> Column:
+    return F.when(F.col("voicing"), F.signum("gradient"))
+
+
 def inflections(frames: DataFrame) -> DataFrame:
     """Frames where the gradient's sign changes before the next; unvoiced frames have no sign."""
-    rows = gradient(midi_or_zero(frames), "midi")
-    rows = rows.withColumn("sign", F.when(F.col("voicing"), F.signum("gradient")))
+    rows = gradient(midi_or_zero(frames), "midi").withColumn("sign", sign())
     return rows.withColumn("next_sign", F.lead("sign").over(by_time())).where("sign != next_sign")
 
 
+def events_and_turns(frames: DataFrame, most: float, least_duration: float) -> DataFrame:
+    """(recording_id, start, end, midi, energy): the stationary events, and as points the inflections outside their closed spans.
+
+    The frames are dealt out and sorted once, and a recording's rows stay in its partition: each row left belongs to its run or
+    is a point of its own. Medians are read off sorted rows, and a point is held against the latest end of the events that have
+    begun. Rows without a recording are in no event's span.
+    """
+    w = by_time()
+    rows = with_next(frames).withColumn("sign", sign()).withColumn("_other", ~F.coalesce(is_still(most), F.lit(False)))
+    others = F.sum(F.col("_other").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))  # the same within a run
+    rows = rows.withColumns({"next_sign": F.lead("sign").over(w), "_i": F.row_number().over(w), "_others": others}).withColumn("run", F.when(~F.col("_other"), F.col("_others")))
+    if least_duration > 0:
+        run = Window.partitionBy("recording_id", "run")
+        rows = rows.withColumn("run", F.when(F.max("next_t").over(run) - F.min("t").over(run) >= least_duration, F.col("run")))
+    alone = F.col("run").isNull()
+    rows = rows.where(~alone | (F.col("sign") != F.col("next_sign"))).withColumn("_i", F.when(alone, F.col("_i"))).withColumn("end", F.when(alone, F.col("t")).otherwise(F.col("next_t")))
+    by = ["recording_id", "run", "_i"]
+    each, k, n = Window.partitionBy(*by), F.col("_k"), F.col("_n")
+    rows = rows.withColumn("_k", F.row_number().over(each.orderBy("midi"))).withColumn("_n", F.count("*").over(each))
+    median = 0.5 * F.max(F.when(k == F.floor((n + 1) / 2), F.col("midi"))) + 0.5 * F.max(F.when(k == F.floor(n / 2) + 1, F.col("midi")))
+    out = rows.groupBy(*by).agg(F.min("t").alias("start"), F.max("end").alias("end"), median.alias("midi"), F.avg("energy").alias("energy"))
+    through = F.max(F.when(~alone, F.col("end"))).over(Window.partitionBy("recording_id").orderBy("start"))
+    outside = F.col("recording_id").isNull() | F.col("_through").isNull() | (F.col("_through") < F.col("start"))
+    return out.withColumn("_through", through).where(~alone | outside).select("recording_id", "start", "end", "midi", "energy")
+
+
 def interpolate(rows: DataFrame, value: str, name: str = "filled") -> DataFrame:
     """Fills nulls on a line between neighbours by row number, flat beyond the ends."""
     w = by_time()

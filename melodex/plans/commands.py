@@ -13,6 +13,7 @@ from ..operators import histogram as H
 from ..operators import ngrams as G
 from ..operators import phrases as P
 from ..operators import scoring as C
+from ..sources.adapters import UNIT
 
 
 @dataclass(frozen=True)
@@ -46,16 +47,11 @@ def analyse(frames: DataFrame, s: Settings = Settings(), scale: list[int] | None
     """Frames to notes, phrases and their statistics: stationary events and the turns outside them, merged, cut at gaps and at
     silences, and snapped to a scale if one is given."""
     f = O.rethreshold(frames, s.confidence)
-    from ..operators.joins import contained_anti
-    from ..sources.adapters import UNIT
-
-    events = O.stationary_events(f, s.gradient, s.least_event)
-    turns = contained_anti(O.inflections(f), events, 5.0).select("recording_id", F.col("t").alias("start"), F.col("t").alias("end"), "midi", "energy")
-    rows = events.select("recording_id", "start", "end", "midi", "energy").unionByName(turns)
+    rows = O.events_and_turns(f, s.gradient, s.least_event)
     rows = rows.withColumn("note_id", F.row_number().over(Window.partitionBy("recording_id").orderBy("start", "end", "midi")).cast("long"))
     notes = P.merge_notes(rows, *s.merge)
     notes = notes.withColumn("start_us", F.round(F.col("start") * UNIT).cast("long")).withColumn("end_us", F.round(F.col("end") * UNIT).cast("long")).withColumn("pc", E.pitch_class("midi"))
-    cut = P.split_by_silence(P.gap_phrases(notes, s.phrase_gap), P.silences(f, *s.silence)).withColumn("phrase", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("phrase", "part"))).drop("part")
+    cut = P.split_in_order(P.gap_phrases(notes, s.phrase_gap), P.silences(f, *s.silence)).withColumn("phrase", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("phrase", "part"))).drop("part")
     phrases = P.phrase_bounds(cut).where(F.col("notes") >= s.least_notes)
     out = {"notes": cut, "phrases": phrases, "transitions": P.transition_probabilities(P.transitions(cut, ["phrase"])), "clusters": P.intervals(cut).groupBy("steps").agg(F.count("*").alias("phrases"))}
     return out | ({"snapped": P.snap_to_scale(notes, scale, tonic)} if scale else {})
