@@ -53,7 +53,7 @@ def analyse(frames: DataFrame, s: Settings = Settings(), scale: list[int] | None
     notes = notes.withColumn("start_us", F.round(F.col("start") * UNIT).cast("long")).withColumn("end_us", F.round(F.col("end") * UNIT).cast("long")).withColumn("pc", E.pitch_class("midi"))
     cut = P.split_in_order(P.gap_phrases(notes, s.phrase_gap), P.silences(f, *s.silence)).withColumn("phrase", F.dense_rank().over(Window.partitionBy("recording_id").orderBy("phrase", "part"))).drop("part")
     phrases = P.phrase_bounds(cut).where(F.col("notes") >= s.least_notes)
-    out = {"notes": cut, "phrases": phrases, "transitions": P.transition_probabilities(P.transitions(cut, ["phrase"])), "clusters": P.intervals(cut).groupBy("steps").agg(F.count("*").alias("phrases"))}
+    out = {"notes": cut, "phrases": phrases, "transitions": P.transition_probabilities(P.transitions(cut, ["phrase"])), "clusters": P.clusters(P.intervals(cut))}
     return out | ({"snapped": P.snap_to_scale(notes, scale, tonic)} if scale else {})
 
 
